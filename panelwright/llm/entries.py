@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lattice, mixing, quality, sharding, simhash, toxicity
+from . import decontamination, lattice, licenses, mixing, quality, recompression, sharding, simhash, suffix_levels, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents left after windows of 50 that a smaller doc_id has too."""
+    out = recompression.removed(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents left after 200-byte strings that occur elsewhere too."""
+    out = suffix_levels.removed(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in all documents."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct("matches.template")), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("best_containment"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits in all documents."""
     found = decontamination.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -71,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op8_decontamination, op10_lattice_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op6_recompression_dedup, op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_lattice_dedup, pipeline)}
 
 #: Words of a benchmark item or a document, A-Z lower-cased.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -89,6 +108,17 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
 from d left join pos using (r) left join its using (r)
 """
 
+_OP6 = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+x as (select r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) h from d, unnest(range(1, len(w) - 48)) t(i)),
+f as (select h, min(doc_id) least from x group by h),
+m as (select distinct r, unnest(range(i, i + 50)) p from x join f using (h) where least < doc_id),
+g as (select r, list(p order by p) ps from m group by r),
+k as (select doc_id, len(w) n, coalesce(len(ps), 0) c, d.r, w, ps from d left join g using (r)),
+u as (select r, string_agg(w[i], ' ' order by i) kept from (select d.r, w, unnest(range(1, len(w) + 1)) i from d) z where not exists (select 1 from m where m.r = z.r and m.p = z.i) group by r)
+select doc_id, cast(n as bigint) n_words, cast(c as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from k left join u using (r)
+"""
+
 _OP10 = """
 with recursive v as (
   select row_number() over () r, vec_id, label, [cast(x as double) for x in embedding] e,
@@ -134,4 +164,4 @@ from e join (select r, v from walk where v < n) using (r)
 """
 
 
-SQL = {"op1_sharding": _sharding_sql(), "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10}
+SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10}
