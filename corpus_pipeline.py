@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = held.select("__row", "__same", "source", mixing.word_count(F.col("text")).alias("size"))
     taken = frozen(mixing.mix(rows, identity=F.col("__same")).where("copies > 0").select("__row", "copies"), "taken")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__time")
-    return held.join(taken, "__row").select(*docs.columns, times).drop("__time")
+    return held.join(taken.hint("merge"), "__row").select(*docs.columns, times).drop("__time")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

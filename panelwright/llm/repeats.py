@@ -55,13 +55,13 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, siz
     anchors: frozen rows of ANCHORS. shared: the keys worth a look, ``(key)``. texts: ``(doc, tag, text)``.
     elsewhere: a window counts if it starts at any other place too; else if it starts in a smaller doc.
     """
-    flagged = frozen(anchors.join(shared, "key", "left_semi"), "flagged")
+    flagged = frozen(anchors.join(shared.hint("merge"), "key", "left_semi"), "flagged")
     segments = flagged.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min("doc").alias("least"), F.min(F.struct("doc", "tag", "at")).alias("rep"))
     segments = frozen(segments, "segments")
     variants = frozen(segments.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several").select("key"), "variants")
     segments = segments.join(variants.withColumn("several", F.lit(True)), "key", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     segments = frozen(segments, "segments")
-    met = flagged.join(segments, ["key", "seg"])
+    met = flagged.join(segments.hint("merge"), ["key", "seg"])
     whole = (F.col("c") > 1) if elsewhere else (F.col("least") < F.col("doc"))
     asked = F.col("several") & ((F.struct("doc", "tag", "at") == F.col("rep")) if elsewhere else (F.col("least") == F.col("doc")))
     met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select("doc", "tag", "at", "n", "whole", "asked"), "met")
@@ -87,14 +87,14 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, siz
             if of_h:
                 yield pd.DataFrame({"h": np.concatenate(of_h), "place": np.concatenate(of_id), "doc": np.concatenate(of_doc)})
 
-    found = texts.join(lists, ["doc", "tag"]).select("doc", "text", "need").mapInPandas(hashes, "h long, place long, doc long")
+    found = texts.join(lists.hint("merge"), ["doc", "tag"]).select("doc", "text", "need").mapInPandas(hashes, "h long, place long, doc long")
     found = frozen(found.select("h", "place") if elsewhere else found, "windows")
     if elsewhere:
         repeated = found.groupBy("h").count().where("count > 1").select("h")
-        single = found.join(frozen(repeated, "repeated"), "h", "left_semi")
+        single = found.join(frozen(repeated, "repeated").hint("merge"), "h", "left_semi")
     else:
         spread = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least")
-        single = found.join(frozen(spread, "repeated"), "h").where("least < doc")
+        single = found.join(frozen(spread, "repeated").hint("merge"), "h").where("least < doc")
     offsets = single.groupBy(F.expr("place div 128L").alias("id")).agg(F.collect_set(F.expr("cast(place % 128 as int)")).alias("offsets"))
     parts = offsets.join(need, "id").select("doc", "tag", F.explode("offsets").alias("off"), "at").select("doc", "tag", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
     return met.where("whole").select("doc", "tag", "at", "n").union(parts)
@@ -126,7 +126,7 @@ def spans_of(matched: DataFrame, size: int) -> DataFrame:
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All rows of ``docs`` with the flat list of span ends (null: none)."""
     ids = identified(docs, id_col, text_col)
-    return ids.join(spans, ["doc", "tag"], "left").select(F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc_id"), "text", "spans")
+    return ids.join(spans.hint("merge"), ["doc", "tag"], "left").select(F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc_id"), "text", "spans")
 
 
 def cut(sequence, spans) -> list:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import frozen, without
+from .store import frozen, tasks, without
 
 RADIUS = 3
 GROUP_ROWS = 4096  #: a larger group of equal blocks is divided by further blocks
@@ -169,7 +169,7 @@ def linked(fps: DataFrame) -> DataFrame:
             break
         rows = _blocks(rows.join(big, "__key", "left_semi"), bits)
         bits -= bits // 4
-    return ready.repartition("__key").sortWithinPartitions("__key").mapInPandas(_edges, "a long, b long")
+    return ready.repartition(tasks(fps.sparkSession), "__key").sortWithinPartitions("__key").mapInPandas(_edges, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
@@ -199,4 +199,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(held, id_col, text_col, F.col("__row"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
     best = frozen(found.groupBy("__root").agg(F.min_by("__row", order).alias("__row")).select("__row"), "kept")
-    return held.join(best, "__row", "left_semi").select(*columns)
+    # texts are joined by sorted merge at every size: what is kept grows with the input
+    return held.join(best.hint("merge"), "__row", "left_semi").select(*columns)

@@ -40,6 +40,11 @@ def frozen(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for steps that compute much on few bytes, which the adaptive planner would put into too few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns that Spark can hash (maps are left out)."""
     names = [f"`{name}`" for name, kind in df.dtypes if not kind.startswith("map")]
