@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables. Doubles are rounded to six decimals, so that sums may run in any order."""
+"""Registered queries over the driver's tables. Doubles are rounded to six decimals, so that sums may run in any order; dates are texts."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def query(f):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) + 0.0 for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c, kind in df.dtypes if kind == "double"} | {c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -167,7 +167,7 @@ def history_gate(spark, d):
 @query
 def sanitised(spark, d):
     """Undefined numbers as 0."""
-    return rounded(indicators.indicators(panel(spark, d)).select("ticker", "date", finite("ma_50").alias("ma_50"), finite("rsi").alias("rsi"), finite("volatility").alias("volatility")))
+    return rounded(indicators.indicators(panel(spark, d)).select("ticker", "date", finite("ma_50").alias("ma_50"), finite("rsi").alias("rsi"), finite("volatility").alias("volatility")), 4)
 
 
 @query
@@ -227,19 +227,19 @@ def ema(spark, d):
 @query
 def rsi_macd(spark, d):
     """C8, C9, C4."""
-    return rounded(indicators.indicators(panel(spark, d)).select("ticker", "date", "rsi", "macd", "volatility"))
+    return rounded(indicators.indicators(panel(spark, d)).select("ticker", "date", "rsi", "macd", "volatility"), 4)
 
 
 @query
 def features(spark, d):
     """C10."""
-    return rounded(indicators.features(panel(spark, d)).select("ticker", "date", "rn", *indicators.FEATURES))
+    return rounded(indicators.features(panel(spark, d)).select("ticker", "date", "rn", *indicators.FEATURES), 4)
 
 
 @query
 def labelled_panel(spark, d):
     """C11 to C13, D1."""
-    return rounded(labelled(spark, d).select("ticker", "date", "close_price", "rsi", "macd", "fwd_return", "target"))
+    return rounded(labelled(spark, d).select("ticker", "date", "close_price", "rsi", "macd", "fwd_return", "target"), 4)
 
 
 @query
@@ -287,7 +287,7 @@ def worst_drawdowns(spark, d):
 @query
 def date_positions(spark, d):
     """C22."""
-    return splits.date_index(panel(spark, d)).select("date", F.col("pos").cast("int").alias("pos"))
+    return rounded(splits.date_index(panel(spark, d)).select("date", F.col("pos").cast("int").alias("pos")))
 
 
 @query
@@ -303,13 +303,13 @@ def matrix_monotone(spark, d):
 def purged_split(spark, d):
     """C30."""
     out, _ = splits.purged_split(labelled(spark, d), 0.2, 30)
-    return out.groupBy("side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return rounded(out.groupBy("side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")))
 
 
 @query
 def row_cut_split(spark, d):
     """C31."""
-    return splits.row_cut_split(labelled(spark, d), 0.8, 60).groupBy("side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return rounded(splits.row_cut_split(labelled(spark, d), 0.8, 60).groupBy("side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")))
 
 
 @query
@@ -322,19 +322,19 @@ def stratified_split(spark, d):
 def walk_forward(spark, d):
     """C33, D6."""
     w = splits.walk_forward(panel(spark, d), TRAIN, TEST, STEP)
-    return w.groupBy("ticker", "window_id", "side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return rounded(w.groupBy("ticker", "window_id", "side").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")))
 
 
 @query
 def regime_split(spark, d):
     """C34, D5."""
-    return splits.regime_split(labelled(spark, d), regimes(spark)).groupBy("regime", "side").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+    return rounded(splits.regime_split(labelled(spark, d), regimes(spark)).groupBy("regime", "side").agg(F.count("*").alias("n"), F.max("date").alias("last")))
 
 
 @query
 def trailing_validation(spark, d):
     """C35."""
-    return splits.trailing_validation(labelled(spark, d)).groupBy("ticker", "side").agg(F.count("*").alias("n"), F.min("date").alias("first"))
+    return rounded(splits.trailing_validation(labelled(spark, d)).groupBy("ticker", "side").agg(F.count("*").alias("n"), F.min("date").alias("first")))
 
 
 # ---- E: metrics

@@ -80,7 +80,8 @@ def null_report(df: DataFrame, columns: tuple[str, ...] = ("close", "volume")) -
 def bars_from_lines(spark: SparkSession, sf_dir: str, factor: float = 0.001) -> DataFrame:
     """A price panel derived from order lines: one series a brand, a bar a ship date.
 
-    The mean quantity of a day moves the close: 100 * exp(running sum of (mean - 25.5) * factor).
+    The mean quantity of a day moves the close: 100 * exp(running sum of (mean - 25.5) * factor), the
+    steps in whole millionths, so that a series that returns to a price returns to it exactly.
     """
     from pyspark.sql import Window
 
@@ -88,4 +89,5 @@ def bars_from_lines(spark: SparkSession, sf_dir: str, factor: float = 0.001) ->
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     day = lines.join(part, "l_partkey").groupBy("ticker", "date").agg(F.avg("l_quantity").alias("q"), F.sum("l_quantity").cast("bigint").alias("volume"))
     run = Window.partitionBy("ticker").orderBy("date")
-    return day.select("ticker", "date", (100 * F.exp(F.sum((F.col("q") - 25.5) * factor).over(run))).alias("close"), "volume")
+    step = F.round((F.col("q") - 25.5) * (factor * 1e6)).cast("bigint")
+    return day.select("ticker", "date", (100 * F.exp(F.sum(step).over(run) / 1e6)).alias("close"), "volume")
