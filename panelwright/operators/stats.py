@@ -54,7 +54,9 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> Column:
     spread = 1 + ratio(F.lit(z * z), n)
     centre = (p + ratio(F.lit(z * z), 2 * n)) / spread
     half = F.sqrt(ratio(p * (1 - p), n) + ratio(F.lit(z * z), 4 * n * n)) * z / spread
-    return F.when((n > 0) & k.between(0, n), interval(p, F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half), confidence, n))
+    lower = F.when(k == 0, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half))
+    upper = F.when(k == n, 1.0).otherwise(F.least(F.lit(1.0), centre + half))
+    return F.when((n > 0) & k.between(0, n), interval(p, lower, upper, confidence, n))
 
 
 def chance_matched(trades: DataFrame, by: tuple[str, ...], won: str = "won", odds: str = "win_odds") -> DataFrame:
