@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import frozen, without
+from .store import frozen, long_texts, without
 
 WINDOW = 10
 BROADCAST_WORDS = 5_000_000  #: a benchmark of more words is joined, not broadcast
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 rows = [(i, n, int(hit.sum()), sorted(found), _spans(hit)) for i, (n, hit, found) in zip(frame["__id"], map(held.value.scan, frame["__text"]))]
                 yield pd.DataFrame(rows, columns=["__id", "n_words", "n_hit", "items", "spans"]).astype({"__id": frame["__id"].dtype})
 
-        out = source.mapInPandas(run, f"__id {kind}, {_OUT}")
+        out = long_texts(source).mapInPandas(run, f"__id {kind}, {_OUT}")
     return out.withColumnRenamed("__id", id_col)
 
 
@@ -123,7 +123,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, kind: str) -> Data
     of_items = frozen(items.mapInPandas(lambda f: windows(f, None, "text", "item_id"), schema).select("w", "size", F.col("k").alias("item")).distinct(), "windows")
     sizes = sorted(r[0] for r in of_items.select("size").distinct().collect())  # up to `window` of them
     rows = frozen(source.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    of_docs = rows.select("__row", "__text").mapInPandas(lambda f: windows(f, sizes, "__text", "__row"), schema)
+    of_docs = long_texts(rows.select("__row", "__text")).mapInPandas(lambda f: windows(f, sizes, "__text", "__row"), schema)
     hits = of_docs.join(of_items, ["w", "size"]).groupBy("k").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("at", "size")).alias("at"))
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def contains_window(docs: DataFrame, items: DataFrame, text_col: str, window: int = WINDOW) -> Column:
     """Whether any window of a benchmark of bounded size occurs in the text."""
-    held = docs.sparkSession.sparkContext.broadcast(_Windows([(r["item_id"], words_of(r["text"])) for r in items.toLocalIterator()], window))
+    held = long_texts(docs).sparkSession.sparkContext.broadcast(_Windows([(r["item_id"], words_of(r["text"])) for r in items.toLocalIterator()], window))
 
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .recompression import word_hashes
 from .repeats import RangeHash, mixed
+from .store import long_texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -105,7 +106,7 @@ class _Templates:
                 if share >= CONTAINMENT:
                     runs = best.setdefault(m, [])
                     if runs and i - runs[-1][1] < width:
-                        runs[-1] = max(runs[-1], (share, i), key=lambda x: x[0])
+                        runs[-1] = max((share, i), runs[-1], key=lambda x: x[0])
                     else:
                         runs.append((share, i))
             found += [(members[m][0], i, w + k - 1, share) for m, runs in best.items() for share, i in runs]
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     templates = list(TEMPLATES.items()) if templates is None else templates
     if sum(len(words_of(t)) for _, t in templates) > TEMPLATE_WORDS:
         raise ValueError(f"templates hold more than {TEMPLATE_WORDS} words")
-    held = docs.sparkSession.sparkContext.broadcast(_Templates(templates))
+    held = long_texts(docs).sparkSession.sparkContext.broadcast(_Templates(templates))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -102,7 +102,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     fraction is settled by pivotal rounding, so a source's taken words miss its target by a part of
     one document at most. Order and draws hang on ``identity`` alone (default: a hash of the row): a rerun agrees.
 
-    A null size counts as 0; rows of size 0 get 0 copies more than the certain ones. Null sources
+    A null size counts as 0; rows of size 0 get the certain copies alone, and none in a source without words. Null sources
     are a source of their own. Equal rows are drawn one by one. An empty table gives an empty result.
     Columns already called source_size, target or copies are replaced.
     """

@@ -10,19 +10,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import long_texts
+
 BUCKETS = 1024  #: hashed byte trigrams
 SLOTS = BUCKETS + 3  #: and: a word repeats the one before it; upper-case words; no words at all
 FIT_ROWS = 6000  #: bound on the labelled rows that a model is fitted on; the least by hash of their id
 GRADES = 3
 THRESHOLD = 0.5
+PRIOR_BYTES = 50  #: a text's frequencies are drawn toward the mean as if it had so many more bytes
+SHAPE = 10.0  #: how much wider the prior of the shape features is
 
 
-def profile(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the hashed features of a whole text and their weights, which sum to one a family."""
+def profile(text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Indices of the hashed features of a whole text, their frequencies, and how far to trust them: a short text says little."""
     raw = text.encode() if text else b""
     words = raw.split()
     if not words:
-        return np.array([BUCKETS + 2]), np.array([1.0])
+        return np.array([BUCKETS + 2]), np.array([1.0]), 1.0
     a = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
     h = (a[:-2] * np.uint32(0x9E3779B1)) ^ (a[1:-1] * np.uint32(0x85EBCA77)) ^ (a[2:] * np.uint32(0xC2B2AE3D))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(22)
@@ -30,30 +34,34 @@ def profile(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
     same = sum(map(eq, words, words[1:])) / len(words)
     upper = sum(map(bytes.isupper, words)) / len(words)
-    return np.concatenate((at, [BUCKETS, BUCKETS + 1])), np.concatenate((counts[at] / len(h), [same, upper]))
+    return np.concatenate((at, [BUCKETS, BUCKETS + 1])), np.concatenate((counts[at] / len(h), [same, upper])), len(h) / (len(h) + PRIOR_BYTES)
 
 
 def dense(text: str | None) -> np.ndarray:
-    row = np.zeros(SLOTS, np.float32)
-    at, weight = profile(text)
-    row[at] = weight
+    """Frequencies of all features, then the trust."""
+    row = np.zeros(SLOTS + 1, np.float32)
+    at, weight, trust = profile(text)
+    row[at], row[SLOTS] = weight, trust
     return row
 
 
 class CumulativeLink:
-    """P(grade >= k) = sigmoid(x.w - threshold_k): weights shared by all grades, thresholds in order."""
+    """P(grade >= k) = sigmoid(trust * w.(x - centre) - threshold_k): weights shared by all grades, thresholds in order."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, offset: float = 0.0):
+        self.weights, self.thresholds, self.offset = weights, thresholds, offset
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 300, l2: float = 1e-4) -> CumulativeLink:
+    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 300, l2: float = 3e-2) -> CumulativeLink:
         """Full-batch Adam on the exact likelihood; thresholds are a first one plus positive gaps."""
         if not len(x):
             return cls(np.zeros(SLOTS), np.full(grades - 1, -20.0))
-        scale = np.maximum(x.std(axis=0), 1e-4)
+        trust, x = (x[:, SLOTS:], x[:, :SLOTS]) if x.shape[1] == SLOTS + 1 else (np.ones((len(x), 1), x.dtype), x)
         centre = x.mean(axis=0)
-        z = (x - centre) / scale
+        z = (x - centre) * trust
+        scale = np.maximum(z.std(axis=0), 1e-4)
+        scale[BUCKETS:] /= SHAPE  # the few features of shape are penalised less
+        z = z / scale
         share = np.clip([(y >= k).mean() for k in range(1, grades)], 1e-3, 1 - 1e-3)
         start = np.minimum.accumulate(np.log(share / (1 - share)))
         p = np.concatenate((np.zeros(z.shape[1]), [-start[0]], np.log(np.maximum(start[:-1] - start[1:], 1e-2))))
@@ -74,11 +82,11 @@ class CumulativeLink:
             p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w = p[:d] / scale
         cut = p[d] + np.concatenate(([0.0], np.cumsum(np.exp(np.minimum(p[d + 1 :], 5)))))
-        return cls(w, cut + float(centre @ w))
+        return cls(w, cut, float(centre @ w))
 
     def tails(self, text: str | None) -> np.ndarray:
-        at, weight = profile(text)
-        return 1 / (1 + np.exp(-np.clip(float(self.weights[at] @ weight) - self.thresholds, -30, 30)))
+        at, weight, trust = profile(text)
+        return 1 / (1 + np.exp(-np.clip(trust * (float(self.weights[at] @ weight) - self.offset) - self.thresholds, -30, 30)))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -101,8 +109,8 @@ def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> Cumula
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [dense(t).tobytes() for t in frame["text"]], "grade": frame["grade"]})
 
-    got = rows.mapInPandas(features, "doc_id long, x binary, grade int").toPandas().sort_values("doc_id")
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, SLOTS)
+    got = long_texts(rows).mapInPandas(features, "doc_id long, x binary, grade int").toPandas().sort_values("doc_id")
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, SLOTS + 1)
     return CumulativeLink.fit(x, got["grade"].to_numpy())
 
 
@@ -112,7 +120,7 @@ def score(docs: DataFrame, model: CumulativeLink, text_col: str = "text") -> Dat
     A null or empty text is scored by its own feature. Repeated rows are scored alike; an empty
     table gives an empty result; columns of these names are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = long_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def tails(texts: pd.Series) -> pd.Series:
@@ -124,7 +132,7 @@ def score(docs: DataFrame, model: CumulativeLink, text_col: str = "text") -> Dat
 
 def accept(docs: DataFrame, model: CumulativeLink, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose tail probability P(grade >= 1) reaches ``threshold``, columns as they were."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = long_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def first_tail(texts: pd.Series) -> pd.Series:

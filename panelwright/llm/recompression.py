@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import ANCHORS, RangeHash, cut, identified, mixed, sha256, spans_of, windows_matched, with_spans
-from .store import frozen
+from .store import frozen, long_texts
 
 WINDOW = 50
 ROUNDS = 8
@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows of one id never remove from one another. An empty table gives an empty result.
     """
     texts = identified(docs, id_col, text_col)
-    anchors = frozen(texts.where(F.col("text").isNotNull()).mapInPandas(_anchors(window), ANCHORS), "anchors")
+    anchors = frozen(long_texts(texts).where(F.col("text").isNotNull()).mapInPandas(_anchors(window), ANCHORS), "anchors")
     shared = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
     matched = windows_matched(anchors, frozen(shared, "shared"), texts, window, units, elsewhere=False)
     return with_spans(docs, frozen(spans_of(matched, window), "spans"), id_col, text_col)

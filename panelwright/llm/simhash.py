@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import frozen, tasks, without
+from .store import frozen, long_texts, tasks, without
 
 RADIUS = 3
 GROUP_ROWS = 4096  #: a larger group of equal blocks is divided by further blocks
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     row = F.monotonically_increasing_id() if row is None else row
     source = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    prints = frozen(source.mapInPandas(_fingerprints, "__row long, __id long, __fp long"), "prints")
+    prints = frozen(long_texts(source).mapInPandas(_fingerprints, "__row long, __id long, __fp long"), "prints")
     least = frozen(prints.groupBy("__fp").agg(F.min("__id").alias("__least")), "least")
     nodes = components(linked(least.select("__fp")))
     member = least.join(nodes.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = 8 << 20
 _own_folder: list[str] = []
 
 
@@ -45,6 +46,12 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def long_texts(df: DataFrame) -> DataFrame:
+    """``df``, for a Python step over whole texts: its Arrow batches are bounded by bytes, as ten thousand long texts would not fit a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns that Spark can hash (maps are left out)."""
     names = [f"`{name}`" for name, kind in df.dtypes if not kind.startswith("map")]

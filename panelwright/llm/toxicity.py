@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import frozen
+from .store import frozen, long_texts
 
 SPAN = 5  #: a subsequence of three letters reaches over this many at most
 DECAY = 0.6  #: for each letter that is skipped
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
             out = [(w, t) for text, t in zip(frame["text"], frame["toxic"]) for w in dict.fromkeys(units(text)) if 3 <= len(w) <= _LONGEST]
             yield pd.DataFrame(out, columns=["unit", "toxic"]).astype({"toxic": "int32"})
 
-    counts = rows.mapInPandas(words, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = long_texts(rows).mapInPandas(words, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     counts = frozen(counts, "units")
     per = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
     n_bad, n_good = per.get(1, 0), per.get(0, 0)
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     A text without letters (null, empty) has the score of no evidence. Repeated rows score alike; an
     empty table gives an empty result; a column called score is replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = long_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
