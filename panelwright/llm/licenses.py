@@ -15,7 +15,7 @@ from .store import long_texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS, ROWS = 20, 2
+BANDS, ROWS = 16, 2
 TEMPLATE_WORDS = 200_000  #: bound on the templates, which travel to every task
 
 # The usual short notices of well-known licenses.
@@ -30,7 +30,10 @@ TEMPLATES = {
     "ARR": "All rights reserved. No part may be reproduced without permission.",
 }
 
-_SALT = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ADD = mixed(_ODD)
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+BATCH = 1 << 14  #: words whose windows are hashed at once
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,69 +51,88 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return RangeHash(unit)(at, at + k)
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    reach = 1
-    while reach < width:
-        step = min(reach, width - reach)
-        x = np.minimum(x[:-step], x[step:])
-        reach += step
-    return x
-
-
-def _bands(least: np.ndarray) -> np.ndarray:
-    """[hash function, window] -> [band, window]."""
-    out = least[::ROWS].copy()
-    for r in range(1, ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
-    return out
-
-
 class _Templates:
-    """By number of shingles: the templates of that width, with their bands in a sorted table."""
+    """Templates by shingle length and number of shingles, with the MinHash of each."""
 
     def __init__(self, texts: list[tuple[str, str]]):
-        self.of_width: dict[tuple[int, int], tuple] = {}
-        grouped: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
+        self.classes: dict[int, dict[int, list[tuple[str, np.ndarray, np.ndarray]]]] = {}
         for name, text in texts:
             words = words_of(text)
             if words:
                 s = shingles(words)
-                grouped.setdefault((min(SHINGLE, len(words)), len(s)), []).append((name, s))
-        for key, members in grouped.items():
-            least = np.stack([mixed(s[None, :] ^ _SALT[:, None]).min(axis=1) for _, s in members], axis=1)
-            bands = _bands(least)
-            self.of_width[key] = (members, [(np.sort(b), np.argsort(b, kind="stable")) for b in bands])
-
-    def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """Template, first word, words, containment: the best window of each template's each run of matching windows."""
-        unit = word_hashes(words_of(text))
-        found = []
-        for (k, width), (members, tables) in self.of_width.items():
-            if len(unit) < k:
-                continue
+                least = (s[None, :] * _ODD[:, None] + _ADD[:, None]).min(axis=1)
+                self.classes.setdefault(min(SHINGLE, len(words)), {}).setdefault(len(s), []).append((name, np.unique(s), least))
+        self.pad = max((k + w for k, of in self.classes.items() for w in of), default=1)
+
+    def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text (template, first word, words, containment): the best window of each run of matching windows of a template."""
+        found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+        held, total = [], 0
+        for i, unit in enumerate(map(word_hashes, map(words_of, texts))):
+            held.append((i, unit))
+            total += len(unit)
+            if total >= BATCH:
+                self._batch(held, found)
+                held, total = [], 0
+        if held:
+            self._batch(held, found)
+        return [sorted(f, key=lambda x: (x[1], x[0])) for f in found]
+
+    def _batch(self, docs: list[tuple[int, np.ndarray]], found: list) -> None:
+        """Texts end to end, each followed by padding that is never a minimum, so a window may run over its text's end."""
+        length = np.array([len(u) for _, u in docs])
+        start = np.cumsum(length + self.pad) - (length + self.pad)
+        unit = np.zeros(int(start[-1] + length[-1] + self.pad), np.uint64)
+        for (_, u), o in zip(docs, start.tolist()):
+            unit[o : o + len(u)] = u
+        table = RangeHash(unit)
+        for k, of_width in self.classes.items():
             at = np.arange(len(unit) - k + 1)
-            s = RangeHash(unit)(at, at + k)
-            w = min(width, len(s))
-            hits: set[tuple[int, int]] = set()
-            least = np.stack([_sliding_min(mixed(s ^ salt), w) for salt in _SALT])
-            for band, (value, order) in zip(_bands(least), tables):
-                pos = np.searchsorted(value, band)
-                close = np.flatnonzero(value[np.minimum(pos, len(value) - 1)] == band)
-                for i, p in zip(close.tolist(), pos[close].tolist()):
-                    while p < len(value) and value[p] == band[i]:
-                        hits.add((int(order[p]), i))
-                        p += 1
-            best: dict[int, list[tuple[float, int]]] = {}
-            for m, i in sorted(hits):
-                share = float(np.isin(np.unique(members[m][1]), s[i : i + w]).mean())
-                if share >= CONTAINMENT:
-                    runs = best.setdefault(m, [])
-                    if runs and i - runs[-1][1] < width:
-                        runs[-1] = max((share, i), runs[-1], key=lambda x: x[0])
-                    else:
-                        runs.append((share, i))
-            found += [(members[m][0], i, w + k - 1, share) for m, runs in best.items() for share, i in runs]
-        return sorted(found, key=lambda x: (x[1], x[0]))
+            s = table(at, at + k)
+            outside = np.full(len(s), _ALL)
+            for o, n in zip(start.tolist(), length.tolist()):
+                outside[o : o + max(n - k + 1, 0)] = 0
+            hits = self._banded(s, outside, of_width)
+            for (width, m), where in hits.items():
+                name, of, _ = of_width[width][m]
+                best: dict[int, list[tuple[float, int]]] = {}
+                for i in where.tolist():
+                    d = int(np.searchsorted(start, i, "right")) - 1
+                    end = int(start[d] + max(length[d] - k + 1, 0))
+                    if i >= end:
+                        continue
+                    share = float(np.isin(of, s[i : min(i + width, end)]).mean())
+                    if share >= CONTAINMENT:
+                        runs = best.setdefault(d, [])
+                        if runs and i - runs[-1][1] < width:
+                            runs[-1] = max((share, i), runs[-1], key=lambda x: x[0])
+                        else:
+                            runs.append((share, i))
+                for d, runs in best.items():
+                    found[docs[d][0]] += [(name, i - int(start[d]), min(width + k - 1, int(start[d] + length[d]) - i), share) for share, i in runs]
+
+    def _banded(self, s: np.ndarray, outside: np.ndarray, of_width: dict) -> dict[tuple[int, int], np.ndarray]:
+        """Windows that agree with a template in all rows of some band. A hash function is slid over the texts once, by doubling, for all widths."""
+        hits: dict[tuple[int, int], list[np.ndarray]] = {}
+        for band in range(BANDS):
+            agree: dict[tuple[int, int], np.ndarray] = {}
+            for row in range(band * ROWS, (band + 1) * ROWS):
+                least = {1: (s * _ODD[row] + _ADD[row]) | outside}
+                reach = 1
+                while 2 * reach <= max(of_width):
+                    least[2 * reach] = np.minimum(least[reach][:-reach], least[reach][reach:])
+                    reach *= 2
+                for width, members in of_width.items():
+                    half = 1 << (width.bit_length() - 1)
+                    x = least[half]
+                    x = x if half == width else np.minimum(x[: len(x) - (width - half)], x[width - half :])
+                    for m, (_, _, want) in enumerate(members):
+                        same = x == want[row]
+                        agree[width, m] = agree[width, m] & same if (width, m) in agree else same
+            for key, same in agree.items():
+                if same.any():
+                    hits.setdefault(key, []).append(np.flatnonzero(same))
+        return {key: np.unique(np.concatenate(parts)) for key, parts in hits.items()}
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +141,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     Windows as wide as a template start at every word; their MinHash over SHINGLE-word shingles is
     cut into BANDS bands of ROWS. A window that holds CONTAINMENT of a template's shingles has a
     Jaccard similarity of at least 2/3 with it and shares a band with a probability of
-    1 - (1 - (2/3)**2)**20 > 0.99999; containment is then counted exactly on the shingles.
+    1 - (1 - (2/3)**2)**16 > 0.9999; containment is then counted exactly on the shingles.
 
     Templates total TEMPLATE_WORDS words at most, else this raises. Null and empty texts match
     nothing; repeated rows each get a row; an empty table gives an empty result.
@@ -132,7 +154,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [[{"template": a, "word": b, "n_words": c, "containment": d} for a, b, c, d in held.value.scan(t)] for t in frame["__text"]]
+            rows = [[{"template": a, "word": b, "n_words": c, "containment": d} for a, b, c, d in t] for t in held.value.scan(frame["__text"].tolist())]
             yield pd.DataFrame({"__id": frame["__id"], "matches": rows})
 
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInPandas(run, f"__id {kind}, matches array<struct<template:string,word:int,n_words:int,containment:double>>")
