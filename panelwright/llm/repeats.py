@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import frozen
+from .store import frozen, release
 
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
@@ -49,22 +49,26 @@ class RangeHash:
         return mixed((self.sums[stop] - self.sums[start]) * _tables["inverse"][start])
 
 
-def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, size: int, units: Callable[[str], np.ndarray], elsewhere: bool) -> DataFrame:
+def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, size: int, units: Callable[[str], np.ndarray], elsewhere: bool, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Starts of repeated windows: ``(doc, tag, at, n)``, n consecutive starts from ``at``.
 
     anchors: frozen rows of ANCHORS. shared: the keys worth a look, ``(key)``. texts: ``(doc, tag, text)``.
     elsewhere: a window counts if it starts at any other place too; else if it starts in a smaller doc.
+    spent: tables of the caller that go, with anchors and shared, once the flagged rows are written.
+    The result is a written table; all tables on the way to it are deleted when they have served.
     """
     flagged = frozen(anchors.join(shared.hint("merge"), "key", "left_semi"), "flagged")
-    segments = flagged.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min("doc").alias("least"), F.min(F.struct("doc", "tag", "at")).alias("rep"))
-    segments = frozen(segments, "segments")
-    variants = frozen(segments.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several").select("key"), "variants")
-    segments = segments.join(variants.withColumn("several", F.lit(True)), "key", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    release(anchors, shared, *spent)
+    distinct = flagged.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min("doc").alias("least"), F.min(F.struct("doc", "tag", "at")).alias("rep"))
+    distinct = frozen(distinct, "segments")
+    variants = frozen(distinct.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several").select("key"), "variants")
+    segments = distinct.join(variants.withColumn("several", F.lit(True)), "key", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     segments = frozen(segments, "segments")
     met = flagged.join(segments.hint("merge"), ["key", "seg"])
     whole = (F.col("c") > 1) if elsewhere else (F.col("least") < F.col("doc"))
     asked = F.col("several") & ((F.struct("doc", "tag", "at") == F.col("rep")) if elsewhere else (F.col("least") == F.col("doc")))
     met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select("doc", "tag", "at", "n", "whole", "asked"), "met")
+    release(flagged, distinct, variants, segments)
     need = frozen(met.where("asked").select("doc", "tag", "at", "n").withColumn("id", F.monotonically_increasing_id()), "need")
     lists = need.groupBy("doc", "tag").agg(F.collect_list(F.struct("id", "at", "n")).alias("need"))
 
@@ -90,14 +94,16 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, siz
     found = texts.join(lists.hint("merge"), ["doc", "tag"]).select("doc", "text", "need").mapInPandas(hashes, "h long, place long, doc long")
     found = frozen(found.select("h", "place") if elsewhere else found, "windows")
     if elsewhere:
-        repeated = found.groupBy("h").count().where("count > 1").select("h")
-        single = found.join(frozen(repeated, "repeated").hint("merge"), "h", "left_semi")
+        repeated = frozen(found.groupBy("h").count().where("count > 1").select("h"), "repeated")
+        single = found.join(repeated.hint("merge"), "h", "left_semi")
     else:
-        spread = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least")
-        single = found.join(frozen(spread, "repeated").hint("merge"), "h").where("least < doc")
+        repeated = frozen(found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least"), "repeated")
+        single = found.join(repeated.hint("merge"), "h").where("least < doc")
     offsets = single.groupBy(F.expr("place div 128L").alias("id")).agg(F.collect_set(F.expr("cast(place % 128 as int)")).alias("offsets"))
     parts = offsets.join(need, "id").select("doc", "tag", F.explode("offsets").alias("off"), "at").select("doc", "tag", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
-    return met.where("whole").select("doc", "tag", "at", "n").union(parts)
+    matched = frozen(met.where("whole").select("doc", "tag", "at", "n").union(parts), "matched")
+    release(met, need, found, repeated)
+    return matched
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -35,10 +35,19 @@ def frozen(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.frozen_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`frozen` once nothing that is still to be computed reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.frozen_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:
