@@ -222,7 +222,10 @@ def _hardest(counts: DataFrame, direction: np.ndarray, n: int = 3000) -> pd.Data
 
     @F.pandas_udf("double")
     def value(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: float(unit_scores(w, held.value).max(initial=-9.0))).astype("float64")
+        found = unit_scores(" ".join(words), held.value)  # one text of all units, which are three letters long at least
+        if len(found) != len(words):
+            found = [unit_scores(w, held.value).max(initial=-9.0) for w in words]
+        return pd.Series(found, dtype="float64")
 
     return counts.where("bad <= good").withColumn("v", value("unit")).orderBy(F.desc("v"), "unit").limit(n).select("unit", "bad", "good").toPandas()
 
