@@ -213,7 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
             yield pd.DataFrame({"best": top, "toxic": frame["toxic"].to_numpy(np.int32)})
 
     got = rows.mapInPandas(best, "best double, toxic int").toPandas().sort_values(["best", "toxic"])
-    slope, shift = _platt(got["best"].to_numpy(), got["toxic"].to_numpy(), n_bad, n_good)
+    of = ids.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
+    share = of[1] / (of[0] + of[1])
+    slope, shift = _platt(got["best"].to_numpy(), got["toxic"].to_numpy(), share / n_bad, (1 - share) / n_good)
     return ToxicityModel(direction, slope, shift)
 
 
@@ -230,9 +232,9 @@ def _hardest(counts: DataFrame, direction: np.ndarray, n: int = 3000) -> pd.Data
     return counts.where("bad <= good").withColumn("v", value("unit")).orderBy(F.desc("v"), "unit").limit(n).select("unit", "bad", "good").toPandas()
 
 
-def _platt(x: np.ndarray, y: np.ndarray, n_bad: int, n_good: int) -> tuple[float, float]:
-    """Logistic calibration of the best unit of a document, both classes at equal weight, by Newton steps."""
-    weight = np.where(y == 1, 0.5 / n_bad, 0.5 / n_good)
+def _platt(x: np.ndarray, y: np.ndarray, w_bad: float, w_good: float) -> tuple[float, float]:
+    """Logistic calibration of the best unit of a document, classes weighted as labelled, by Newton steps."""
+    weight = np.where(y == 1, w_bad, w_good)
     a = np.column_stack((x, np.ones(len(x))))
     p = np.zeros(2)
     for _ in range(50):
