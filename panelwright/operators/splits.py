@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a hash in which a class is ranked: what is broadcast has at most so many rows a class.
+BUCKETS = 1 << 12
+
 
 def date_index(panel: DataFrame) -> DataFrame:
     """The distinct dates with their positions ``pos`` from 0. There is one row a date, however many rows the panel has."""
@@ -58,10 +61,19 @@ def row_cut_split(panel: DataFrame, train: float = 0.8, embargo_days: int = 60)
 
 
 def stratified_split(panel: DataFrame, train: float = 0.8, seed: int = 42, target: str = "target", key: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
-    """``side`` at random with the same share of each class: rows ranked by a seeded hash of their key within the class."""
-    rank = F.row_number().over(Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed), *key), *key))
-    size = F.count("*").over(Window.partitionBy(target))
-    return panel.withColumn("side", F.when(rank <= F.floor(size * train), "train").otherwise("test"))
+    """``side`` at random with the same share of each class: rows ranked by a seeded hash of their key within the class.
+
+    A class may hold any share of the rows, so it is ranked in BUCKETS ranges of the hash: the counts of
+    the ranges before give the rank at which a range starts.
+    """
+    h = F.xxhash64(F.lit(seed), *key)
+    rows = panel.withColumns({"__h": h, "__b": F.shiftright(h, 52)})
+    counts = rows.groupBy(target, "__b").agg(F.count("*").alias("__c"))
+    run = Window.partitionBy(target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(target).alias("__t"), F.col("__b").alias("__at"), F.coalesce(F.sum("__c").over(run), F.lit(0)).alias("__from"), F.sum("__c").over(Window.partitionBy(target)).alias("__n"))
+    rows = rows.join(F.broadcast(starts), F.col(target).eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__at")))
+    rank = F.col("__from") + F.row_number().over(Window.partitionBy(target, "__b").orderBy("__h", *key))
+    return rows.withColumn("side", F.when(rank <= F.floor(F.col("__n") * train), "train").otherwise("test")).select(*panel.columns, "side")
 
 
 def walk_forward(panel: DataFrame, train: int = 500, test: int = 60, step: int = 60, purge_rows: int = 0) -> DataFrame:

@@ -13,6 +13,9 @@ from ..functions import tails
 from ..functions.columns import ratio
 
 
+RANGES = 256  #: of values, ranked apart
+
+
 def _doubles(f):
     """A closing formula as a vectorised function of aggregated columns; null where an argument is null."""
 
@@ -95,11 +98,20 @@ def anova(rows: DataFrame, group: str, value: str, by: tuple[str, ...] = ()) ->
 
 
 def kruskal(rows: DataFrame, group: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Kruskal-Wallis with average ranks and tie correction. Ranks come from counts of distinct values, so rows are never sorted as a whole."""
+    """Kruskal-Wallis with average ranks and tie correction.
+
+    Ranks come from counts of distinct values, in up to RANGES ranges of them: a range's values are
+    ranked in one task, and the counts of the ranges before give the rank at which it starts.
+    """
     cells = rows.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("n"))
     values = cells.groupBy(*by, value).agg(F.sum("n").alias("t"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = values.withColumn("rank", F.sum("t").over(run) - (F.col("t") - 1) / 2)
+    cuts = values.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("q")).first()["q"] or []
+    edges = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    values = values.withColumn("__range", F.size(F.filter(edges, lambda e: e < F.col(value))))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy(*by, "__range").agg(F.sum("t").alias("__t")).select(*by, "__range", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__from"))
+    run = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = values.join(starts, [*by, "__range"]).withColumn("rank", F.col("__from") + F.sum("t").over(run) - (F.col("t") - 1) / 2).select(*by, value, "rank", "t")
     ties = values.groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     summed = cells.join(ranks.drop("t"), [*by, value]).groupBy(*by, group).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n"))
     got = summed.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
