@@ -24,24 +24,30 @@ def check_config(cost_model: str, cost: float, train: int, test: int, step: int)
 
 
 def _annotated(signals: DataFrame) -> DataFrame:
+    """Every row with its neighbours, its run, and where and at what price that run is sold: windows on one partitioning, no join."""
     w = Window.partitionBy(*KEY).orderBy("i")
     buy = F.col("pred") == "Buy"
     df = signals.withColumns({"__n": F.count("*").over(Window.partitionBy(*KEY)), "__before": F.lag("pred").over(w), "__before2": F.lag("pred", 2).over(w), "__next": F.lead("pred").over(w), "__next_close": F.lead("close").over(w), "__place": F.row_number().over(w) - 1})
     starts = buy & ~F.coalesce(F.col("__before") == "Buy", F.lit(False))
     df = df.withColumns({"__starts": starts, "__spent": ~buy & F.coalesce(F.col("__before") == "Buy", F.lit(False))})
-    return df.withColumn("__run", F.sum(F.col("__starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("__run", F.sum(F.col("__starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = (F.col("pred") == "Buy") | F.col("__spent")  # a run and the row that sells it
+    run = Window.partitionBy(*KEY, "__run")
+    sold = F.max(F.when(inside, F.struct("__place", "date", "close"))).over(run)
+    return df.withColumn("__sold", sold)
+
+
+def _net(cost: float):
+    return ratio(F.col("__sold.close") - F.col("close"), F.col("close")) - 2 * cost
 
 
 def trades(signals: DataFrame, cost: float = 0.001) -> DataFrame:
     """One row a Buy run: entry and exit row, dates, prices, net return and days held."""
-    rows = _annotated(signals)
-    inside = rows.where((F.col("pred") == "Buy") | F.col("__spent"))  # a run and the row that sells it
-    got = inside.groupBy(*KEY, "__run").agg(
-        F.min(F.when(F.col("pred") == "Buy", F.col("__place"))).alias("entry_i"), F.max("__place").alias("exit_i"), F.min_by("date", "__place").alias("entry_date"), F.max_by("date", "__place").alias("exit_date"),
-        F.min_by("close", "__place").alias("entry_price"), F.max_by("close", "__place").alias("exit_price"), F.max("__n").alias("n_rows"),
+    rows = _annotated(signals).where("__starts")
+    return rows.select(
+        *KEY, F.col("__place").alias("entry_i"), F.col("__sold.__place").alias("exit_i"), F.col("date").alias("entry_date"), F.col("__sold.date").alias("exit_date"), F.col("close").alias("entry_price"), F.col("__sold.close").alias("exit_price"),
+        F.col("__n").alias("n_rows"), _net(cost).alias("net_return"), (F.col("__sold.__place") - F.col("__place")).alias("holding_days"),
     )
-    gross = ratio(F.col("exit_price") - F.col("entry_price"), F.col("entry_price"))
-    return got.drop("__run").withColumns({"net_return": gross - 2 * cost, "holding_days": F.col("exit_i") - F.col("entry_i")})
 
 
 def points(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change") -> DataFrame:
@@ -52,9 +58,7 @@ def points(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change
     """
     if cost_model not in COST_MODELS:
         raise ValueError(f"unknown cost model {cost_model!r}")
-    rows = _annotated(signals)
-    held = trades(signals, cost).select(*KEY, F.col("entry_i").alias("__place"), F.col("net_return").alias("__buy"))
-    rows = rows.where(F.col("__starts") | ((F.col("pred") != "Buy") & ~F.col("__spent"))).join(held, [*KEY, "__place"], "left")
+    rows = _annotated(signals).where(F.col("__starts") | ((F.col("pred") != "Buy") & ~F.col("__spent")))
     change = ratio(F.col("__next_close") - F.col("close"), F.col("close"))
     if cost_model == "per_day":
         costs = F.lit(2 * cost)
@@ -62,7 +66,7 @@ def points(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change
         was = F.coalesce((F.col("__before") == "Hold") & ~F.coalesce(F.col("__before2") == "Buy", F.lit(False)), F.lit(False))
         stays = F.coalesce(F.col("__next") == "Hold", F.lit(False)) & (F.col("__place") + 2 < F.col("__n"))
         costs = F.when(was, 0.0).otherwise(cost) + F.when(stays, 0.0).otherwise(cost)
-    r = F.when(F.col("pred") == "Buy", F.col("__buy")).when((F.col("pred") == "Hold") & F.col("__next_close").isNotNull(), 0.5 * (change - costs)).otherwise(0.0)
+    r = F.when(F.col("pred") == "Buy", _net(cost)).when((F.col("pred") == "Hold") & F.col("__next_close").isNotNull(), 0.5 * (change - costs)).otherwise(0.0)
     return rows.select(*KEY, "i", "date", F.col("pred").alias("kind"), r.alias("r"))
 
 
@@ -88,24 +92,27 @@ def window_results(signals: DataFrame, cost: float = 0.001, cost_model: str = "o
     return dates.join(made, list(KEY), "left").na.fill(0, ["return_pct", "n_trades", "n_wins"])
 
 
-def curve_metrics(curve: DataFrame, capital: float = 10_000.0) -> DataFrame:
-    """Per ticker from its curve: final value, total return, Sharpe (of changes between points, times sqrt 252), worst drawdown in percent."""
+def curve_metrics(curve: DataFrame, capital: float = 10_000.0, also: tuple = ()) -> DataFrame:
+    """Per ticker from its curve: final value, total return, Sharpe (of changes between points, times sqrt 252), worst drawdown in percent; ``also``: further aggregates of its rows."""
     w = Window.partitionBy("ticker").orderBy("seq")
     before = F.lag("value").over(w)
     peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = curve.withColumns({"c": ratio(F.col("value"), before) - 1, "d": ratio(F.col("value") - peak, peak)})
-    got = rows.groupBy("ticker").agg(F.max_by("value", "seq").alias("final_value"), F.avg("c").alias("m"), F.stddev_samp("c").alias("s"), F.count("c").alias("n_changes"), (F.min("d") * 100).alias("max_drawdown"))
+    got = rows.groupBy("ticker").agg(F.max_by("value", "seq").alias("final_value"), F.avg("c").alias("m"), F.stddev_samp("c").alias("s"), F.count("c").alias("n_changes"), (F.min("d") * 100).alias("max_drawdown"), *also)
     sharpe = F.when((F.col("n_changes") > 1) & (F.col("s") > 0), ratio(F.col("m"), F.col("s")) * F.sqrt(F.lit(252.0))).otherwise(0.0)
-    return got.select("ticker", "final_value", (F.col("final_value") / capital - 1).alias("total_return"), sharpe.alias("sharpe"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), "n_changes")
+    return got.select("ticker", "final_value", (F.col("final_value") / capital - 1).alias("total_return"), sharpe.alias("sharpe"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), "n_changes", *got.columns[len(got.columns) - len(also) :])
 
 
 def metrics(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change", capital: float = 10_000.0, step: int = 60) -> DataFrame:
     """Per ticker: returns, annualised return, Sharpe, drawdown, benchmark, trades, win rate, signal accuracy."""
-    curve = curve_metrics(equity(points(signals, cost, cost_model), capital), capital)
-    bench = benchmark(signals, capital).groupBy("ticker").agg((F.max_by("value", "window_id") / capital - 1).alias("benchmark_return"))
-    won = trades(signals, cost).groupBy("ticker").agg(F.count("*").alias("n_trades"), F.count_if(F.col("net_return") > 0).alias("n_wins"))
-    seen = signals.groupBy("ticker").agg(F.avg((F.col("pred") == F.col("target")).cast("double")).alias("accuracy"), ((F.count_distinct("window_id") - 1) * step + F.max(F.when(F.col("window_id") == 0, F.col("i"))) + 1).alias("days"))
-    out = curve.join(bench, "ticker").join(seen, "ticker").join(won, "ticker", "left").na.fill(0, ["n_trades", "n_wins"])
+    bought = F.col("kind") == "Buy"
+    counts = (F.count_if(bought).alias("n_trades"), F.count_if(bought & (F.col("r") > 0)).alias("n_wins"))
+    curve = curve_metrics(equity(points(signals, cost, cost_model), capital), capital, counts)
+    per = signals.groupBy(*KEY).agg(F.min_by("close", "i").alias("a"), F.max_by("close", "i").alias("b"), F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("target")).alias("hits"), F.max("i").alias("last"))
+    held = F.when(F.col("n") >= 2, ratio(F.col("b") - F.col("a"), F.col("a"))).otherwise(0.0)
+    days = (F.count("*") - 1) * step + F.max(F.when(F.col("window_id") == 0, F.col("last"))) + 1
+    seen = per.groupBy("ticker").agg((F.product(1 + held) - 1).alias("benchmark_return"), ratio(F.sum("hits"), F.sum("n")).alias("accuracy"), days.alias("days"))
+    out = curve.join(seen, "ticker")
     annual = F.pow(1 + F.col("total_return"), 252 / F.col("days")) - 1
     return out.withColumns({"annual_return": annual, "win_rate": ratio(F.col("n_wins"), F.col("n_trades"), 0.0), "excess_return": F.col("total_return") - F.col("benchmark_return")})
 
