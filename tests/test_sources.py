@@ -55,3 +55,14 @@ def test_columns(spark):
     assert [r[0] for r in df.select(finite(F.expr("try_cast(v as double)"))).collect()] == [1.5, 0, 0, 0, 0]
     t = spark.createDataFrame([("Brand#1, ok",), ("brand#10",), ("Brand#1",)], "t string")
     assert [r[0] for r in t.select(has_word(F.col("t"), F.lit("brand#1"))).collect()] == [True, False, True]
+
+
+def test_universes(spark):
+    from panelwright.operators import text
+    from panelwright.sources import dims
+
+    u, x = dims.universe(spark), dims.extended(spark)
+    assert u.count() == u.select("ticker").distinct().count() == 20 and x.count() == x.select("ticker").distinct().count() == 100
+    assert {r.sector: r.tickers for r in tables.sectors(u).collect()}["Healthcare"] == ["JNJ", "UNH"]
+    m = spark.createDataFrame([(1, "How much is Coca-Cola worth?"), (2, "amd or micron"), (3, "advanced technology")], "message_id int, text string")
+    assert {r.message_id: r.tickers for r in text.mentions(m, u).collect()} == {1: ["KO"], 2: ["AMD", "MU"], 3: []}
