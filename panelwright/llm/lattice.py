@@ -109,6 +109,22 @@ def _earlier(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
     return (ca[:, :, :1] == cb).any(axis=2) | (cb[:, :, :1] == ca).any(axis=2)
 
 
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unite the sets of i and j for all pairs; ``label`` holds the least row of each row's set, before and after."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots alone; a root takes one of its links, the others stay for the next round
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
 def _verify(x: pd.DataFrame, cosine: float) -> list[pd.DataFrame]:
     """Links among the rows of one cell (or of two chunks of it), each counted in one cell only."""
     home, side, node, mult = (x[k].to_numpy() for k in ("home", "side", "node", "mult"))
@@ -125,7 +141,7 @@ def _verify(x: pd.DataFrame, cosine: float) -> list[pd.DataFrame]:
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+        _join(label, i, j)
         shared = _earlier(every[i], every[j])
         # where each is in the other's home cell, the home of the smaller node counts
         a, b = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
@@ -134,11 +150,6 @@ def _verify(x: pd.DataFrame, cosine: float) -> list[pd.DataFrame]:
         first = here & ~shared[:, :table].any(axis=1)
         np.add.at(links, i[first], mult[j[first]])
         np.add.at(links, j[first], mult[i[first]])
-    while True:
-        up = label[label]
-        if (up == label).all():
-            break
-        label = up
     touched = (links > 0) | (label != np.arange(len(x)))
     return [pd.DataFrame({"node": node[touched], "links": links[touched], "root": node[label[touched]]})] if touched.any() else []
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from panelwright.llm import lattice
@@ -60,6 +61,64 @@ def test_against_brute_force(spark, monkeypatch, seed, limit):
     assert np.mean([g == w for g, w in zip(got, want)]) > 0.97 and all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+def cell(unit, side=None):
+    """Rows that share one cell in the first table and none in the others."""
+    n = len(unit)
+    every = np.arange(n * lattice.TABLES * (1 + lattice.PROBES)).reshape(n, lattice.TABLES, -1) + 10
+    every[:, 0] = 1
+    return pd.DataFrame({"table": 0, "cell": 1, "home": True, "side": 0 if side is None else side, "node": np.arange(n) + 100, "mult": 1, "unit": [u.tobytes() for u in unit], "all": [x.tobytes() for x in every]})
+
+
+def roots(frame):
+    found = dict(zip(frame["node"].tolist(), range(len(frame))))
+    root = np.arange(len(frame))
+    for part in lattice._verify(frame, 0.98):
+        for a, b in zip(part["node"], part["root"]):
+            root[found[a]] = found[b]
+    return root.tolist()
+
+
+def star(leaves):
+    """Leaves, which link with the hub alone, then the hub."""
+    x = np.vstack([np.eye(leaves, leaves + 1) * 0.17, np.zeros((1, leaves + 1))])
+    x[:, -1] = 1
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def chain(order):
+    a = 0.15 * np.asarray(order, float)
+    return np.column_stack([np.cos(a), np.sin(a)])
+
+
+@pytest.mark.parametrize("leaves", [2, 9, 400])
+def test_a_hub_after_its_leaves_joins_them_all(leaves):
+    x = star(leaves)
+    assert (x[:-1] @ x[-1] >= 0.98).all() and (x[:2] @ x[1])[0] < 0.98
+    assert roots(cell(x)) == [0] * (leaves + 1)
+
+
+def test_chains_in_any_order_are_one_set():
+    rng = np.random.default_rng(0)
+    for n in (3, 20, 40):
+        for _ in range(20):
+            assert roots(cell(chain(rng.permutation(n)))) == [0] * n
+    two = np.vstack([np.c_[chain([0, 2, 1]), np.zeros((3, 2))], np.c_[np.zeros((3, 2)), chain([1, 0, 2])]])
+    assert roots(cell(two)) == [0, 0, 0, 3, 3, 3]
+    assert roots(cell(chain([0, 2, 1]), [0, 0, 1])) == [0, 0, 0]  # two chunks: the last row is the other side
+
+
+def test_components_of_stars_and_chains(spark):
+    """Ids and links of the whole operator, exactly."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for label in range(40):
+        q = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+        x = star(6) @ q[:7] if label % 2 else chain(rng.permutation(5)) @ q[:2]
+        rows += [(len(rows) + k, v.tolist(), label) for k, v in enumerate(x)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.link(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_oddities(spark):
     v = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
     rows = [(5, v, 1), (2, v, 1), (2, v, 1), (7, [x * 1e-20 for x in v], 1), (8, v, 2), (9, v, None), (10, None, 1), (11, [], 1), (12, [0.0] * 9, 1), (13, [float("nan")] + v[1:], 1), (14, [None] + v[1:], 1), (15, [float("inf")] + v[1:], 1), (16, [1.0, 2.0], 1), (17, [1.0, 2.0], 1)]
