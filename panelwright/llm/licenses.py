@@ -27,6 +27,7 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "ARR-notice": "All rights reserved.",
     "ARR": "All rights reserved. No part may be reproduced without permission.",
 }
 

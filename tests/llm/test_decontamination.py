@@ -78,6 +78,23 @@ def test_license_scan(spark):
         licenses.scan(spark.createDataFrame([], "doc_id bigint, text string"), [("x", "w " * 200_001)])
 
 
+def test_each_kind_of_license_line_is_found(spark):
+    """The bare notice has fewer words than a shingle; the five kinds are the license lines of the documents."""
+    from panelwright.llm.entries import op9_license_scan
+
+    lines = {"All rights reserved.": "ARR-notice", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in op9_license_scan(spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    for line, name in lines.items():
+        ids = [r.doc_id for r in docs if r.text and line in r.text.split("\n")]
+        assert ids and all(name in got[i].licenses.split(",") and got[i].n_matches >= 1 for i in ids)
+        held = {r.doc_id for r in docs if r.text and line in r.text}
+        assert {i for i, r in got.items() if name in r.licenses.split(",")} <= held
+    (r,) = licenses.scan(spark.createDataFrame([(1, "One two three\nAll rights reserved.\nAll rights are reserved.")], "doc_id bigint, text string")).collect()
+    assert [(m.template, m.word, m.n_words, m.containment) for m in r.matches] == [("ARR-notice", 3, 3, 1.0)]
+
+
 def test_license_scan_agrees_with_plain_containment(spark, sf):
     names, sets = zip(*[(n, licenses.shingles(licenses.words_of(t))) for n, t in licenses.TEMPLATES.items()])
     docs = spark.read.parquet(f"{sf}/documents.parquet")
