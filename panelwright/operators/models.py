@@ -153,6 +153,26 @@ def sequence_classifier(panel: DataFrame, length: int = 20, hidden: tuple[int, .
     return model, model.transform(rows).withColumn("y_pred", decode(F.col("prediction")))
 
 
+def sequence_validation(panel: DataFrame, length: int = 20, share: float = 0.15, max_iter: int = 200):
+    """Logistic regression over the flattened window of ``length`` rows, classes weighted n / (classes * rows of the class).
+
+    The windows of each ticker are split by time: scaling, weights and fit see the training side alone, and
+    the validation side of every ticker is returned with ``y_pred``.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    sides = splits.trailing_validation(sequences(panel, length), share).withColumn("code", code(F.col("target"))).where("code >= 0")
+    scale = scaling(sides.where("side = 'train'"))
+    flat = F.flatten(F.transform("window", lambda w: F.array(*[(w[c] - m) / s for c, (m, s) in scale.items()])))
+    rows = sides.withColumn("features", array_to_vector(flat))
+    train = class_weights(rows.where("side = 'train'")).select("features", "code", "weight").persist()
+    try:
+        model = estimator("lr", train.count(), maxIter=max_iter, weightCol="weight").fit(train)
+    finally:
+        train.unpersist()
+    return model, model.transform(rows.where("side = 'validation'")).withColumn("y_pred", decode(F.col("prediction")))
+
+
 def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, steps: int = 40) -> np.ndarray:
     """Multinomial logistic regression with an L2 penalty of weight 1 / c, by Newton steps with halving; the last column is the intercept."""
     n, d = x.shape

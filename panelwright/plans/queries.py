@@ -760,8 +760,8 @@ def walk_forward_models(spark, d):
 
 @query
 def sequence_model(spark, d):
-    """G12."""
-    _, rows = models.sequence_classifier(labelled(spark, d).where("ticker in ('Brand#1', 'Brand#2')"), hidden=(16,), max_iter=20)
+    """The validation side of every stock."""
+    _, rows = models.sequence_validation(labelled(spark, d))
     return metrics.scores(rows.select(F.lit("sequence").alias("model"), F.col("target").alias("y_true"), "y_pred"))
 
 

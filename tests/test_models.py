@@ -90,3 +90,35 @@ def test_sequence_model_runs(spark):
     p = indicators.labelled(spark.createDataFrame([("A", day + dt.timedelta(days=i), float(c), 10) for i, c in enumerate(close)], "ticker string, date date, close double, volume bigint"))
     _, rows = models.sequence_classifier(p, 5, (4,), max_iter=3)
     assert rows.count() == p.count() - 4 and rows.where("y_pred is null").count() == 0
+
+
+def test_sequence_validation_scores_the_later_windows_of_every_stock(spark):
+    rng = np.random.default_rng(5)
+    day = dt.date(2020, 1, 1)
+    series = {t: 100 * np.exp(np.cumsum(rng.normal(0, 0.05, n))) for t, n in (("A", 200), ("B", 260))}
+    rows = [(t, day + dt.timedelta(days=i), float(c), 10) for t, x in series.items() for i, c in enumerate(x)]
+    p = indicators.labelled(spark.createDataFrame(rows, "ticker string, date date, close double, volume bigint")).persist()
+    model, scored = models.sequence_validation(p, 5)
+    assert model.numFeatures == 5 * len(indicators.FEATURES)
+    got = scored.select("ticker", "date", "y_pred").toPandas()
+    for t, of in p.select("ticker", "date").toPandas().groupby("ticker"):
+        days = sorted(of["date"])[4:]
+        assert sorted(got[got.ticker == t]["date"]) == days[len(days) - int(len(days) * 0.15):]
+    assert got.y_pred.isin(models.LABELS).all()
+    # what comes after the cut changes no fit
+    cut = got.groupby("ticker")["date"].min().to_dict()
+    after = F.lit(False)
+    for t, first in cut.items():
+        after = after | ((F.col("ticker") == t) & (F.col("date") >= F.lit(first)))
+    other = p.withColumns({c: F.when(after, F.lit(9.0)).otherwise(F.col(c)) for c in indicators.FEATURES}).withColumn("target", F.when(after, "Buy").otherwise(F.col("target")))
+    again, _ = models.sequence_validation(other, 5)
+    np.testing.assert_allclose(again.coefficientMatrix.toArray(), model.coefficientMatrix.toArray(), atol=1e-6)
+
+
+def test_sequence_query_scores_all_stocks_and_no_training_row(spark, sf):
+    from panelwright.plans import queries
+
+    (row,) = queries.sequence_model(spark, sf).collect()
+    n = queries.labelled(spark, sf).groupBy("ticker").count().collect()
+    want = sum(max(1, min(int((r["count"] - 19) * 0.15), r["count"] - 20)) for r in n if r["count"] > 20)
+    assert row.n_test == want
