@@ -669,8 +669,8 @@ def p_values(spark, d):
 
 @query
 def bootstrap_mean(spark, d):
-    """I11, rows only: 200 resamples of the forward return."""
-    return stats.bootstrap(labelled(spark, d).select("ticker", "date", "fwd_return"), F.avg("fwd_return"), ("ticker", "date"), 200)
+    """I11, rows only: 10,000 resamples of the forward return."""
+    return stats.bootstrap(labelled(spark, d).select("ticker", "date", "fwd_return"), F.avg("fwd_return"), ("ticker", "date"), 10_000)
 
 
 @query
@@ -727,7 +727,7 @@ def naive_baselines(spark, d):
 @query
 def trained_models(spark, d):
     """G1 to G5, G7."""
-    out, _ = models.train_and_compare(labelled(spark, d), options={"rf": {"numTrees": 20, "maxDepth": 8}})
+    out, _ = models.train_and_compare(labelled(spark, d))
     return metrics.comparison(metrics.scores(out))
 
 
@@ -754,8 +754,8 @@ def universe_comparison(spark, d):
 @query
 def walk_forward_models(spark, d):
     """G8 into H: a model for every stock and window, then the ledger."""
-    w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, 4 * STEP)
-    return ledger.metrics(models.walk_forward_signals(w), COST, step=4 * STEP)
+    w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
+    return ledger.metrics(models.walk_forward_signals(w), COST, step=STEP)
 
 
 @query

@@ -122,3 +122,35 @@ def test_sequence_query_scores_all_stocks_and_no_training_row(spark, sf):
     n = queries.labelled(spark, sf).groupBy("ticker").count().collect()
     want = sum(max(1, min(int((r["count"] - 19) * 0.15), r["count"] - 20)) for r in n if r["count"] > 20)
     assert row.n_test == want
+
+
+def test_queries_use_the_whole_options(spark, sf, monkeypatch):
+    """Steps, forests and resamples as in the other queries and the reference."""
+    from panelwright.operators import stats
+    from panelwright.plans import queries
+
+    seen = {}
+
+    def spy(module, name, result=None):
+        real = getattr(module, name)
+
+        def call(*args, **kw):
+            seen.setdefault(name, []).append((args[1:], kw))
+            return real(*args, **kw) if result is None else result
+
+        monkeypatch.setattr(module, name, call)
+
+    one = spark.range(1)
+    spy(splits, "walk_forward", one)
+    spy(models, "walk_forward_signals", one)
+    spy(ledger, "metrics", one)
+    spy(models, "train_and_compare", (spark.createDataFrame([("m", "Buy", "Buy")], "model string, y_true string, y_pred string"), {}))
+    spy(stats, "bootstrap", one)
+    queries.walk_forward_models(spark, sf)
+    queries.trained_models(spark, sf)
+    queries.bootstrap_mean(spark, sf)
+    assert seen["walk_forward"][0][0] == (queries.TRAIN, queries.TEST, queries.STEP) and seen["metrics"][0][1] == {"step": queries.STEP}
+    assert seen["train_and_compare"] == [((), {})]
+    assert seen["bootstrap"][0][0][-1] == 10_000
+    forest = models.estimator("rf", 10)
+    assert (forest.getOrDefault("numTrees"), forest.getOrDefault("maxDepth")) == (100, 15)
