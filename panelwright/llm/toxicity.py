@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,29 +19,48 @@ LANDMARKS = 192
 BITS = 16
 _STEPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHT = [DECAY ** (j - 2) for _, j in _STEPS]
-_LONGEST = 64  #: letters of a unit; a longer run is cut into units that overlap by SPAN
+_LONGEST = 64  #: letters of a unit; a longer run is cut into pieces
+_PIECE, _STRIDE = 12, 3  #: letters of a piece, about those of a word, and between the starts of pieces
 
 
 def letters(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased letters of ``text`` and the number of the unit that each is in.
 
     A unit is a run of non-space characters less all but its letters; single letters that stand
-    alone next to one another make one unit ("i d i o t", "i-d.i o t").
+    alone next to one another make one unit ("i d i o t", "i-d.i o t"). A unit of more than _LONGEST
+    letters is cut into pieces of _PIECE, each a unit of its own, so a word in a long run is not
+    weighed against the run's length: any 10 letters lie whole in some piece.
     """
     if not text:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0xA0)
+    space = (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0x85) | (c == 0xA0) | (c == 0x1680) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)
     token = np.cumsum(space)
-    letter = ((c >= 97) & (c <= 122)) | ((c >= 0xC0) & (c != 0xD7) & (c != 0xF7))
+    letter = ((c >= 97) & (c <= 122)) | ((c >= 0xC0) & (c != 0xD7) & (c != 0xF7) & ~space)
+    odd = np.unique(c[letter & (c > 0x24F)])  # few in a text, so each is looked up once
+    if len(odd):
+        letter &= ~np.isin(c, odd[[unicodedata.category(chr(x))[0] in "PZC" and not 0xD800 <= x <= 0xDFFF for x in odd.tolist()]])
     c, token = c[letter], token[letter]
     if not len(c):
         return c, token
     first = np.concatenate(([True], token[1:] != token[:-1]))
     size = np.diff(np.append(np.flatnonzero(first), len(c)))
     joined = np.concatenate(([False], (size[1:] == 1) & (size[:-1] == 1)))
-    unit = np.cumsum(~joined) - 1
-    return c, np.repeat(unit, size)
+    unit = np.repeat(np.cumsum(~joined) - 1, size)
+    return _cut(c, unit)
+
+
+def _cut(c: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.bincount(unit)
+    if size.max() <= _LONGEST:
+        return c, unit
+    pieces = np.where(size > _LONGEST, -(-(size - _PIECE) // _STRIDE) + 1, 1)
+    of = np.repeat(np.arange(len(size)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    length = np.where(size[of] > _LONGEST, _PIECE, size[of])
+    begin = (np.cumsum(size) - size)[of] + np.minimum(nth * _STRIDE, size[of] - length)  # the last piece ends with the unit
+    at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    return c[at], np.repeat(np.arange(len(of)), length)
 
 
 def _slot(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:

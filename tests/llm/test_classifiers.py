@@ -61,6 +61,28 @@ def test_units():
     assert toxicity.units(None) == toxicity.units("") == toxicity.units("12 !!") == []
 
 
+def test_long_units_are_cut_and_unicode_spaces_part_words():
+    text = "".join(chr(97 + i * 7 % 26) for i in range(200))
+    got = toxicity.units(text)
+    assert all(len(u) == 12 for u in got) and got[0] == text[:12] and got[-1] == text[-12:]
+    assert all(any(text[i : i + 10] in u for u in got) for i in range(191))
+    assert toxicity.units("ab " + "x" * 64 + " cd") == ["ab", "x" * 64, "cd"]
+    assert toxicity.units("ab " + "x" * 65 + " cd") == ["ab", *["x" * 12] * 19, "cd"]
+    assert toxicity.units("one\u3000two\u2003three\u2019s \u201cfour\u201d") == ["one", "two", "threes", "four"]
+    assert set(toxicity.units("x " * 500)) == {"x" * 12}
+
+
+def test_an_insult_inside_a_long_run_counts_as_in_a_short_one(spark):
+    d, l = docs(spark, 600, 1)
+    model = toxicity.fit(d, l)
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("wzkqjy"), 5)) for _ in range(40)]
+    for n in (0, 10, 20, 39):
+        run = [*words[:n], "blorgface", *words[n:]]
+        for text in ("_".join(run), "/".join(run), "\u3000".join(run)):
+            assert model.score(text) > 0.3 and model.score(text.replace("blorgface", "wzkqj")) < 0.3
+
+
 def test_unit_scores_are_the_kernel_expansion():
     marks, weights = ["idiot", "clown"], [1.0, -0.5]
     direction = np.zeros(1 << toxicity.BITS)
