@@ -1,4 +1,12 @@
-"""Substring dedup by recompression: rounds of globally named runs and pairs of words."""
+"""Substring dedup by recompression: Spark rounds name words, runs and pairs; shared symbols reveal long repeats.
+
+The corpus is a table of blocks, each with the symbols of some documents. A round lists what each
+block wants named (words at first, then runs of a symbol or pairs of symbols), Spark groups these
+over all blocks, gives each one name, and joins the names back. A name so stands for one sequence of
+words and for no other; nothing is hashed. What only one document has gets no name: no window over
+it can repeat, so it and the windows that need it drop out, and after a few rounds only text with a
+counterpart elsewhere is left to be compressed.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import ANCHORS, RangeHash, cut, identified, mixed, sha256, spans_of, windows_matched, with_spans
-from .store import frozen, long_texts
+from .repeats import PART, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
+from .store import frozen, long_texts, release
 
 WINDOW = 50
-ROUNDS = 8
-LIMIT = 8  #: symbols of more words are left as they are
-RUN = 8  #: a longer run keeps its single symbols
-BATCH = 1 << 18
-_HASH_KEY = "0123456789abcdef"
-_FAR = 1 << 40
+ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair", "pair")
+BLOCK = 1 << 17  #: words of a block, less where its last document ends
+_FAR = 1 << 30
+_META = "rows array<long>, docs array<long>, parts array<int>, n array<int>"
+_STATE = f"block long, {_META}, name binary, low binary, high binary, live binary, first binary, count binary, anchor binary, source binary"
+_ASKS = "block long, idx int, l long, r long, a long, b long"
+_ARRAYS = {"name": np.int64, "low": np.int32, "high": np.int32, "live": np.uint8, "first": np.int32, "count": np.int32, "anchor": np.int64, "source": np.int32}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -30,153 +40,335 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         return np.empty(0, np.uint64)
     held = np.empty(len(words), object)
     held[:] = words
-    return pd.util.hash_array(held, hash_key=_HASH_KEY, categorize=False)
+    return pd.util.hash_array(held, hash_key="0123456789abcdef", categorize=False)
+
 
+def _grouped(l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs (l, r): the group of each, an order that brings groups together, and where each group begins in it."""
+    order = np.lexsort((r, l))
+    new = np.ones(len(l), bool)
+    new[1:] = (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])
+    group = np.empty(len(l), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order, np.flatnonzero(new)
 
-def units(text: str) -> np.ndarray:
-    return word_hashes(words_of(text))
 
+class Block:
+    """Symbols of one block with the range [low, high) of words that settles each, and its windows' anchors.
 
-def recompress(unit: np.ndarray, solid: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the last round: names, and the range [low, high) of words that settle each one.
+    Positions count the words of all parts in order with one place between parts, which no symbol
+    holds. Two places with equal words over a symbol's range have the same symbol there: every look at
+    a neighbour widens the range by the neighbour's. Name 0 stands where text has dropped out.
 
-    A name is a hash of what the symbol is made of, so equal runs and pairs have one name all over
-    the corpus without a table of names. Two places with equal words over a symbol's range have the
-    same symbol there: every look at a neighbour widens the range by the neighbour's. ``solid`` words
-    (document ends) join nothing. Members of long runs get a range that no window holds.
+    ``live`` marks the starts of windows that may still repeat. A live window's anchor is the first of
+    the highest symbols whose range it holds: (anchor, source) for the windows ``first`` to
+    ``first + count - 1``; live windows not listed there have their first word.
     """
-    name, low = unit.copy(), np.arange(len(unit), dtype=np.int64)
-    high, size = low + 1, np.where(solid, LIMIT + 1, 1)
-    for k in range(rounds):
-        if len(name) < 2:
-            break
-        if k < 2:
-            same = (name[1:] == name[:-1]) & (size[1:] <= LIMIT) & (size[:-1] <= LIMIT)
-            first = np.flatnonzero(np.concatenate(([True], ~same)))
-            last = np.append(first[1:], len(name)) - 1
-            count = last - first + 1
-            wide_low = np.minimum(low[np.maximum(first - 1, 0)], low[first])
-            wide_high = np.maximum(high[np.minimum(last + 1, len(name) - 1)], high[last])
-            long = (count > RUN) | (count * size[first] > 2 * LIMIT)
-            times = np.where(long & (count > 1), count, 1)
-            source = np.repeat(np.arange(len(first)), times)
-            broken = (long & (count > 1))[source]
-            plain = (count == 1)[source]
-            named = mixed(name[first] ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))[source]
-            single = np.repeat(first, times) + (np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times))
-            name = np.where(plain | broken, name[single], named)
-            keep_low, keep_high = low[single], high[single]
-            alone = plain & (size[single] > LIMIT)
-            size_new = np.where(plain | broken, size[single], (count * size[first])[source])
-            low = np.where(alone, keep_low, np.where(broken, -_FAR, wide_low[source]))
-            high = np.where(alone, keep_high, np.where(broken, _FAR, wide_high[source]))
-            size = np.where(broken, LIMIT + 1, size_new)
-        short = size <= LIMIT
-        bit = (mixed(name + np.uint64((k + 1) * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(63)).astype(bool)
-        pair = np.concatenate((short[:-1] & short[1:] & ~bit[:-1] & bit[1:], [False]))
-        right = np.concatenate(([False], pair[:-1]))
-        look = np.arange(len(name)) + np.where(bit, -1, 1)
-        look = np.clip(np.where(short, look, np.arange(len(name))), 0, len(name) - 1)
-        wide_low, wide_high = np.minimum(low, low[look]), np.maximum(high, high[look])
-        edge = short & ((np.arange(len(name)) == 0) & bit | (np.arange(len(name)) == len(name) - 1) & ~bit)
-        wide_low = np.where(edge, -_FAR, wide_low)
-        left = np.flatnonzero(pair)
-        name[left] = mixed(name[left] * np.uint64(0xE7037ED1A0B428DB) + name[left + 1] + np.uint64(k))
-        size[left] += size[left + 1]
-        stay = ~right
-        name, low, high, size = name[stay], wide_low[stay], wide_high[stay], size[stay]
-    return name, low, high
-
-
-def choose(low: np.ndarray, high: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """For each window start the symbol whose range lies in the window and begins first; -1: none."""
-    order = np.argsort(low, kind="stable")
-    sorted_low, sorted_high = low[order], high[order]
-    at = np.searchsorted(sorted_low, starts)
-    chosen = np.full(len(starts), -1)
-    open_ = np.arange(len(starts))
-    while len(open_):
-        inside = at[open_] < len(order)
-        open_ = open_[inside]
-        now = at[open_]
-        near = sorted_low[now] < starts[open_] + window
-        open_, now = open_[near], now[near]
-        fits = sorted_high[now] <= starts[open_] + window
-        chosen[open_[fits]] = order[now[fits]]
-        open_ = open_[~fits]
-        at[open_] += 1
-    return chosen
-
-
-def _anchor_rows(docs: list[tuple[int, int, np.ndarray]], window: int) -> pd.DataFrame:
-    """Segments of several documents at once; between them stands a solid unit."""
-    lengths = np.array([len(u) for _, _, u in docs])
-    offset = np.cumsum(lengths + 1) - lengths  # a solid unit before each document
-    unit = np.zeros(int((lengths + 1).sum()) + 1, np.uint64)
-    solid = np.ones(len(unit), bool)
-    for (_, _, u), o in zip(docs, offset.tolist()):
-        unit[o : o + len(u)] = u
-        solid[o : o + len(u)] = False
-    name, low, high = recompress(unit, solid)
-    span = lengths - window + 1
-    starts = np.repeat(offset, span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-    of = np.repeat(np.arange(len(docs)), span)
-    chosen = choose(low, high, starts, window)
-    table = RangeHash(unit)
-    new = np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (of[1:] != of[:-1])))
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(starts)))
-    at, sym, doc = starts[first], chosen[first], of[first]
-    seg = table(at, at + n + window - 1) ^ n.astype(np.uint64)
-    key = np.where(sym >= 0, mixed(name[sym] ^ table(np.where(sym >= 0, low[sym], 0), np.where(sym >= 0, high[sym], 0))), mixed(seg))
-    ids, tags = np.array([d for d, _, _ in docs], np.int64), np.array([t for _, t, _ in docs], np.int32)
-    return pd.DataFrame({"doc": ids[doc], "tag": tags[doc], "key": key.view(np.int64), "seg": seg.view(np.int64), "at": (at - offset[doc]).astype(np.int32), "n": n.astype(np.int32)})
-
-
-def _anchors(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def __init__(self, docs: np.ndarray, n: np.ndarray, window: int, **arrays: np.ndarray):
+        self.docs, self.n, self.window = docs, n, window
+        self.start = np.cumsum(n + 1) - (n + 1)
+        self.size = int((n + 1).sum())
+        for key, value in arrays.items():
+            setattr(self, key, value)
+
+    @classmethod
+    def of_words(cls, docs: np.ndarray, n: np.ndarray, window: int, named: np.ndarray) -> Block:
+        """``named``: one name a word, 0 where the word has none."""
+        block = cls(docs, n, window)
+        names = np.zeros(block.size, np.int64)
+        names[ranges(block.start, n)] = named
+        gone = np.concatenate(([0], np.cumsum(names == 0)))
+        live = np.zeros(block.size, bool)
+        live[: max(block.size - window + 1, 0)] = gone[window:] == gone[:-window]
+        at, none = np.arange(block.size), np.empty(0, np.int32)
+        block.name, block.low, block.high, block.live = names, np.where(names == 0, -_FAR, at), np.where(names == 0, _FAR, at + 1), live
+        block.first, block.count, block.anchor, block.source = none, none, np.empty(0, np.int64), none
+        block._drop()
+        return block
+
+    def places(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What round k wants named: first and last symbol of each place, and the two parts of its name."""
+        name = self.name
+        if kind == "run":
+            same = (name[1:] == name[:-1]) & (name[1:] != 0)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+            first, last = edge[::2], edge[1::2]
+            return first, last, name[first], first - last - 1
+        bit = self._bits(k)
+        left = np.flatnonzero(~bit[:-1] & bit[1:] & (name[:-1] != 0) & (name[1:] != 0))
+        return left, left + 1, name[left], name[left + 1]
+
+    def _bits(self, k: int) -> np.ndarray:
+        return (mixed(self.name.view(np.uint64) + np.uint64((k + 1) * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(63)).astype(bool)
+
+    def asks(self, kind: str, k: int) -> tuple[np.ndarray, ...]:
+        """The distinct places: both parts of the name, and the least and the most doc that has it."""
+        first, _, l, r = self.places(kind, k)
+        if not len(first):
+            return l, r, l, l
+        _, order, begin = _grouped(l, r)
+        doc = self.docs[np.searchsorted(self.start, self.low[first], "right") - 1][order]
+        return l[order][begin], r[order][begin], np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
+
+    def replace(self, kind: str, k: int, idx: np.ndarray, names: np.ndarray) -> None:
+        """Put the names that Spark gave to the distinct places ``idx``; a place without one drops out."""
+        first, last, l, r = self.places(kind, k)
+        group, _, begin = _grouped(l, r)
+        given = np.zeros(len(begin), np.int64)
+        given[idx] = names
+        low, high, n = self.low, self.high, len(self.name)
+        if kind == "run":  # a symbol has seen both its neighbours
+            low, high = np.minimum(low, np.append(-_FAR, low[:-1])), np.maximum(high, np.append(high[1:], _FAR))
+        else:
+            look = np.arange(n) + np.where(self._bits(k), -1, 1)
+            outside = (look < 0) | (look >= n)
+            look = np.clip(look, 0, n - 1)
+            low, high = np.where(outside, -_FAR, np.minimum(low, low[look])), np.where(outside, _FAR, np.maximum(high, high[look]))
+        name, made, stay = self.name.copy(), np.zeros(n, bool), np.ones(n, bool)
+        name[first], made[first], high[first] = given[group], True, high[last]
+        stay[ranges(first + 1, last - first)] = False
+        self.name, self.low, self.high, made = name[stay], low[stay], high[stay], made[stay]
+        settled = made & (self.low > -_FAR) & (self.high < _FAR)
+        self._kill(np.flatnonzero(settled & (self.name == 0)))
+        self._choose(np.flatnonzero(settled & (self.name != 0)))
+        self._drop()
+
+    def _kill(self, dead: np.ndarray) -> None:
+        """Windows that hold the range of a symbol of one document alone do not repeat."""
+        change = np.zeros(self.size + 1, np.int64)
+        begin, end = np.maximum(self.high[dead] - self.window, 0), self.low[dead] + 1
+        some = begin < end
+        np.add.at(change, begin[some], 1)
+        np.add.at(change, end[some], -1)
+        self.live = self.live & (np.cumsum(change[:-1]) == 0)
+
+    def _choose(self, new: np.ndarray) -> None:
+        """Anchor live windows at the new symbols; neither end of their ranges ever goes back from one to the next."""
+        name, low, high = self.name[new], self.low[new], self.high[new]
+        anchor, source = np.zeros(self.size, np.int64), np.zeros(self.size, np.int32)
+        listed = ranges(self.first, self.count)
+        anchor[listed], source[listed] = np.repeat(self.anchor, self.count), np.repeat(self.source, self.count)
+        if len(new):
+            s = np.flatnonzero(self.live)
+            at = np.minimum(np.searchsorted(low, s), len(low) - 1)
+            ok = (low[at] >= s) & (high[at] <= s + self.window)
+            anchor[s[ok]], source[s[ok]] = name[at[ok]], low[at[ok]]
+        s = np.flatnonzero(self.live & (anchor != 0))
+        begin = np.ones(len(s), bool)
+        begin[1:] = (s[1:] != s[:-1] + 1) | (anchor[s][1:] != anchor[s][:-1]) | (source[s][1:] != source[s][:-1])
+        at = np.flatnonzero(begin)
+        self.first, self.count = s[at].astype(np.int32), np.diff(np.append(at, len(s))).astype(np.int32)
+        self.anchor, self.source = anchor[self.first], source[self.first]
+
+    def _drop(self) -> None:
+        """Symbols that no live window holds are of no further use; one empty place stands for each stretch of them."""
+        before = np.concatenate(([0], np.cumsum(self.live)))
+        settled = (self.name != 0) & (self.low > -_FAR) & (self.high < _FAR)
+        begin, end = np.maximum(self.high - self.window, 0), np.minimum(self.low + 1, self.size)
+        useful = settled & (begin < end)
+        useful[useful] = before[end[useful]] > before[begin[useful]]
+        keep = useful.copy()
+        keep[1:] |= useful[:-1]
+        keep[:1] = True
+        useful = useful[keep]
+        self.name = np.where(useful, self.name[keep], 0)
+        self.low = np.where(useful, self.low[keep], -_FAR).astype(np.int32)
+        self.high = np.where(useful, self.high[keep], _FAR).astype(np.int32)
+
+    def packed(self) -> dict[str, bytes]:
+        return {k: (np.packbits(self.live) if k == "live" else getattr(self, k).astype(t)).tobytes() for k, t in _ARRAYS.items()}
+
+    @classmethod
+    def of_row(cls, frame: pa.RecordBatch, i: int, window: int) -> Block:
+        docs, n = (frame.column(c)[i].values.to_numpy() for c in ("docs", "n"))
+        arrays = {k: np.frombuffer(frame.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items() if k in frame.schema.names}
+        block = cls(docs, n, window, **arrays)
+        if "live" in arrays:
+            block.live = np.unpackbits(block.live, count=block.size).astype(bool)
+        return block
+
+
+_META_COLUMNS = ("rows", "docs", "parts", "n")
+
+
+def _blocks(window: int):
+    """Texts to blocks: the words of a block in order of appearance, and for each word place its number among them."""
+    schema = pa.schema([("rows", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("least", pa.list_(pa.int64())), ("most", pa.list_(pa.int64()))])
+
+    def block(held: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
+        rows, docs, parts, words = zip(*held)
+        n = np.array([len(w) for w in words])
+        every = np.empty(int(n.sum()), object)
+        every[:] = [w for part in words for w in part]
+        codes, distinct = pd.factorize(every)
+        order = np.argsort(codes, kind="stable")
+        begin = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        doc = np.repeat(np.array(docs, np.int64), n)[order]
+        values = (rows, docs, parts, n.tolist(), codes.astype(np.int32).tobytes(), distinct.tolist(), np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin))
+        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, schema)], schema=schema)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for frame in frames:
-            for doc, tag, text in zip(frame["doc"], frame["tag"], frame["text"]):
-                u = units(text)
-                if len(u) >= window:
-                    held.append((doc, tag, u))
-                    total += len(u)
-                if total >= BATCH:
-                    yield _anchor_rows(held, window)
-                    held, total = [], 0
+            for row, doc, text in zip(frame.column("row").to_pylist(), frame.column("doc").to_pylist(), frame.column("text").to_pylist()):
+                words = words_of(text)
+                for part in range(-(-max(len(words) - window + 1, 0) // PART)):
+                    held.append((row, doc, part, words[part * PART : (part + 1) * PART + window - 1]))
+                    total += len(held[-1][3])
+                    if total >= BLOCK:
+                        yield block(held)
+                        held, total = [], 0
         if held:
-            yield _anchor_rows(held, window)
+            yield block(held)
+
+    return run
+
+
+def _state(make) -> object:
+    """A step over rows of a block table and the names given to its distinct places, to the rows of the next state."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(frame.num_rows):
+                got = frame.column("got")[i]
+                idx, names = (np.empty(0, np.int64),) * 2 if not got.is_valid else (got.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("idx", "name"))
+                block = make(frame, i, idx, names)
+                values = {"block": frame.column("block").slice(i, 1), **{c: frame.column(c).slice(i, 1) for c in _META_COLUMNS}, **{k: pa.array([v], pa.binary()) for k, v in block.packed().items()}}
+                yield pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
     return run
 
 
+def _given(asks: DataFrame, parts: list[str], k: int) -> DataFrame:
+    """``(block, got)``: one name over all blocks for what two documents at least ask for: the number of its first asker."""
+    first = F.min(F.lit(k << 59).bitwiseOR(F.shiftleft(F.col("block"), 18)).bitwiseOR(F.col("idx").cast("long"))) + 1
+    rules = asks.groupBy(*parts).agg(first.alias("name"), F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select(*parts, "name")
+    answers = asks.select("block", "idx", *parts).join(rules.hint("merge"), parts)
+    return answers.groupBy("block").agg(F.collect_list(F.struct("idx", "name")).alias("got"))
+
+
+def compressed(held: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Block tables after the naming of words and after the last round."""
+    number = F.monotonically_increasing_id()  # a partition's number, and 14 bits for its blocks
+    short = F.when(number.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 14, F.shiftright(number, 33) * (1 << 14) + number.bitwiseAND(F.lit((1 << 14) - 1)))
+    schema = f"{_META}, codes binary, words array<binary>, least array<long>, most array<long>"
+    blocks = held.where("text is not null").select("row", "doc", "text").mapInArrow(_blocks(window), schema)
+    blocks = frozen(blocks.withColumn("block", F.coalesce(short, F.raise_error(F.lit("a partition holds too many blocks")).cast("long"))), "blocks")
+    zipped = F.posexplode(F.arrays_zip("words", "least", "most")).alias("idx", "x")
+    asks = blocks.select("block", zipped).select("block", "idx", F.col("x.words").alias("word"), F.col("x.least").alias("a"), F.col("x.most").alias("b"))
+
+    def begin(frame: pa.RecordBatch, i: int, idx: np.ndarray, names: np.ndarray) -> Block:
+        plain = Block.of_row(frame, i, window)
+        codes = np.frombuffer(frame.column("codes")[i].as_buffer(), np.int32)
+        given = np.zeros(len(codes), np.int64)
+        given[idx] = names
+        return Block.of_words(plain.docs, plain.n, window, given[codes])
+
+    source = blocks.select("block", *_META_COLUMNS, "codes").join(_given(asks, ["word"], 0).hint("merge"), "block", "left")
+    words = state = frozen(source.mapInArrow(_state(begin), _STATE), "words")
+    release(blocks)
+    for k, kind in enumerate(ROUNDS, 1):
+
+        def ask(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for i, block in enumerate(frame.column("block").to_pylist()):
+                    l, r, a, b = Block.of_row(frame, i, window).asks(kind, k)
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(l), block, np.int64), "idx": np.arange(len(l), dtype=np.int32), "l": l, "r": r, "a": a, "b": b})
+
+        def step(frame: pa.RecordBatch, i: int, idx: np.ndarray, names: np.ndarray, kind: str = kind, k: int = k) -> Block:
+            block = Block.of_row(frame, i, window)
+            block.replace(kind, k, idx, names)
+            return block
+
+        asks = frozen(state.select("block", "docs", "n", "name", "low").mapInArrow(ask, _ASKS), "asks")
+        after = frozen(state.join(_given(asks, ["l", "r"], k).hint("merge"), "block", "left").mapInArrow(_state(step), _STATE), "round")
+        release(asks, *([] if state is words else [state]))
+        state = after
+    return words, state
+
+
+_ANCHORS = "row long, doc long, key long, s1 long, s2 long, at int, n int"
+
+
+def _anchors(words: DataFrame, last: DataFrame, window: int) -> DataFrame:
+    """The segments of all windows that may repeat, with the hash pair of their words' names."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(frame.num_rows):
+                block = Block.of_row(frame, i, window)
+                names = _word_names(block, np.frombuffer(frame.column("word_name")[i].as_buffer(), np.int64), np.frombuffer(frame.column("word_low")[i].as_buffer(), np.int32))
+                rest = block.live.copy()
+                rest[ranges(block.first, block.count)] = False
+                alone = np.flatnonzero(rest)
+                first = np.concatenate((block.first, alone)).astype(np.int64)
+                n = np.concatenate((block.count, np.ones(len(alone), np.int32)))
+                key = np.concatenate((block.anchor, names[alone]))
+                s1, s2 = RangeHash(names.view(np.uint64))(first, first + n + window - 1)
+                part = np.searchsorted(block.start, first, "right") - 1
+                rows, parts = (frame.column(c)[i].values.to_numpy() for c in ("rows", "parts"))
+                at = parts[part].astype(np.int64) * PART + first - block.start[part]
+                yield pa.RecordBatch.from_pydict({"row": rows[part], "doc": block.docs[part], "key": key, "s1": s1, "s2": s2, "at": at.astype(np.int32), "n": n.astype(np.int32)})
+
+    both = last.join(words.select("block", F.col("name").alias("word_name"), F.col("low").alias("word_low")).hint("merge"), "block")
+    return both.mapInArrow(run, _ANCHORS)
+
+
+def _word_names(block: Block, name: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Names by position; 0 where no window that may repeat lies."""
+    names = np.zeros(block.size, np.int64)
+    names[low[name != 0]] = name[name != 0]
+    return names
+
+
+def _parts(words: DataFrame, window: int) -> DataFrame:
+    """``(row, part, data)``: the names of the words of each part."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(frame.num_rows):
+                block = Block.of_row(frame, i, window)
+                names = _word_names(block, block.name, block.low)
+                rows, parts = (frame.column(c)[i].values for c in ("rows", "parts"))
+                data = [names[s : s + n].tobytes() for s, n in zip(block.start.tolist(), block.n.tolist())]
+                yield pa.RecordBatch.from_arrays([rows, parts, pa.array(data, pa.binary())], ["row", "part", "data"])
+
+    return words.select("rows", "docs", "parts", "n", "name", "low").mapInArrow(run, "row long, part int, data binary")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``(doc_id, text, spans)`` for all rows: spans, a flat list [from, to, from, to, ...] of word numbers, null where none.
 
     Covered is each word in a window of ``window`` words whose word sequence also starts in a document
     of a smaller id. Words are runs of characters other than ASCII white space, unchanged. A null or
-    short text has no windows. Null ids come after all others and have nothing removed by one another;
-    rows of one id never remove from one another. An empty table gives an empty result.
+    short text has no windows. A null id counts as the largest number there is, and is given back as
+    null; rows of one id never remove from one another. An empty table gives an empty result.
     """
-    texts = identified(docs, id_col, text_col)
-    anchors = frozen(long_texts(texts).where(F.col("text").isNotNull()).mapInPandas(_anchors(window), ANCHORS), "anchors")
+    held = numbered(docs, id_col, text_col)
+    words, last = compressed(held, window)
+    anchors = frozen(_anchors(words, last, window), "anchors")
+    release(last)
     shared = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    matched = windows_matched(anchors, frozen(shared, "shared"), texts, window, units, elsewhere=False)
-    return with_spans(docs, frozen(spans_of(matched, window), "spans"), id_col, text_col)
+    matched = windows_matched(anchors, frozen(shared, "shared"), _parts(words, window), window, lambda data: np.frombuffer(data, np.uint64), elsewhere=False)
+    spans = frozen(spans_of(matched, window), "spans")
+    release(matched, words)
+    return with_spans(held, spans)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            words = [words_of(t) for t in frame["text"]]
-            kept = [[w for part in cut(x, s) for w in part] for x, s in zip(words, frame["spans"])]
-            n, left = [len(x) for x in words], [len(x) for x in kept]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": n, "n_removed": np.array(n, np.int64) - np.array(left, np.int64), "kept": [b" ".join(x).decode() for x in kept]})
+            words = [words_of(t) for t in frame.column("text").to_pylist()]
+            kept = [[w for part in cut(x, s) for w in part] for x, s in zip(words, frame.column("spans").to_pylist())]
+            n = np.array([len(x) for x in words], np.int64)
+            gone = n - np.array([len(x) for x in kept], np.int64)
+            texts = pa.array([b" ".join(x) for x in kept], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(n), pa.array(gone), texts], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return repeated_spans(docs, id_col, text_col, window).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    return long_texts(repeated_spans(docs, id_col, text_col, window)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-__all__ = ["choose", "recompress", "removed", "repeated_spans", "sha256"]
+__all__ = ["Block", "compressed", "removed", "repeated_spans"]

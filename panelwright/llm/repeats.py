@@ -1,29 +1,38 @@
 """Windows that repeat across a corpus: what exact substring removal by either index has in common.
 
-A document is a sequence of units (words or bytes). Every window of ``size`` units picks an anchor
-by its own content alone, so equal windows pick equal anchors. Consecutive windows of one anchor
-form a segment. Segments meet by anchor; where all of an anchor's segments are equal, all their
-windows repeat, and only where they differ are single windows compared. What is shuffled is a few
-hashes a segment; hot anchors are combined before the shuffle and joined, never gathered.
-
-Hashes have 64 bits: the odds that any two of n windows are wrongly taken for equal are n*n / 2**65.
+A row is a sequence of units (words or bytes), dealt in parts of PART window starts; a part holds
+the units of all its windows. Every window of ``size`` units picks an anchor by its own content
+alone, so equal windows pick equal anchors. Consecutive windows of one anchor form a segment.
+Segments meet by anchor; where all of an anchor's segments are equal, all their windows repeat, and
+only where they differ are single windows compared. What is shuffled is a few hashes a segment; hot
+anchors are combined before the shuffle and joined, never gathered.
+
+Segments and windows are told apart by two polynomials modulo the prime 2**61 - 1, at two points
+drawn at random: two different windows of m units agree in both with odds of at most (m / 2**61)**2,
+whatever they hold. For n windows of 200 bytes the odds of any wrong match are n**2 / 2**107.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import frozen, release
 
-_BASE = 0x9E3779B97F4A7C15
-_tables: dict[str, np.ndarray] = {}
-ANCHORS = "doc long, tag int, key long, seg long, at int, n int"
+PART = 1 << 17  #: window starts of a part
+MOST = 512  #: windows of a segment
+PRIME = (1 << 61) - 1
+_POINTS = (1368092745231968317, 2079410573906318211)  # below PRIME, drawn once
+_P, _30, _31, _61 = np.uint64(PRIME), np.uint64(30), np.uint64(31), np.uint64(61)
+_LOW30, _LOW31, _LOW32 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
+_LOW29 = np.uint64((1 << 29) - 1)
+_BLOCK = 1 << 13
+_tables: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,89 +41,132 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class RangeHash:
-    """Hashes of any range of a sequence of 64-bit units, from prefix sums with powers of an odd number, modulo 2**64."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)  # below _P the difference wraps round to a large number
 
-    def __init__(self, unit: np.ndarray):
-        n = len(unit)
-        if len(_tables.get("power", ())) < n + 1:
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                grown = np.full(max(n + 1, 1 << 16), base, np.uint64)
-                grown[0] = 1
-                _tables[name] = np.multiply.accumulate(grown)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(unit * _tables["power"][:n], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[start]) * _tables["inverse"][start])
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (mid >> _30) + ((mid & _LOW30) << _31) + a0 * b0)
+
+
+def _by_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for b below 2**31."""
+    mid = (a >> _31) * b
+    return _reduced((mid >> _30) + ((mid & _LOW30) << _31) + (a & _LOW31) * b)
+
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, ..., base**n modulo PRIME at least."""
+    table = _tables.get(base)
+    if table is None:
+        table = np.array([1], np.uint64)
+    while len(table) < n + 1:
+        table = np.concatenate((table, mulmod(table, np.array([pow(base, len(table), PRIME)], np.uint64))))
+    _tables[base] = table
+    return table
 
-def windows_matched(anchors: DataFrame, shared: DataFrame, texts: DataFrame, size: int, units: Callable[[str], np.ndarray], elsewhere: bool, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """Starts of repeated windows: ``(doc, tag, at, n)``, n consecutive starts from ``at``.
 
-    anchors: frozen rows of ANCHORS. shared: the keys worth a look, ``(key)``. texts: ``(doc, tag, text)``.
+class RangeHash:
+    """Hash pairs of any range of a sequence of units below PRIME, from prefix sums modulo PRIME."""
+
+    def __init__(self, unit: np.ndarray):
+        self.sums = []
+        small = len(unit) == 0 or int(unit.max()) < 1 << 31
+        for base in _POINTS:
+            power, sums, carry = _powers(base, len(unit)), np.zeros(len(unit) + 1, np.uint64), np.uint64(0)
+            for at in range(0, len(unit), _BLOCK):  # blocks that stay in a core's cache
+                u = unit[at : at + _BLOCK]
+                term = (_by_small if small else mulmod)(power[at : at + len(u)], u)
+                high = np.cumsum(term >> np.uint64(32))
+                total = np.cumsum(term & _LOW32) + (high >> np.uint64(29)) + ((high & _LOW29) << np.uint64(32)) + carry
+                sums[at + 1 : at + 1 + len(u)] = total = _reduced(total)
+                carry = total[-1]
+            self.sums.append(sums)
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for base, sums in zip(_POINTS, self.sums):
+            back = _powers(pow(base, -1, PRIME), len(sums))
+            found.append(mulmod(_reduced(sums[stop] + (_P - sums[start])), back[start]).view(np.int64))
+        return found[0], found[1]
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, size: int, units: Callable[[bytes], np.ndarray], elsewhere: bool, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Starts of repeated windows: ``(row, at, n)``, n consecutive starts from ``at``.
+
+    anchors: frozen rows (row, doc, key, s1, s2, at, n); s1, s2 are the segment's hash pair. shared: the
+    keys worth a look, ``(key)``. parts: ``(row, part, data)``, data with the units of part number ``part``.
     elsewhere: a window counts if it starts at any other place too; else if it starts in a smaller doc.
     spent: tables of the caller that go, with anchors and shared, once the flagged rows are written.
     The result is a written table; all tables on the way to it are deleted when they have served.
     """
-    flagged = frozen(anchors.join(shared.hint("merge"), "key", "left_semi"), "flagged")
+    who = ["row"] if elsewhere else ["row", "doc"]
+    keys = ["key", "s1", "s2", "n"]
+    flagged = frozen(anchors.join(shared.hint("merge"), "key", "left_semi").select(*keys, *who, "at"), "flagged")
     release(anchors, shared, *spent)
-    distinct = flagged.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min("doc").alias("least"), F.min(F.struct("doc", "tag", "at")).alias("rep"))
-    distinct = frozen(distinct, "segments")
+    found = flagged.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("rep"), *([] if elsewhere else [F.min("doc").alias("least")]))
+    distinct = frozen(found, "segments")
     variants = frozen(distinct.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several").select("key"), "variants")
     segments = distinct.join(variants.withColumn("several", F.lit(True)), "key", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     segments = frozen(segments, "segments")
-    met = flagged.join(segments.hint("merge"), ["key", "seg"])
+    met = flagged.join(segments.hint("merge"), keys)
     whole = (F.col("c") > 1) if elsewhere else (F.col("least") < F.col("doc"))
-    asked = F.col("several") & ((F.struct("doc", "tag", "at") == F.col("rep")) if elsewhere else (F.col("least") == F.col("doc")))
-    met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select("doc", "tag", "at", "n", "whole", "asked"), "met")
+    asked = F.col("several") & ((F.struct("row", "at") == F.col("rep")) if elsewhere else (F.col("least") == F.col("doc")))
+    met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select(*who, "at", "n", "whole", "asked"), "met")
     release(flagged, distinct, variants, segments)
-    need = frozen(met.where("asked").select("doc", "tag", "at", "n").withColumn("id", F.monotonically_increasing_id()), "need")
-    lists = need.groupBy("doc", "tag").agg(F.collect_list(F.struct("id", "at", "n")).alias("need"))
+    need = frozen(met.where("asked").select(*who, "at", "n").withColumn("id", F.monotonically_increasing_id()), "need")
+    part = F.expr(f"cast(at div {PART} as int)").alias("part")
+    lists = need.groupBy("row", part).agg(F.collect_list(F.struct("id", (F.col("at") % PART).alias("at"), "n")).alias("need"), *([] if elsewhere else [F.first("doc").alias("doc")]))
 
-    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            of_h, of_id, of_doc = [], [], []
-            for doc, text, segs in zip(frame["doc"], frame["text"], frame["need"]):
-                table = RangeHash(units(text))
-                at = np.array([s["at"] for s in segs], np.int64)
-                n = np.array([s["n"] for s in segs], np.int64)
-                ident = np.array([s["id"] for s in segs], np.int64)
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(at, n) + within
-                of_h.append(table(start, start + size).view(np.int64))
-                of_id.append(np.repeat(ident, n) * 128 + within)
-                of_doc.append(np.full(len(start), doc))
-                if sum(map(len, of_h)) > 200_000:
-                    yield pd.DataFrame({"h": np.concatenate(of_h), "place": np.concatenate(of_id), "doc": np.concatenate(of_doc)})
-                    of_h, of_id, of_doc = [], [], []
-            if of_h:
-                yield pd.DataFrame({"h": np.concatenate(of_h), "place": np.concatenate(of_id), "doc": np.concatenate(of_doc)})
-
-    found = texts.join(lists.hint("merge"), ["doc", "tag"]).select("doc", "text", "need").mapInPandas(hashes, "h long, place long, doc long")
-    found = frozen(found.select("h", "place") if elsewhere else found, "windows")
+            columns = {name: frame.column(name) for name in frame.schema.names}
+            for i in range(frame.num_rows):
+                table = RangeHash(units(columns["data"][i].as_py()))
+                asks = columns["need"][i].values
+                ident, at, n = (asks.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "at", "n"))
+                start = ranges(at, n)
+                h1, h2 = table(start, start + size)
+                out = {"h1": h1, "h2": h2, "place": np.repeat(ident * MOST, n) + ranges(np.zeros(len(n), np.int64), n)}
+                if not elsewhere:
+                    out["doc"] = np.full(len(start), columns["doc"][i].as_py(), np.int64)
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "h1 long, h2 long, place long" + ("" if elsewhere else ", doc long")
+    found = frozen(parts.join(lists.hint("merge"), ["row", "part"]).mapInArrow(hashes, schema), "windows")
     if elsewhere:
-        repeated = frozen(found.groupBy("h").count().where("count > 1").select("h"), "repeated")
-        single = found.join(repeated.hint("merge"), "h", "left_semi")
+        repeated = frozen(found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeated")
+        single = found.join(repeated.hint("merge"), ["h1", "h2"], "left_semi")
     else:
-        repeated = frozen(found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least"), "repeated")
-        single = found.join(repeated.hint("merge"), "h").where("least < doc")
-    offsets = single.groupBy(F.expr("place div 128L").alias("id")).agg(F.collect_set(F.expr("cast(place % 128 as int)")).alias("offsets"))
-    parts = offsets.join(need, "id").select("doc", "tag", F.explode("offsets").alias("off"), "at").select("doc", "tag", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
-    matched = frozen(met.where("whole").select("doc", "tag", "at", "n").union(parts), "matched")
+        repeated = frozen(found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h1", "h2", "least"), "repeated")
+        single = found.join(repeated.hint("merge"), ["h1", "h2"]).where("least < doc")
+    offsets = single.groupBy(F.expr(f"place div {MOST}L").alias("id")).agg(F.collect_set(F.expr(f"cast(place % {MOST} as int)")).alias("offsets"))
+    ones = offsets.join(need, "id").select("row", F.explode("offsets").alias("off"), "at").select("row", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
+    matched = frozen(met.where("whole").select("row", "at", "n").union(ones), "matched")
     release(met, need, found, repeated)
     return matched
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, tag, text)``: doc orders documents (a null id comes last), tag tells rows of one id with different texts apart."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(row, id, doc, text)``, written: row tells rows apart whatever their ids; doc orders documents, a null id as the largest number."""
+    ident = F.col(id_col).cast("long")
+    rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("doc"), F.col(text_col).alias("text"))
+    return frozen(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def spans_of(matched: DataFrame, size: int) -> DataFrame:
-    """``(doc, tag, spans)``: per document the covered ranges [from, to) in order, not touching one another."""
+    """``(row, spans)``: per row the covered ranges [from, to) in order, not touching one another."""
 
-    listed = matched.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n") + (size - 1)).alias("end")))).alias("raw"))
+    listed = matched.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n") + (size - 1)).alias("end")))).alias("raw"))
 
     @F.pandas_udf("array<int>")
     def merged(lists: pd.Series) -> pd.Series:
@@ -126,20 +178,15 @@ def spans_of(matched: DataFrame, size: int) -> DataFrame:
 
         return lists.map(one)
 
-    return listed.select("doc", "tag", merged("raw").alias("spans"))
+    return listed.select("row", merged("raw").alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All rows of ``docs`` with the flat list of span ends (null: none)."""
-    ids = identified(docs, id_col, text_col)
-    return ids.join(spans.hint("merge"), ["doc", "tag"], "left").select(F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc_id"), "text", "spans")
+def with_spans(held: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(doc_id, text, spans)`` of all numbered rows, with the flat list of span ends (null: none)."""
+    return held.join(spans.hint("merge"), "row", "left").select(F.col("id").alias("doc_id"), "text", "spans")
 
 
 def cut(sequence, spans) -> list:
     """The pieces of a sequence outside the spans, given as a flat list of ends."""
     edges = [0, *(spans if spans is not None else []), len(sequence)]
     return [sequence[i:j] for i, j in zip(edges[::2], edges[1::2])]
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

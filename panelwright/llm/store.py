@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,38 +16,75 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (local tests) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session, else the folder given to ``setCheckpointDir``.
+
+    Only a local session without either gets a folder of our own; on a cluster a folder of one
+    machine would lose the rows of all others, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-llm-"))
     return "file://" + _own_folder[0]
 
 
+@contextmanager
+def _conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def frozen(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 
     Cuts lineage like ``checkpoint()``, but compressed and columnar. Values made from
     ``monotonically_increasing_id`` or a range partitioning are fixed from here on, whatever
     executors are lost later. The shuffle files of the write are dropped as soon as it has ended.
+    Arrow batches of Python steps in the write are bounded by bytes, as ten thousand long texts
+    would not fit a worker.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _conf(spark, _CLEANUP, "true"), _conf(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.frozen_path = path
     return table
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables written by :func:`frozen` once nothing that is still to be computed reads them."""
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` as a table of sorted buckets of ``key`` in the shared folder: joins of two such tables need no exchange.
+
+    ``df`` comes out of an aggregation or join on ``key``, so a task holds whole buckets already.
+    """
+    spark = df.sparkSession
+    n = tasks(spark)
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    with _conf(spark, _CLEANUP, "true"), _conf(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.frozen_path, table.table_name = path, name
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables written by :func:`frozen` or :func:`bucketed` once nothing that is still to be computed reads them."""
     for table in tables:
+        if table is None:
+            continue
+        if hasattr(table, "table_name"):
+            table.sparkSession.sql(f"drop table if exists {table.table_name}")
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.frozen_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -56,7 +95,10 @@ def tasks(spark: SparkSession) -> int:
 
 
 def long_texts(df: DataFrame) -> DataFrame:
-    """``df``, for a Python step over whole texts: its Arrow batches are bounded by bytes, as ten thousand long texts would not fit a worker."""
+    """``df``, for a Python step over whole texts that the caller runs: the session's Arrow batches are bounded by bytes from here on.
+
+    A result is computed only when its reader asks for it, so the bound has to outlive the call.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 

@@ -5,39 +5,56 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import ANCHORS, RangeHash, cut, identified, mixed, spans_of, windows_matched, with_spans
-from .store import frozen, long_texts
+from .repeats import MOST, PART, RangeHash, cut, mixed, numbered, spans_of, windows_matched, with_spans
+from .store import bucketed, frozen, long_texts, release
 
 WINDOW = 200
-SPREAD = 80  #: of this many neighbouring suffixes one is indexed
+SPREAD = 144  #: of this many neighbouring suffixes one is indexed at least
 GRAM = 24  #: bytes whose hash decides which
-BATCHES = 2
-_CHUNK = 1 << 20
-_BYTE = np.random.default_rng(20260101).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BATCHES = 4
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ODD = 0x9E3779B97F4A7C15
+_held: dict[int, np.ndarray] = {}
+ANCHORS = "row long, batch int, key long, s1 long, s2 long, at int, n int, suffix binary"
 
 
-def units(text: str) -> np.ndarray:
-    return _BYTE[np.frombuffer(text.encode(), np.uint8)]
+def units(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
 
 
-def _segments(raw: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
-    """Indexed suffixes of one piece: the leftmost least gram among the first ``spread`` of each window.
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _ODD and of its inverse modulo 2**64."""
+    if len(_held.get(_ODD, ())) < n:
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            steps = np.full(max(n, PART + 1024), base, np.uint64)
+            steps[0] = 1
+            _held[base] = np.multiply.accumulate(steps)
+    return _held[_ODD], _held[pow(_ODD, -1, 1 << 64)]
 
-    Returns the first window start and number of windows of each, the suffix key (a fingerprint of
-    the ``window - spread + 1`` bytes from the suffix on that all these windows hold) and a
-    fingerprint of all bytes that its windows hold.
+
+def grams_of(raw: np.ndarray, length: int) -> np.ndarray:
+    """A cheap 64-bit hash of every ``length`` bytes; it only picks suffixes, what they bring together is compared again."""
+    power, inverse = _tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+    n = len(sums) - length
+    return mixed((sums[length:] - sums[:n]) * inverse[:n])
+
+
+def segments(raw: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
+    """Indexed suffixes of one part: the leftmost least gram among the first ``spread`` of each window.
+
+    Returns the first window start and number of windows of each, where the suffix starts, and the
+    hash pair of all bytes that its windows hold.
     """
-    n = len(raw)
-    table = RangeHash(_BYTE[raw])
-    starts = n - window + 1
-    grams = starts + spread - 1
-    at = np.arange(grams, dtype=np.int64)
+    starts = len(raw) - window + 1
     gram = min(GRAM, window - spread + 1)
-    best = (table(at, at + gram) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    grams = grams_of(raw, gram)[: starts + spread - 1]
+    best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach = 1
     while reach < spread:
         step = min(reach, spread - reach)
@@ -46,91 +63,138 @@ def _segments(raw: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ..
     chosen = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     count = np.diff(np.append(first, starts))
-    suffix = chosen[first]
-    return first, count, table(suffix, suffix + window - spread + 1), table(first, first + count + window - 1) ^ count.astype(np.uint64)
+    s1, s2 = RangeHash(raw.astype(np.uint64) + np.uint64(1))(first, first + count + window - 1)
+    return first, count, chosen[first], s1, s2
 
 
-def _anchors(window: int, spread: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _anchors(window: int, spread: int, batches: int):
+    depth = window - spread + 1
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            out: list[tuple] = []
-            size = 0
-            for doc, tag, text in zip(frame["doc"], frame["tag"], frame["text"]):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                for at in range(0, len(raw) - window + 1, _CHUNK):
-                    first, count, key, seg = _segments(raw[at : at + _CHUNK + window - 1], window, spread)
-                    out.append((np.full(len(first), doc, np.int64), np.full(len(first), tag, np.int32), key.view(np.int64), seg.view(np.int64), (first + at).astype(np.int32), count.astype(np.int32)))
-                    size += len(first)
-                if size > 100_000:
-                    yield _table(out)
-                    out, size = [], 0
-            if out:
-                yield _table(out)
+            for row, part, data in zip(frame.column("row").to_numpy(), frame.column("part").to_numpy(), frame.column("data")):
+                raw = np.frombuffer(data.as_py(), np.uint8)
+                if len(raw) < window:
+                    continue
+                first, count, suffix, s1, s2 = segments(raw, window, spread)
+                bytes_ = np.lib.stride_tricks.sliding_window_view(raw, depth)[suffix]
+                key = mixed(np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -depth % 8)))).view(np.uint64) * _PLACE[: -(-depth // 8)]).sum(axis=1, dtype=np.uint64)
+                n = len(first)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": np.full(n, row, np.int64), "batch": np.full(n, int(mixed(np.array([row], np.uint64))[0]) % batches, np.int32), "key": key.view(np.int64), "s1": s1, "s2": s2,
+                        "at": (first + part * PART).astype(np.int32), "n": count.astype(np.int32), "suffix": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * depth, depth, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bytes_))]),
+                    }
+                )
 
     return run
 
 
-def _table(parts: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(("doc", "tag", "key", "seg", "at", "n"), map(np.concatenate, zip(*parts)))))
+_PLACE = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-class LevelFamily:
-    """Tables of distinct suffix keys with their counts, in sizes 1, 2, 4, ... batches.
+def parts_of(held: DataFrame, window: int) -> DataFrame:
+    """``(row, part, data)``: the UTF-8 bytes of all texts in parts that share their last ``window - 1`` bytes with the next."""
 
-    A new batch is sorted by key and merge-joined with each level there is; keys met in both, or
-    twice in the batch, are the long matches. Two levels of one size merge into one of twice the
-    size before the next batch comes, so a key is rewritten once for each doubling of the index.
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            rows, numbers, data = [], [], []
+            for row, text in zip(frame.column("row").to_pylist(), frame.column("text").cast(pa.binary()).to_pylist()):
+                for k in range(-(-max(len(text) - window + 1, 0) // PART)):
+                    rows.append(row)
+                    numbers.append(k)
+                    data.append(text[k * PART : (k + 1) * PART + window - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["row", "part", "data"])
+
+    return held.where(F.octet_length("text") >= window).select("row", "text").mapInArrow(run, "row long, part int, data binary")
+
+
+class LevelFamily:
+    """Suffix arrays in sizes 1, 2, 4, ... batches: sorted tables of suffixes cut at one depth, with the number of their places.
+
+    A level lies in buckets that are sorted by the suffix's bytes, the same buckets in every level: a
+    new batch is sorted once, and meeting it with a level, or merging two levels, is a merge scan of
+    sorted files that moves no row between executors. Neighbours that agree to the full depth (a common
+    prefix of ``window - spread + 1`` bytes) are the long matches. Two levels of one size merge into one
+    of twice the size before the next batch comes, so a suffix is rewritten once for each doubling of
+    the index. Levels stay until :meth:`close`; later batches may be added at any time before.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
-        self.matches: DataFrame | None = None
+        self.found: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        """Index ``suffixes(key)``, one row a suffix."""
+        """Index ``suffixes(suffix, key)``, one row a suffix."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * size, frozen(a.union(b).groupBy("key").agg(F.sum("count").alias("count")), "level")))
-        batch = frozen(suffixes.groupBy("key").count(), "level")
-        found = batch.where("count > 1").select("key")
+            both = a.withColumnsRenamed({"key": "ka", "places": "pa"}).join(b.hint("merge"), "suffix", "full_outer")
+            merged = both.select("suffix", F.coalesce("ka", "key").alias("key"), (F.coalesce("pa", F.lit(0)) + F.coalesce("places", F.lit(0))).alias("places"))
+            self.levels.append((2 * size, bucketed(merged, "suffix", "level")))
+            release(a, b)
+        batch = bucketed(suffixes.groupBy("suffix").agg(F.first("key").alias("key"), F.count("*").alias("places")), "suffix", "level")
+        met = batch.where("places > 1").select("key")
         for _, level in self.levels:
-            found = found.union(batch.select("key").join(level.select("key"), "key"))
-        self.matches = found if self.matches is None else self.matches.union(found)
+            met = met.union(batch.join(level.select("suffix").hint("merge"), "suffix", "left_semi").select("key"))
+        self.found.append(frozen(met, "met"))
         self.levels.append((1, batch))
 
+    def matches(self) -> DataFrame:
+        """``(key)`` of all suffixes met more than once."""
+        found = self.found[0]
+        for more in self.found[1:]:
+            found = found.union(more)
+        return found.distinct()
+
+    def close(self) -> None:
+        release(*(level for _, level in self.levels), *self.found)
+        self.levels, self.found = [], []
+
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spread: int = SPREAD, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spread: int = SPREAD, batches: int = BATCHES, family: LevelFamily | None = None) -> DataFrame:
     """``(doc_id, text, spans)`` for all rows: spans, a flat list [from, to, ...] of byte numbers, null where none.
 
     Covered is each byte in a ``window``-byte string that also starts at any other place, in the same
     document or another. Texts are UTF-8; a null or short one has no windows; matches never cross
-    rows. A repeated row is another place. An empty table gives an empty result.
+    rows. A repeated row is another place. Null ids are ordinary rows. An empty table gives an empty
+    result. An index may hold ``spread`` up to 512 and below ``window``, else this raises.
 
-    The suffixes that are indexed are sampled by content, one in any ``spread`` at least, so a match of
-    ``window`` bytes always holds one together with ``window - spread + 1`` bytes after it. They are
-    sorted by a fingerprint of these bytes: a merge scan only has to bring equal ones together.
+    The suffix arrays are sparse and cut: of any ``spread`` neighbouring suffixes one at least is indexed, chosen by
+    content, so a match of ``window`` bytes always holds one together with ``window - spread + 1``
+    bytes after it, to which depth suffixes are sorted. ``family`` (default: one of this call, closed at
+    its end) holds the index; one given stays open.
     """
-    texts = identified(docs, id_col, text_col)
-    anchors = frozen(long_texts(texts).where(F.col("text").isNotNull()).mapInPandas(_anchors(window, spread), ANCHORS), "anchors")
-    family = LevelFamily()
+    if not 0 < spread < window or spread > MOST:
+        raise ValueError(f"spread must lie below window, and be {MOST} at most")
+    held = numbered(docs, id_col, text_col)
+    parts = parts_of(held, window)
+    anchors = frozen(parts.mapInArrow(_anchors(window, spread, batches), ANCHORS), "anchors")
+    index = family or LevelFamily()
     for b in range(batches):
-        family.add(anchors.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b).select("key"))
-    shared = frozen(family.matches.distinct(), "shared")
-    matched = windows_matched(anchors, shared, texts, window, units, elsewhere=True, spent=tuple(level for _, level in family.levels))
-    return with_spans(docs, frozen(spans_of(matched, window), "spans"), id_col, text_col)
+        index.add(anchors.where(F.col("batch") == b).select("suffix", "key"))
+    shared = frozen(index.matches(), "shared")
+    if family is None:
+        index.close()
+    matched = windows_matched(anchors, shared, parts, window, units, elsewhere=True)
+    spans = frozen(spans_of(matched, window), "spans")
+    release(matched)
+    return with_spans(held, spans)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left; they may end inside a character)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            raw = [t.encode() if t is not None else b"" for t in frame["text"]]
-            kept = [b"".join(cut(x, s)) for x, s in zip(raw, frame["spans"])]
+            raw = [t if t is not None else b"" for t in frame.column("text").cast(pa.binary()).to_pylist()]
+            spans = frame.column("spans").to_pylist()
+            kept = [b"".join(cut(x, s)) for x, s in zip(raw, spans)]
             n = np.array([len(x) for x in raw], np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": n, "n_removed": n - np.array([len(x) for x in kept], np.int64), "n_spans": [len(s) // 2 if s is not None else 0 for s in frame["spans"]], "kept": kept})
+            n_removed = n - np.array([len(x) for x in kept], np.int64)
+            n_spans = np.array([len(s) // 2 if s is not None else 0 for s in spans], np.int64)
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(n), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return repeated_spans(docs, id_col, text_col, **options).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return long_texts(repeated_spans(docs, id_col, text_col, **options)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-__all__ = ["LevelFamily", "removed", "repeated_spans", "mixed"]
+__all__ = ["LevelFamily", "removed", "repeated_spans"]

@@ -74,8 +74,16 @@ def test_license_scan(spark):
     by = {r.doc_id: [(m.template, m.word) for m in r.matches] for r in got}
     assert len(got) == 9 and by[1] == [("MIT", 60)] and by[3] == by[4] == by[5] == by[8] == [] and by[6] == [("MIT", 0)] and by[7] == [("MIT", 0), ("MIT", 65)]
     assert ("Apache-2.0-header", 60) in by[2]
-    with pytest.raises(ValueError):
-        licenses.scan(spark.createDataFrame([], "doc_id bigint, text string"), [("x", "w " * 200_001)])
+    passes = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), at_once=30).collect()
+    assert sorted(map(str, passes)) == sorted(map(str, got))
+
+
+def test_a_full_license_with_changes_is_found(spark):
+    words = licenses.TEMPLATES["MIT-full"].split()
+    words[30:32] = ["other", "words", "here"]
+    rows = [((1 << 53) + 1, "x " * 500 + " ".join(words) + " y" * 500), (None, "\t".join(words[3:])), ((1 << 63) - 1, " ".join(words[80:]))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, [m.word for m in r.matches if m.template == "MIT-full"]) for r in got] == [(rows[0][0], [500]), (None, [0]), (rows[2][0], [])]
 
 
 def test_each_kind_of_license_line_is_found(spark):
