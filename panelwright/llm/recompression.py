@@ -1,11 +1,12 @@
-"""Substring dedup by recompression: Spark rounds name words, runs and pairs; shared symbols reveal long repeats.
-
-The corpus is a table of blocks, each with the symbols of some documents. A round lists what each
-block wants named (words at first, then runs of a symbol or pairs of symbols), Spark groups these
-over all blocks, gives each one name, and joins the names back. A name so stands for one sequence of
-words and for no other; nothing is hashed. What only one document has gets no name: no window over
-it can repeat, so it and the windows that need it drop out, and after a few rounds only text with a
-counterpart elsewhere is left to be compressed.
+"""Substring dedup by recompression: Spark rounds name runs and pairs; shared symbols reveal long repeats.
+
+The corpus is a table of blocks, each with the symbols of some documents, words at first, which go
+by 61 bits of a keyed hash. A round lists what each block wants named (runs of a symbol or pairs of
+symbols), Spark groups these over all blocks, gives each one name, and joins the names back: equal
+runs and pairs have one name everywhere, different ones never. What only one document has gets no
+name: no window over it can repeat, so it and the windows that need it drop out, and after a few
+rounds only text with a counterpart elsewhere is left to be compressed. Windows then meet by their
+highest symbol, and are compared by all their words.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PART, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
+from .repeats import PART, PRIME, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
 from .store import frozen, long_texts, release
 
 WINDOW = 50
-ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair", "pair")
+ROUNDS = ("pair", "run", "pair", "pair", "pair", "pair", "pair")  #: seven at most, as names hold the round in three bits
 BLOCK = 1 << 17  #: words of a block, less where its last document ends
 _FAR = 1 << 30
 _META = "rows array<long>, docs array<long>, parts array<int>, n array<int>"
-_STATE = f"block long, {_META}, name binary, low binary, high binary, live binary, first binary, count binary, anchor binary, source binary"
-_ASKS = "block long, idx int, l long, r long, a long, b long"
-_ARRAYS = {"name": np.int64, "low": np.int32, "high": np.int32, "live": np.uint8, "first": np.int32, "count": np.int32, "anchor": np.int64, "source": np.int32}
+_STATE = f"block long, {_META}, word binary, name binary, low binary, high binary, live binary, first binary, count binary, anchor binary, source binary"
+_ASKS = "block long, idx int, l long, r long, several boolean"
+_ARRAYS = {"word": np.int64, "name": np.int64, "low": np.int32, "high": np.int32, "live": np.uint8, "first": np.int32, "count": np.int32, "anchor": np.int64, "source": np.int32}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,6 +37,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, by a keyed hash."""
     if not words:
         return np.empty(0, np.uint64)
     held = np.empty(len(words), object)
@@ -56,7 +58,7 @@ def _grouped(l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 class Block:
     """Symbols of one block with the range [low, high) of words that settles each, and its windows' anchors.
 
-    Positions count the words of all parts in order with one place between parts, which no symbol
+    ``word`` has the names of the words, by position, as long as a live window holds them. Positions count the words of all parts in order with one place between parts, which no symbol
     holds. Two places with equal words over a symbol's range have the same symbol there: every look at
     a neighbour widens the range by the neighbour's. Name 0 stands where text has dropped out.
 
@@ -66,7 +68,7 @@ class Block:
     """
 
     def __init__(self, docs: np.ndarray, n: np.ndarray, window: int, **arrays: np.ndarray):
-        self.docs, self.n, self.window = docs, n, window
+        self.docs, self.n, self.window, self.fresh = docs, n, window, False
         self.start = np.cumsum(n + 1) - (n + 1)
         self.size = int((n + 1).sum())
         for key, value in arrays.items():
@@ -74,19 +76,29 @@ class Block:
 
     @classmethod
     def of_words(cls, docs: np.ndarray, n: np.ndarray, window: int, named: np.ndarray) -> Block:
-        """``named``: one name a word, 0 where the word has none."""
+        """``named``: a name above 0 for each word."""
         block = cls(docs, n, window)
-        names = np.zeros(block.size, np.int64)
-        names[ranges(block.start, n)] = named
-        gone = np.concatenate(([0], np.cumsum(names == 0)))
-        live = np.zeros(block.size, bool)
-        live[: max(block.size - window + 1, 0)] = gone[window:] == gone[:-window]
-        at, none = np.arange(block.size), np.empty(0, np.int32)
-        block.name, block.low, block.high, block.live = names, np.where(names == 0, -_FAR, at), np.where(names == 0, _FAR, at + 1), live
+        block.word = np.zeros(block.size, np.int64)
+        block.word[ranges(block.start, n)] = named
+        gone = np.concatenate(([0], np.cumsum(block.word == 0)))
+        block.live = np.zeros(block.size, bool)
+        block.live[: max(block.size - window + 1, 0)] = gone[window:] == gone[:-window]
+        none = np.empty(0, np.int32)
         block.first, block.count, block.anchor, block.source = none, none, np.empty(0, np.int64), none
-        block._drop()
+        block._symbols_of_words()
         return block
 
+    def _symbols_of_words(self) -> None:
+        at, empty = np.arange(self.size), self.word == 0
+        self.name, self.low, self.high, self.fresh = self.word, np.where(empty, -_FAR, at), np.where(empty, _FAR, at + 1), True
+        self._drop()
+
+    def _held(self) -> np.ndarray:
+        """Positions in some live window."""
+        total = np.concatenate(([0], np.cumsum(self.live)))
+        at = np.arange(self.size)
+        return total[at + 1] > total[np.maximum(at - self.window + 1, 0)]
+
     def places(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What round k wants named: first and last symbol of each place, and the two parts of its name."""
         name = self.name
@@ -102,14 +114,14 @@ class Block:
     def _bits(self, k: int) -> np.ndarray:
         return (mixed(self.name.view(np.uint64) + np.uint64((k + 1) * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(63)).astype(bool)
 
-    def asks(self, kind: str, k: int) -> tuple[np.ndarray, ...]:
-        """The distinct places: both parts of the name, and the least and the most doc that has it."""
+    def asks(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct places: both parts of the name, and whether several documents of the block have it."""
         first, _, l, r = self.places(kind, k)
         if not len(first):
-            return l, r, l, l
+            return l, r, np.empty(0, bool)
         _, order, begin = _grouped(l, r)
         doc = self.docs[np.searchsorted(self.start, self.low[first], "right") - 1][order]
-        return l[order][begin], r[order][begin], np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
+        return l[order][begin], r[order][begin], np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
 
     def replace(self, kind: str, k: int, idx: np.ndarray, names: np.ndarray) -> None:
         """Put the names that Spark gave to the distinct places ``idx``; a place without one drops out."""
@@ -117,7 +129,7 @@ class Block:
         group, _, begin = _grouped(l, r)
         given = np.zeros(len(begin), np.int64)
         given[idx] = names
-        low, high, n = self.low, self.high, len(self.name)
+        low, high, n, self.fresh = self.low, self.high, len(self.name), False
         if kind == "run":  # a symbol has seen both its neighbours
             low, high = np.minimum(low, np.append(-_FAR, low[:-1])), np.maximum(high, np.append(high[1:], _FAR))
         else:
@@ -177,15 +189,23 @@ class Block:
         self.high = np.where(useful, self.high[keep], _FAR).astype(np.int32)
 
     def packed(self) -> dict[str, bytes]:
-        return {k: (np.packbits(self.live) if k == "live" else getattr(self, k).astype(t)).tobytes() for k, t in _ARRAYS.items()}
+        """The arrays as bytes; before the first round the symbols are the words, and left out."""
+        arrays = {k: getattr(self, k) for k in _ARRAYS} | {"live": np.packbits(self.live), "word": self.word[self._held()]}
+        if self.fresh:
+            arrays |= {k: self.name[:0] for k in ("name", "low", "high")}
+        return {k: arrays[k].astype(t).tobytes() for k, t in _ARRAYS.items()}
 
     @classmethod
     def of_row(cls, frame: pa.RecordBatch, i: int, window: int) -> Block:
         docs, n = (frame.column(c)[i].values.to_numpy() for c in ("docs", "n"))
-        arrays = {k: np.frombuffer(frame.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items() if k in frame.schema.names}
-        block = cls(docs, n, window, **arrays)
-        if "live" in arrays:
+        block = cls(docs, n, window, **{k: np.frombuffer(frame.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items() if k in frame.schema.names})
+        if "live" in frame.schema.names:
             block.live = np.unpackbits(block.live, count=block.size).astype(bool)
+        if "word" in frame.schema.names:
+            held, block.word = block.word, np.zeros(block.size, np.int64)
+            block.word[block._held()] = held
+            if "name" in frame.schema.names and not len(block.name) and len(held):
+                block._symbols_of_words()
         return block
 
 
@@ -193,28 +213,26 @@ _META_COLUMNS = ("rows", "docs", "parts", "n")
 
 
 def _blocks(window: int):
-    """Texts to blocks: the words of a block in order of appearance, and for each word place its number among them."""
-    schema = pa.schema([("rows", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("least", pa.list_(pa.int64())), ("most", pa.list_(pa.int64()))])
-
-    def block(held: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
-        rows, docs, parts, words = zip(*held)
-        n = np.array([len(w) for w in words])
-        every = np.empty(int(n.sum()), object)
-        every[:] = [w for part in words for w in part]
-        codes, distinct = pd.factorize(every)
-        order = np.argsort(codes, kind="stable")
-        begin = np.flatnonzero(np.diff(codes[order], prepend=-1))
-        doc = np.repeat(np.array(docs, np.int64), n)[order]
-        values = (rows, docs, parts, n.tolist(), codes.astype(np.int32).tobytes(), distinct.tolist(), np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin))
-        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, schema)], schema=schema)
+    """Texts to blocks of words."""
+
+    def block(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows, docs, parts, names = zip(*held)
+        n = np.array([len(x) for x in names])
+        made = Block.of_words(np.array(docs, np.int64), n, window, np.concatenate(names))
+        lists = [pa.array([list(v)], pa.list_(t)) for v, t in zip((rows, docs, parts, n.tolist()), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        arrays = {k: pa.array([v], pa.binary()) for k, v in made.packed().items()}
+        return pa.RecordBatch.from_arrays([*lists, *arrays.values()], [*_META_COLUMNS, *arrays])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for frame in frames:
             for row, doc, text in zip(frame.column("row").to_pylist(), frame.column("doc").to_pylist(), frame.column("text").to_pylist()):
                 words = words_of(text)
-                for part in range(-(-max(len(words) - window + 1, 0) // PART)):
-                    held.append((row, doc, part, words[part * PART : (part + 1) * PART + window - 1]))
+                if len(words) < window:
+                    continue
+                names = (word_hashes(words) % np.uint64(PRIME - 1) + np.uint64(1)).view(np.int64)
+                for part in range(-(-(len(words) - window + 1) // PART)):
+                    held.append((row, doc, part, names[part * PART : (part + 1) * PART + window - 1]))
                     total += len(held[-1][3])
                     if total >= BLOCK:
                         yield block(held)
@@ -225,116 +243,82 @@ def _blocks(window: int):
     return run
 
 
-def _state(make) -> object:
-    """A step over rows of a block table and the names given to its distinct places, to the rows of the next state."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for i in range(frame.num_rows):
-                got = frame.column("got")[i]
-                idx, names = (np.empty(0, np.int64),) * 2 if not got.is_valid else (got.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("idx", "name"))
-                block = make(frame, i, idx, names)
-                values = {"block": frame.column("block").slice(i, 1), **{c: frame.column(c).slice(i, 1) for c in _META_COLUMNS}, **{k: pa.array([v], pa.binary()) for k, v in block.packed().items()}}
-                yield pa.RecordBatch.from_arrays(list(values.values()), list(values))
-
-    return run
-
-
-def _given(asks: DataFrame, parts: list[str], k: int) -> DataFrame:
-    """``(block, got)``: one name over all blocks for what two documents at least ask for: the number of its first asker."""
-    first = F.min(F.lit(k << 59).bitwiseOR(F.shiftleft(F.col("block"), 18)).bitwiseOR(F.col("idx").cast("long"))) + 1
-    rules = asks.groupBy(*parts).agg(first.alias("name"), F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select(*parts, "name")
-    answers = asks.select("block", "idx", *parts).join(rules.hint("merge"), parts)
+def _given(asks: DataFrame, k: int) -> DataFrame:
+    """``(block, got)``: one name over all blocks for what two documents at least may ask for: the number of its first asker."""
+    number = F.lit(1 << 62 | k << 59).bitwiseOR(F.shiftleft(F.col("block"), 18)).bitwiseOR(F.col("idx").cast("long"))
+    rules = asks.groupBy("l", "r").agg(F.min(number).alias("name"), F.count("*").alias("askers"), F.max("several").alias("several")).where("askers > 1 or several").select("l", "r", "name")
+    answers = asks.select("block", "idx", "l", "r").join(rules.hint("merge"), ["l", "r"])
     return answers.groupBy("block").agg(F.collect_list(F.struct("idx", "name")).alias("got"))
 
 
-def compressed(held: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Block tables after the naming of words and after the last round."""
+def compressed(held: DataFrame, window: int) -> DataFrame:
+    """The block table after the last round."""
     number = F.monotonically_increasing_id()  # a partition's number, and 14 bits for its blocks
     short = F.when(number.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 14, F.shiftright(number, 33) * (1 << 14) + number.bitwiseAND(F.lit((1 << 14) - 1)))
-    schema = f"{_META}, codes binary, words array<binary>, least array<long>, most array<long>"
-    blocks = held.where("text is not null").select("row", "doc", "text").mapInArrow(_blocks(window), schema)
-    blocks = frozen(blocks.withColumn("block", F.coalesce(short, F.raise_error(F.lit("a partition holds too many blocks")).cast("long"))), "blocks")
-    zipped = F.posexplode(F.arrays_zip("words", "least", "most")).alias("idx", "x")
-    asks = blocks.select("block", zipped).select("block", "idx", F.col("x.words").alias("word"), F.col("x.least").alias("a"), F.col("x.most").alias("b"))
-
-    def begin(frame: pa.RecordBatch, i: int, idx: np.ndarray, names: np.ndarray) -> Block:
-        plain = Block.of_row(frame, i, window)
-        codes = np.frombuffer(frame.column("codes")[i].as_buffer(), np.int32)
-        given = np.zeros(len(codes), np.int64)
-        given[idx] = names
-        return Block.of_words(plain.docs, plain.n, window, given[codes])
-
-    source = blocks.select("block", *_META_COLUMNS, "codes").join(_given(asks, ["word"], 0).hint("merge"), "block", "left")
-    words = state = frozen(source.mapInArrow(_state(begin), _STATE), "words")
-    release(blocks)
+    blocks = held.where("text is not null").select("row", "doc", "text").mapInArrow(_blocks(window), _STATE.split(", ", 1)[1])
+    state = frozen(blocks.withColumn("block", F.coalesce(short, F.raise_error(F.lit("a partition holds too many blocks")).cast("long"))), "words")
     for k, kind in enumerate(ROUNDS, 1):
 
         def ask(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for i, block in enumerate(frame.column("block").to_pylist()):
-                    l, r, a, b = Block.of_row(frame, i, window).asks(kind, k)
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(l), block, np.int64), "idx": np.arange(len(l), dtype=np.int32), "l": l, "r": r, "a": a, "b": b})
+                    l, r, several = Block.of_row(frame, i, window).asks(kind, k)
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(l), block, np.int64), "idx": np.arange(len(l), dtype=np.int32), "l": l, "r": r, "several": several})
 
-        def step(frame: pa.RecordBatch, i: int, idx: np.ndarray, names: np.ndarray, kind: str = kind, k: int = k) -> Block:
-            block = Block.of_row(frame, i, window)
-            block.replace(kind, k, idx, names)
-            return block
-
-        asks = frozen(state.select("block", "docs", "n", "name", "low").mapInArrow(ask, _ASKS), "asks")
-        after = frozen(state.join(_given(asks, ["l", "r"], k).hint("merge"), "block", "left").mapInArrow(_state(step), _STATE), "round")
-        release(asks, *([] if state is words else [state]))
+        def step(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for i in range(frame.num_rows):
+                    got = frame.column("got")[i]
+                    idx, names = (np.empty(0, np.int64),) * 2 if not got.is_valid else (got.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("idx", "name"))
+                    block = Block.of_row(frame, i, window)
+                    block.replace(kind, k, idx, names)
+                    values = {c: frame.column(c).slice(i, 1) for c in ("block", *_META_COLUMNS)} | {c: pa.array([v], pa.binary()) for c, v in block.packed().items()}
+                    yield pa.RecordBatch.from_arrays(list(values.values()), list(values))
+
+        asks = state.select("block", "docs", "n", "word", "live", "name", "low", "high").mapInArrow(ask, _ASKS)
+        after = frozen(state.join(_given(asks, k).hint("merge"), "block", "left").mapInArrow(step, _STATE), "round")
+        release(state)
         state = after
-    return words, state
+    return state
 
 
-_ANCHORS = "row long, doc long, key long, s1 long, s2 long, at int, n int"
+_ANCHORS = "row long, doc long, key long, s1 long, s2 int, at int, n int"
 
 
-def _anchors(words: DataFrame, last: DataFrame, window: int) -> DataFrame:
+def _anchors(state: DataFrame, window: int) -> DataFrame:
     """The segments of all windows that may repeat, with the hash pair of their words' names."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for i in range(frame.num_rows):
                 block = Block.of_row(frame, i, window)
-                names = _word_names(block, np.frombuffer(frame.column("word_name")[i].as_buffer(), np.int64), np.frombuffer(frame.column("word_low")[i].as_buffer(), np.int32))
                 rest = block.live.copy()
                 rest[ranges(block.first, block.count)] = False
                 alone = np.flatnonzero(rest)
                 first = np.concatenate((block.first, alone)).astype(np.int64)
                 n = np.concatenate((block.count, np.ones(len(alone), np.int32)))
-                key = np.concatenate((block.anchor, names[alone]))
-                s1, s2 = RangeHash(names.view(np.uint64))(first, first + n + window - 1)
+                key = np.concatenate((block.anchor, block.word[alone]))
+                s1, s2 = RangeHash(block.word.view(np.uint64))(first, first + n + window - 1)
                 part = np.searchsorted(block.start, first, "right") - 1
                 rows, parts = (frame.column(c)[i].values.to_numpy() for c in ("rows", "parts"))
                 at = parts[part].astype(np.int64) * PART + first - block.start[part]
-                yield pa.RecordBatch.from_pydict({"row": rows[part], "doc": block.docs[part], "key": key, "s1": s1, "s2": s2, "at": at.astype(np.int32), "n": n.astype(np.int32)})
-
-    both = last.join(words.select("block", F.col("name").alias("word_name"), F.col("low").alias("word_low")).hint("merge"), "block")
-    return both.mapInArrow(run, _ANCHORS)
-
+                yield pa.RecordBatch.from_pydict({"row": rows[part], "doc": block.docs[part], "key": key, "s1": s1, "s2": s2.astype(np.int32), "at": at.astype(np.int32), "n": n.astype(np.int32)})
 
-def _word_names(block: Block, name: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Names by position; 0 where no window that may repeat lies."""
-    names = np.zeros(block.size, np.int64)
-    names[low[name != 0]] = name[name != 0]
-    return names
+    return state.mapInArrow(run, _ANCHORS)
 
 
-def _parts(words: DataFrame, window: int) -> DataFrame:
-    """``(row, part, data)``: the names of the words of each part."""
+def _parts(state: DataFrame, window: int) -> DataFrame:
+    """``(row, part, data)``: the names of the words of each part, 0 where no window that may repeat lies."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for i in range(frame.num_rows):
                 block = Block.of_row(frame, i, window)
-                names = _word_names(block, block.name, block.low)
                 rows, parts = (frame.column(c)[i].values for c in ("rows", "parts"))
-                data = [names[s : s + n].tobytes() for s, n in zip(block.start.tolist(), block.n.tolist())]
+                data = [block.word[s : s + n].tobytes() for s, n in zip(block.start.tolist(), block.n.tolist())]
                 yield pa.RecordBatch.from_arrays([rows, parts, pa.array(data, pa.binary())], ["row", "part", "data"])
 
-    return words.select("rows", "docs", "parts", "n", "name", "low").mapInArrow(run, "row long, part int, data binary")
+    return state.select("rows", "docs", "parts", "n", "word", "live").mapInArrow(run, "row long, part int, data binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -346,13 +330,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null; rows of one id never remove from one another. An empty table gives an empty result.
     """
     held = numbered(docs, id_col, text_col)
-    words, last = compressed(held, window)
-    anchors = frozen(_anchors(words, last, window), "anchors")
-    release(last)
+    state = compressed(held, window)
+    anchors = frozen(_anchors(state, window), "anchors")
     shared = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    matched = windows_matched(anchors, frozen(shared, "shared"), _parts(words, window), window, lambda data: np.frombuffer(data, np.uint64), elsewhere=False)
+    matched = windows_matched(anchors, frozen(shared, "shared"), _parts(state, window), window, lambda data: np.frombuffer(data, np.uint64), elsewhere=False)
     spans = frozen(spans_of(matched, window), "spans")
-    release(matched, words)
+    release(matched, state)
     return with_spans(held, spans)
 
 

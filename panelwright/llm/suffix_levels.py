@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import MOST, PART, RangeHash, cut, mixed, numbered, spans_of, windows_matched, with_spans
+from .repeats import MOST, PART, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
 from .store import bucketed, frozen, long_texts, release
 
 WINDOW = 200
-SPREAD = 144  #: of this many neighbouring suffixes one is indexed at least
+SPREAD = 80  #: of this many neighbouring suffixes one is indexed at least
 GRAM = 24  #: bytes whose hash decides which
 BATCHES = 4
+BATCH = 1 << 18  #: bytes whose suffixes are chosen at once
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
 _held: dict[int, np.ndarray] = {}
-ANCHORS = "row long, batch int, key long, s1 long, s2 long, at int, n int, suffix binary"
+ANCHORS = "row long, batch int, key long, s1 long, s2 int, at int, n int, suffix binary"
 
 
 def units(data: bytes) -> np.ndarray:
@@ -45,47 +46,57 @@ def grams_of(raw: np.ndarray, length: int) -> np.ndarray:
     return mixed((sums[length:] - sums[:n]) * inverse[:n])
 
 
-def segments(raw: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
-    """Indexed suffixes of one part: the leftmost least gram among the first ``spread`` of each window.
+def segments(raw: np.ndarray, offset: np.ndarray, length: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
+    """Indexed suffixes of parts that lie end to end: the leftmost least gram among the first ``spread`` of each window.
 
-    Returns the first window start and number of windows of each, where the suffix starts, and the
-    hash pair of all bytes that its windows hold.
+    Returns the part, the first window start and number of windows of each, where the suffix starts, and
+    the hash pair of all bytes that its windows hold.
     """
-    starts = len(raw) - window + 1
     gram = min(GRAM, window - spread + 1)
-    grams = grams_of(raw, gram)[: starts + spread - 1]
+    grams = grams_of(raw, gram)
     best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach = 1
     while reach < spread:
         step = min(reach, spread - reach)
         best = np.minimum(best[:-step], best[step:])
         reach += step
-    chosen = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    count = np.diff(np.append(first, starts))
-    s1, s2 = RangeHash(raw.astype(np.uint64) + np.uint64(1))(first, first + count + window - 1)
-    return first, count, chosen[first], s1, s2
+    count = length - window + 1
+    start, part = ranges(offset, count), np.repeat(np.arange(len(offset)), count)
+    chosen = (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1]))))
+    n = np.diff(np.append(at, len(start)))
+    first = start[at]
+    s1, s2 = RangeHash(raw.astype(np.uint64) + np.uint64(1))(first, first + n + window - 1)
+    return part[at], first, n, chosen[at], s1, s2
 
 
 def _anchors(window: int, spread: int, batches: int):
     depth = window - spread + 1
 
+    def indexed(rows: np.ndarray, parts: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        length = np.array([len(d) for d in data], np.int64)
+        offset = np.cumsum(length) - length
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        part, first, n, suffix, s1, s2 = segments(raw, offset, length, window, spread)
+        bytes_ = np.lib.stride_tricks.sliding_window_view(raw, depth)[suffix]
+        words = np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -depth % 8)))).view(np.uint64)
+        key = mixed(words * _PLACE[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
+        ends = pa.py_buffer(np.arange(0, (len(first) + 1) * depth, depth, dtype=np.int32))
+        return pa.RecordBatch.from_pydict(
+            {
+                "row": rows[part], "batch": (mixed(rows.view(np.uint64)) % np.uint64(batches)).astype(np.int32)[part], "key": key.view(np.int64), "s1": s1, "s2": s2.astype(np.int32),
+                "at": (first - offset[part] + parts[part].astype(np.int64) * PART).astype(np.int32), "n": n.astype(np.int32), "suffix": pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(bytes_))]),
+            }
+        )
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for row, part, data in zip(frame.column("row").to_numpy(), frame.column("part").to_numpy(), frame.column("data")):
-                raw = np.frombuffer(data.as_py(), np.uint8)
-                if len(raw) < window:
-                    continue
-                first, count, suffix, s1, s2 = segments(raw, window, spread)
-                bytes_ = np.lib.stride_tricks.sliding_window_view(raw, depth)[suffix]
-                key = mixed(np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -depth % 8)))).view(np.uint64) * _PLACE[: -(-depth // 8)]).sum(axis=1, dtype=np.uint64)
-                n = len(first)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "row": np.full(n, row, np.int64), "batch": np.full(n, int(mixed(np.array([row], np.uint64))[0]) % batches, np.int32), "key": key.view(np.int64), "s1": s1, "s2": s2,
-                        "at": (first + part * PART).astype(np.int32), "n": count.astype(np.int32), "suffix": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * depth, depth, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bytes_))]),
-                    }
-                )
+            rows, parts, data = frame.column("row").to_numpy(), frame.column("part").to_numpy(), frame.column("data").to_pylist()
+            ends = np.cumsum([len(d) for d in data]) // BATCH  # some parts at a time, of BATCH bytes together or one longer part
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(data)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    yield indexed(rows[i:j], parts[i:j], data[i:j])
 
     return run
 
@@ -100,6 +111,11 @@ def parts_of(held: DataFrame, window: int) -> DataFrame:
         for frame in frames:
             rows, numbers, data = [], [], []
             for row, text in zip(frame.column("row").to_pylist(), frame.column("text").cast(pa.binary()).to_pylist()):
+                if window <= len(text) < PART + window:
+                    rows.append(row)
+                    numbers.append(0)
+                    data.append(text)
+                    continue
                 for k in range(-(-max(len(text) - window + 1, 0) // PART)):
                     rows.append(row)
                     numbers.append(k)

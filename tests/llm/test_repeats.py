@@ -114,7 +114,7 @@ def test_equal_windows_give_equal_anchors():
         block = recompression.Block.of_words(np.array([trial]), np.array([len(words)]), 50, words)
         names = words.copy()
         for k, kind in enumerate(recompression.ROUNDS, 1):
-            l, r, _, _ = block.asks(kind, k)
+            l, r, _ = block.asks(kind, k)
             given = np.array([table.setdefault((k, a, b), len(table) + 1000) for a, b in zip(l.tolist(), r.tolist())], np.int64)
             block.replace(kind, k, np.arange(len(l)), given)
         chosen = {int(s): (int(names[s]), int(s) - len(left)) for s in np.flatnonzero(block.live)}
@@ -128,8 +128,8 @@ def test_equal_windows_give_equal_anchors():
 def test_what_one_document_has_drops_out():
     words = np.arange(1, 201)
     block = recompression.Block.of_words(np.array([7]), np.array([200]), 50, words)
-    l, r, a, b = block.asks("pair", 1)
-    assert len(l) > 20 and (a == 7).all() and (b == 7).all() and (r == l + 1).all()
+    l, r, several = block.asks("pair", 1)
+    assert len(l) > 20 and not several.any() and (r == l + 1).all()
     block.replace("pair", 1, np.empty(0, np.int64), np.empty(0, np.int64))
     assert not block.live.any() and (block.name == 0).all()
 
