@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import frozen, tasks
+from .repeats import mixed
+from .store import frozen, release, tasks
 
-TABLES = 6
+TABLES = 4
 PROBES = 3
-SCALE = 0.38  #: a lattice step as a multiple of the expected length of a unit vector's 8-dimensional projection
-CELL_ROWS = 1024  #: a cell with more rows is dealt as pairs of chunks
+SCALE = 0.45  #: a lattice step as a multiple of the expected length of a unit vector's 8-dimensional projection
+CELL_ROWS = 1024  #: a group with more rows is dealt as pairs of chunks
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,37 +78,25 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
-def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        dims = frame["vec"].map(len)
-        for dim, part in frame.groupby(dims, sort=False):
-            if dim == 0:
-                continue
-            yield from _index_rows(part, int(dim))
-
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    raw = raw.astype(np.float64)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # no overflow or underflow of squares
+    return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
-def _index_rows(every: pd.DataFrame, dim: int) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(every), 1024):  # each row becomes tables * (1 + probes) rows with its vector
-        part = every.iloc[at : at + 1024]
-        raw = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        raw /= np.abs(raw).max(axis=1, keepdims=True)  # no overflow or underflow of squares
-        unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        found = cells(unit)
-        n, tables, width = found.shape
-        table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), width), n)
-        row = np.repeat(np.arange(n), tables * width)
-        yield pd.DataFrame(
-            {
-                "label": part["label"].to_numpy()[row], "dim": np.int32(dim), "table": table, "cell": found.reshape(-1),
-                "home": np.tile(np.arange(tables * width) % width == 0, n), "node": part["node"].to_numpy()[row], "mult": part["mult"].to_numpy()[row],
-                "unit": [unit[i].tobytes() for i in row], "all": [x.tobytes() for x in found[row]],
-            }
-        )
 
-
-def _earlier(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """[pair, table]: the two share a candidate cell there (one's home among the other's cells)."""
-    return (ca[:, :, :1] == cb).any(axis=2) | (cb[:, :, :1] == ca).any(axis=2)
+def _index(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label hash, vector) -> (key, node, home) for the home cell and the probed ones of each table."""
+    for frame in frames:
+        node, label, vec = frame.column("node").to_numpy(), frame.column("lab").to_numpy(), frame.column("vec")
+        dims = vec.value_lengths().to_numpy()
+        for dim in np.unique(dims[dims > 0]).tolist():
+            every = np.flatnonzero(dims == dim)
+            for at in range(0, len(every), 2048):
+                rows = every[at : at + 2048]
+                found = cells(unit_rows(vec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
+                key = mixed(found.view(np.uint64) ^ mixed(label[rows].view(np.uint64) + np.uint64(dim))[:, None, None])
+                width = found.shape[1] * found.shape[2]
+                yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "node": np.repeat(node[rows], width), "home": np.tile(np.arange(width) % found.shape[2] == 0, len(rows))})
 
 
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -125,66 +115,95 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
+def _counted(lists: np.ndarray, homes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of rows: the least group that holds both, one of them in its home cell. Rows with one list are worked out once."""
+    _, of = np.unique(np.hstack([lists, homes.astype(np.int64)]), axis=0, return_inverse=True)
+    of = of.ravel()
+    codes, inverse = np.unique(of[i] * (of.max() + 1) + of[j], return_inverse=True)
+    place = np.empty(of.max() + 1, np.int64)
+    place[of] = np.arange(len(of))
+    a, b = place[codes // (of.max() + 1)], place[codes % (of.max() + 1)]
+    least = np.full(len(codes), np.iinfo(np.int64).max)
+    for x in range(lists.shape[1]):
+        for y in range(lists.shape[1]):
+            g = lists[a, x]
+            met = (g == lists[b, y]) & (g != _NONE) & (homes[a, x] | homes[b, y])
+            least[met] = np.minimum(least[met], g[met])
+    return least[inverse]
+
+
+_NONE = np.iinfo(np.int64).min
+
+
 def _verify(x: pd.DataFrame, cosine: float) -> list[pd.DataFrame]:
-    """Links among the rows of one cell (or of two chunks of it), each counted in one cell only."""
-    home, side, node, mult = (x[k].to_numpy() for k in ("home", "side", "node", "mult"))
-    table = int(x["table"].iloc[0])
-    unit = np.frombuffer(b"".join(x["unit"]), np.float64).reshape(len(x), -1)
-    every = np.frombuffer(b"".join(x["all"]), np.int64).reshape(len(x), TABLES, 1 + PROBES)
+    """Links among the rows of one group (or of two chunks of it), each counted in one group only."""
+    side, node, mult, group = (x[k].to_numpy() for k in ("side", "node", "mult", "gid"))
+    unit = unit_rows(np.stack(x["vec"].to_numpy()))
+    label = pd.factorize(x["label"])[0]
+    width = max(map(len, x["gids"]))
+    lists, homes = np.full((len(x), width), _NONE), np.zeros((len(x), width), bool)
+    for row, (g, h) in enumerate(zip(x["gids"], x["homes"])):
+        lists[row, : len(g)], homes[row, : len(h)] = g, h
     apart = (side == 1).any()
-    links, label = np.zeros(len(x), np.int64), np.arange(len(x))
+    links, root = np.zeros(len(x), np.int64), np.arange(len(x))
     for at in range(0, len(x), 256):
         near = unit[at : at + 256] @ unit.T >= cosine
         i, j = np.nonzero(near)
         i = i + at
-        ok = (home[i] | home[j]) & (node[i] != node[j]) & ((side[i] < side[j]) if apart else (i < j))
+        ok = (label[i] == label[j]) & (node[i] != node[j]) & ((side[i] < side[j]) if apart else (i < j))
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        _join(label, i, j)
-        shared = _earlier(every[i], every[j])
-        # where each is in the other's home cell, the home of the smaller node counts
-        a, b = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        in_home_of_a = (every[b, table] == every[a, table, :1]).any(axis=1)
-        here = every[np.where(in_home_of_a, a, b), table, 0] == x["cell"].iloc[0]
-        first = here & ~shared[:, :table].any(axis=1)
+        least = _counted(lists, homes, i, j)
+        met = least < np.iinfo(np.int64).max  # two visitors of a cell are no candidates there
+        _join(root, i[met], j[met])
+        first = least == group[0]
         np.add.at(links, i[first], mult[j[first]])
         np.add.at(links, j[first], mult[i[first]])
-    touched = (links > 0) | (label != np.arange(len(x)))
-    return [pd.DataFrame({"node": node[touched], "links": links[touched], "root": node[label[touched]]})] if touched.any() else []
+    touched = (links > 0) | (root != np.arange(len(x)))
+    return [pd.DataFrame({"node": node[touched], "links": links[touched], "root": node[root[touched]]})] if touched.any() else []
 
 
 def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` -> one row each: vec_id, n_links, component_id, kept.
 
-    Vectors link at equal, non-null labels and a cosine (double precision) of at least ``cosine``.
-    Equal vectors of a label are one class with a multiplicity, so copies are never paired off. Each
+    Vectors link at equal, non-null labels (of any type that has equality) and a cosine (double precision) of at least
+    ``cosine``. Equal vectors of a label are one class with a multiplicity, so copies are never paired off. Each
     class enters its home cell of TABLES random E8 lattices and visits the PROBES neighbouring cells
-    nearest to it; rows of a cell are verified by exact cosine, and a pair is counted in the first
-    cell in which it meets. A cell over CELL_ROWS rows is dealt as pairs of chunks over many tasks,
-    all of them. What a cell sends on is a count and a spanning edge per row, never its pairs.
+    nearest to it; a pair is a candidate where one is at home. Only (cell, class, home) is shuffled at first.
+    Cells with a single class, or none at home, are done with; cells of the same members, as a close
+    cluster has in every table, are one group. Vectors go to the groups that are left, once to each, and
+    are verified by exact cosine; a pair is counted in the least group in which it is a candidate. A group
+    over CELL_ROWS rows is dealt as pairs of chunks over many tasks, all of them. What a group sends
+    on is a count and a spanning edge per row, never its pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a
     label, link with nothing (component: themselves). Vectors of different lengths never link.
-    Repeated rows count as rows of their own. An empty table gives an empty result.
+    Repeated rows count as rows of their own. An empty table gives an empty result; other columns are ignored.
     """
     base = vectors.select("vec_id", "embedding", "label")
     fine = F.col("label").isNotNull() & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(fine, F.lit(False))
     classes = base.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
     classes = frozen(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    schema = "label int, dim int, table int, cell long, home boolean, node long, mult long, unit binary, all binary"
-    label_id = classes.select(F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("vec"), "node", "mult")
-    rows = frozen(label_id.mapInPandas(_index, schema), "cells")
-    keys = ["label", "dim", "table", "cell"]
-    big = frozen(rows.groupBy(*keys).count().where(F.col("count") > CELL_ROWS).withColumn("__k", F.ceil(F.col("count") / CELL_ROWS).cast("int")).drop("count"), "big")
+    narrow = classes.schema["embedding"].dataType.simpleString() == "array<float>"
+    vec = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+    index = frozen(classes.select("node", F.xxhash64("label").alias("lab"), vec.alias("vec")).mapInArrow(_index, "key long, node long, home boolean"), "index")
+    members = F.bit_xor(F.xxhash64("node", "home"))
+    cells_ = index.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("h"), members.alias("m")).where("c > 1 and h")
+    live = index.join(cells_.select("key", F.xxhash64("m", "c").alias("gid")).hint("merge"), "key").select("node", "gid", "home")
+    live = frozen(live.groupBy("node", "gid").agg(F.max("home").alias("home")), "live")
+    release(index)
+    big = frozen(live.groupBy("gid").count().where(F.col("count") > CELL_ROWS).withColumn("__k", F.ceil(F.col("count") / CELL_ROWS).cast("int")).drop("count"), "big")
+    lists = live.groupBy("node").agg(F.collect_list(F.struct("gid", "home")).alias("mine"))
+    rows = classes.select("node", "mult", F.to_json(F.struct("label")).alias("label"), vec.alias("vec")).join(lists, "node")
+    rows = rows.select("node", "mult", "label", "vec", F.col("mine.gid").alias("gids"), F.col("mine.home").alias("homes"), F.explode("mine.gid").alias("gid"))
     own = F.pmod(F.xxhash64("node"), F.col("__k")).cast("int")
-    dealt = rows.join(big, keys).withColumn("__own", own)
-    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    dealt = dealt.withColumns({"part": F.least("__own", "__other") * 100000 + F.greatest("__own", "__other"), "side": (F.col("__own") > F.col("__other")).cast("int")})
-    calm = rows.join(big, keys, "left_anti").withColumns({"part": F.lit(-1), "side": F.lit(0)})
-    names = [*keys, "part", "side", "home", "node", "mult", "unit", "all"]
-    every = calm.select(*names).union(dealt.select(*names)).withColumn("__g", F.xxhash64(*keys, "part"))
+    dealt = rows.join(big, "gid", "left").withColumn("__own", own)
+    dealt = dealt.withColumn("__other", F.explode(F.when(F.col("__k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__k") - 1))))
+    part = F.when(F.col("__k").isNull(), F.lit(-1)).otherwise(F.least("__own", "__other") * F.lit(1 << 20).cast("long") + F.greatest("__own", "__other"))
+    side = F.coalesce((F.col("__own") > F.col("__other")).cast("int"), F.lit(0))
+    every = dealt.withColumns({"part": part, "side": side}).withColumn("__g", F.xxhash64("gid", "part")).select("__g", "gid", "side", "node", "mult", "label", "vec", "gids", "homes")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -194,8 +213,8 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
             g = x["__g"].to_numpy()
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             stops = np.r_[starts[1:], len(g)]
-            home = np.add.reduceat(x["home"].to_numpy().astype(np.int64), starts)
-            found = [y for i, j in zip(starts[(home > 0) & (stops - starts > 1)], stops[(home > 0) & (stops - starts > 1)]) for y in _verify(x.iloc[i:j], cosine)]
+            several = stops - starts > 1
+            found = [y for i, j in zip(starts[several], stops[several]) for z in _same_length(x.iloc[i:j]) for y in _verify(z, cosine)]
             return pd.concat(found, ignore_index=True) if found else empty
 
         for frame in frames:
@@ -211,12 +230,20 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
             yield groups(rest)
 
     found = frozen(every.repartition(tasks(base.sparkSession), "__g").sortWithinPartitions("__g").mapInPandas(verify, "node long, links long, root long"), "links")
+    release(live, big)
     tree = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "least", "label", "embedding", "mult").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = frozen(named.join(counts, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("mult") - 1), "named")
+    release(found, tree, classes)
     least = frozen(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     final = frozen(named.join(least, "root").select("label", "embedding", "n_links", "component_id"), "final")
+    release(named, least)
     linked = base.where(good).join(final, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _same_length(x: pd.DataFrame) -> list[pd.DataFrame]:
+    sizes = x["vec"].map(len)
+    return [x] if sizes.nunique() == 1 else [part for _, part in x.groupby(sizes) if len(part) > 1]

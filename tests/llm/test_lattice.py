@@ -62,11 +62,10 @@ def test_against_brute_force(spark, monkeypatch, seed, limit):
 
 
 def cell(unit, side=None):
-    """Rows that share one cell in the first table and none in the others."""
+    """Rows that share one group, at home in it, and no other."""
     n = len(unit)
-    every = np.arange(n * lattice.TABLES * (1 + lattice.PROBES)).reshape(n, lattice.TABLES, -1) + 10
-    every[:, 0] = 1
-    return pd.DataFrame({"table": 0, "cell": 1, "home": True, "side": 0 if side is None else side, "node": np.arange(n) + 100, "mult": 1, "unit": [u.tobytes() for u in unit], "all": [x.tobytes() for x in every]})
+    lists = [[7, 1000 + i] for i in range(n)]
+    return pd.DataFrame({"gid": 7, "side": 0 if side is None else side, "node": np.arange(n) + 100, "mult": 1, "label": "a", "vec": list(unit), "gids": lists, "homes": [[True, True]] * n})
 
 
 def roots(frame):
@@ -128,6 +127,25 @@ def test_oddities(spark):
     assert lattice.link(df.where("false")).count() == 0
 
 
+def test_labels_of_any_type(spark):
+    v, w = [0.1, 0.2, 0.3], [0.3, -0.2, 0.1]
+    for kind, labels in (("string", ["x", "y", "x", "y", None]), ("bigint", [1 << 40, 2, 1 << 40, 2, None]), ("binary", [b"x", b"y", b"x", b"y", None])):
+        rows = [(i, e, l) for i, (e, l) in enumerate(zip([v, w, [2 * a for a in v], w, v], labels))]
+        got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.link(spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")).collect()), key=str)
+        assert got == brute(rows), kind
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_recall_at_the_threshold(dim):
+    """Pairs exactly at the cosine share a cell with one of them at home."""
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 2000, dim))
+    a = lattice.unit_rows(a)
+    b = lattice.unit_rows(b - (a * b).sum(axis=1)[:, None] * a)
+    ca, cb = lattice.cells(a), lattice.cells(0.98 * a + np.sqrt(1 - 0.98**2) * b)
+    assert ((ca[:, :, :1] == cb) | (cb[:, :, :1] == ca)).any(axis=(1, 2)).mean() > 0.998
+
+
 def test_query_recall(spark):
     from panelwright.llm.entries import SQL, op10_lattice_dedup
     import duckdb
