@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sharding import number_rows
-from .store import frozen, row_hash, without
+from .store import frozen, release, row_hash, without
 
 LEAF_ROWS = 4096  #: documents of one source that a leaf of the tree pairs
-FAN_IN = 64  #: residuals that one inner node pairs
+FAN_IN = 64  #: leaves or nodes, with one residual each, that one inner node pairs
 _MASK = (1 << 64) - 1
 
 
@@ -31,6 +32,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     ranked = number_rows(sizes, [F.col("source").isNull(), F.col("source")], "__rank")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
     table = frozen(ranked.select("source", "source_size", w.alias("__w"), (F.col("source_size") * float(most)).alias("__cap")), "targets")
+    release(ranked.written)
     level, full = 0.0, F.lit(False)
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     while True:
@@ -46,7 +48,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
             break
         full = F.col("__w") * F.lit(level) > F.col("__cap")
     target = F.when(full, F.col("__cap")).otherwise(F.col("__w") * F.lit(level))
-    return table.select("source", "source_size", target.alias("target"))
+    out = table.select("source", "source_size", target.alias("target"))
+    out.written = table
+    return out
 
 
 def _uniform(h: int) -> float:
@@ -56,82 +60,132 @@ def _uniform(h: int) -> float:
     return ((z ^ z >> 31) >> 11) * 2.0**-53
 
 
-def _pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group; within one, the fractional row so far meets the next and mass moves until one is whole.
+def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by group, cut anew so that each holds one group, which has LEAF_ROWS or FAN_IN rows at most."""
+    rest: list[pd.DataFrame] = []
+    for frame in frames:
+        group = frame["__group"].to_numpy()
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for i, j in zip(cuts, cuts[1:]):
+            part = frame.iloc[i:j]
+            if rest and rest[0]["__group"].iloc[0] != part["__group"].iloc[0]:
+                yield pd.concat(rest)
+                rest = []
+            rest.append(part)
+    if rest:
+        yield pd.concat(rest)
+
+
+def _whole(x: float) -> float:
+    return float(round(x)) if abs(x - round(x)) < 1e-9 else x
 
-    Moving d words from one row to the other keeps the group's expected words; which way it goes is
-    drawn so that each row's expected copies stay as they are. One row of a group may stay fractional.
+
+def deal(size: list[int], x: float, draw: list[float]) -> list[float]:
+    """Settle documents of one common fraction ``x``, the largest first; one of them at most stays fractional.
+
+    A document is paired with the pool of all that come after it, whose members share one fraction:
+    mass moves between the two until one is whole, which way is drawn so that every member's expected
+    copies stay as they are, and the words of document and pool together stay as they are too. So large
+    documents are settled against many small ones, and what is left is one of the smallest.
     """
-    held: list | None = None
-    for frame in frames:
-        done: list[tuple[int, float]] = []
-        for group, place, size, x, h in zip(frame["__group"], frame["__place"], frame["__size"], frame["__x"], frame["__h"]):
-            if held is not None and held[0] != group:
-                done.append((held[1], held[3]))
-                held = None
-            if not 0.0 < x < 1.0:
-                done.append((place, x))
-                continue
-            if held is None:
-                held = [group, place, size, x]
-                continue
-            wi, xi = held[2], held[3]
-            up, down = min(wi * (1 - xi), size * x), min(wi * xi, size * (1 - x))
-            if _uniform(h & _MASK) * (up + down) < down:
-                new_i, new_j = (1.0 if up == wi * (1 - xi) else xi + up / wi), (0.0 if up == size * x else x - up / size)
-            else:
-                new_i, new_j = (0.0 if down == wi * xi else xi - down / wi), (1.0 if down == size * (1 - x) else x + down / size)
-            if 0.0 < new_i < 1.0:
-                held[3] = new_i
-                done.append((place, round(new_j) if not 0.0 < new_j < 1.0 else new_j))
-            else:
-                done.append((held[1], new_i))
-                held = [group, place, size, new_j]
-                if not 0.0 < new_j < 1.0:
-                    done.append((place, new_j))
-                    held = None
-        yield pd.DataFrame(done, columns=["__place", "__x"]).astype({"__place": "int64", "__x": "float64"})
-    if held is not None:
-        yield pd.DataFrame({"__place": [held[1]], "__x": [held[3]]})
+    rest = float(sum(size))
+    mass = x * rest
+    out = []
+    for w, u in zip(size, draw):
+        rest -= w
+        if rest <= 0:
+            out.append(_whole(min(max(mass / w, 0.0), 1.0)))
+            continue
+        f = min(max(mass / (rest + w), 0.0), 1.0)
+        up, down = min(w * (1 - f), rest * f), min(w * f, rest * (1 - f))
+        if up + down > 0:
+            f += up / w if u * (up + down) < down else -down / w
+        out.append(_whole(f))
+        mass -= out[-1] * w
+    return out
+
+
+def pair(size: list[int], x: list[float], draw: list[float]) -> list[float]:
+    """Pivotal rounding of documents with fractions of their own: the fractional one so far meets the next, and words move until one is whole."""
+    out, held = list(x), None
+    for j, u in enumerate(draw):
+        if not 0.0 < out[j] < 1.0:
+            continue
+        if held is None:
+            held = j
+            continue
+        wi, xi, wj, xj = size[held], out[held], size[j], out[j]
+        up, down = min(wi * (1 - xi), wj * xj), min(wi * xi, wj * (1 - xj))
+        move = up if u * (up + down) < down else -down
+        out[held], out[j] = _whole(xi + move / wi), _whole(xj - move / wj)
+        if not 0.0 < out[held] < 1.0:
+            held = j if 0.0 < out[j] < 1.0 else None
+    return out
+
+
+def _settle(leaf: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames):
+            size, x = group["__size"].tolist(), group["__x"].tolist()
+            draw = [_uniform(h & _MASK) for h in group["__draw"].tolist()]
+            yield pd.DataFrame({"__place": group["__place"].to_numpy(np.int64), "__x": np.array(deal(size, x[0], draw) if leaf else pair(size, x, draw), float)})
+
+    return run
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, identity: Column | None = None) -> DataFrame:
     """``rows`` with columns source and size (and any others) -> plus source_size, target and copies.
 
     A row's expected copies are target / source_size of its source: the whole part is certain, the
-    fraction is settled by pivotal rounding, so a source's taken words miss its target by a part of
-    one document at most. Order and draws hang on ``identity`` alone (default: a hash of the row): a rerun agrees.
+    fraction is settled by pivotal rounding. LEAF_ROWS rows of a source at a time, in the order of a
+    hash, leave one fractional row, a small one; these meet in a tree, and the last is drawn. So a
+    source's taken words miss its target by a part of one small document. Order and draws hang on
+    ``identity`` alone (default: a hash of the row): a rerun agrees.
 
     A null size counts as 0; rows of size 0 get the certain copies alone, and none in a source without words. Null sources
-    are a source of their own. Equal rows are drawn one by one. An empty table gives an empty result.
-    Columns already called source_size, target or copies are replaced.
+    are a source of their own. Equal rows are drawn one by one, over as many leaves as they fill. An empty table gives an
+    empty result. Columns already called source_size, target or copies are replaced.
     """
     rows = without(rows, "source_size", "target", "copies")
     h = row_hash(rows) if identity is None else identity
-    rows = frozen(rows.withColumns({"size": F.coalesce(F.col("size").cast("long"), F.lit(0)), "__h": h, "__place": F.monotonically_increasing_id()}), "mix")
-    per = frozen(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n")), "sources")
+    rows = frozen(rows.withColumns({"size": F.coalesce(F.col("size").cast("long"), F.lit(0)), "__h": h}), "mix")
+    per = frozen(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("__n")), "sources")
     goal = targets(per.select("source", "source_size"), weights, share, most)
     counts = per.select(F.col("source").alias("__s"), "__n")
-    goal = frozen(goal.join(counts, F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "goals")
-    goal = goal.withColumnRenamed("source", "__s")
+    goals = frozen(goal.join(counts, F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "goals")
+    release(per, goal.written)
+    goal = goals.withColumnRenamed("source", "__s")
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    bucket = F.pmod(F.col("__h"), F.ceil(F.col("__n") / LEAF_ROWS).cast("long"))
-    start = rows.join(goal, F.col("source").eqNullSafe(F.col("__s"))).withColumns({"__bucket": bucket, "__whole": F.floor(ratio).cast("long"), "__x": F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(F.lit(0.0))})
-    start = frozen(start.drop("__s"), "pivotal")
-    level = start.select("__place", F.xxhash64("source", F.col("source").isNull()).alias("__src"), "__bucket", F.col("size").alias("__size"), "__x", "__h")
-    settled, buckets, depth = None, goal.agg(F.max(F.ceil(F.col("__n") / LEAF_ROWS))).first()[0] or 0, 0
+    placed = rows.join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    placed = placed.withColumns({"__whole": F.floor(ratio).cast("long"), "__x": F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(F.lit(0.0)), "__place": F.monotonically_increasing_id()})
+    start = frozen(placed, "pivotal")
+    release(rows)
+    source = F.xxhash64("source", F.col("source").isNull())
+    moving = start.where("__x > 0").select("__place", source.alias("__src"), F.col("size").alias("__size"), "__x", "__h")
+    level = number_rows(moving, [F.col("__src"), F.xxhash64("__h"), F.col("__h"), F.col("__size")], "__number")
+    begin = frozen(level.groupBy("__src").agg(F.min("__number").alias("__begin")), "begin")
+    draw = F.xxhash64("__h", F.col("__number") - F.col("__begin"))  # equal rows get draws of their own
+    numbered = level
+    level = level.join(begin, "__src").withColumns({"__bucket": F.floor((F.col("__number") - F.col("__begin")) / LEAF_ROWS).cast("long"), "__draw": draw}).drop("__number", "__begin", "__h")
+    level = frozen(level, "level")
+    release(numbered.written, begin)
+    settled, spent, depth = None, [goals, level], 0
+    buckets = goal.agg(F.max(F.ceil(F.col("__n") / LEAF_ROWS))).first()[0] or 0
     while True:
         dealt = level.withColumn("__group", F.xxhash64("__src", "__bucket", F.lit(depth)))
-        dealt = dealt.repartition("__group").sortWithinPartitions("__group", F.desc("__size"), F.xxhash64("__h"), "__place").select("__group", "__place", "__size", "__x", "__h")
-        out = frozen(dealt.mapInPandas(_pair, "__place long, __x double"), "paired")
+        dealt = dealt.repartition("__group").sortWithinPartitions("__group", F.desc("__size"), "__draw", "__place").select("__group", "__place", "__size", "__x", F.xxhash64("__draw", F.lit(depth)).alias("__draw"))
+        out = frozen(dealt.mapInPandas(_settle(depth == 0), "__place long, __x double"), "paired")
+        spent.append(out)
         whole = out.where("__x <= 0 or __x >= 1")
         settled = whole if settled is None else settled.union(whole)
         rest = out.where("__x > 0 and __x < 1")
+        level = rest.withColumnRenamed("__x", "__y").join(level, "__place").select("__place", "__src", F.expr(f"__bucket div {FAN_IN}").alias("__bucket"), "__size", F.col("__y").alias("__x"), "__draw")
         if buckets <= 1:
             break
-        level = rest.withColumnRenamed("__x", "__y").join(level, "__place").select("__place", "__src", F.expr(f"__bucket div {FAN_IN}").alias("__bucket"), "__size", F.col("__y").alias("__x"), "__h")
         buckets, depth = -(-buckets // FAN_IN), depth + 1
-    last = rest.select("__place", F.round("__x").alias("__x"))  # one a source at most
+    chance = F.shiftrightunsigned(F.xxhash64("__draw", F.lit("last")), 11) * F.lit(2.0**-53)
+    last = level.select("__place", (chance < F.col("__x")).cast("double").alias("__x"))  # one a source at most
     settled = frozen(settled.union(last), "settled")
-    both = start.drop("__x").join(settled, "__place")
-    return both.withColumn("copies", F.col("__whole") + F.col("__x").cast("long")).drop("__h", "__place", "__n", "__bucket", "__whole", "__x")
+    release(*spent)
+    both = start.withColumnRenamed("__x", "__y").join(settled, "__place", "left")
+    return both.withColumn("copies", F.col("__whole") + F.coalesce(F.col("__x"), F.lit(0.0)).cast("long")).drop("__h", "__place", "__n", "__whole", "__x", "__y")

@@ -20,7 +20,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") ->
 
     Range partitions are sorted and written; a row's number is its place in its partition plus the
     sizes of the partitions before it. Rows that tie in all of ``order`` are numbered in scan order;
-    a hot tie is dealt over partitions too.
+    a hot tie is dealt over partitions too. The result reads the table in its attribute ``written``.
     """
     keyed = df.withColumns({f"__o{i}": c for i, c in enumerate(order)}).withColumn("__tie", F.monotonically_increasing_id())
     keys = [f"__o{i}" for i in range(len(order))]
@@ -35,7 +35,9 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") ->
     sizes = placed.groupBy("__part").count()  # one row a partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from"))
-    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__from") + F.col("__at")).drop("__part", "__at", "__from")
+    out = placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__from") + F.col("__at")).drop("__part", "__at", "__from")
+    out.written = placed
+    return out
 
 
 def round_keys(seed: int) -> list[int]:
