@@ -8,13 +8,15 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import frozen, long_texts, without
 
 WINDOW = 10
-BROADCAST_WORDS = 5_000_000  #: a benchmark of more words is joined, not broadcast
+BROADCAST_BYTES = 64 << 20  #: a benchmark whose index may take more is joined, not broadcast
+WORD_BYTES = 220  #: what a word takes in the index at most, its own bytes left aside: number, window, hash, item, each in driver and worker
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,20 +27,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Windows:
-    """The windows of all items: by length, sorted hashes of word numbers and the exact windows behind them."""
+    """The distinct windows of all items: by length, sorted hashes of word numbers, the numbers behind them, and the items that have each."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
         self.number: dict[bytes, int] = {}
-        self.items_of: dict[tuple[int, ...], set[int]] = {}
+        of_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, words in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words]
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                self.items_of.setdefault(tuple(ids[at : at + size]), set()).add(item)
-        self.hashes = {}
-        for size in {len(w) for w in self.items_of}:
-            of = np.array([w for w in self.items_of if len(w) == size], np.int64)
-            self.hashes[size] = np.unique(self._hash(of.T, size))
+            if words:
+                ids = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32)
+                of_size.setdefault(min(window, len(ids)), []).append((item, ids))
+        #: length -> hashes, windows [window, word], where the items of each begin, items
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for size, members in of_size.items():
+            every, of = np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, size) for _, ids in members]), axis=0, return_inverse=True)
+            owner = np.repeat(np.array([item for item, _ in members], np.int64), [len(ids) - size + 1 for _, ids in members])
+            hashes = self._hash(every.T, size)
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pairs = np.unique(np.column_stack((place[of.ravel()], owner)), axis=0)
+            begin = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1))
+            self.tables[size] = (hashes[order], np.ascontiguousarray(every[order]), begin, pairs[:, 1].copy())
 
     @staticmethod
     def _hash(columns, size: int) -> np.ndarray:
@@ -56,7 +65,7 @@ class _Windows:
         ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         known = ids >= 0
         run = np.concatenate(([0], np.cumsum(known)))
-        for size, hashes in self.hashes.items():
+        for size, (hashes, windows, begin, items) in self.tables.items():
             if len(ids) < size:
                 continue
             starts = np.flatnonzero(run[size:] - run[:-size] == size)
@@ -64,11 +73,13 @@ class _Windows:
                 continue
             value = self._hash([ids[starts + i] for i in range(size)], size)
             at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-            for s in starts[hashes[at] == value].tolist():
-                items = self.items_of.get(tuple(ids[s : s + size].tolist()))
-                if items is not None:
-                    hit[s : s + size] = True
-                    found |= items
+            near = hashes[at] == value
+            for s, w, h in zip(starts[near].tolist(), at[near].tolist(), value[near]):
+                while w < len(hashes) and hashes[w] == h:  # more than one only where hashes collide
+                    if (windows[w] == ids[s : s + size]).all():
+                        hit[s : s + size] = True
+                        found.update(items[begin[w] : begin[w + 1]].tolist())
+                    w += 1
         return len(words), hit, found
 
 
@@ -77,34 +88,44 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
+def index_bytes(items: DataFrame) -> int:
+    """What the index of ``items`` takes at most."""
+    row = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    return (row["words"] or 0) * WORD_BYTES + (row["bytes"] or 0)
+
+
+def _rows(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
+    columns = zip(*found) if found else ((),) * 4
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["__id", "n_words", "n_hit", "items", "spans"])
+
+
 _OUT = "n_words long, n_hit long, items array<long>, spans array<array<int>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a document: its id, n_words, n_hit, items (ids whose windows occur) and spans of hit words ([from, to) word numbers).
 
     A window is ``window`` consecutive item words; an item of fewer, but not none, is one window.
-    The benchmark's words are counted first: up to ``broadcast_words`` they travel to each task as a
+    The benchmark is measured first: an index of up to ``broadcast_bytes`` travels to each task as a
     hash set and hits are verified word by word; above that, windows are joined by their words.
-    Null texts have no words; rows without an item id are skipped; repeated rows each get a row;
+    Ids of any kind are given back as they are. Null texts have no words; rows without an item id are skipped; repeated rows each get a row;
     empty tables give an empty or an all-clean result.
     """
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     kind = source.schema["__id"].dataType.simpleString()
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if total > broadcast_words:
+    if index_bytes(items) > broadcast_bytes:
         out = _joined(source, items, window, kind)
     else:
         words = [(r["item_id"], words_of(r["text"])) for r in items.toLocalIterator()]
         held = source.sparkSession.sparkContext.broadcast(_Windows(words, window))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                rows = [(i, n, int(hit.sum()), sorted(found), _spans(hit)) for i, (n, hit, found) in zip(frame["__id"], map(held.value.scan, frame["__text"]))]
-                yield pd.DataFrame(rows, columns=["__id", "n_words", "n_hit", "items", "spans"]).astype({"__id": frame["__id"].dtype})
+                yield _rows(frame.column("__id"), [(n, int(hit.sum()), sorted(found), _spans(hit)) for n, hit, found in map(held.value.scan, frame.column("__text").to_pylist())])
 
-        out = long_texts(source).mapInPandas(run, f"__id {kind}, {_OUT}")
+        out = long_texts(source).mapInArrow(run, f"__id {kind}, {_OUT}")
     return out.withColumnRenamed("__id", id_col)
 
 
@@ -126,24 +147,23 @@ def _joined(source: DataFrame, items: DataFrame, window: int, kind: str) -> Data
     of_docs = long_texts(rows.select("__row", "__text")).mapInPandas(lambda f: windows(f, sizes, "__text", "__row"), schema)
     hits = of_docs.join(of_items, ["w", "size"]).groupBy("k").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("at", "size")).alias("at"))
 
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             done = []
-            for i, text, items_, at in zip(frame["__id"], frame["__text"], frame["items"], frame["at"]):
+            for text, items_, at in zip(*(frame.column(c).to_pylist() for c in ("__text", "items", "at"))):
                 hit = np.zeros(len(words_of(text)), bool)
-                for x in at if at is not None else []:
+                for x in at or []:
                     hit[x["at"] : x["at"] + x["size"]] = True
-                done.append((i, len(hit), int(hit.sum()), sorted(items_) if items_ is not None else [], _spans(hit)))
-            yield pd.DataFrame(done, columns=["__id", "n_words", "n_hit", "items", "spans"]).astype({"__id": frame["__id"].dtype})
+                done.append((len(hit), int(hit.sum()), sorted(items_ or []), _spans(hit)))
+            yield _rows(frame.column("__id"), done)
 
-    return rows.join(hits.withColumnRenamed("k", "__row"), "__row", "left").select("__id", "__text", "items", "at").mapInPandas(finish, f"__id {kind}, {_OUT}")
+    return rows.join(hits.withColumnRenamed("k", "__row"), "__row", "left").select("__id", "__text", "items", "at").mapInArrow(finish, f"__id {kind}, {_OUT}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, columns as they were."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if total > BROADCAST_WORDS:
+    if index_bytes(items) > BROADCAST_BYTES:
         held = frozen(without(docs, "__row").withColumn("__row", F.monotonically_increasing_id()), "drop")
         clean = scan(held, benchmark, "__row", text_col, window).where("n_hit = 0").select("__row")
         return held.join(clean, "__row", "left_semi").select(*docs.columns)

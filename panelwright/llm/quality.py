@@ -96,14 +96,21 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows never fitted on: crc32 of the id as text leaves 2 on division by 4."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """Rows never fitted on: crc32 of the id as text leaves 2 on division by 4. A null id is not held out, and never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def one_text_each(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """The texts of ``some(doc_id, ...)``, of bounded size; of several texts of one id the least, whatever order rows come in."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    others = [c for c in some.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", *others).agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> CumulativeLink:
     """Fit on ``ratings(doc_id, grade)``: at most ``fit_rows`` of them, which alone reach the driver, as features."""
     some = ratings.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    rows = one_text_each(docs, some)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import frozen, long_texts, tasks, without
+from .store import frozen, release, tasks, without
 
 RADIUS = 3
 GROUP_ROWS = 4096  #: a larger group of equal blocks is divided by further blocks
-LEAF, FAN = 16, 8
+LEAF, FAN = 16, 8  #: fingerprints of a leaf, nodes below an upper node
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 1 << 16
 
@@ -49,10 +50,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return sum(1 << i for i in range(64) if 2 * int(total[i]) > len(hashes))
 
 
-def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
-        values = np.fromiter(map(fingerprint, frame["text"]), np.uint64, len(frame)).view(np.int64)
-        yield pd.DataFrame({"__row": frame["__row"], "__id": frame["__id"], "__fp": values})
+        values = np.fromiter(map(fingerprint, frame.column("text").to_pylist()), np.uint64, frame.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([frame.column("__row"), frame.column("__id"), pa.array(values)], ["__row", "__id", "__fp"])
 
 
 def _gray_rank(x: np.ndarray) -> np.ndarray:
@@ -61,25 +62,27 @@ def _gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _nodes(low: np.ndarray, high: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bits that all members of a node share: mask and pattern."""
-    all_and, any_or = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
-    return ~(all_and ^ any_or), all_and
+def _tree(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels over fingerprints in Gray order, the top first: of each node the bits that all its members share, mask and pattern."""
+    levels, low, high, fan = [], fp, fp, LEAF
+    while not levels or len(low) > FAN:
+        first = np.arange(0, len(low), fan)
+        low, high, fan = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first), FAN
+        levels.append((~(low ^ high), low))
+    return levels[::-1]
 
 
 def _index_edges(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Member and root of each linked set among distinct ``fp`` of one group, itself left out.
 
-    Fingerprints in Gray order are cut into leaves, leaves into upper nodes. A node keeps the bit
-    pattern its members share; a search adds up the differences to the patterns on its way down,
-    counting at each node only bits that no node above it has, and leaves a node once they pass RADIUS.
+    Fingerprints in Gray order are cut into leaves, leaves into upper nodes, up to a top of FAN nodes. A
+    node keeps the bit pattern its members share; a search adds up the differences to the patterns on its
+    way down, counting at each node only bits that no node above it has, and leaves a node, with all
+    that is below it, once they pass RADIUS.
     """
     fp = fp[np.argsort(_gray_rank(fp), kind="stable")]
     n = len(fp)
-    leaf_at = np.arange(0, n, LEAF)
-    leaf_mask, leaf_bits = _nodes(fp, fp, leaf_at)
-    top_at = np.arange(0, len(leaf_at), FAN)
-    top_mask, top_bits = _nodes(np.bitwise_and.reduceat(fp, leaf_at), np.bitwise_or.reduceat(fp, leaf_at), top_at)
+    levels = _tree(fp)
     label = np.arange(n)
 
     def find(i: int) -> int:
@@ -90,21 +93,20 @@ def _index_edges(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     for at in range(0, n, 256):
         q = fp[at : at + 256]
-        qi, node = np.divmod(np.arange(len(q) * len(top_at)), len(top_at))
-        seen = np.bitwise_count((q[qi] ^ top_bits[node]) & top_mask[node])
-        ok = seen <= RADIUS
-        qi, node, seen = qi[ok], node[ok], seen[ok]
-        child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-        qi, seen, above = np.repeat(qi, FAN), np.repeat(seen, FAN), np.repeat(top_mask[node], FAN)
-        ok = child < len(leaf_at)
-        qi, seen, above, child = qi[ok], seen[ok], above[ok], child[ok]
-        seen = seen + np.bitwise_count((q[qi] ^ leaf_bits[child]) & leaf_mask[child] & ~above)
-        ok = seen <= RADIUS
-        qi, seen, child = qi[ok], seen[ok], child[ok]
-        member = (child[:, None] * LEAF + np.arange(LEAF)).ravel()
-        qi, seen, above = np.repeat(qi, LEAF), np.repeat(seen, LEAF), np.repeat(leaf_mask[child], LEAF)
-        ok = (member < n) & (member > qi + at)
-        qi, seen, above, member = qi[ok], seen[ok], above[ok], member[ok]
+        top = len(levels[0][0])
+        qi, node = np.divmod(np.arange(len(q) * top), top)
+        seen, above = np.zeros(len(qi), np.uint8), np.zeros(len(qi), np.uint64)
+        for depth, (mask, bits) in enumerate(levels):
+            seen = seen + np.bitwise_count((q[qi] ^ bits[node]) & mask[node] & ~above)
+            ok = seen <= RADIUS
+            qi, node, seen = qi[ok], node[ok], seen[ok]
+            fan, below = (LEAF, n) if depth + 1 == len(levels) else (FAN, len(levels[depth + 1][0]))
+            qi, seen, above = np.repeat(qi, fan), np.repeat(seen, fan), np.repeat(mask[node], fan)
+            node = (node[:, None] * fan + np.arange(fan)).ravel()
+            ok = node < below
+            qi, node, seen, above = qi[ok], node[ok], seen[ok], above[ok]
+        later = node > qi + at
+        qi, member, seen, above = qi[later], node[later], seen[later], above[later]
         ok = seen + np.bitwise_count((q[qi] ^ fp[member]) & ~above) <= RADIUS
         for i, j in zip((qi[ok] + at).tolist(), member[ok].tolist()):
             i, j = find(i), find(j)
@@ -150,18 +152,19 @@ def _blocks(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """Distinct ``__fp`` longs -> edges (a, b) that connect all fingerprints within RADIUS differing bits.
+    """Distinct ``__fp`` longs -> a written table of edges (a, b) that connect all fingerprints within RADIUS differing bits.
 
     Two such fingerprints agree in one of four blocks of 16 bits, so only groups of one block's value
     are searched, each by its index. A group over GROUP_ROWS is divided by a quarter of its other
     bits, again and again; fingerprints that share all but a few bits are few, so no group stays large.
     """
     rows = _blocks(fps.select(F.lit(0).cast("long").alias("__key"), F.col("__fp").alias("__rem"), "__fp"), 64)
-    bits, ready = 48, None
+    bits, ready, spent = 48, None, []
     while True:
         big = None
         if bits > 10:
             big = frozen(rows.groupBy("__key").count().where(F.col("count") > GROUP_ROWS).select("__key"), "big")
+            spent.append(big)
             big = None if big.isEmpty() else big
         calm = (rows if big is None else rows.join(big, "__key", "left_anti")).select("__key", "__fp")
         ready = calm if ready is None else ready.union(calm)
@@ -169,7 +172,9 @@ def linked(fps: DataFrame) -> DataFrame:
             break
         rows = _blocks(rows.join(big, "__key", "left_semi"), bits)
         bits -= bits // 4
-    return ready.repartition(tasks(fps.sparkSession), "__key").sortWithinPartitions("__key").mapInPandas(_edges, "a long, b long")
+    edges = frozen(ready.repartition(tasks(fps.sparkSession), "__key").sortWithinPartitions("__key").mapInPandas(_edges, "a long, b long"), "near")
+    release(*spent)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
@@ -182,14 +187,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     row = F.monotonically_increasing_id() if row is None else row
     source = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    prints = frozen(long_texts(source).mapInPandas(_fingerprints, "__row long, __id long, __fp long"), "prints")
+    prints = frozen(source.mapInArrow(_fingerprints, "__row long, __id long, __fp long"), "prints")
     least = frozen(prints.groupBy("__fp").agg(F.min("__id").alias("__least")), "least")
-    nodes = components(linked(least.select("__fp")))
+    near = linked(least.select("__fp"))
+    nodes = components(near)
     member = least.join(nodes.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
     member = frozen(member, "members")
     smallest = frozen(member.groupBy("root").agg(F.min("__least").alias("component_id")), "smallest")
     names = frozen(member.join(smallest, "root").select("__fp", "root", "component_id"), "components")
-    return prints.join(names, "__fp").select("__row", F.col("__id").alias("doc_id"), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("__root"))
+    release(least, near, nodes, member, smallest)
+    found = prints.join(names, "__fp").select("__row", F.col("__id").alias("doc_id"), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("__root"))
+    found.frozen_inputs = (prints, names)  # tables that go with the result
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,5 +208,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(held, id_col, text_col, F.col("__row"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
     best = frozen(found.groupBy("__root").agg(F.min_by("__row", order).alias("__row")).select("__row"), "kept")
+    release(*found.frozen_inputs)
     # texts are joined by sorted merge at every size: what is kept grows with the input
     return held.join(best.hint("merge"), "__row", "left_semi").select(*columns)

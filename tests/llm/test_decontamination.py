@@ -29,27 +29,27 @@ def brute(docs, items, window=10):
 
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog and then it sleeps for long"), (2, "Short: item!"), (3, ""), (4, None), (5, "Ünïcode wörds Ärger"), (6, "short item")]
-DOCS = [(1, "so THE quick, brown fox jumps over the lazy dog and it"), (2, "nothing here"), (3, None), (4, ""), (5, "a short\nitem and a short-item"), (6, "ünïcode wörds Ärger x"), (7, "Ünïcode wörds Ärger x"), (8, "quick brown fox jumps over the lazy dog and then it sleeps for long " * 3), (8, "again short item"), (None, "short item")]
+DOCS = [(1, "so THE quick, brown fox jumps over the lazy dog and it"), (2, "nothing here"), (3, None), (4, ""), (5, "a short\nitem and a short-item"), (6, "ünïcode wörds Ärger x"), (7, "Ünïcode wörds Ärger x"), (8, "quick brown fox jumps over the lazy dog and then it sleeps for long " * 3), (8, "again short item"), (None, "short item"), ((1 << 53) + 1, "short item " * 3), ((1 << 63) - 1, "x " * 30_000 + "short item")]
 
 
-@pytest.mark.parametrize("limit", [dc.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("limit", [dc.BROADCAST_BYTES, 0])
 def test_against_brute_force(spark, limit):
     docs = spark.createDataFrame([(a, b, 0) for a, b in DOCS], "doc_id bigint, text string, n_hit int")
     items = spark.createDataFrame([*ITEMS, (None, "nothing here")], "item_id bigint, text string")
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in dc.scan(docs, items, broadcast_words=limit).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in dc.scan(docs, items, broadcast_bytes=limit).collect()), key=str)
     assert got == brute(DOCS, ITEMS)
-    spans = {r.doc_id: r.spans for r in dc.scan(docs, items, broadcast_words=limit).where("doc_id in (1, 5)").collect()}
+    spans = {r.doc_id: r.spans for r in dc.scan(docs, items, broadcast_bytes=limit).where("doc_id in (1, 5)").collect()}
     assert spans == {1: [[1, 11]], 5: [[1, 3], [5, 7]]}
-    assert dc.scan(docs.where("false"), items, broadcast_words=limit).count() == 0
-    assert dc.scan(docs, items.where("false"), broadcast_words=limit).where("n_hit > 0").count() == 0
+    assert dc.scan(docs.where("false"), items, broadcast_bytes=limit).count() == 0
+    assert dc.scan(docs, items.where("false"), broadcast_bytes=limit).where("n_hit > 0").count() == 0
 
 
 def test_dropping(spark, monkeypatch):
     docs = spark.createDataFrame([(a, b, 0) for a, b in DOCS], "doc_id bigint, text string, n_hit int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     want = sorted([str(i) for i, _, n, _ in brute(DOCS, ITEMS) if n == 0])
-    for limit in (dc.BROADCAST_WORDS, 0):
-        monkeypatch.setattr(dc, "BROADCAST_WORDS", limit)
+    for limit in (dc.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", limit)
         kept = dc.drop_contaminated(docs, items)
         assert sorted(str(r.doc_id) for r in kept.collect()) == want and kept.columns == docs.columns
 
@@ -83,7 +83,7 @@ def test_a_full_license_with_changes_is_found(spark):
     words[30:32] = ["other", "words", "here"]
     rows = [((1 << 53) + 1, "x " * 500 + " ".join(words) + " y" * 500), (None, "\t".join(words[3:])), ((1 << 63) - 1, " ".join(words[80:]))]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert [(r.doc_id, [m.word for m in r.matches if m.template == "MIT-full"]) for r in got] == [(rows[0][0], [500]), (None, [0]), (rows[2][0], [])]
+    assert [(r.doc_id, [m.word // 2 for m in r.matches if m.template == "MIT-full"]) for r in got] == [(rows[0][0], [250]), (None, [0]), (rows[2][0], [])]
 
 
 def test_each_kind_of_license_line_is_found(spark):
