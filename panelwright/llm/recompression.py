@@ -1,12 +1,12 @@
 """Substring dedup by recompression: Spark rounds name runs and pairs; shared symbols reveal long repeats.
 
-The corpus is a table of blocks, each with the symbols of some documents, words at first, which go
-by 61 bits of a keyed hash. A round lists what each block wants named (runs of a symbol or pairs of
-symbols), Spark groups these over all blocks, gives each one name, and joins the names back: equal
-runs and pairs have one name everywhere, different ones never. What only one document has gets no
-name: no window over it can repeat, so it and the windows that need it drop out, and after a few
-rounds only text with a counterpart elsewhere is left to be compressed. Windows then meet by their
-highest symbol, and are compared by all their words.
+The corpus is a table of blocks, each with the symbols of some documents, words at first. A name is
+64 bits of a hash, of a word or of the round and the parts, so equal runs and pairs have one name
+everywhere. In a round each block lists the names of the runs or pairs that it would make; Spark
+groups these over all blocks and sends back which of them two documents have at least. The others
+are given up: no window over one can repeat, so it and the windows that need it drop out, and after a
+few rounds only text with a counterpart elsewhere is left to be compressed. Windows then meet by their
+highest symbol, and are compared by all their words, so a name that two things share harms nothing.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from .repeats import PART, PRIME, RangeHash, cut, mixed, numbered, ranges, spans
 from .store import frozen, long_texts, release
 
 WINDOW = 50
-ROUNDS = ("pair", "run", "pair", "pair", "pair", "pair", "pair")  #: seven at most, as names hold the round in three bits
-BLOCK = 1 << 17  #: words of a block, less where its last document ends
+ROUNDS = ("pair", "run", "pair", "pair", "pair", "pair", "pair")
+BLOCK = 1 << 18  #: words of a block, less where its last document ends
 _FAR = 1 << 30
 _META = "rows array<long>, docs array<long>, parts array<int>, n array<int>"
 _STATE = f"block long, {_META}, word binary, name binary, low binary, high binary, live binary, first binary, count binary, anchor binary, source binary"
-_ASKS = "block long, idx int, l long, r long, several boolean"
+_ASKS = "block long, idx int, name long, several boolean"
 _ARRAYS = {"word": np.int64, "name": np.int64, "low": np.int32, "high": np.int32, "live": np.uint8, "first": np.int32, "count": np.int32, "anchor": np.int64, "source": np.int32}
 
 
@@ -45,14 +45,24 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(held, hash_key="0123456789abcdef", categorize=False)
 
 
-def _grouped(l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pairs (l, r): the group of each, an order that brings groups together, and where each group begins in it."""
-    order = np.lexsort((r, l))
-    new = np.ones(len(l), bool)
-    new[1:] = (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])
-    group = np.empty(len(l), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return group, order, np.flatnonzero(new)
+def _grouped(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, an order that brings equal ones together, and where each begins in it."""
+    order = np.argsort(names, kind="stable")
+    begin = np.flatnonzero(np.diff(names[order], prepend=names[order][:1] - 1)) if len(names) else np.empty(0, np.int64)
+    return names[order][begin], begin, order
+
+
+def _packed(names: np.ndarray) -> bytes:
+    """Names as a sorted list of the distinct ones, and the number of each place in it."""
+    distinct, codes = np.unique(names, return_inverse=True)
+    parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (np.diff(distinct, prepend=0), codes.astype(np.int32))]
+    return np.array([len(distinct), len(names), len(parts[0])], np.int64).tobytes() + parts[0] + parts[1]
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n, m, cut = np.frombuffer(data, np.int64, 3).tolist()
+    steps = np.frombuffer(pa.decompress(data.slice(24, cut), 8 * n, codec="zstd"), np.int64)
+    return np.cumsum(steps)[np.frombuffer(pa.decompress(data.slice(24 + cut), 4 * m, codec="zstd"), np.int32)] if m else np.empty(0, np.int64)
 
 
 class Block:
@@ -99,36 +109,39 @@ class Block:
         at = np.arange(self.size)
         return total[at + 1] > total[np.maximum(at - self.window + 1, 0)]
 
-    def places(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What round k wants named: first and last symbol of each place, and the two parts of its name."""
+    def places(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What round k would make: first and last symbol of each place, and its name."""
         name = self.name
         if kind == "run":
             same = (name[1:] == name[:-1]) & (name[1:] != 0)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
             first, last = edge[::2], edge[1::2]
-            return first, last, name[first], first - last - 1
-        bit = self._bits(k)
-        left = np.flatnonzero(~bit[:-1] & bit[1:] & (name[:-1] != 0) & (name[1:] != 0))
-        return left, left + 1, name[left], name[left + 1]
+            more = (last - first + 1).astype(np.uint64)
+        else:
+            bit = self._bits(k)
+            first = np.flatnonzero(~bit[:-1] & bit[1:] & (name[:-1] != 0) & (name[1:] != 0))
+            last = first + 1
+            more = name[last].view(np.uint64)
+        made = mixed(mixed(name[first].view(np.uint64) + np.uint64(k)) * np.uint64(0xE7037ED1A0B428DB) + more)
+        return first, last, (made | np.uint64(1 << 63)).view(np.int64)  # names of words have no such bit
 
     def _bits(self, k: int) -> np.ndarray:
         return (mixed(self.name.view(np.uint64) + np.uint64((k + 1) * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(63)).astype(bool)
 
-    def asks(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct places: both parts of the name, and whether several documents of the block have it."""
-        first, _, l, r = self.places(kind, k)
+    def asks(self, kind: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct names, and whether several documents of the block have each."""
+        first, _, made = self.places(kind, k)
+        names, begin, order = _grouped(made)
         if not len(first):
-            return l, r, np.empty(0, bool)
-        _, order, begin = _grouped(l, r)
+            return names, np.empty(0, bool)
         doc = self.docs[np.searchsorted(self.start, self.low[first], "right") - 1][order]
-        return l[order][begin], r[order][begin], np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
-
-    def replace(self, kind: str, k: int, idx: np.ndarray, names: np.ndarray) -> None:
-        """Put the names that Spark gave to the distinct places ``idx``; a place without one drops out."""
-        first, last, l, r = self.places(kind, k)
-        group, _, begin = _grouped(l, r)
-        given = np.zeros(len(begin), np.int64)
-        given[idx] = names
+        return names, np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+
+    def replace(self, kind: str, k: int, shared: np.ndarray) -> None:
+        """Make what has a name among the distinct ones numbered ``shared``; all else that was asked for drops out."""
+        first, last, made = self.places(kind, k)
+        names, _, _ = _grouped(made)
+        given = np.where(np.isin(made, names[shared]), made, 0)
         low, high, n, self.fresh = self.low, self.high, len(self.name), False
         if kind == "run":  # a symbol has seen both its neighbours
             low, high = np.minimum(low, np.append(-_FAR, low[:-1])), np.maximum(high, np.append(high[1:], _FAR))
@@ -137,11 +150,11 @@ class Block:
             outside = (look < 0) | (look >= n)
             look = np.clip(look, 0, n - 1)
             low, high = np.where(outside, -_FAR, np.minimum(low, low[look])), np.where(outside, _FAR, np.maximum(high, high[look]))
-        name, made, stay = self.name.copy(), np.zeros(n, bool), np.ones(n, bool)
-        name[first], made[first], high[first] = given[group], True, high[last]
+        name, new, stay = self.name.copy(), np.zeros(n, bool), np.ones(n, bool)
+        name[first], new[first], high[first] = given, True, high[last]
         stay[ranges(first + 1, last - first)] = False
-        self.name, self.low, self.high, made = name[stay], low[stay], high[stay], made[stay]
-        settled = made & (self.low > -_FAR) & (self.high < _FAR)
+        self.name, self.low, self.high, new = name[stay], low[stay], high[stay], new[stay]
+        settled = new & (self.low > -_FAR) & (self.high < _FAR)
         self._kill(np.flatnonzero(settled & (self.name == 0)))
         self._choose(np.flatnonzero(settled & (self.name != 0)))
         self._drop()
@@ -193,12 +206,12 @@ class Block:
         arrays = {k: getattr(self, k) for k in _ARRAYS} | {"live": np.packbits(self.live), "word": self.word[self._held()]}
         if self.fresh:
             arrays |= {k: self.name[:0] for k in ("name", "low", "high")}
-        return {k: arrays[k].astype(t).tobytes() for k, t in _ARRAYS.items()}
+        return {k: _packed(arrays[k]) if t is np.int64 else arrays[k].astype(t).tobytes() for k, t in _ARRAYS.items()}
 
     @classmethod
     def of_row(cls, frame: pa.RecordBatch, i: int, window: int) -> Block:
         docs, n = (frame.column(c)[i].values.to_numpy() for c in ("docs", "n"))
-        block = cls(docs, n, window, **{k: np.frombuffer(frame.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items() if k in frame.schema.names})
+        block = cls(docs, n, window, **{k: _unpacked(frame.column(k)[i].as_buffer()) if t is np.int64 else np.frombuffer(frame.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items() if k in frame.schema.names})
         if "live" in frame.schema.names:
             block.live = np.unpackbits(block.live, count=block.size).astype(bool)
         if "word" in frame.schema.names:
@@ -243,40 +256,36 @@ def _blocks(window: int):
     return run
 
 
-def _given(asks: DataFrame, k: int) -> DataFrame:
-    """``(block, got)``: one name over all blocks for what two documents at least may ask for: the number of its first asker."""
-    number = F.lit(1 << 62 | k << 59).bitwiseOR(F.shiftleft(F.col("block"), 18)).bitwiseOR(F.col("idx").cast("long"))
-    rules = asks.groupBy("l", "r").agg(F.min(number).alias("name"), F.count("*").alias("askers"), F.max("several").alias("several")).where("askers > 1 or several").select("l", "r", "name")
-    answers = asks.select("block", "idx", "l", "r").join(rules.hint("merge"), ["l", "r"])
-    return answers.groupBy("block").agg(F.collect_list(F.struct("idx", "name")).alias("got"))
+def _given(asks: DataFrame) -> DataFrame:
+    """``(block, got)``: which of the names that a block asks for may be in two documents."""
+    names = asks.groupBy("name").agg(F.count("*").alias("askers"), F.max("several").alias("several")).where("askers > 1 or several").select("name")
+    answers = asks.select("block", "idx", "name").join(names.hint("merge"), "name", "left_semi")
+    return answers.groupBy("block").agg(F.collect_list("idx").alias("got"))
 
 
 def compressed(held: DataFrame, window: int) -> DataFrame:
     """The block table after the last round."""
-    number = F.monotonically_increasing_id()  # a partition's number, and 14 bits for its blocks
-    short = F.when(number.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 14, F.shiftright(number, 33) * (1 << 14) + number.bitwiseAND(F.lit((1 << 14) - 1)))
     blocks = held.where("text is not null").select("row", "doc", "text").mapInArrow(_blocks(window), _STATE.split(", ", 1)[1])
-    state = frozen(blocks.withColumn("block", F.coalesce(short, F.raise_error(F.lit("a partition holds too many blocks")).cast("long"))), "words")
+    state = frozen(blocks.withColumn("block", F.monotonically_increasing_id()), "words")
     for k, kind in enumerate(ROUNDS, 1):
 
         def ask(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for i, block in enumerate(frame.column("block").to_pylist()):
-                    l, r, several = Block.of_row(frame, i, window).asks(kind, k)
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(l), block, np.int64), "idx": np.arange(len(l), dtype=np.int32), "l": l, "r": r, "several": several})
+                    names, several = Block.of_row(frame, i, window).asks(kind, k)
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(names), block, np.int64), "idx": np.arange(len(names), dtype=np.int32), "name": names, "several": several})
 
         def step(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for i in range(frame.num_rows):
                     got = frame.column("got")[i]
-                    idx, names = (np.empty(0, np.int64),) * 2 if not got.is_valid else (got.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("idx", "name"))
                     block = Block.of_row(frame, i, window)
-                    block.replace(kind, k, idx, names)
+                    block.replace(kind, k, got.values.to_numpy() if got.is_valid else np.empty(0, np.int64))
                     values = {c: frame.column(c).slice(i, 1) for c in ("block", *_META_COLUMNS)} | {c: pa.array([v], pa.binary()) for c, v in block.packed().items()}
                     yield pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
         asks = state.select("block", "docs", "n", "word", "live", "name", "low", "high").mapInArrow(ask, _ASKS)
-        after = frozen(state.join(_given(asks, k).hint("merge"), "block", "left").mapInArrow(step, _STATE), "round")
+        after = frozen(state.join(_given(asks).hint("merge"), "block", "left").mapInArrow(step, _STATE), "round")
         release(state)
         state = after
     return state
