@@ -1,6 +1,6 @@
 """Windows that repeat across a corpus: what exact substring removal by either index has in common.
 
-A row is a sequence of units (words or bytes), dealt in parts of PART window starts; a part holds
+A row is a sequence of units (words or bytes), taken in parts of PART window starts; a part holds
 the units of all its windows. Every window of ``size`` units picks an anchor by its own content
 alone, so equal windows pick equal anchors. Consecutive windows of one anchor form a segment.
 Segments meet by anchor; where all of an anchor's segments are equal, all their windows repeat, and
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import frozen, release
+from .store import bucketed, frozen, release, tasks
 
 PART = 1 << 17  #: window starts of a part
 MOST = 512  #: windows of a segment
@@ -100,19 +100,20 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, size: int, units: Callable[[bytes], np.ndarray], elsewhere: bool, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, size: int, units: Callable[[bytes], np.ndarray], elsewhere: bool) -> DataFrame:
     """Starts of repeated windows: ``(row, at, n)``, n consecutive starts from ``at``.
 
     anchors: frozen rows (row, doc, key, s1, s2, at, n); s1, s2 are the segment's hash pair. shared: the
-    keys worth a look, ``(key)``. parts: ``(row, part, data)``, data with the units of part number ``part``.
+    keys worth a look, ``(key)``. parts: ``(row, part, data)``, data with the units of part number ``part``,
+    or ``(row, data)`` with all units of a row.
     elsewhere: a window counts if it starts at any other place too; else if it starts in a smaller doc.
-    spent: tables of the caller that go, with anchors and shared, once the flagged rows are written.
-    The result is a written table; all tables on the way to it are deleted when they have served.
+    The result is a written table; anchors, shared, and all tables on the way to it are deleted when
+    they have served.
     """
     who = ["row"] if elsewhere else ["row", "doc"]
     keys = ["key", "s1", "s2", "n"]
     flagged = frozen(anchors.join(shared.hint("merge"), "key", "left_semi").select(*keys, *who, "at"), "flagged")
-    release(anchors, shared, *spent)
+    release(anchors, shared)
     found = flagged.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("rep"), *([] if elsewhere else [F.min("doc").alias("least")]))
     distinct = frozen(found, "segments")
     variants = frozen(distinct.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several").select("key"), "variants")
@@ -124,35 +125,41 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, siz
     met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select(*who, "at", "n", "whole", "asked"), "met")
     release(flagged, distinct, variants, segments)
     need = frozen(met.where("asked").select(*who, "at", "n").withColumn("id", F.monotonically_increasing_id()), "need")
-    part = F.expr(f"cast(at div {PART} as int)").alias("part")
-    lists = need.groupBy("row", part).agg(F.collect_list(F.struct("id", (F.col("at") % PART).alias("at"), "n")).alias("need"), *([] if elsewhere else [F.first("doc").alias("doc")]))
+    by = [c for c in ("row", "part") if c in parts.columns]
+    place = F.expr(f"cast(at % {PART} as int)").alias("at") if "part" in by else F.col("at")
+    lists = need.groupBy("row", *([F.expr(f"cast(at div {PART} as int)").alias("part")] if "part" in by else [])).agg(F.collect_list(F.struct("id", place, "n")).alias("need"), *([] if elsewhere else [F.first("doc").alias("doc")]))
 
     def hashes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            columns = {name: frame.column(name) for name in frame.schema.names}
-            at, total = 0, 0
-            for i in range(frame.num_rows):
-                total += len(columns["data"][i].as_buffer())
-                if total >= 1 << 18 or i + 1 == frame.num_rows:  # some rows at a time, or one long one
-                    yield hashed(columns, at, i + 1)
-                    at, total = i + 1, 0
-
-    def hashed(columns: dict[str, pa.Array], i: int, j: int) -> pa.RecordBatch:
-        data = [units(x) for x in columns["data"].slice(i, j - i).to_pylist()]
-        length = np.array([len(x) for x in data])
-        asks = columns["need"].slice(i, j - i)
-        flat = asks.flatten()
-        ident, at, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "at", "n"))
-        of = np.repeat(np.arange(j - i), asks.value_lengths().to_numpy())
+            held, total = [], 0
+            for data, asks, doc in zip(frame.column("data"), frame.column("need"), [None] * frame.num_rows if elsewhere else frame.column("doc").to_pylist()):
+                unit = units(data.as_py())
+                ident, at, n = (asks.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "at", "n"))
+                piece = at // PART  # a long row goes piece by piece
+                for p in np.unique(piece).tolist():
+                    mine = piece == p
+                    held.append((unit[p * PART : (p + 1) * PART + MOST + size], ident[mine], at[mine] - p * PART, n[mine], doc))
+                    total += len(held[-1][0])
+                    if total >= 1 << 18:
+                        yield hashed(held)
+                        held, total = [], 0
+            if held:
+                yield hashed(held)
+
+    def hashed(held: list[tuple]) -> pa.RecordBatch:
+        data, ident, at, n, docs = zip(*held)
+        length, asks = np.array([len(x) for x in data]), np.array([len(x) for x in at])
+        of = np.repeat(np.arange(len(held)), asks)
+        ident, at, n = map(np.concatenate, (ident, at, n))
         start = ranges(at + (np.cumsum(length) - length)[of], n)
         h1, h2 = RangeHash(np.concatenate(data))(start, start + size)
         out = {"h1": h1, "h2": h2.astype(np.int32), "place": np.repeat(ident * MOST, n) + ranges(np.zeros(len(n), np.int64), n)}
         if not elsewhere:
-            out["doc"] = np.repeat(columns["doc"].slice(i, j - i).to_numpy()[of], n)
+            out["doc"] = np.repeat(np.array(docs, np.int64)[of], n)
         return pa.RecordBatch.from_pydict(out)
 
     schema = "h1 long, h2 int, place long" + ("" if elsewhere else ", doc long")
-    found = frozen(parts.join(lists.hint("merge"), ["row", "part"]).mapInArrow(hashes, schema), "windows")
+    found = frozen(parts.join(lists.hint("merge"), by).mapInArrow(hashes, schema), "windows")
     if elsewhere:
         repeated = frozen(found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeated")
         single = found.join(repeated.hint("merge"), ["h1", "h2"], "left_semi")
@@ -167,10 +174,13 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, siz
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(row, id, doc, text)``, written: row tells rows apart whatever their ids; doc orders documents, a null id as the largest number."""
+    """``(row, id, doc, text)``, written in buckets of row, so that no join by row moves a text again.
+
+    row tells rows apart whatever their ids; doc orders documents, a null id as the largest number.
+    """
     ident = F.col(id_col).cast("long")
     rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("doc"), F.col(text_col).alias("text"))
-    return frozen(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return bucketed(rows.withColumn("row", F.monotonically_increasing_id()).repartition(tasks(docs.sparkSession), "row"), "row", "numbered")
 
 
 def spans_of(matched: DataFrame, size: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
 _own_folder: list[str] = []
+_open: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,13 +60,15 @@ def frozen(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.frozen_path = path
+    _noted(table)
     return table
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """``df`` as a table of sorted buckets of ``key`` in the shared folder: joins of two such tables need no exchange.
 
-    ``df`` comes out of an aggregation or join on ``key``, so a task holds whole buckets already.
+    A ``df`` that comes out of an aggregation or join on ``key`` has whole buckets in a task already; one
+    that does not is dealt by the caller.
     """
     spark = df.sparkSession
     n = tasks(spark)
@@ -75,9 +78,30 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
         df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     table = spark.table(name)
     table.frozen_path, table.table_name = path, name
+    _noted(table)
     return table
 
 
+def _noted(table: DataFrame) -> None:
+    if _open:
+        _open[-1].append(table)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """All tables written inside go at the end, but those put into the list that this gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield kept
+    finally:
+        _open.pop()
+        release(*(t for t in made if t.frozen_path not in {k.frozen_path for k in kept}))
+        for table in kept:
+            _noted(table)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables written by :func:`frozen` or :func:`bucketed` once nothing that is still to be computed reads them."""
     for table in tables:

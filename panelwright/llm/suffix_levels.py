@@ -13,18 +13,21 @@ from .repeats import MOST, PART, RangeHash, cut, mixed, numbered, ranges, spans_
 from .store import bucketed, frozen, long_texts, release
 
 WINDOW = 200
-SPREAD = 80  #: of this many neighbouring suffixes one is indexed at least
+SPREAD = 144  #: of this many neighbouring suffixes one is indexed at least
+FINE = 60  #: the same for the windows of suffixes that have met, which are looked at more closely
+HEAD = 16  #: bytes by which suffixes are sorted; further ones count by a fingerprint
 GRAM = 24  #: bytes whose hash decides which
 BATCHES = 4
 BATCH = 1 << 18  #: bytes whose suffixes are chosen at once
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
 _held: dict[int, np.ndarray] = {}
-ANCHORS = "row long, batch int, key long, s1 long, s2 int, at int, n int, suffix binary"
+SUFFIXES = "row long, batch int, at int, n int, suffix binary"
+ANCHORS = "row long, key long, s1 long, s2 int, at int, n int"
 
 
-def units(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+def units(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +49,11 @@ def grams_of(raw: np.ndarray, length: int) -> np.ndarray:
     return mixed((sums[length:] - sums[:n]) * inverse[:n])
 
 
-def segments(raw: np.ndarray, offset: np.ndarray, length: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
-    """Indexed suffixes of parts that lie end to end: the leftmost least gram among the first ``spread`` of each window.
+def segments(raw: np.ndarray, start: np.ndarray, part: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ...]:
+    """Windows that start at ``start``, by the suffix that each picks: the leftmost least gram among its first ``spread``.
 
-    Returns the part, the first window start and number of windows of each, where the suffix starts, and
-    the hash pair of all bytes that its windows hold.
+    ``part`` tells texts that lie end to end in ``raw`` apart. Returns the place in ``start`` of the first
+    window of each run with one suffix, the number of windows of the run, and where the suffix starts.
     """
     gram = min(GRAM, window - spread + 1)
     grams = grams_of(raw, gram)
@@ -60,69 +63,91 @@ def segments(raw: np.ndarray, offset: np.ndarray, length: np.ndarray, window: in
         step = min(reach, spread - reach)
         best = np.minimum(best[:-step], best[step:])
         reach += step
-    count = length - window + 1
-    start, part = ranges(offset, count), np.repeat(np.arange(len(offset)), count)
     chosen = (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1]))))
-    n = np.diff(np.append(at, len(start)))
-    first = start[at]
-    s1, s2 = RangeHash(raw.astype(np.uint64) + np.uint64(1))(first, first + n + window - 1)
-    return part[at], first, n, chosen[at], s1, s2
+    new = (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(np.concatenate(([True], new)))
+    return at, np.diff(np.append(at, len(start))), chosen[at]
 
 
-def _anchors(window: int, spread: int, batches: int):
-    depth = window - spread + 1
+def _prints(raw: np.ndarray, suffix: np.ndarray, depth: int) -> np.ndarray:
+    """64 bits of the first ``depth`` bytes of each suffix."""
+    bytes_ = np.lib.stride_tricks.sliding_window_view(raw, depth)[suffix]
+    words = np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -depth % 8)))).view(np.uint64)
+    return mixed(words * _PLACE[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
 
-    def indexed(rows: np.ndarray, parts: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
-        length = np.array([len(d) for d in data], np.int64)
+
+def _pieces(row: np.ndarray, data: list[bytes], lists: list[tuple[np.ndarray, np.ndarray]] | None, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts end to end, BATCH bytes or one piece of a longer text at a time: (raw, rows, first starts in the texts, offsets, starts, part of each start).
+
+    ``lists`` (default: all) gives for each text the windows to look at, as first starts and numbers.
+    """
+    held, total = [], 0
+
+    def end_to_end() -> tuple[np.ndarray, ...]:
+        rows, begin, pieces, starts = zip(*held)
+        length = np.array([len(p) for p in pieces], np.int64)
         offset = np.cumsum(length) - length
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        part, first, n, suffix, s1, s2 = segments(raw, offset, length, window, spread)
-        bytes_ = np.lib.stride_tricks.sliding_window_view(raw, depth)[suffix]
-        words = np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -depth % 8)))).view(np.uint64)
-        key = mixed(words * _PLACE[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
-        ends = pa.py_buffer(np.arange(0, (len(first) + 1) * depth, depth, dtype=np.int32))
-        return pa.RecordBatch.from_pydict(
-            {
-                "row": rows[part], "batch": (mixed(rows.view(np.uint64)) % np.uint64(batches)).astype(np.int32)[part], "key": key.view(np.int64), "s1": s1, "s2": s2.astype(np.int32),
-                "at": (first - offset[part] + parts[part].astype(np.int64) * PART).astype(np.int32), "n": n.astype(np.int32), "suffix": pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(bytes_))]),
-            }
-        )
+        part = np.repeat(np.arange(len(held)), [len(s) for s in starts])
+        return np.frombuffer(b"".join(pieces), np.uint8), np.array(rows, np.int64), np.array(begin, np.int64), offset, np.concatenate(starts) + offset[part], part
+
+    for i, text in enumerate(data):
+        every = len(text) - window + 1
+        for begin in range(0, every, PART):
+            n = min(PART, every - begin)
+            if lists is None:
+                starts = np.arange(n)
+            else:
+                at, count = lists[i]
+                low, high = np.maximum(at, begin), np.minimum(at + count, begin + n)
+                starts = ranges(low[low < high] - begin, (high - low)[low < high])
+            if len(starts):
+                held.append((row[i], begin, text[begin : begin + n + window - 1], starts))
+                total += len(held[-1][2])
+            if total >= BATCH:
+                yield end_to_end()
+                held, total = [], 0
+    if held:
+        yield end_to_end()
+
+
+def _suffixes(window: int, spread: int, batches: int):
+    """Texts to the suffixes that are indexed: their first HEAD bytes, then 64 bits of all bytes to the index's depth."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            rows, parts, data = frame.column("row").to_numpy(), frame.column("part").to_numpy(), frame.column("data").to_pylist()
-            ends = np.cumsum([len(d) for d in data]) // BATCH  # some parts at a time, of BATCH bytes together or one longer part
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(data)]
-            for i, j in zip(cuts, cuts[1:]):
-                if i < j:
-                    yield indexed(rows[i:j], parts[i:j], data[i:j])
+            for raw, rows, begin, offset, start, part in _pieces(frame.column("row").to_numpy(), frame.column("text").cast(pa.binary()).to_pylist(), None, window):
+                at, n, suffix = segments(raw, start, part, window, spread)
+                part = part[at]
+                bytes_ = np.hstack([np.lib.stride_tricks.sliding_window_view(raw, HEAD)[suffix], _prints(raw, suffix, window - spread + 1).astype(">u8").view(np.uint8).reshape(-1, 8)])
+                ends = pa.py_buffer(np.arange(0, bytes_.size + 1, HEAD + 8, dtype=np.int32))
+                batch = (mixed(rows.view(np.uint64)) % np.uint64(batches)).astype(np.int32)[part]
+                values = {"row": rows[part], "batch": batch, "at": (start[at] - offset[part] + begin[part]).astype(np.int32), "n": n.astype(np.int32), "suffix": pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(bytes_.tobytes())])}
+                yield pa.RecordBatch.from_pydict(values)
 
     return run
 
 
-_PLACE = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-
-
-def parts_of(held: DataFrame, window: int) -> DataFrame:
-    """``(row, part, data)``: the UTF-8 bytes of all texts in parts that share their last ``window - 1`` bytes with the next."""
+def _anchors(window: int, spread: int):
+    """Texts with their windows of matched suffixes to finer segments, with the hash pair of all bytes that a segment's windows hold."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            rows, numbers, data = [], [], []
-            for row, text in zip(frame.column("row").to_pylist(), frame.column("text").cast(pa.binary()).to_pylist()):
-                if window <= len(text) < PART + window:
-                    rows.append(row)
-                    numbers.append(0)
-                    data.append(text)
-                    continue
-                for k in range(-(-max(len(text) - window + 1, 0) // PART)):
-                    rows.append(row)
-                    numbers.append(k)
-                    data.append(text[k * PART : (k + 1) * PART + window - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["row", "part", "data"])
-
-    return held.where(F.octet_length("text") >= window).select("row", "text").mapInArrow(run, "row long, part int, data binary")
+            lists = []
+            for x in frame.column("met"):
+                at, n = (x.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
+                order = np.argsort(at)
+                lists.append((at[order], n[order]))
+            for raw, rows, begin, offset, start, part in _pieces(frame.column("row").to_numpy(), frame.column("text").cast(pa.binary()).to_pylist(), lists, window):
+                at, n, suffix = segments(raw, start, part, window, spread)
+                first, part = start[at], part[at]
+                s1, s2 = RangeHash(raw.astype(np.uint64) + np.uint64(1))(first, first + n + window - 1)
+                key = _prints(raw, suffix, window - spread + 1)
+                yield pa.RecordBatch.from_pydict({"row": rows[part], "key": key.view(np.int64), "s1": s1, "s2": s2.astype(np.int32), "at": (first - offset[part] + begin[part]).astype(np.int32), "n": n.astype(np.int32)})
+
+    return run
+
+
+_PLACE = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 class LevelFamily:
@@ -131,9 +156,10 @@ class LevelFamily:
     A level lies in buckets that are sorted by the suffix's bytes, the same buckets in every level: a
     new batch is sorted once, and meeting it with a level, or merging two levels, is a merge scan of
     sorted files that moves no row between executors. Neighbours that agree to the full depth (a common
-    prefix of ``window - spread + 1`` bytes) are the long matches. Two levels of one size merge into one
-    of twice the size before the next batch comes, so a suffix is rewritten once for each doubling of
-    the index. Levels stay until :meth:`close`; later batches may be added at any time before.
+    prefix of ``window - spread + 1`` bytes: HEAD of them as they are, all of them by fingerprint) are the
+    long matches. Two levels of one size merge into one of twice the size before the next batch comes,
+    so a suffix is rewritten once for each doubling of the index. Levels stay until :meth:`close`; later
+    batches may be added at any time before.
     """
 
     def __init__(self) -> None:
@@ -141,22 +167,22 @@ class LevelFamily:
         self.found: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        """Index ``suffixes(suffix, key)``, one row a suffix."""
+        """Index ``suffixes(suffix)``, one row a place."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = a.withColumnsRenamed({"key": "ka", "places": "pa"}).join(b.hint("merge"), "suffix", "full_outer")
-            merged = both.select("suffix", F.coalesce("ka", "key").alias("key"), (F.coalesce("pa", F.lit(0)) + F.coalesce("places", F.lit(0))).alias("places"))
+            both = a.withColumnRenamed("places", "more").join(b.hint("merge"), "suffix", "full_outer")
+            merged = both.select("suffix", (F.coalesce("more", F.lit(0)) + F.coalesce("places", F.lit(0))).alias("places"))
             self.levels.append((2 * size, bucketed(merged, "suffix", "level")))
             release(a, b)
-        batch = bucketed(suffixes.groupBy("suffix").agg(F.first("key").alias("key"), F.count("*").alias("places")), "suffix", "level")
-        met = batch.where("places > 1").select("key")
+        batch = bucketed(suffixes.groupBy("suffix").agg(F.count("*").alias("places")), "suffix", "level")
+        met = batch.where("places > 1").select("suffix")
         for _, level in self.levels:
-            met = met.union(batch.join(level.select("suffix").hint("merge"), "suffix", "left_semi").select("key"))
+            met = met.union(batch.join(level.select("suffix").hint("merge"), "suffix", "left_semi").select("suffix"))
         self.found.append(frozen(met, "met"))
         self.levels.append((1, batch))
 
     def matches(self) -> DataFrame:
-        """``(key)`` of all suffixes met more than once."""
+        """``(suffix)`` of all suffixes met more than once."""
         found = self.found[0]
         for more in self.found[1:]:
             found = found.union(more)
@@ -173,25 +199,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Covered is each byte in a ``window``-byte string that also starts at any other place, in the same
     document or another. Texts are UTF-8; a null or short one has no windows; matches never cross
     rows. A repeated row is another place. Null ids are ordinary rows. An empty table gives an empty
-    result. An index may hold ``spread`` up to 512 and below ``window``, else this raises.
+    result. ``spread`` is 512 at most, and HEAD below ``window`` at least, else this raises.
 
     The suffix arrays are sparse and cut: of any ``spread`` neighbouring suffixes one at least is indexed, chosen by
     content, so a match of ``window`` bytes always holds one together with ``window - spread + 1``
-    bytes after it, to which depth suffixes are sorted. ``family`` (default: one of this call, closed at
+    bytes after it, to which depth suffixes are sorted. Windows of suffixes that meet are looked at again, by
+    denser suffixes, and at last compared by all their bytes. ``family`` (default: one of this call, closed at
     its end) holds the index; one given stays open.
     """
-    if not 0 < spread < window or spread > MOST:
-        raise ValueError(f"spread must lie below window, and be {MOST} at most")
+    if not 0 < spread <= min(window - HEAD, MOST):
+        raise ValueError(f"spread must lie {HEAD} below window at least, and be {MOST} at most")
+    fine = min(FINE, spread)
     held = numbered(docs, id_col, text_col)
-    parts = parts_of(held, window)
-    anchors = frozen(parts.mapInArrow(_anchors(window, spread, batches), ANCHORS), "anchors")
+    texts = held.where(F.octet_length("text") >= window).select("row", "text")
+    suffixes = frozen(texts.mapInArrow(_suffixes(window, spread, batches), SUFFIXES), "suffixes")
     index = family or LevelFamily()
     for b in range(batches):
-        index.add(anchors.where(F.col("batch") == b).select("suffix", "key"))
+        index.add(suffixes.where(F.col("batch") == b).select("suffix"))
     shared = frozen(index.matches(), "shared")
     if family is None:
         index.close()
-    matched = windows_matched(anchors, shared, parts, window, units, elsewhere=True)
+    met = frozen(suffixes.join(shared.hint("merge"), "suffix", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("met")), "met")
+    release(suffixes, shared)
+    anchors = frozen(texts.join(met.hint("merge"), "row").mapInArrow(_anchors(window, fine), ANCHORS), "anchors")
+    release(met)
+    several = frozen(anchors.groupBy("key").count().where("count > 1").select("key"), "shared")
+    matched = windows_matched(anchors, several, texts.withColumnRenamed("text", "data"), window, units, elsewhere=True)
     spans = frozen(spans_of(matched, window), "spans")
     release(matched)
     return with_spans(held, spans)

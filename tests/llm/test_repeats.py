@@ -144,10 +144,10 @@ def test_hash_pairs_are_polynomials():
 def test_level_family_merges_geometrically(spark):
     family = suffix_levels.LevelFamily()
     for b in [[1, 2], [3, 2], [4, 5], [5, 6], [7, 7], [1, 8]]:
-        family.add(spark.createDataFrame([(bytes([x]) * 9, x) for x in b], "suffix binary, key long"))
+        family.add(spark.createDataFrame([(bytes([x]) * 9,) for x in b], "suffix binary"))
     assert [s for s, _ in family.levels] == [4, 1, 1]
-    assert {r.key for r in family.matches().collect()} == {2, 5, 7, 1}
-    places = {r.key: r.places for r in family.levels[0][1].collect()}
+    assert {r.suffix[0] for r in family.matches().collect()} == {2, 5, 7, 1}
+    places = {r.suffix[0]: r.places for r in family.levels[0][1].collect()}
     assert places == {1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: 1}
     plan = family.levels[0][1].join(family.levels[1][1].hint("merge"), "suffix")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan  # levels meet by a merge scan of their files

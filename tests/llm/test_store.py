@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.llm import store
@@ -26,3 +27,39 @@ def test_row_hash_skips_maps(spark):
 
 def test_without_ignores_case(spark):
     assert store.without(spark.createDataFrame([(1, 2, 3)], "Slot int, shard int, x int"), "slot", "shard").columns == ["x"]
+
+
+def test_scratch_tables_go_but_those_kept(spark):
+    with store.scratch() as kept:
+        a, b = store.frozen(spark.range(3), "a"), store.frozen(spark.range(4), "b")
+        kept.append(b)
+    assert not os.path.exists(a.frozen_path.removeprefix("file://")) and b.count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        def __init__(self, folder=None, checkpoint=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": lambda _: checkpoint})()
+
+    with pytest.raises(RuntimeError):
+        store.shared_folder(Session())
+    assert store.shared_folder(Session("hdfs:///a", "hdfs:///b")) == "hdfs:///a" and store.shared_folder(Session(None, "hdfs:///b")) == "hdfs:///b"
+
+
+def test_operators_leave_only_what_their_results_read(spark, sf, tmp_path):
+    """After a result is computed, the folder holds the tables that it reads and no more."""
+    from panelwright.llm.entries import QUERIES
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        for name, most in {"op1_sharding": 1, "op2_simhash_dedup": 2, "op3_source_mixing": 2, "op4_quality_classifier": 0, "op5_toxicity": 0, "op6_recompression_dedup": 2, "op7_suffix_dedup": 2, "op8_decontamination": 0, "op9_license_scan": 0, "op10_lattice_dedup": 1}.items():
+            folder = tmp_path / name
+            folder.mkdir()
+            spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+            assert QUERIES[name](spark, sf).count() > 0
+            assert len(list(folder.iterdir())) <= most, name
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        if before:
+            spark.conf.set("spark.checkpoint.dir", before)
