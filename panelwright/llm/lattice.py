@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .repeats import mixed
+from .repeats import mixed, ranges
 from .store import frozen, release, tasks
 
 TABLES = 4
@@ -135,33 +135,62 @@ def _counted(lists: np.ndarray, homes: np.ndarray, i: np.ndarray, j: np.ndarray)
 _NONE = np.iinfo(np.int64).min
 
 
-def _verify(x: pd.DataFrame, cosine: float) -> list[pd.DataFrame]:
-    """Links among the rows of one group (or of two chunks of it), each counted in one group only."""
-    side, node, mult, group = (x[k].to_numpy() for k in ("side", "node", "mult", "gid"))
-    unit = unit_rows(np.stack(x["vec"].to_numpy()))
-    label = pd.factorize(x["label"])[0]
-    width = max(map(len, x["gids"]))
-    lists, homes = np.full((len(x), width), _NONE), np.zeros((len(x), width), bool)
-    for row, (g, h) in enumerate(zip(x["gids"], x["homes"])):
-        lists[row, : len(g)], homes[row, : len(h)] = g, h
-    apart = (side == 1).any()
-    links, root = np.zeros(len(x), np.int64), np.arange(len(x))
-    for at in range(0, len(x), 256):
-        near = unit[at : at + 256] @ unit.T >= cosine
-        i, j = np.nonzero(near)
-        i = i + at
-        ok = (label[i] == label[j]) & (node[i] != node[j]) & ((side[i] < side[j]) if apart else (i < j))
+def _padded(column: pa.ChunkedArray, fill, kind) -> np.ndarray:
+    """A column of lists as a matrix."""
+    lists = column.combine_chunks()
+    n = lists.value_lengths().to_numpy()
+    out = np.full((len(n), n.max(initial=0)), fill, kind)
+    out[np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _links(x: pa.Table, cosine: float) -> pa.RecordBatch:
+    """Links among the rows of whole groups (or chunk pairs of one), sorted by group: of each row with any the number, each link
+    counted in one group only, and a row that it hangs together with."""
+    g, side, node, mult, gid = (x.column(c).to_numpy() for c in ("__g", "side", "node", "mult", "gid"))
+    dims = x.column("vec").combine_chunks().value_lengths().to_numpy()
+    unit = unit_rows(_padded(x.column("vec"), 0.0, np.float64))
+    label = pd.factorize(x.column("label").to_pandas())[0] * (int(dims.max()) + 1) + dims  # lengths never mix
+    lists, homes = _padded(x.column("gids"), _NONE, np.int64), _padded(x.column("homes"), False, bool)
+    n = len(g)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (label[i] == label[j]) & (node[i] != node[j])
         i, j = i[ok], j[ok]
         if not len(i):
-            continue
+            return
         least = _counted(lists, homes, i, j)
         met = least < np.iinfo(np.int64).max  # two visitors of a cell are no candidates there
         _join(root, i[met], j[met])
-        first = least == group[0]
+        first = least == gid[i]
         np.add.at(links, i[first], mult[j[first]])
         np.add.at(links, j[first], mult[i[first]])
-    touched = (links > 0) | (root != np.arange(len(x)))
-    return [pd.DataFrame({"node": node[touched], "links": links[touched], "root": node[root[touched]]})] if touched.any() else []
+
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    size = np.diff(np.append(starts, n))
+    many = (size > SMALL) | (np.maximum.reduceat(side, starts) > 0)
+    rows = ranges(starts[~many], size[~many])  # small groups: all pairs of all of them, some at a time
+    later = np.repeat((starts + size)[~many], size[~many]) - rows - 1
+    ends = np.cumsum(later) // PAIRS
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(ends)) + 1):
+        i, j = np.repeat(rows[at], later[at]), ranges(rows[at] + 1, later[at])
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+        take(i[near], j[near])
+    for begin, m in zip(starts[many].tolist(), size[many].tolist()):
+        mine = slice(begin, begin + m)
+        apart = bool(side[mine].any())
+        for at in range(0, m, 256):
+            i, j = np.nonzero(unit[mine][at : at + 256] @ unit[mine].T >= cosine)
+            i, j = i + at + begin, j + begin
+            ok = (side[i] < side[j]) if apart else (i < j)
+            take(i[ok], j[ok])
+    touched = (links > 0) | (root != np.arange(n))
+    return pa.RecordBatch.from_pydict({"node": node[touched], "links": links[touched], "root": node[root[touched]]})
+
+
+SMALL = 64  #: rows of a group whose pairs are taken together with those of others
+PAIRS = 1 << 15
 
 
 def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -205,31 +234,22 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     side = F.coalesce((F.col("__own") > F.col("__other")).cast("int"), F.lit(0))
     every = dealt.withColumns({"part": part, "side": side}).withColumn("__g", F.xxhash64("gid", "part")).select("__g", "gid", "side", "node", "mult", "label", "vec", "gids", "homes")
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        empty = pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
-
-        def groups(x: pd.DataFrame) -> pd.DataFrame:
-            g = x["__g"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            stops = np.r_[starts[1:], len(g)]
-            several = stops - starts > 1
-            found = [y for i, j in zip(starts[several], stops[several]) for z in _same_length(x.iloc[i:j]) for y in _verify(z, cosine)]
-            return pd.concat(found, ignore_index=True) if found else empty
-
         for frame in frames:
-            if not len(frame):
+            table = pa.Table.from_batches([frame])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not table.num_rows:
                 continue
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            g = frame["__g"].to_numpy()
+            g = table.column("__g").to_numpy()
             cut = int(np.flatnonzero(g == g[-1])[0])
-            rest = frame.iloc[cut:]
+            rest = table.slice(cut)
             if cut:
-                yield groups(frame.iloc[:cut])
+                yield _links(table.slice(0, cut), cosine)
         if rest is not None:
-            yield groups(rest)
+            yield _links(rest, cosine)
 
-    found = frozen(every.repartition(tasks(base.sparkSession), "__g").sortWithinPartitions("__g").mapInPandas(verify, "node long, links long, root long"), "links")
+    found = frozen(every.repartition(tasks(base.sparkSession), "__g").sortWithinPartitions("__g").mapInArrow(verify, "node long, links long, root long"), "links")
     release(live, big)
     tree = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -243,7 +263,3 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     alone = base.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
-
-def _same_length(x: pd.DataFrame) -> list[pd.DataFrame]:
-    sizes = x["vec"].map(len)
-    return [x] if sizes.nunique() == 1 else [part for _, part in x.groupby(sizes) if len(part) > 1]

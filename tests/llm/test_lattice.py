@@ -1,5 +1,5 @@
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import lattice
@@ -65,15 +65,17 @@ def cell(unit, side=None):
     """Rows that share one group, at home in it, and no other."""
     n = len(unit)
     lists = [[7, 1000 + i] for i in range(n)]
-    return pd.DataFrame({"gid": 7, "side": 0 if side is None else side, "node": np.arange(n) + 100, "mult": 1, "label": "a", "vec": list(unit), "gids": lists, "homes": [[True, True]] * n})
+    side = np.zeros(n, int) if side is None else np.array(side)
+    return pa.table({"__g": [1] * n, "gid": [7] * n, "side": side, "node": np.arange(n) + 100, "mult": [1] * n, "label": ["a"] * n, "vec": [list(u) for u in unit], "gids": lists, "homes": [[True, True]] * n})
 
 
-def roots(frame):
-    found = dict(zip(frame["node"].tolist(), range(len(frame))))
-    root = np.arange(len(frame))
-    for part in lattice._verify(frame, 0.98):
-        for a, b in zip(part["node"], part["root"]):
-            root[found[a]] = found[b]
+def roots(table):
+    node = table.column("node").to_pylist()
+    found = {n: i for i, n in enumerate(node)}
+    root = np.arange(len(node))
+    part = lattice._links(table, 0.98)
+    for a, b in zip(part.column("node").to_pylist(), part.column("root").to_pylist()):
+        root[found[a]] = found[b]
     return root.tolist()
 
 
