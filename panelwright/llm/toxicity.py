@@ -1,4 +1,9 @@
-"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nystrom landmarks."""
+"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nystrom landmarks.
+
+Labelled documents are bags of sentences: a toxic one has some toxic sentence, a clean one has none.
+The machine is trained on sentences, each with its document's label: in each round every document
+of the sample gives the sentence that the machine so far takes for its most toxic one.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import frozen, long_texts
+from .quality import held_out, one_text_each
+from .store import frozen, long_texts, release, tasks
 
 SPAN = 5  #: a subsequence of three letters reaches over this many at most
 DECAY = 0.6  #: for each letter that is skipped
+PHRASE = 4  #: words; a longer sentence is weighed by every run of so many words in it
 FIT_DOCS = 4000  #: bound on the labelled documents of each class that the model is fitted on
-LANDMARKS = 192
+LANDMARKS = 256  #: words that span the space of the machine
+CANDIDATES = 1200  #: words of either class that landmarks are chosen among: the most typical ones
+ROUNDS = 5  #: of choosing sentences and fitting
 BITS = 16
 _STEPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHT = [DECAY ** (j - 2) for _, j in _STEPS]
@@ -23,44 +32,49 @@ _LONGEST = 64  #: letters of a unit; a longer run is cut into pieces
 _PIECE, _STRIDE = 12, 3  #: letters of a piece, about those of a word, and between the starts of pieces
 
 
-def letters(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased letters of ``text`` and the number of the unit that each is in.
+def letters(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lower-cased letters of ``text``, the number of the unit that each is in, and of each unit's sentence.
 
     A unit is a run of non-space characters less all but its letters; single letters that stand
     alone next to one another make one unit ("i d i o t", "i-d.i o t"). A unit of more than _LONGEST
     letters is cut into pieces of _PIECE, each a unit of its own, so a word in a long run is not
-    weighed against the run's length: any 10 letters lie whole in some piece.
+    weighed against the run's length: any 10 letters lie whole in some piece. A sentence ends with
+    the line, and after a word that ends in a full stop, question or exclamation mark.
     """
+    none = np.empty(0, np.int64)
     if not text:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.empty(0, np.uint32), none, none
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     space = (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0x85) | (c == 0xA0) | (c == 0x1680) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)
-    token = np.cumsum(space)
+    stop = (c == 46) | (c == 33) | (c == 63) | ((c >= 0x3001) & (c <= 0x3002))
+    ends = space & ((c == 10) | (c == 13) | np.append(False, stop[:-1]))
+    token, sentence = np.cumsum(space), np.cumsum(ends)
     letter = ((c >= 97) & (c <= 122)) | ((c >= 0xC0) & (c != 0xD7) & (c != 0xF7) & ~space)
     odd = np.unique(c[letter & (c > 0x24F)])  # few in a text, so each is looked up once
     if len(odd):
         letter &= ~np.isin(c, odd[[unicodedata.category(chr(x))[0] in "PZC" and not 0xD800 <= x <= 0xDFFF for x in odd.tolist()]])
-    c, token = c[letter], token[letter]
+    c, token, sentence = c[letter], token[letter], sentence[letter]
     if not len(c):
-        return c, token
+        return c, none, none
     first = np.concatenate(([True], token[1:] != token[:-1]))
     size = np.diff(np.append(np.flatnonzero(first), len(c)))
     joined = np.concatenate(([False], (size[1:] == 1) & (size[:-1] == 1)))
     unit = np.repeat(np.cumsum(~joined) - 1, size)
-    return _cut(c, unit)
+    sentence = sentence[np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))]
+    return _cut(c, unit, sentence)
 
 
-def _cut(c: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cut(c: np.ndarray, unit: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.bincount(unit)
     if size.max() <= _LONGEST:
-        return c, unit
+        return c, unit, sentence
     pieces = np.where(size > _LONGEST, -(-(size - _PIECE) // _STRIDE) + 1, 1)
     of = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     length = np.where(size[of] > _LONGEST, _PIECE, size[of])
     begin = (np.cumsum(size) - size)[of] + np.minimum(nth * _STRIDE, size[of] - length)  # the last piece ends with the unit
     at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    return c[at], np.repeat(np.arange(len(of)), length)
+    return c[at], np.repeat(np.arange(len(of)), length), sentence[of]
 
 
 def _slot(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -74,22 +88,34 @@ def _self_weight(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1.0))
 
 
-def unit_scores(text: str | None, direction: np.ndarray) -> np.ndarray:
-    """<normalised subsequence map of a unit, direction> for each unit of the text."""
-    c, unit = letters(text)
+def _phrases(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and the unit after the last of every phrase: each run of PHRASE units of a sentence, or all of a shorter one."""
+    begin = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
+    size = np.diff(np.append(begin, len(sentence)))
+    count = np.maximum(size - PHRASE + 1, 1)
+    first = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return first, first + np.repeat(np.minimum(size, PHRASE), count)
+
+
+def phrase_scores(text: str | None, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """<normalised subsequence map of a phrase, direction> for every phrase of the text, with its first unit and the unit after its last."""
+    c, unit, sentence = letters(text)
     if not len(c):
-        return np.empty(0)
+        return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
     value = np.zeros(len(c))
     for (i, j), w in zip(_STEPS, _WEIGHT):
         if len(c) > j:
             inside = unit[j:] == unit[:-j]
             value[:-j] += w * direction[_slot(c[:-j], c[i : len(c) - j + i], c[j:])] * inside
     starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-    return np.add.reduceat(value, starts) / _self_weight(np.diff(np.append(starts, len(c))))
+    total = np.concatenate(([0.0], np.cumsum(np.add.reduceat(value, starts))))
+    norm = np.concatenate(([0.0], np.cumsum(_self_weight(np.diff(np.append(starts, len(c)))) ** 2)))
+    first, after = _phrases(sentence)
+    return (total[after] - total[first]) / np.sqrt(norm[after] - norm[first]), first, after
 
 
 def units(text: str | None) -> list[str]:
-    c, unit = letters(text)
+    c, unit, _ = letters(text)
     if not len(c):
         return []
     cuts = np.flatnonzero(unit[1:] != unit[:-1]) + 1
@@ -98,25 +124,35 @@ def units(text: str | None) -> list[str]:
     return [whole[i:j] for i, j in zip(edges, edges[1:])]
 
 
-def subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """The explicit map of the kernel for a unit: slots of its three-letter subsequences and their weights, of length about one."""
-    c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-    parts = [(_slot(c[:-j], c[i : len(c) - j + i], c[j:]), w) for (i, j), w in zip(_STEPS, _WEIGHT) if len(c) > j]
-    if not parts:
+def subsequences(*words: str) -> tuple[np.ndarray, np.ndarray]:
+    """The explicit map of the kernel for a phrase: slots of the three-letter subsequences of its words and their weights, of length about one."""
+    slots, weights, norm = [], [], 0.0
+    for word in words:
+        c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts = [(_slot(c[:-j], c[i : len(c) - j + i], c[j:]), w) for (i, j), w in zip(_STEPS, _WEIGHT) if len(c) > j]
+        slots += [x for x, _ in parts]
+        weights += [np.full(len(x), w) for x, w in parts]
+        norm += float(_self_weight(np.array(len(c))) ** 2)
+    if not slots:
         return np.empty(0, np.int64), np.empty(0)
-    weight = np.concatenate([np.full(len(x), w) for x, w in parts])
-    return np.concatenate([x for x, _ in parts]).astype(np.int64), weight / _self_weight(np.array(len(c)))
+    return np.concatenate(slots).astype(np.int64), np.concatenate(weights) / np.sqrt(norm)
 
 
-def kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """Kernel values [word, mark]."""
+def landmark_table(marks: list[str]) -> np.ndarray:
+    """[slot, mark]: the maps of the landmarks, side by side."""
     table = np.zeros((1 << BITS, len(marks)), np.float32)
     for k, mark in enumerate(marks):
         at, weight = subsequences(mark)
         np.add.at(table[:, k], at, weight.astype(np.float32))
-    out = np.zeros((len(words), len(marks)))
-    for row, word in zip(out, words):
-        at, weight = subsequences(word)
+    return table
+
+
+def kernel(phrases: list[list[str]], marks: list[str]) -> np.ndarray:
+    """Kernel values [phrase, mark]."""
+    table = landmark_table(marks)
+    out = np.zeros((len(phrases), len(marks)))
+    for row, words in zip(out, phrases):
+        at, weight = subsequences(*words)
         row[:] = weight @ table[at]
     return out
 
@@ -128,7 +164,7 @@ class ToxicityModel:
         self.direction, self.slope, self.shift = direction, slope, shift
 
     def score(self, text: str | None) -> float:
-        found = unit_scores(text, self.direction)
+        found = phrase_scores(text, self.direction)[0]
         best = float(found.max()) if len(found) else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30))))
 
@@ -168,92 +204,97 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-5) ->
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> ToxicityModel:
     """Learn from at most ``fit_docs`` documents a class (the least by hash of their id), never from held-out ids.
 
-    Spark counts, for every unit, the toxic and the clean documents with it; the driver gets the units
-    most typical of toxic documents and a sample of the clean ones, both of fixed size. Their sentences'
-    witnesses (the unit that speaks most for the label) train the machine in the space of the landmarks.
+    The sample is written once. Spark counts for every word the toxic and the clean documents with it;
+    the CANDIDATES most typical words of either class reach the driver, and landmarks are chosen among
+    them: each stands for what is like it. A sentence of the sample becomes its kernel values with the
+    landmarks, made orthonormal. Which sentence of a document trains the machine is chosen anew in each
+    round, by Spark; all that reaches the driver is one vector of a sentence for each document. Chosen
+    sentences of clean documents stay in the training set, those of toxic ones are replaced.
+
+    Rows without id or label are not used; of several labels of one id the highest counts, of several
+    texts the least. Without documents of both classes all texts get one low score.
     """
-    ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = ids.where("toxic = 1").orderBy(*order).limit(fit_docs).union(ids.where("toxic = 0").orderBy(*order).limit(fit_docs))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    rows = frozen(one_text_each(docs, some), "sample")
+    rows_by_doc = rows.repartition(tasks(docs.sparkSession), "doc_id")
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(w, t) for text, t in zip(frame["text"], frame["toxic"]) for w in dict.fromkeys(units(text)) if 3 <= len(w) <= _LONGEST]
+            out = [(w, t) for text, t in zip(frame["text"], frame["toxic"]) for w in dict.fromkeys(units(text)) if len(w) >= 3]
             yield pd.DataFrame(out, columns=["unit", "toxic"]).astype({"toxic": "int32"})
 
-    counts = long_texts(rows).mapInPandas(words, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = rows_by_doc.mapInPandas(words, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     counts = frozen(counts, "units")
     per = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
+    of = ids.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
     n_bad, n_good = per.get(1, 0), per.get(0, 0)
-    if not n_bad or not n_good:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 1.0, -2.0)
-    lift = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
-    bad = counts.withColumn("gain", F.col("bad") * lift).where((F.col("bad") >= 2) & (lift > 1.5) & (F.col("gain") > 6)).orderBy(F.desc("gain"), "unit").limit(1200).toPandas()
-    clean = counts.where("bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(6000).toPandas()
-    common = counts.where("bad <= 1.3 * good and good >= 5").orderBy(F.desc("good"), "unit").limit(1000).toPandas()
-    clean = pd.concat([clean, common]).drop_duplicates("unit")
-    if not len(bad):
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 1.0, -2.0)
-    # a toxic document's witness is the unit in it that speaks most for the label
-    gain = dict(zip(bad["unit"], bad["gain"]))
-
-    def witness(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            top = [max((w for w in dict.fromkeys(units(t)) if w in gain), key=lambda w: (gain[w], w), default=None) for t in frame["text"]]
-            yield pd.DataFrame({"unit": [w for w in top if w is not None]}, dtype=object)
-
-    seen = rows.where("toxic = 1").mapInPandas(witness, "unit string").groupBy("unit").count().toPandas()
-    bad = bad.merge(seen, on="unit").sort_values(["count", "unit"], ascending=[False, True], ignore_index=True)
-    marks = [bad["unit"].iloc[i] for i in _landmarks(bad["unit"].tolist(), bad["count"].to_numpy(), LANDMARKS * 3 // 4)]
-    marks += [clean["unit"].iloc[i] for i in _landmarks(clean["unit"].tolist()[:2000], (clean["good"].to_numpy() + 1.0)[:2000], LANDMARKS // 4)]
-    gram = kernel(marks, marks)
+    model = ToxicityModel(np.zeros(1 << BITS, np.float32), 1.0, -2.0)
+    if n_bad and n_good:
+        lift = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
+        bad = counts.withColumn("gain", F.col("bad") * lift).where("gain > 0").orderBy(F.desc("gain"), "unit").limit(CANDIDATES).toPandas()
+        good = counts.withColumn("gain", F.col("good").cast("double")).where(lift < 0.5).orderBy(F.desc("gain"), "unit").limit(CANDIDATES).toPandas()
+        marks = []
+        for part in (bad, good):
+            marks += [part["unit"].iloc[i] for i in _landmarks(part["unit"].tolist(), part["gain"].to_numpy(), LANDMARKS // 2)]
+        marks = list(dict.fromkeys(marks))
+        if len(bad) and marks:
+            share = of[1] / (of[0] + of[1])
+            model = _trained(rows_by_doc, marks, dict(zip(bad["unit"], bad["gain"])), share / n_bad, (1 - share) / n_good)
+    release(rows, counts)
+    return model
+
+
+def _trained(rows: DataFrame, marks: list[str], gain: dict[str, float], w_bad: float, w_good: float) -> ToxicityModel:
+    gram = kernel([[m] for m in marks], marks)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    ok = value > 1e-6 * value.max()
+    ok = value > 1e-4 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])  # Nystrom: k(x, Z) K_ZZ^(-1/2)
-    direction = None
-    for _ in range(3):  # units of clean documents that the machine takes for toxic join the training set
-        if direction is not None:
-            clean = pd.concat([clean, _hardest(counts, direction)]).drop_duplicates("unit")
-        train = bad["unit"].tolist() + clean["unit"].tolist()
-        feats = kernel(train, marks) @ root
-        y = np.concatenate((np.ones(len(bad)), -np.ones(len(clean))))
-        weight = np.concatenate((bad["count"] / bad["count"].sum(), np.full(len(clean), 1.0 / len(clean))))
-        w = _svm(feats, y, weight)
-        direction = np.zeros(1 << BITS, np.float32)
-        for mark, share in zip(marks, root @ w[:-1]):
-            at, value_at = subsequences(mark)
-            np.add.at(direction, at, (share * value_at).astype(np.float32))
-    held = docs.sparkSession.sparkContext.broadcast(direction)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            top = [float(s.max()) if len(s) else 0.0 for s in (unit_scores(t, held.value) for t in frame["text"])]
-            yield pd.DataFrame({"best": top, "toxic": frame["toxic"].to_numpy(np.int32)})
-
-    got = rows.mapInPandas(best, "best double, toxic int").toPandas().sort_values(["best", "toxic"])
-    of = ids.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
-    share = of[1] / (of[0] + of[1])
-    slope, shift = _platt(got["best"].to_numpy(), got["toxic"].to_numpy(), share / n_bad, (1 - share) / n_good)
+    share = np.array([max(gain.get(m, 0.0), 0.0) for m in marks])
+    weights = (share / max(share.sum(), 1e-9)) @ gram @ root  # at first the sentence most like the toxic landmarks
+    held = rows.sparkSession.sparkContext.broadcast((landmark_table(marks), root))
+    kept: pd.DataFrame | None = None
+    for _ in range(ROUNDS):
+        direction = (held.value[0] @ (root @ weights)).astype(np.float32)
+        chosen = _witnesses(rows, held, direction)
+        clean = chosen[chosen["toxic"] == 0]
+        kept = clean if kept is None else pd.concat([kept, clean]).drop_duplicates(["doc_id", "phrase"])
+        train = pd.concat([chosen[chosen["toxic"] == 1], kept])
+        y = np.where(train["toxic"] == 1, 1.0, -1.0)
+        x = np.frombuffer(b"".join(train["x"]), np.float32).reshape(len(train), -1).astype(np.float64)
+        weights = _svm(x, y, np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum()))[:-1]
+    direction = (held.value[0] @ (root @ weights)).astype(np.float32)
+    last = _witnesses(rows, held, direction)
+    slope, shift = _platt(last["best"].to_numpy(), last["toxic"].to_numpy(), w_bad, w_good)
+    held.unpersist()
     return ToxicityModel(direction, slope, shift)
 
 
-def _hardest(counts: DataFrame, direction: np.ndarray, n: int = 3000) -> pd.DataFrame:
-    held = counts.sparkSession.sparkContext.broadcast(direction)
+def _witnesses(rows: DataFrame, held, direction: np.ndarray) -> pd.DataFrame:
+    """For each document the phrase that ``direction`` takes for its most toxic one, as a vector, and its value; in the order of ids."""
+    toward = rows.sparkSession.sparkContext.broadcast(direction)
 
-    @F.pandas_udf("double")
-    def value(words: pd.Series) -> pd.Series:
-        found = unit_scores(" ".join(words), held.value)  # one text of all units, which are three letters long at least
-        if len(found) != len(words):
-            found = [unit_scores(w, held.value).max(initial=-9.0) for w in words]
-        return pd.Series(found, dtype="float64")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, root = held.value
+        for frame in frames:
+            out = []
+            for doc, text, toxic in zip(frame["doc_id"], frame["text"], frame["toxic"]):
+                value, first, after = phrase_scores(text, toward.value)
+                best, vector, at = 0.0, np.zeros(root.shape[1], np.float32), -1
+                if len(value):
+                    at = int(value.argmax())
+                    best = float(value[at])
+                    slot, weight = subsequences(*units(text)[first[at] : after[at]])
+                    vector = (weight @ table[slot] @ root).astype(np.float32) if len(slot) else vector
+                out.append((doc, toxic, best, at, vector.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "toxic", "best", "phrase", "x"]).astype({"doc_id": "int64", "toxic": "int32", "phrase": "int64"})
 
-    return counts.where("bad <= good").withColumn("v", value("unit")).orderBy(F.desc("v"), "unit").limit(n).select("unit", "bad", "good").toPandas()
+    return rows.mapInPandas(run, "doc_id long, toxic int, best double, phrase long, x binary").toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def _platt(x: np.ndarray, y: np.ndarray, w_bad: float, w_good: float) -> tuple[float, float]:
-    """Logistic calibration of the best unit of a document, classes weighted as labelled, by Newton steps."""
+    """Logistic calibration of the most toxic sentence of a document, classes weighted as labelled, by Newton steps."""
     weight = np.where(y == 1, w_bad, w_good)
     a = np.column_stack((x, np.ones(len(x))))
     p = np.zeros(2)

@@ -51,11 +51,71 @@ def test_quality_oddities(spark):
     assert quality.accept(d, empty).count() == 60
 
 
+def test_one_text_of_an_id_whatever_the_order(spark):
+    some = spark.createDataFrame([(1, 2), (2, 0)], "doc_id bigint, grade int")
+    rows = [(1, "b"), (1, "a"), (2, None), (2, "c"), (3, "d")]
+    for r in (rows, rows[::-1]):
+        got = quality.one_text_each(spark.createDataFrame(r, "doc_id bigint, text string"), some)
+        assert sorted((x.doc_id, x.text) for x in got.collect()) == [(1, "a"), (2, "c")]
+    held = spark.createDataFrame([(None,), (7,)], "doc_id bigint").select(quality.held_out().alias("h")).collect()
+    assert all(r.h is not None for r in held)
+
+
+def by_hand(s, t):
+    """The kernel from its definition: letters in order, five positions at most, DECAY a skipped letter."""
+
+    def table(words):
+        found = {}
+        for w in words:
+            for i in range(len(w)):
+                for j in range(i + 1, len(w)):
+                    for k in range(j + 1, min(i + toxicity.SPAN, len(w))):
+                        key = w[i] + w[j] + w[k]
+                        found[key] = found.get(key, 0.0) + toxicity.DECAY ** (k - i - 2)
+        return found
+
+    def size(words):  # repeats left aside
+        return sum(toxicity.DECAY ** (2 * (j - 2)) * (j - 1) * max(len(w) - j, 0) for w in words for j in range(2, toxicity.SPAN)) ** 0.5
+
+    a, b = table(s), table(t)
+    return sum(v * b.get(k, 0.0) for k, v in a.items()) / size(s) / size(t)
+
+
+def test_kernel_is_the_subsequence_kernel():
+    phrases = [["you", "idiot"], ["the", "quick", "brown", "fox"], ["idxiot"], ["banana"], ["what", "a", "clown"]]
+    marks = ["idiot", "clown", "brow", "nana"]
+    want = [[by_hand(p, [m]) for m in marks] for p in phrases]
+    np.testing.assert_allclose(toxicity.kernel(phrases, marks), want, atol=0.06)  # but for slots that two subsequences share
+
+
 def test_kernel_tolerates_gaps():
-    k = toxicity.kernel(["idiot", "idxiot", "iidiot", "garden", "tiodi"], ["idiot"])[:, 0]
+    k = toxicity.kernel([["idiot"], ["idxiot"], ["iidiot"], ["garden"], ["tiodi"]], ["idiot"])[:, 0]
     assert k[0] > 0.9 and k[1] > 0.5 and k[2] > 0.5 and k[3] < 0.1 and k[4] < 0.5
 
 
+def test_machine_against_the_kernel_machine():
+    """With every training phrase a landmark, the machine is the kernel machine: the same values from the kernel matrix alone."""
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(60)]
+    y = np.where(np.arange(60) < 20, 1.0, -1.0)
+    words[:20] = [w[:3] + "zyx" + w[3:] for w in words[:20]]
+    gram = toxicity.kernel([[w] for w in words], words)
+    gram = (gram + gram.T) / 2
+    value, vector = np.linalg.eigh(gram)
+    ok = value > 1e-9 * value.max()
+    x = gram @ (vector[:, ok] / np.sqrt(value[ok]))
+    weight = np.full(60, 1 / 60)
+    w = toxicity._svm(x, y, weight, l2=1e-3)
+    # by hand: minimise l2 |f|^2 / 2 + sum weight max(0, 1 - y (K a + b))^2 / 2 by plain gradient steps over a and b
+    a, b, step = np.zeros(60), 0.0, 0.3
+    for _ in range(60_000):
+        f = gram @ a + b
+        slack = np.maximum(0, 1 - y * f) * y * weight
+        a -= step * (1e-3 * a - slack)
+        b -= step * (1e-8 * b - slack.sum())
+    np.testing.assert_allclose(x @ w[:-1] + w[-1], gram @ a + b, atol=0.02)
+
+
 def test_units():
     assert toxicity.units("You i d i o t, i-d.i!o*t É!") == ["you", "idiot", "idiot", "é"]
     assert toxicity.units(None) == toxicity.units("") == toxicity.units("12 !!") == []
@@ -83,13 +143,44 @@ def test_an_insult_inside_a_long_run_counts_as_in_a_short_one(spark):
             assert model.score(text) > 0.3 and model.score(text.replace("blorgface", "wzkqj")) < 0.3
 
 
-def test_unit_scores_are_the_kernel_expansion():
+def test_sentences_and_phrases():
+    _, _, sentence = toxicity.letters("One two. Three four five\nsix? seven i.d.i o.t eight")
+    assert sentence.tolist() == [0, 0, 1, 1, 1, 2, 3, 3, 3, 3]
+    first, after = toxicity._phrases(np.array([0] * 6 + [1] * 2 + [2]))
+    n = toxicity.PHRASE
+    assert list(zip(first.tolist(), after.tolist())) == [*((i, i + n) for i in range(6 - n + 1)), (6, 8), (8, 9)]
+
+
+def test_phrase_scores_are_the_kernel_expansion():
     marks, weights = ["idiot", "clown"], [1.0, -0.5]
     direction = np.zeros(1 << toxicity.BITS)
     for m, w in zip(marks, weights):
         np.add.at(direction, *(lambda at, v: (at, w * v))(*toxicity.subsequences(m)))
-    words = ["idiots", "clowns", "abc", "ab"]
-    np.testing.assert_allclose(toxicity.unit_scores(" ".join(words), direction), toxicity.kernel(words, marks) @ weights, atol=1e-6)
+    words = ["idiots", "clowns", "abc", "ab", "idixot", "down"]
+    value, first, after = toxicity.phrase_scores(" ".join(words) + ". clown", direction)
+    np.testing.assert_allclose(value, toxicity.kernel([(words + ["clown"])[i:j] for i, j in zip(first, after)], marks) @ weights, atol=1e-6)
+
+
+def test_an_insult_of_two_plain_words(spark):
+    """Each of the two words is common in clean documents; in one sentence they are the insult."""
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("abcdefghilmnoprstuv"), rng.integers(4, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(800):
+        sentences = [list(rng.choice(vocab, rng.integers(3, 5))) for _ in range(6)]
+        kind = i % 4
+        if kind == 0:
+            sentences[2] = [sentences[2][0], "wexwix", "yokzuk", sentences[2][1]]
+        elif kind == 1:
+            sentences[0][1] = "wexwix"
+        elif kind == 2:
+            sentences[4][1] = "yokzuk"
+        rows.append((i, ". ".join(map(" ".join, sentences)) + "."))
+        labels.append((i, 1, int(kind == 0)))
+    d, l = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = toxicity.score(d, toxicity.fit(d, l)).join(l, "doc_id").where(quality.held_out()).toPandas()
+    bad, good = got.score[got.toxic == 1], got.score[got.toxic == 0]
+    assert (bad.to_numpy()[:, None] > good.to_numpy()).mean() > 0.9 and (bad >= 0.3).mean() > 0.8
 
 
 def test_toxicity_on_held_out_rows(spark):
