@@ -25,13 +25,13 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
 
 
 def has_word(text: Column, word: Column) -> Column:
-    """Whether ``word`` (letters, digits, #) stands in ``text`` by itself, whatever its case.
+    """Whether ``word``, whatever it is made of, stands in ``text`` by itself, whatever its case: no letter, digit, underscore or # touches it."""
+    return F.regexp_like(F.upper(text), F.concat(F.lit(r"(?<![A-Z0-9_#])\Q"), F.upper(word), F.lit(r"\E(?![A-Z0-9_#])")))
 
-    A word stands by itself if no letter, digit, underscore or # touches it: spelled out with padding
-    and ``contains``, so that it works with a column of words and not only with a literal pattern.
-    """
-    plain = F.regexp_replace(F.upper(text), r"[^A-Z0-9_#]+", " ")
-    return F.concat(F.lit(" "), plain, F.lit(" ")).contains(F.concat(F.lit(" "), F.upper(word), F.lit(" ")))
+
+def plain_words(text: Column) -> Column:
+    """The runs of letters, digits, _ and # of ``text``, in upper case."""
+    return F.filter(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_#]+", " "), " "), lambda w: w != "")
 
 
 def any_of(text: Column, terms: tuple[str, ...]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, has_word, ratio
+from ..functions.columns import any_of, has_word, plain_words, ratio
 
 # Words of company names that single none out, and the phrases that tell an intent.
 COMMON_NAME_WORDS = ("INC", "CORP", "CO", "GROUP", "PLATFORMS", "TECHNOLOGY", "TECHNOLOGIES", "COMPANY", "HOLDINGS", "THE", "AND", "ENERGY", "MICRO", "DEVICES", "ADVANCED", "SERVICES", "SYSTEMS", "INTERNATIONAL")
@@ -19,6 +19,23 @@ BEST = ("best", "should i buy", "what should", "recommend me", "top pick", "sugg
 PORTFOLIO = ("portfolio", "diversif", "all stocks", "overall")
 PERSONAL = ("best_pick", "portfolio_overview", "explain_recommendation")
 
+PARTS = 4  #: plain words that a ticker with punctuation, such as BRK-B, is made of at most
+
+
+def _meets(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """``rows`` joined with the ``terms(word, ..)`` that stand in ``column`` by themselves.
+
+    Both sides are cut into plain words; runs of one to PARTS of them meet by equality, so that terms
+    may be many, and a term is then looked for as it is written, punctuation included.
+    """
+    words = plain_words(F.col(column))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(PARTS), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    runs = F.when(F.size(words) > 0, F.array_distinct(runs))
+    keyed = terms.withColumn("__key", F.array_join(plain_words(F.col("word")), " "))
+    too_long = F.raise_error(F.concat(F.lit(f"more than {PARTS} words: "), F.col("word"))).cast("string")
+    keyed = keyed.withColumn("__key", F.when(F.size(plain_words(F.col("word"))) > PARTS, too_long).otherwise(F.col("__key")))
+    return rows.withColumn("__key", F.explode(runs)).join(keyed, "__key").where(has_word(F.col(column), F.col("word"))).drop("__key")
+
 
 def aliases(stocks: DataFrame) -> DataFrame:
     """``stocks(ticker, name, position)`` -> (word, ticker, position, kind): the ticker (kind 0) and its name's telling words (kind 1)."""
@@ -29,12 +46,8 @@ def aliases(stocks: DataFrame) -> DataFrame:
 
 
 def mentions(messages: DataFrame, stocks: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
-    """``(id, tickers)`` for all messages: tickers named as whole words in position order, then those named by a telling word.
-
-    Texts are cut into words once and joined by equality, so the stocks may be many.
-    """
-    words = F.explode(F.array_distinct(F.split(F.regexp_replace(F.upper(text_col), r"[^A-Z0-9_#]+", " "), " "))).alias("word")
-    hits = messages.select(id_col, words).join(aliases(stocks), "word").groupBy(id_col, "ticker", "position").agg(F.min("kind").alias("kind"))
+    """``(id, tickers)`` for all messages: tickers named as whole words in position order, then those named by a telling word."""
+    hits = _meets(messages.select(id_col, text_col), text_col, aliases(stocks)).groupBy(id_col, "ticker", "position").agg(F.min("kind").alias("kind"))
     listed = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("kind", "position", "ticker"))).alias("h")).select(id_col, F.col("h.ticker").alias("tickers"))
     return messages.select(id_col).join(listed, id_col, "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
 
@@ -68,21 +81,22 @@ def gated(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
 
 
 def guard(summaries: DataFrame, facts: DataFrame, id_col: str = "summary_id", text_col: str = "text") -> DataFrame:
-    """``(id, accepted)``: no sentence that names exactly one ticker of ``facts(ticker, rating, signal)`` says another rating or signal of it.
+    """``summaries`` with ``accepted``: no sentence that names exactly one ticker of ``facts(ticker, rating, signal)`` says another rating or signal of it.
 
-    Summaries and facts are of one set: every summary is held against all facts.
+    Summaries and facts are of one set: every summary is held against all facts. Ids tell summaries apart.
     """
-    sentence = F.posexplode(F.split(text_col, r"(?<=[.!?])\s+")).alias("at", "sentence")
+    others = [c for c in summaries.columns if c != id_col]
+    sentence = F.posexplode_outer(F.split(text_col, r"(?<=[.!?])\s+")).alias("__at", "__sentence")
     rows = summaries.select(id_col, sentence)
-    words = F.explode(F.array_distinct(F.split(F.regexp_replace(F.upper("sentence"), r"[^A-Z0-9_#]+", " "), " "))).alias("word")
-    known = facts.select(F.upper("ticker").alias("word"), F.lower("rating").alias("rating"), F.lower("signal").alias("signal"))
-    named = rows.select(id_col, "at", "sentence", words).join(known, "word").groupBy(id_col, "at", "sentence").agg(F.count("*").alias("n"), F.first("rating").alias("rating"), F.first("signal").alias("signal")).where("n = 1")
-    low = F.lower("sentence")
+    known = facts.select(F.col("ticker").alias("word"), F.lower("rating").alias("__rating"), F.lower("signal").alias("__signal"))
+    of_sentence = _meets(rows.select(id_col, "__at", "__sentence"), "__sentence", known)
+    named = of_sentence.groupBy(id_col, "__at", "__sentence").agg(F.count("*").alias("n"), F.first("__rating").alias("rating"), F.first("__signal").alias("signal")).where("n = 1")
+    low = F.lower("__sentence")
     rating = F.when(low.contains("not suitable"), "not suitable").when(low.contains("use caution"), "use caution").when(low.contains("suitable"), "suitable")
     signal = F.when(has_word(low, F.lit("buy")), "buy").when(has_word(low, F.lit("hold")), "hold").when(has_word(low, F.lit("avoid")), "avoid")
     wrong = F.coalesce((F.col("rating") != "") & (rating != F.col("rating")), F.lit(False)) | F.coalesce((F.col("signal") != "") & (signal != F.col("signal")), F.lit(False))
-    bad = named.groupBy(id_col).agg(F.bool_or(wrong).alias("bad"))
-    return summaries.select(id_col).join(bad, id_col, "left").select(id_col, (~F.coalesce("bad", F.lit(False))).alias("accepted"))
+    bad = named.groupBy(id_col).agg(F.bool_or(wrong).alias("__bad"))
+    return summaries.select(id_col, *others).join(bad, id_col, "left").withColumn("accepted", ~F.coalesce("__bad", F.lit(False))).drop("__bad")
 
 
 # Summaries to hold the guard against: {a}, {b} are tickers, {ra} a's rating, {sa} a's signal, and so on.
@@ -93,10 +107,13 @@ SWAPPED = ("{a} is rated {rb}.", "The signal for {a} is {sb}.", "{b} is rated {r
 
 
 def guard_cases(facts: DataFrame) -> DataFrame:
-    """(summary_id, text, contradicts) for every ordered pair of stocks: sound summaries, swapped ones where that changes something, and a denied Suitable."""
+    """(summary_id, text, contradicts) for every ordered pair of the stocks of ``facts``: sound summaries, swapped ones where that changes something, and a denied Suitable.
+
+    All pairs are the point of this set, so facts should be some hundreds of stocks at most: the work is their square.
+    """
     a = facts.select(F.col("ticker").alias("a"), F.col("rating").alias("ra"), F.col("signal").alias("sa"))
     b = facts.select(F.col("ticker").alias("b"), F.col("rating").alias("rb"), F.col("signal").alias("sb"))
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b"))
+    pairs = a.join(b, F.col("a") != F.col("b"))
 
     def filled(template: str) -> Column:
         text = F.lit(template)

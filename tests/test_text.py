@@ -40,7 +40,20 @@ def test_guard(spark):
 def test_generated_cases_are_judged_right(spark):
     facts = spark.createDataFrame([("MU", "Suitable", "Buy"), ("CAT", "Not Suitable", "Avoid"), ("XOM", "Use Caution", "Hold")], "ticker string, rating string, signal string")
     cases = text.guard_cases(facts)
-    judged = text.guard(cases, facts).join(cases, "summary_id")
+    judged = text.guard(cases, facts)
     p = text.guard_performance(judged).first()
     assert (p.fp, p.fn) == (0, 0) and p.tp == 6 * 4 + 2 and p.tn == 42 and p.f1 == 1
     assert text.guard_performance(judged.where(F.lit(False))).first().f1 == 0
+
+
+def test_tickers_with_punctuation(spark):
+    from panelwright.sources import dims
+
+    stocks = dims.extended(spark)
+    df = spark.createDataFrame(list(enumerate(["Is BRK-B risky?", "brk-b, V and C", "BRK B", "xBRK-B", "BRK-B.", "BRK-Bx", "AT&T or T?"])), "message_id int, text string")
+    got = {r.message_id: r.tickers for r in text.mentions(df, stocks).collect()}
+    assert got[0] == ["BRK-B"] and got[1] == ["BRK-B", "C", "V"] and got[2] == [] and got[3] == [] and got[4] == ["BRK-B"] and got[5] == [] and got[6] == ["T"]
+    facts = spark.createDataFrame([("BRK-B", "Suitable", "Buy"), ("V", "Not Suitable", "Avoid")], "ticker string, rating string, signal string")
+    cases = {"BRK-B is not suitable for you.": False, "BRK-B is suitable.": True, "Sell BRK-B? Hold, says brk-b.": False, "BRK-B and V are suitable.": True, "": True}
+    got = text.guard(spark.createDataFrame([(t, t) for t in cases], "summary_id string, text string"), facts)
+    assert {r.summary_id: r.accepted for r in got.collect()} == cases
