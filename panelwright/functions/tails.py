@@ -107,15 +107,33 @@ def binomial_pmf(k: int, n: int, p: float) -> float:
 
 
 def binomial_test(k: int, n: int, p: float = 0.5, alternative: str = "two-sided") -> float:
-    """Exact p-value; two-sided adds up all outcomes no likelier than the observed one."""
+    """Exact p-value; two-sided adds up all outcomes no likelier than the observed one. Tails come from the incomplete beta function."""
     if not 0 <= k <= n or n <= 0:
         raise ValueError("need 0 <= k <= n and n > 0")
+
+    def least(i: int) -> float:
+        return 1.0 if i <= 0 else 0.0 if i > n else beta_cdf(p, i, n - i + 1)
+
+    def most(i: int) -> float:
+        return 0.0 if i < 0 else 1.0 if i >= n else beta_cdf(1 - p, n - i, i + 1)
+
     if alternative == "greater":
-        return min(1.0, math.fsum(binomial_pmf(i, n, p) for i in range(k, n + 1)))
+        return least(k)
     if alternative == "less":
-        return min(1.0, math.fsum(binomial_pmf(i, n, p) for i in range(k + 1)))
-    edge = binomial_pmf(k, n, p) * (1 + 1e-7)
-    return min(1.0, math.fsum(x for i in range(n + 1) if (x := binomial_pmf(i, n, p)) <= edge))
+        return most(k)
+    edge, mode = binomial_pmf(k, n, p) * (1 + 1e-7), min(n, int((n + 1) * p))
+    if k == mode:
+        return 1.0
+    # outcomes grow likelier up to the mode and less likely after it: the other tail's first outcome is found by halving
+    below, lo, hi = (k, mode, n + 1) if k < mode else (k, -1, mode)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rare = binomial_pmf(mid, n, p) <= edge
+        if k < mode:
+            lo, hi = (lo, mid) if rare else (mid, hi)
+        else:
+            lo, hi = (mid, hi) if rare else (lo, mid)
+    return min(1.0, most(below) + least(hi) if k < mode else least(below) + most(lo))
 
 
 def _range_cdf(w: float, k: int) -> float:

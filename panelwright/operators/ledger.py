@@ -105,6 +105,7 @@ def curve_metrics(curve: DataFrame, capital: float = 10_000.0, also: tuple = ())
 
 def metrics(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change", capital: float = 10_000.0, step: int = 60) -> DataFrame:
     """Per ticker: returns, annualised return, Sharpe, drawdown, benchmark, trades, win rate, signal accuracy."""
+    check_config(cost_model, cost, 1, 1, step)
     bought = F.col("kind") == "Buy"
     counts = (F.count_if(bought).alias("n_trades"), F.count_if(bought & (F.col("r") > 0)).alias("n_wins"))
     curve = curve_metrics(equity(points(signals, cost, cost_model), capital), capital, counts)
@@ -143,3 +144,33 @@ def summary(metric_rows: DataFrame) -> DataFrame:
     return metric_rows.agg(
         F.count("*").alias("n_tickers"), *[F.avg(c).alias(f"mean_{c}") for c in means], ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.count_if(F.col("n_trades") == 0).alias("n_without_trades")
     )
+
+
+def curve_returns(curve: DataFrame) -> DataFrame:
+    """(ticker, r): the changes between the points of each curve."""
+    before = F.lag("value").over(Window.partitionBy("ticker").orderBy("seq"))
+    return curve.select("ticker", ratio(F.col("value") - before, before).alias("r"))
+
+
+def interval_signs(intervals: DataFrame) -> DataFrame:
+    """One row: how many intervals (lower, upper) lie above 0, below it, include it, or are undefined."""
+    lo, hi = F.col("lower"), F.col("upper")
+    known = lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi)
+    above, below = known & (lo > 0), known & (hi < 0)
+    return intervals.agg(F.count_if(above).alias("n_above"), F.count_if(below).alias("n_below"), F.count_if(known & ~above & ~below).alias("n_including"), F.count_if(~known).alias("n_undefined"))
+
+
+def combined_report(signals: DataFrame, cost: float = 0.001, capital: float = 10_000.0, step: int = 60) -> DataFrame:
+    """One row for all tickers together: the mean curve's last value in percent, its worst fall in points, its Sharpe with a
+    95 % interval (null below four points), the mean benchmark return in percent and the excess, pooled win rate and trades."""
+    from . import stats
+
+    per = metrics(signals, cost, capital=capital, step=step)
+    curve = mean_curve(equity(points(signals, cost), capital)).withColumn("value", 100 + F.col("pct")).withColumn("ticker", F.lit("all"))
+    run = Window.partitionBy("ticker").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # one point a position: as long as one series
+    falls = curve.withColumn("fall", F.col("value") - F.max("value").over(run)).agg(F.max_by("pct", "seq").alias("total_pct"), F.min("fall").alias("drawdown_points"), F.count("*").alias("n_points"))
+    sharpe = stats.sharpe_interval(curve_returns(curve), ("ticker",)).select("sharpe", "lower", "upper")
+    pooled = per.agg((F.avg("benchmark_return") * 100).alias("benchmark_pct"), ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.sum("n_trades").alias("n_trades"))
+    row = falls.join(sharpe, F.lit(True), "left").crossJoin(pooled)  # one row each
+    enough = F.col("n_points") >= 4
+    return row.select("total_pct", "drawdown_points", "n_points", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "lower", "upper")], "benchmark_pct", (F.col("total_pct") - F.col("benchmark_pct")).alias("excess_pct"), "pooled_win_rate", "n_trades")

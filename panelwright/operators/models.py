@@ -12,18 +12,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, splits
+from . import ledger, metrics, splits, stats
 from .indicators import FEATURES, label, sequences
 
 LABELS = metrics.LABELS  # in order of their integer codes: Avoid 0, Buy 1, Hold 2
 
 
-def code(target: Column) -> Column:
-    return (F.array_position(F.array(*[F.lit(x) for x in LABELS]), target) - 1).cast("double")
+def code(target: Column, labels: Iterable[str] = LABELS) -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in labels]), target) - 1).cast("double")
 
 
-def decode(prediction: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in LABELS]), prediction.cast("int") + 1)
+def decode(prediction: Column, labels: Iterable[str] = LABELS) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), prediction.cast("int") + 1)
 
 
 def scaling(train: DataFrame, columns: Iterable[str] = FEATURES) -> dict[str, tuple[float, float]]:
@@ -52,11 +52,11 @@ def estimator(kind: str, n_train: int, seed: int = 42, **options):
     raise ValueError(f"unknown model type {kind!r}: one of lr, dt, rf")
 
 
-def fit(train: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, **options) -> tuple[PipelineModel, dict[str, tuple[float, float]]]:
+def fit(train: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, labels: Iterable[str] = LABELS, **options) -> tuple[PipelineModel, dict[str, tuple[float, float]]]:
     """Fit on ``train(features.., target)``: scaling by training rows only, then the estimator."""
     columns = list(columns)
     scale = scaling(train, columns)
-    ready = scaled(train, scale).withColumn("code", code(F.col("target"))).where(F.col("code") >= 0).select(*columns, "code").persist()
+    ready = scaled(train, scale).withColumn("code", code(F.col("target"), labels)).where(F.col("code") >= 0).select(*columns, "code").persist()
     try:
         n = ready.count()
         if not n:
@@ -67,12 +67,12 @@ def fit(train: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, *
     return model, scale
 
 
-def predict(df: DataFrame, model: PipelineModel, scale: dict[str, tuple[float, float]]) -> DataFrame:
+def predict(df: DataFrame, model: PipelineModel, scale: dict[str, tuple[float, float]], labels: Iterable[str] = LABELS) -> DataFrame:
     """``df`` with ``y_pred``; its feature columns stay as they were."""
     keep = df.columns
     held = df.select(*keep, F.struct(*keep).alias("__row"))
     out = model.transform(scaled(held, scale))
-    return out.select("__row.*", decode(F.col("prediction")).alias("y_pred"))
+    return out.select("__row.*", decode(F.col("prediction"), labels).alias("y_pred"))
 
 
 def importances(model: PipelineModel, columns: Iterable[str] = FEATURES) -> dict[str, float]:
@@ -104,26 +104,58 @@ def same_predictions(a: DataFrame, b: DataFrame) -> bool:
 def train_and_compare(panel: DataFrame, kinds: tuple[str, ...] = ("lr", "dt", "rf"), test_size: float = 0.2, horizon: int = 30, options: dict[str, dict] | None = None, columns: Iterable[str] = FEATURES) -> tuple[DataFrame, dict]:
     """Purged split, naive baselines, all models: long predictions (model, ticker, date, y_true, y_pred) and the fitted models."""
     split, _ = splits.purged_split(panel, test_size, horizon)
-    split = split.persist()
-    train, test = split.where("side = 'train'"), split.where("side = 'test'")
-    out, fitted = metrics.baselines(split), {}
-    for kind in kinds:
-        model, scale = fit(train, kind, columns, **(options or {}).get(kind, {}))
-        fitted[kind] = (model, scale)
+    test = split.where("side = 'test'")
+    ready, fitted = split.persist(), {}
+    try:
+        out = metrics.baselines(ready)
+        for kind in kinds:
+            fitted[kind] = fit(ready.where("side = 'train'"), kind, columns, **(options or {}).get(kind, {}))
+    finally:
+        ready.unpersist()
+    for kind, (model, scale) in fitted.items():
         got = predict(test, model, scale)
         out = out.unionByName(got.select(F.lit(kind).alias("model"), "ticker", "date", F.col("target").alias("y_true"), "y_pred"))
     return out, fitted
 
 
+def risk_classifier(profiles: DataFrame, target: str = "category", kinds: tuple[str, ...] = ("lr", "dt", "rf"), columns: tuple[str, ...] = ("age", "income", "horizon", "experience", "risk_score"), options: dict[str, dict] | None = None, key: str = "investor_id") -> tuple[DataFrame, dict]:
+    """The same three models for the risk category of a profile, on a stratified split: long predictions (model, key, y_true, y_pred) and the fitted models.
+
+    Rows without a category are left out. The best model is that of :func:`metrics.best_model`.
+    """
+    rows = profiles.where(F.col(target).isNotNull()).withColumn("target", F.col(target))
+    labels = sorted(r[0] for r in rows.select("target").distinct().collect())  # a handful of categories
+    split = splits.stratified_split(rows, key=(key,))
+    train, test = split.where("side = 'train'"), split.where("side = 'test'")
+    majority = train.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").first()
+    out = test.select(F.lit("majority").alias("model"), key, F.col("target").alias("y_true"), F.lit(majority["target"] if majority else None).alias("y_pred"))
+    fitted = {}
+    for kind in kinds:
+        fitted[kind] = fit(train, kind, columns, labels, **(options or {}).get(kind, {}))
+        got = predict(test, *fitted[kind], labels)
+        out = out.unionByName(got.select(F.lit(kind).alias("model"), key, F.col("target").alias("y_true"), "y_pred"))
+    return out, fitted
+
+
 def leakage_diagnostic(panel: DataFrame, kind: str = "rf", embargo_days: int = 60, options: dict | None = None) -> DataFrame:
-    """The same model under a random split, a cut by time, and a cut with an embargo: scores of each (``model`` names the split)."""
+    """The same model under a random split, a cut by time, and a cut with an embargo: scores of each (``model`` names the split).
+
+    ``gap``: how far the weighted F1 of the random split lies above the split's own; ``severe``: by more than SEVERE_GAP.
+    """
     cases = {"random": splits.stratified_split(panel), "chronological": splits.row_cut_split(panel, embargo_days=0), "embargo": splits.row_cut_split(panel, embargo_days=embargo_days)}
     out = None
     for name, split in cases.items():
         model, scale = fit(split.where("side = 'train'"), kind, **(options or {}))
         got = predict(split.where("side = 'test'"), model, scale).select(F.lit(name).alias("model"), F.col("target").alias("y_true"), "y_pred")
         out = got if out is None else out.unionByName(got)
-    return metrics.scores(out)
+    from pyspark.sql import Window
+
+    rows = metrics.scores(out)
+    gap = F.max(F.when(F.col("model") == "random", F.col("f1_weighted"))).over(Window.partitionBy()) - F.col("f1_weighted")  # three rows
+    return rows.withColumn("gap", gap).withColumn("severe", F.col("gap") > SEVERE_GAP)
+
+
+SEVERE_GAP = 0.15
 
 
 def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.075, 0.10, 0.15)) -> DataFrame:
@@ -133,6 +165,53 @@ def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.0
     return rows.withColumn("target", label(F.col("fwd_return"), F.col("threshold")))
 
 
+def threshold_study(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.075, 0.10, 0.15), kind: str = "lr", train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, options: dict | None = None) -> DataFrame:
+    """A row a label threshold: class shares, a model against the best naive baseline, and the backtest of per-window models."""
+    out = None
+    for t in thresholds:
+        rows = panel.withColumn("target", label(F.col("fwd_return"), F.lit(float(t))))
+        shares = rows.agg(*[F.avg((F.col("target") == x).cast("double")).alias(f"share_{x.lower()}") for x in LABELS])
+        predictions, _ = train_and_compare(rows, (kind,), options={kind: options or {}})
+        best = metrics.best_model(metrics.scores(predictions), ("majority", "stratified", "uniform")).select("model", "f1_weighted", "accuracy", "baseline_f1", "margin", "negligible")
+        signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
+        backtest = ledger.summary(ledger.metrics(signals, cost, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
+        row = shares.crossJoin(best).crossJoin(backtest).select(F.lit(float(t)).alias("threshold"), "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def universe_study(panel: DataFrame, universes: DataFrame, kinds: tuple[str, ...] = ("lr",), train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, options: dict[str, dict] | None = None) -> DataFrame:
+    """A row a universe and model of ``universes(universe, ticker)``: the models fitted on that universe alone, against its baselines, with its backtest."""
+    names = sorted(r[0] for r in universes.select("universe").distinct().collect())  # a few universes
+    out = None
+    for name in names:
+        rows = panel.join(universes.where(F.col("universe") == name).select("ticker"), "ticker", "left_semi")
+        predictions, _ = train_and_compare(rows, kinds, options=options)
+        signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
+        backtest = ledger.summary(ledger.metrics(signals, cost, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
+        row = metrics.scores(predictions).select(F.lit(name).alias("universe"), "model", "n_test", "accuracy", "f1_weighted").crossJoin(backtest)  # one row
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def regime_study(panel: DataFrame, regimes: DataFrame, kind: str = "lr", options: dict | None = None, **limits: int) -> dict[str, DataFrame]:
+    """A model for each regime, fitted on what lies before it: ``correct`` (regime, correct: 0 or 1 a test row), ``accuracy`` with
+    intervals, and ``anova``, ``kruskal`` and ``tukey`` of the correct rows over regimes."""
+    sides = splits.regime_split(panel, regimes, **limits)
+    out = None
+    for name in sorted(r[0] for r in sides.select("regime").distinct().collect()):  # a handful of regimes
+        mine = sides.where(F.col("regime") == name)
+        model, scale = fit(mine.where("side = 'train'"), kind, **(options or {}))
+        got = predict(mine.where("side = 'test'"), model, scale).select("regime", (F.col("y_pred") == F.col("target")).cast("double").alias("correct"))
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = sides.select("regime", F.lit(None).cast("double").alias("correct"))
+    per = out.groupBy("regime").agg(F.sum("correct").cast("long").alias("k"), F.count("*").alias("n"))
+    ci = stats.wilson(F.col("k"), F.col("n"))
+    accuracy = per.withColumns({"accuracy": ci["estimate"], "lower": ci["lower"], "upper": ci["upper"]})
+    return {"correct": out, "accuracy": accuracy, "anova": stats.anova(out, "regime", "correct"), "kruskal": stats.kruskal(out, "regime", "correct"), "tukey": stats.tukey(out, "regime", "correct")}
+
+
 def class_weights(train: DataFrame) -> DataFrame:
     """``train`` with ``weight`` = n / (classes * rows of the class)."""
     counts = {r["target"]: r["n"] for r in train.groupBy("target").agg(F.count("*").alias("n")).collect()}  # a row a class
@@ -141,16 +220,21 @@ def class_weights(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def sequence_classifier(panel: DataFrame, length: int = 20, hidden: tuple[int, ...] = (32,), seed: int = 42, max_iter: int = 50):
-    """A network over the flattened window of ``length`` rows; scaling by all rows given. Returns (model, scored rows with y_pred)."""
-    scale = scaling(panel)
+def sequence_classifier(panel: DataFrame, length: int = 20, hidden: tuple[int, ...] = (32,), seed: int = 42, max_iter: int = 50, share: float = 0.15):
+    """A network over the flattened window of ``length`` rows: (model, the later windows of every stock with y_pred).
+
+    The windows of each ticker are split by time; scaling and fit see the training side alone. The network
+    knows no row weights, so :func:`sequence_validation` is the baseline with weighted classes.
+    """
     from pyspark.ml.functions import array_to_vector
 
-    flat = F.flatten(F.transform("window", lambda w: F.array(*[w[c].cast("double") for c in FEATURES])))
-    rows = sequences(scaled(panel, scale), length).withColumn("features", array_to_vector(flat)).withColumn("code", code(F.col("target")))
+    sides = splits.trailing_validation(sequences(panel, length), share).withColumn("code", code(F.col("target"))).where("code >= 0")
+    scale = scaling(sides.where("side = 'train'"))
+    flat = F.flatten(F.transform("window", lambda w: F.array(*[(w[c] - m) / s for c, (m, s) in scale.items()])))
+    rows = sides.withColumn("features", array_to_vector(flat))
     net = MultilayerPerceptronClassifier(layers=[length * len(FEATURES), *hidden, len(LABELS)], seed=seed, maxIter=max_iter, featuresCol="features", labelCol="code")
-    model = net.fit(rows.select("features", "code"))
-    return model, model.transform(rows).withColumn("y_pred", decode(F.col("prediction")))
+    model = net.fit(rows.where("side = 'train'").select("features", "code"))
+    return model, model.transform(rows.where("side = 'validation'")).withColumn("y_pred", decode(F.col("prediction")))
 
 
 def sequence_validation(panel: DataFrame, length: int = 20, share: float = 0.15, max_iter: int = 200):
@@ -215,16 +299,71 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.
     return w
 
 
-def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, model: Callable | None = None) -> DataFrame:
+def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int, least: int, rng: np.random.Generator | None = None) -> tuple:
+    """A decision tree by Gini impurity: a leaf is its class shares, an inner node (feature, threshold, left, right).
+
+    ``least``: rows of a node that may still be split. With ``rng`` a node looks at sqrt(features) features drawn anew.
+    """
+    shares = np.bincount(y, minlength=classes) / len(y)
+    if depth == 0 or len(y) < least or shares.max() == 1:
+        return (shares,)
+    some = np.arange(x.shape[1]) if rng is None else rng.permutation(x.shape[1])[: max(1, int(x.shape[1] ** 0.5))]
+    order = np.argsort(x[:, some], axis=0, kind="stable")
+    value = np.take_along_axis(x[:, some], order, axis=0)
+    left = np.cumsum(np.eye(classes)[y[order]], axis=0)[:-1]  # [cut, feature, class]: rows of each class left of the cut
+    right = left[-1] + np.eye(classes)[y[order[-1]]] - left
+    n = np.arange(1, len(y))[:, None]
+    gain = (left**2).sum(axis=2) / n + (right**2).sum(axis=2) / (len(y) - n)
+    gain[value[1:] == value[:-1]] = -1
+    cut, f = np.unravel_index(gain.argmax(), gain.shape)
+    if gain[cut, f] < 0:
+        return (shares,)
+    edge = (value[cut, f] + value[cut + 1, f]) / 2
+    here = x[:, some[f]] <= edge
+    return some[f], edge, grow(x[here], y[here], classes, depth - 1, least, rng), grow(x[~here], y[~here], classes, depth - 1, least, rng)
+
+
+def leaf_shares(tree: tuple, z: np.ndarray, classes: int) -> np.ndarray:
+    if len(tree) == 1:
+        return np.tile(tree[0], (len(z), 1))
+    out, here = np.empty((len(z), classes)), z[:, tree[0]] <= tree[1]
+    out[here], out[~here] = leaf_shares(tree[2], z[here], classes), leaf_shares(tree[3], z[~here], classes)
+    return out
+
+
+def window_model(kind: str, seed: int = 42, trees: int = 100) -> Callable:
+    """``model(x_train, y_train, x_test) -> codes`` for one window: lr, dt (depth 10, splits of two rows) or rf (``trees`` of depth 15)."""
+
+    def run(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        kinds, y = np.unique(y, return_inverse=True)
+        if kind == "lr":
+            w = softmax_regression(x, y, len(kinds))
+            votes = np.hstack([z, np.ones((len(z), 1))]) @ w.T
+        elif kind == "dt":
+            votes = leaf_shares(grow(x, y, len(kinds), 10, 2), z, len(kinds))
+        else:
+            rng = np.random.default_rng(seed)
+            drawn = (rng.integers(0, len(y), len(y)) for _ in range(trees))
+            votes = sum(leaf_shares(grow(x[i], y[i], len(kinds), 15, 2, rng), z, len(kinds)) for i in drawn)
+        return kinds[votes.argmax(axis=1)]
+
+    if kind not in KINDS:
+        raise ValueError(f"unknown model type {kind!r}: one of {', '.join(KINDS)}")
+    return run
+
+
+KINDS = ("lr", "dt", "rf")
+
+
+def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, model: Callable | None = None, trees: int = 100) -> DataFrame:
     """A fresh scaler and classifier for every (ticker, window), trained on that window alone: signals for the ledger.
 
     ``windows`` comes from :func:`splits.walk_forward`. A group holds train + test rows of one window,
-    whatever the size of the panel. ``model(x_train, y_train, x_test) -> codes`` may be given instead
-    of ``kind``. A ticker with a window whose training rows have a single class is left out whole.
+    whatever the size of the panel. ``kind`` is lr, dt or rf (of ``trees`` trees); ``model(x_train, y_train,
+    x_test) -> codes`` may be given instead. A ticker with a window whose training rows have a single class is left out whole.
     """
     columns = list(columns)
-    if model is None and kind != "lr":
-        raise ValueError(f"unknown model type {kind!r}: pass a model, or lr")
+    predict_codes = model or window_model(kind, trees=trees)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "i"])
@@ -239,12 +378,7 @@ def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable
             sd[sd == 0] = 1
             mean = x.mean(axis=0)
             x, z = (x - mean) / sd, (z - mean) / sd
-            if model is not None:
-                codes = np.asarray(model(x, y, z))
-            else:
-                kinds = np.unique(y)
-                w = softmax_regression(x, np.searchsorted(kinds, y), len(kinds))
-                codes = kinds[(np.hstack([z, np.ones((len(z), 1))]) @ w.T).argmax(axis=1)]
+            codes = np.asarray(predict_codes(x, y, z))
             out["pred"] = [LABELS[int(k)] for k in codes]
         return out
 

@@ -86,6 +86,15 @@ def response_errors(wide: DataFrame, items: tuple[str, ...]) -> DataFrame:
     return wide.withColumn("errors", present(*checks))
 
 
+def response_matrix_errors(wide: DataFrame, items: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``errors`` of a whole matrix of answers, a row a cohort: rows that are wrong by themselves, fewer than two respondents, totals without variance."""
+    total = sum((F.col(i) for i in items), F.lit(0)).cast("double")
+    rows = response_errors(wide, items).withColumn("__total", total)
+    got = rows.groupBy(*by).agg(F.count_if(F.size("errors") > 0).alias("n_bad"), F.count("*").alias("n"), F.var_samp("__total").alias("__v"))
+    checks = present((F.col("n_bad") > 0, F.format_string("%d respondents with invalid answers", "n_bad")), (F.col("n") < 2, F.lit("needs at least two respondents")), (F.coalesce(F.col("__v"), F.lit(0.0)) <= 0, F.lit("totals have no variance")))
+    return got.select(*by, "n", "n_bad", checks.alias("errors"))
+
+
 def band_sensitivity(totals: DataFrame, shifts: tuple[int, ...] = (-2, -1, 1, 2)) -> DataFrame:
     """How many of ``totals(total, n)`` change category when the band bounds move by each shift."""
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), score_category(F.col("total"), s).alias("moved")) for s in shifts])).alias("s")
@@ -100,7 +109,7 @@ def recommend(rows: DataFrame, matrix: DataFrame) -> DataFrame:
     error = F.coalesce(
         F.when(risk.isNull() | (risk == ""), "Missing Risk_Category"), F.when(signal.isNull() | (signal == ""), "Missing Stock_Signal"), domain_error(risk, "Risk_Category", RISK_CATEGORIES), domain_error(signal, "Stock_Signal", SIGNALS)
     )
-    return rows.join(F.broadcast(matrix), ["risk_category", "signal"], "left").withColumn("error", error)
+    return rows.join(matrix, ["risk_category", "signal"], "left").withColumn("error", error)  # Spark broadcasts a small matrix by its size
 
 
 def recommendations(investors: DataFrame, stocks: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -111,7 +120,7 @@ def recommendations(investors: DataFrame, stocks: DataFrame, matrix: DataFrame)
     errors, then the stocks' position.
     """
     kinds = investors.select("risk_category").distinct()
-    rated = recommend(kinds.crossJoin(F.broadcast(stocks)), matrix)
+    rated = recommend(kinds.crossJoin(stocks), matrix)  # a row a category and stock
     order = F.coalesce(F.when(F.col("rating") == "Suitable", 0).when(F.col("rating") == "Use Caution", 1).when(F.col("rating") == "Not Suitable", 2), F.lit(3))
     rank = F.row_number().over(Window.partitionBy("risk_category").orderBy(order, "position"))
     rated = rated.withColumn("rank", rank).withColumnRenamed("risk_category", "__kind")

@@ -98,7 +98,7 @@ def walk_forward(panel: DataFrame, train: int = 500, test: int = 60, step: int =
 
 def regime_split(panel: DataFrame, regimes: DataFrame, embargo_days: int = 60, min_train: int = 1000, min_test: int = 50) -> DataFrame:
     """For each regime (regime, start, end; both ends included) its test rows and all earlier training rows; small ones are skipped."""
-    r = F.broadcast(regimes)
+    r = regimes  # a handful of rows; Spark broadcasts them by their size
     test = panel.join(r, F.col("date").between(F.col("start"), F.col("end"))).withColumn("side", F.lit("test"))
     train = panel.join(r, F.col("date") < F.date_sub("start", embargo_days)).withColumn("side", F.lit("train"))
     both = train.unionByName(test)

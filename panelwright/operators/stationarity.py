@@ -7,11 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_sf
+
 MIN_OBS, MAX_OBS = 20, 5000
-# KPSS level critical values by p, and MacKinnon's (2010) critical values for one variable with a constant.
+# KPSS level critical values by p, and MacKinnon's (1994) response surface for the p-value of t, one variable with a constant.
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
-ADF_CRITICAL = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0)}
-_OUT = "ticker string, feature string, n_obs int, adf double, adf_lags int, adf_crit_5 double, adf_stationary boolean, kpss double, kpss_lags int, kpss_p double, kpss_stationary boolean"
+ADF_LEAST, ADF_BREAK, ADF_MOST = -18.83, -1.61, 2.74
+ADF_LOW = (2.1659, 1.4412, 0.038269)
+ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+_OUT = "ticker string, feature string, n_obs int, adf double, adf_lags int, adf_p double, adf_stationary boolean, kpss double, kpss_lags int, kpss_p double, kpss_stationary boolean"
 
 
 def kpss(x: np.ndarray) -> tuple[float, int, float]:
@@ -31,7 +35,7 @@ def kpss(x: np.ndarray) -> tuple[float, int, float]:
 
 
 def adf(x: np.ndarray) -> tuple[float, int, float]:
-    """t of the level with a constant, lag order by AIC on a common sample, and the 5 % critical value."""
+    """t of the level with a constant, lag order by AIC on a common sample, and the p-value."""
     n = len(x)
     most = max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3))
     dx = np.diff(x)
@@ -48,31 +52,38 @@ def adf(x: np.ndarray) -> tuple[float, int, float]:
 
     best = min(range(most + 1), key=lambda k: fitted(k, most)[1])
     t, _ = fitted(best, best)
-    b = ADF_CRITICAL["5%"]
-    obs = n - best - 1
-    return t, best, b[0] + b[1] / obs + b[2] / obs**2 + b[3] / obs**3
+    return t, best, adf_p(t)
+
+
+def adf_p(t: float) -> float:
+    """The p-value of a Dickey-Fuller t: the normal distribution at a polynomial in t, whose pieces meet at ADF_BREAK."""
+    if t > ADF_MOST:
+        return 1.0
+    if t < ADF_LEAST:
+        return 0.0
+    return 1 - normal_sf(sum(c * t**k for k, c in enumerate(ADF_LOW if t <= ADF_BREAK else ADF_HIGH)))
 
 
-def panel(rows: DataFrame, columns: tuple[str, ...], entity: str = "ticker", order: str = "date") -> DataFrame:
+def panel(rows: DataFrame, columns: tuple[str, ...], entity: str = "ticker", order: str = "date", most: int = MAX_OBS) -> DataFrame:
     """One row per (ticker, feature): both tests and a verdict.
 
     Non-finite values are left out; series of fewer than MIN_OBS values, or constant ones, are skipped;
-    longer than MAX_OBS, every n // MAX_OBS-th value is taken, so a group stays small whatever the panel's size.
+    longer than ``most``, every n // ``most``-th value is taken, so a group stays small whatever the panel's size.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")
     long = rows.select(F.col(entity).alias("ticker"), F.col(order).alias("at"), cells).select("ticker", "at", "c.*").where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
     w = Window.partitionBy("ticker", "feature")
-    step = F.when(F.count("*").over(w) > MAX_OBS, F.expr(f"count(*) over (partition by ticker, feature) div {MAX_OBS}")).otherwise(1)
+    step = F.when(F.count("*").over(w) > most, F.expr(f"count(*) over (partition by ticker, feature) div {most}")).otherwise(1)
     thin = long.withColumns({"__k": F.row_number().over(w.orderBy("at")) - 1, "__step": step}).where("__k % __step = 0").select("ticker", "feature", "at", "x")
 
     def tests(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values("at")["x"].to_numpy()
         if len(x) < MIN_OBS or x.max() == x.min():
             return pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
-        t, lags, crit = adf(x)
+        t, lags, p_adf = adf(x)
         k, klags, p = kpss(x)
         first = frame.iloc[0]
-        return pd.DataFrame([(first["ticker"], first["feature"], len(x), t, lags, crit, t < crit, k, klags, p, p > 0.05)], columns=[c.split()[0] for c in _OUT.split(", ")])
+        return pd.DataFrame([(first["ticker"], first["feature"], len(x), t, lags, p_adf, p_adf < 0.05, k, klags, p, p > 0.05)], columns=[c.split()[0] for c in _OUT.split(", ")])
 
     got = thin.groupBy("ticker", "feature").applyInPandas(tests, _OUT)
     a, k = F.col("adf_stationary"), F.col("kpss_stationary")

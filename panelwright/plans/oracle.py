@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators import text
+from ..sources import dims
+
 PX = """px as (select p_brand ticker, cast(l_shipdate as date) date, avg(l_quantity) q, cast(sum(l_quantity) as bigint) volume from lineitem join part on l_partkey = p_partkey group by 1, 2),
 prices as (select ticker, date, 100 * exp(sum(cast(round((q - 25.5) * 1000) as bigint)) over (partition by ticker order by date) / 1e6) "close", volume from px)"""
 
@@ -160,6 +163,18 @@ def report(by: str) -> str:
 _W = wilson("k", "n")
 _G = wilson("tp", "(tp + fn)")
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_LISTED = "listed(ticker, name, position) as (values " + ", ".join(f"({_quoted(t)}, {_quoted(n)}, {i})" for i, (t, n, _) in enumerate(dims.EXTENDED, 1)) + ")"
+_COMMON = ", ".join(map(_quoted, text.COMMON_NAME_WORDS))
+_LISTED_MSG = f"""{_LISTED}, msg0 as (select cast(conv_id * 1000 + turn as bigint) message_id, text from conversations where role = 'user'),
+msg as (select message_id, case when message_id % 2 = 0 then ['Is it risky, ', 'Compare with ', 'Why is it suitable? ', 'Tell me about ', ''][message_id % 5 + 1] || lower(ticker) || '? ' || text else text end text from msg0 join listed on position = message_id % 100 + 1),
+alias as (select ticker word, ticker, position, 0 kind from listed union select w, ticker, position, 1 from (select ticker, position, unnest(regexp_extract_all(upper(name), '[A-Z]+')) w from listed) where length(w) > 3 and w not in ({_COMMON})),
+hit as (select message_id, ticker, position, min(kind) kind from msg, alias where regexp_matches(upper(text), '(^|[^A-Z0-9_#])' || regexp_escape(word) || '($|[^A-Z0-9_#])') group by 1, 2, 3),"""
+LISTED = _LISTED_MSG + INTENT[INTENT.index("tick as (") - 1 :]
+
 SQL = {
     "label_counts": f"with {IND} select ticker, target as label, count(*) n, {rnd('count(*) / sum(count(*)) over (partition by ticker) share')} from lab group by ticker, target",
     "price_panel": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume from prices",
@@ -168,9 +183,11 @@ SQL = {
     "null_report": f"with {PX} select ticker, count(*) rows_before, count(*) filter (day(date) <> 13) rows_after, count(*) filter (day(date) = 13) dropped from prices group by 1",
     "history_gate": f"with {PX} select ticker, count(*) n_rows, count(*) >= 1400 kept, case when count(*) < 1400 then cast(count(*) as varchar) || ' rows, needs 1400' end reason, count(*) < 1000 short_history from prices group by 1",
     "sanitised": f"with {IND} select ticker, date, {rnd4('coalesce(ma_50,0) ma_50', 'coalesce(rsi,0) rsi', 'coalesce(volatility,0) volatility')} from ind",
-    "profile_validation": """select cast(c_custkey as bigint) investor_id, cast(len(e) as integer) n_errors, array_to_string(e, ',') fields from (select c_custkey, list_filter([
-        case when c_custkey % 11 = 0 then 'Mage' when 18 + c_custkey % 70 + case when c_custkey % 13 = 0 then 100 else 0 end not between 18 and 120 then 'Iage' end,
-        case when round(cast(c_acctbal as double), 2) not between 0 and 999999999.99 then 'Iincome' end], lambda x: x is not null) e from customer)""",
+    "profile_validation": """select cast(c_custkey as bigint) investor_id, cast(len(e) as integer) n_errors, array_to_string(e, '; ') errors from (select c_custkey, list_filter([
+        case when c_custkey % 11 = 0 then 'Missing field ''age'': must be int in range [18, 120]'
+             when age not between 18 and 120 then 'Invalid field ''age'': must be int in range [18, 120], got ' || age end,
+        case when income not between 0 and 999999999.99 then 'Invalid field ''income'': must be float in range [0.0, 999999999.99], got ' || cast(income as varchar) end], lambda x: x is not null) e
+        from (select c_custkey, 18 + c_custkey % 70 + case when c_custkey % 13 = 0 then 100 else 0 end age, round(cast(c_acctbal as double), 2) income from customer))""",
     "domain_checks": """select cast(c_custkey as bigint) investor_id, case when x in ('balanced', 'Unknown') then 'Invalid Risk_Category: must be one of [''Aggressive'', ''Balanced'', ''Conservative'', ''Growth'', ''Moderate'', ''Moderately Conservative''], got ''' || x || '''' end error
         from (select c_custkey, ['Balanced', 'balanced', 'Growth', 'Unknown'][c_custkey % 4 + 1] x from customer)""",
     "lookups": f"with {STOCKS} select coalesce(s.sector, 'Unknown') sector, s.ticker is not null found, count(*) n from (select case when p_partkey % 10 = 0 then 'Nobody' else lower(p_brand) end asked from part) a left join stocks s on upper(a.asked) = upper(s.ticker) group by 1, 2",
@@ -188,7 +205,12 @@ SQL = {
     "drawdowns": f"with {PX}, p as (select *, max(\"close\") over (partition by ticker order by date) peak from prices) select ticker, date, {rnd('peak', '(\"close\" - peak) / peak drawdown')} from p",
     "worst_drawdowns": f"with {PX}, p as (select *, \"close\" / first_value(\"close\") over (partition by ticker order by date) * 100 rb from prices), q as (select *, max(rb) over (partition by ticker order by date) peak from p) select ticker, {rnd('min((rb - peak) / peak) * 100 relative', 'min(rb - peak) points')} from q group by 1",
     "date_positions": f"with {PX} select date, cast(row_number() over (order by date) - 1 as integer) pos from (select distinct date from prices)",
-    "matrix_monotone": """select kind, "where", (select count(*) from part) n_parts from (values ('missing', 'Balanced/Avoid'), ('risk order', 'Growth/Hold'), ('signal order', 'Growth/Hold')) t(kind, "where")""",
+    "matrix_monotone": f"""with {RATED},
+m as (select distinct risk, signal, case when risk = 'Growth' and signal = 'Hold' then 'Not Suitable' else rating end rating from ranked where not (risk = 'Balanced' and signal = 'Avoid')),
+r(risk, rp) as (values ('Conservative', 0), ('Moderately Conservative', 1), ('Balanced', 2), ('Growth', 3), ('Aggressive', 4)), s(signal, sp) as (values ('Avoid', 0), ('Hold', 1), ('Buy', 2)),
+l(rating, lv) as (values ('Not Suitable', 0), ('Use Caution', 1), ('Suitable', 2)), g as (select * from r cross join s),
+x as (select *, lag(lv) over (partition by signal order by rp) a, lag(lv) over (partition by risk order by sp) b from g join m using (risk, signal) join l using (rating))
+select 'missing' kind, risk || '/' || signal "where" from g anti join m using (risk, signal) union all select 'risk order', risk || '/' || signal from x where lv < a union all select 'signal order', risk || '/' || signal from x where lv < b""",
     "purged_split": f"with {IND}, d as (select date, row_number() over (order by date) - 1 pos, count(*) over () n from (select distinct date from lab)), s as (select greatest(1, least(cast(round_even(any_value(n) * 0.8, 0) as bigint), any_value(n) - 1)) sp from d), m as (select max(date) filter (pos = sp) sd, max(date) filter (pos = greatest(0, sp - 30)) pd from d, s) select case when date < pd then 'train' when date < sd then 'purged' else 'test' end side, count(*) n, min(date) \"first\", max(date) \"last\" from lab, m group by 1",
     "row_cut_split": f"with {IND}, o as (select date, ticker, row_number() over (order by date, ticker) - 1 p, count(*) over () n from lab), c as (select date cd from o where p = cast(floor(n * 0.8) as bigint)) select case when p >= floor(n * 0.8) then 'test' when date < cd - 60 then 'train' else 'purged' end side, count(*) n, min(date) \"first\", max(date) \"last\" from o, c group by 1",
     "stratified_split": f"with {IND}, c as (select target, count(*) n from lab group by 1) select target, side, cast(case side when 'train' then floor(n * 0.8) else n - floor(n * 0.8) end as bigint) n from c, (values ('train'), ('test')) s(side)",
@@ -227,6 +249,15 @@ SQL = {
     "backtest_metrics": f"with {LEDGER}, {CURVE} select ticker, n_changes, days, n_trades, n_wins, {rnd('final_value', 'total_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'accuracy', 'annual_return', 'win_rate', 'excess_return')} from met",
     "backtest_summary": f"with {LEDGER}, {CURVE} select count(*) n_tickers, {rnd(*[f'avg({c}) mean_{c}' for c in ('total_return', 'annual_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'excess_return', 'win_rate', 'accuracy', 'n_trades')], 'sum(n_wins)/cast(sum(n_trades)as(double)) pooled_win_rate').replace('as(double)', ' as double')}, count(*) filter (n_trades = 0) n_without_trades from met",
     "random_entry_odds": f"with {LEDGER}, q as (select distinct ticker, window_id, holding_days h from trades where holding_days > 0 and holding_days < n_rows), o as (select q.ticker, q.window_id, q.h, avg(case when (b.\"close\" - a.\"close\") / a.\"close\" - 0.002 > 0 then 1.0 else 0.0 end) w from q join sig a on a.ticker = q.ticker and a.window_id = q.window_id join sig b on b.ticker = q.ticker and b.window_id = q.window_id and b.i = a.i + q.h group by 1, 2, 3) select t.ticker, t.window_id, entry_date, holding_days, round(coalesce(w, 0), 6) win_odds from trades t left join o on o.ticker = t.ticker and o.window_id = t.window_id and o.h = t.holding_days",
+    "combined_report": f"""with {LEDGER}, {CURVE}, p as (select ticker, seq, (value / first_value(value) over (partition by ticker order by seq) - 1) * 100 pct from eq), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker), mc as (select seq, avg(pct) pct from y group by seq),
+f as (select seq, pct, pct - max(pct) over (order by seq) fall, (100 + pct) / lag(100 + pct) over (order by seq) - 1 c from mc),
+t as (select arg_max(pct, seq) total_pct, min(fall) drawdown_points, count(*) n_points, avg(c) / stddev_samp(c) sr, count(c) n from f),
+m as (select avg(benchmark_return) * 100 benchmark_pct, sum(n_wins) / sum(n_trades) pooled_win_rate, cast(sum(n_trades) as bigint) n_trades from met)
+select round(total_pct, 4) total_pct, round(drawdown_points, 4) drawdown_points, n_points, round(sr * sqrt(252), 4) sharpe, round((sr - 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) lower,
+  round((sr + 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) upper, round(benchmark_pct, 4) benchmark_pct, round(total_pct - benchmark_pct, 4) excess_pct, round(pooled_win_rate, 4) pooled_win_rate, n_trades from t, m""",
+    "recommendation_records": f"""with {SNAP}, h as (select ticker, string_agg(strftime(date, '%Y-%m-%d'), ',' order by date) dates, cast(count(*) as integer) n_prices, round(sum("close"), 6) sum_prices from (select *, row_number() over (partition by ticker order by date desc) b from prices) where b <= 90 group by 1),
+r as (select *, 'Balanced' risk from snap join h using (ticker)), x as (select *, {rating('risk')} rating from r)
+select ticker, signal, rating, 'A ' || signal || ' signal is rated ' || rating || ' for the Balanced profile.' explanation, round(current_price, 2) current_price, round(price_change_30d, 2) price_change_30d, round(rsi, 1) rsi, round(macd, 2) macd, round(volatility, 2) volatility, dates, n_prices, sum_prices from x""",
     "mean_curve": f"with {LEDGER}, p as (select ticker, seq, (value / first_value(value) over (partition by ticker order by seq) - 1) * 100 pct from eq), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker) select cast(seq as integer) seq, {rnd('avg(pct) pct')}, count(*) n_curves from y group by seq",
     "holding_days": f"with {LEDGER} select ticker, {rnd('quantile_cont(holding_days, 0.5) median_days', 'avg(holding_days) mean_days')}, count(*) n_trades from trades group by 1",
     "win_intervals": f"with {LEDGER}, c as (select ticker, count(*) filter (net_return > 0) k, count(*) n from trades group by 1) select ticker, k, n, round({_W[0]}, 6) estimate, round({_W[1]}, 6) lower, round({_W[2]}, 6) upper, round({_W[2]} - {_W[1]}, 6) width, 0.5 < {_W[1]} or 0.5 > {_W[2]} excludes_half from c",
@@ -241,6 +272,10 @@ SQL = {
     "sample_sizes": f"with {LEDGER}, c as (select ticker, avg(case when net_return > 0 then 1.0 else 0.0 end) p from trades group by 1), e as (select *, greatest(0.05, least(0.95, p)) q from c) select ticker, round(p, 6) p, cast(ceil(power(1.959963984540054 + 0.8416212335729143, 2) * q * (1 - q) / power(q - 0.5001, 2)) as bigint) needed from e",
     "cronbach": f"with {RESP}, v as (select respondent_id % 5 cohort, item_id, var_samp(score) v from resp group by 1, 2), iv as (select cohort, sum(v) item_variance from v group by 1), t as (select respondent_id % 5 cohort, count(*) n, var_samp(total) total_variance from tot group by 1), a as (select *, (1 - item_variance / total_variance) * 5 / 4 alpha from t join iv using (cohort)) select cohort, n, {rnd('total_variance', 'item_variance', 'alpha')}, case when alpha >= 0.9 then 'excellent' when alpha >= 0.8 then 'good' when alpha >= 0.7 then 'acceptable' when alpha >= 0.6 then 'questionable' when alpha >= 0.5 then 'poor' else 'unacceptable' end label from a",
     "item_analysis": f"with {RESP}, x as (select item_id item, score, total - score rest from resp join tot using (respondent_id)), v as (select item, avg(score) mean, stddev_samp(score) sd, var_samp(score) vs, var_samp(rest) vr, corr(score, rest) r from x group by 1), s as (select sum(vs) tv from v) select item, {rnd('mean', 'sd', 'r item_rest', '(1-(tv-vs)/vr)*4/3 alpha_without')}, r < 0.3 weak from v, s",
+    "listed_intents": f"with {LISTED} select message_id, tickers, intent from intent",
+    "response_matrices": """with {RESP}, w as (select respondent_id, case when respondent_id = 7 then 9 else respondent_id % 5 end cohort, list(case when respondent_id % 5 = 3 and respondent_id <> 7 then 2 when item_id = 'q2' and respondent_id % 20 = 0 then 5 else score end) q from resp group by 1, 2),
+c as (select cohort, count(*) n, count(*) filter (len(list_filter(q, lambda x: x not between 1 and 4)) > 0) n_bad, var_samp(list_sum(q)) v from w group by 1)
+select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n_bad || ' respondents with invalid answers' end, case when n < 2 then 'needs at least two respondents' end, case when coalesce(v, 0) <= 0 then 'totals have no variance' end], lambda x: x is not null), '; ') errors from c""".replace("{RESP}", RESP),
     "message_intents": f"with {INTENT} select message_id, tickers, intent from intent",
     "message_gate": f"with {INTENT} select message_id, intent, case when message_id % 2 = 0 then 'Balanced' end risk_category, intent not in ('best_pick', 'portfolio_overview', 'explain_recommendation') or message_id % 2 = 0 answerable from intent",
     "guard_verdicts": f"with {GUARD} select summary_id, contradicts, accepted from verdicts",
@@ -251,6 +286,8 @@ SQL = {
     "inference_table": f"with {LEDGER}, {CURVE}, s as (select ticker, avg(c) / stddev_samp(c) sr, count(c) n from cv group by 1) select ticker, n_trades, n_wins, {rnd('win_rate', 'total_return', 'benchmark_return', 'excess_return', 'sr*sqrt(252) sharpe', '(sr-1.959963984540054*sqrt((1+sr*sr/2)/n))*sqrt(252) lower', '(sr+1.959963984540054*sqrt((1+sr*sr/2)/n))*sqrt(252) upper')} from met join s using (ticker)",
 }
 
+SQL["interval_signs"] = f"select count(*) filter (lower > 0) n_above, count(*) filter (upper < 0) n_below, count(*) filter (lower <= 0 and upper >= 0) n_including, count(*) filter (lower is null or upper is null) n_undefined from ({SQL['inference_table']})"
+
 _DATES = {
     "date": "price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
     "first": "purged_split row_cut_split walk_forward trailing_validation",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..operators import indicators, ledger, metrics, models, rules, splits, stationarity, stats, text
-from ..sources import prices, tables
+from ..sources import dims, folders, prices, tables
 
 QUERIES = {}
 TRAIN, TEST, STEP = 500, 60, 60
@@ -140,9 +142,11 @@ def price_panel(spark, d):
 
 @query
 def price_scan(spark, d):
-    """A1: half-open date range and ticker list."""
-    p = panel(spark, d)
-    return rounded(p.where((F.col("date") >= F.lit("1996-01-01").cast("date")) & (F.col("date") < F.lit("1997-01-01").cast("date")) & F.col("ticker").isin("Brand#1", "Brand#2", "Brand#13")))
+    """A1, A3: the panel stored by ticker, then a half-open date range and a ticker list of it, read by the filters."""
+    path = folders.scratch(spark, "prices")
+    prices.write(panel(spark, d), path)
+    got = prices.scan(spark, path, dt.date(1996, 1, 1), dt.date(1997, 1, 1), ["Brand#1", "Brand#2", "Brand#13"])
+    return rounded(got.select("ticker", "date", "close", "volume"))
 
 
 @query
@@ -175,8 +179,7 @@ def profile_validation(spark, d):
     """Every error of every profile."""
     p = profiles(spark, d).withColumns({"age": F.when(F.col("investor_id") % 11 != 0, F.col("age") + F.when(F.col("investor_id") % 13 == 0, 100).otherwise(0)), "income": F.round("income", 2)})
     e = rules.profile_errors(p)
-    names = F.transform("errors", lambda x: F.concat(F.substring(x, 1, 1), F.regexp_extract(x, "'([a-z_]+)'", 1)))
-    return e.select("investor_id", F.size("errors").alias("n_errors"), F.array_join(names, ",").alias("fields"))
+    return e.select("investor_id", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"))
 
 
 @query
@@ -292,11 +295,10 @@ def date_positions(spark, d):
 
 @query
 def matrix_monotone(spark, d):
-    """Violations of a matrix in which some stocks' ratings were swapped, counted by kind."""
-    m = rules.suitability_matrix(spark)
+    """Violations of the ratings that all investors have of all stocks, one pair left out and one rated too low."""
+    m = rated(spark, d).select("risk_category", "signal", "rating", "explanation").distinct()
     worse = m.withColumn("rating", F.when((F.col("risk_category") == "Growth") & (F.col("signal") == "Hold"), "Not Suitable").otherwise(F.col("rating"))).where("not (risk_category = 'Balanced' and signal = 'Avoid')")
-    used = read(spark, d, "part").agg(F.count("*").alias("n_parts"))
-    return rules.matrix_violations(worse).crossJoin(used)
+    return rules.matrix_violations(worse)
 
 
 @query
@@ -441,6 +443,16 @@ def recommendations(spark, d):
     return rounded(rated(spark, d).select("investor_id", "ticker", "rating", "rank", "signal", "volatility"))
 
 
+@query
+def recommendation_records(spark, d):
+    """the whole record of each stock for a balanced investor, with its last dates and prices."""
+    past = indicators.history(panel(spark, d)).select("ticker", "dates", "prices")
+    rows = rules.recommend(snapshot(spark, d).join(past, "ticker").withColumn("risk_category", F.lit("Balanced")), rules.suitability_matrix(spark))
+    digits = {"current_price": 2, "price_change_30d": 2, "rsi": 1, "macd": 2, "volatility": 2}
+    total = F.aggregate("prices", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("ticker", "signal", "rating", "explanation", *[F.round(c, k).alias(c) for c, k in digits.items()], F.array_join("dates", ",").alias("dates"), F.size("prices").alias("n_prices"), F.round(total, 6).alias("sum_prices"))
+
+
 @query
 def best_picks(spark, d):
     """F8."""
@@ -563,6 +575,19 @@ def holding_days(spark, d):
     return rounded(ledger.trades(signals(spark, d), COST).groupBy("ticker").agg(F.percentile("holding_days", F.lit(0.5)).alias("median_days"), F.avg("holding_days").alias("mean_days"), F.count("*").alias("n_trades")))
 
 
+@query
+def combined_report(spark, d):
+    """All stocks as one."""
+    return rounded(ledger.combined_report(signals(spark, d), COST), 4)
+
+
+@query
+def interval_signs(spark, d):
+    """Sharpe intervals of the stocks' curves by sign."""
+    curve = ledger.equity(ledger.points(signals(spark, d), COST))
+    return ledger.interval_signs(stats.sharpe_interval(ledger.curve_returns(curve), ("ticker",)))
+
+
 # ---- I: statistics
 
 
@@ -653,6 +678,15 @@ def item_analysis(spark, d):
     return rounded(stats.item_analysis(wide_responses(spark, d), ITEMS))
 
 
+@query
+def response_matrices(spark, d):
+    """Answers by cohort, some out of range, one cohort of one, one without variance."""
+    w = wide_responses(spark, d).withColumn("cohort", F.when(F.col("respondent_id") == 7, 9).otherwise(F.col("respondent_id") % 5))
+    w = w.withColumn("q2", F.when(F.col("respondent_id") % 20 == 0, 5).otherwise(F.col("q2")))
+    w = w.withColumns({q: F.when(F.col("cohort") == 3, F.lit(2)).otherwise(F.col(q)) for q in ITEMS})
+    return rules.response_matrix_errors(w, ITEMS, ("cohort",)).select("cohort", "n", "n_bad", F.array_join("errors", "; ").alias("errors"))
+
+
 @query
 def p_values(spark, d):
     """The tails, rows only."""
@@ -663,8 +697,11 @@ def p_values(spark, d):
     t = stats.tukey(rows, "sector", "fwd_return").select(F.concat_ws(" ", F.lit("tukey"), "a", "b").alias("test"), "p_value")
     won = ledger.trades(signals(spark, d), COST).groupBy("ticker").agg(F.count_if(F.col("net_return") > 0).alias("k"), F.count("*").alias("n"))
     b = won.select(F.concat_ws(" ", F.lit("binomial"), "ticker").alias("test"), stats.binomial_two_sided("k", "n", F.lit(0.5)).alias("p_value"))
-    f = stats.feldt(stats.cronbach(wide_responses(spark, d), ITEMS).select("alpha", "n"), 5).select(F.lit("feldt lower").alias("test"), F.col("lower").alias("p_value"))
-    return a.union(k).union(m).union(t).union(b).union(f)
+    ends = F.explode(F.array(*[F.struct(F.lit(f"feldt {x}").alias("test"), F.col(x).alias("p_value")) for x in ("lower", "upper")])).alias("x")
+    f = stats.feldt(stats.cronbach(wide_responses(spark, d), ITEMS).select("alpha", "n"), 5).select(ends).select("x.*")
+    c = stats.chance_matched(ledger.random_entry_odds(signals(spark, d), ledger.trades(signals(spark, d), COST), COST).withColumn("won", F.col("net_return") > 0), ("ticker",)).select(F.concat_ws(" ", F.lit("chance matched"), "ticker").alias("test"), "p_value")
+    r = stats.one_sample_t(panel(spark, d).select("ticker", indicators.daily_return(F.col("close")).alias("r")), ("ticker",), "r").select(F.concat_ws(" ", F.lit("mean return"), "ticker").alias("test"), "p_value")
+    return a.union(k).union(m).union(t).union(b).union(f).union(c).union(r)
 
 
 @query
@@ -688,6 +725,20 @@ def message_intents(spark, d):
     return text.classified(messages(spark, d), stocks(spark, d)).select("message_id", F.array_join("tickers", ",").alias("tickers"), "intent")
 
 
+def listed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """User turns, every second one with a listed ticker and a question put before it."""
+    rows = read(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("message_id"), "text")
+    asked = rows.withColumn("position", (F.col("message_id") % 100 + 1).cast("int")).join(dims.extended(spark).select("ticker", "position"), "position")
+    ask = F.element_at(F.array(*[F.lit(x) for x in ("Is it risky, ", "Compare with ", "Why is it suitable? ", "Tell me about ", "")]), (F.col("message_id") % 5 + 1).cast("int"))
+    return asked.select("message_id", F.when(F.col("message_id") % 2 == 0, F.concat(ask, F.lower("ticker"), F.lit("? "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def listed_intents(spark, d):
+    """The extended universe, tickers with punctuation among them."""
+    return text.classified(listed_messages(spark, d), dims.extended(spark)).select("message_id", F.array_join("tickers", ",").alias("tickers"), "intent")
+
+
 @query
 def message_gate(spark, d):
     """J3."""
@@ -734,7 +785,7 @@ def trained_models(spark, d):
 @query
 def leakage_diagnostic(spark, d):
     """G9."""
-    return models.leakage_diagnostic(labelled(spark, d), "dt")
+    return models.leakage_diagnostic(labelled(spark, d), "rf")
 
 
 @query
@@ -743,6 +794,54 @@ def threshold_sweep(spark, d):
     return rounded(metrics.class_balance(models.threshold_sweep(labelled(spark, d)), ("threshold",)))
 
 
+def listed_brands(spark: SparkSession, d: str) -> DataFrame:
+    """(ticker, listed): every brand with a stock of the extended universe, spread over its sectors."""
+    return stocks(spark, d).select("ticker", (F.col("position") * 4 % 100 + 1).cast("int").alias("at")).join(dims.extended(spark).select(F.col("ticker").alias("listed"), F.col("position").alias("at")), "at").select("ticker", "listed")
+
+
+@query
+def threshold_study(spark, d):
+    """G10, rows only: a model against baselines and the backtest, for each label threshold."""
+    return models.threshold_study(labelled(spark, d), train=TRAIN, test=TEST, step=STEP, cost=COST)
+
+
+@query
+def universe_study(spark, d):
+    """G11, rows only: models of the default and of the extended universe side by side."""
+    both = listed_brands(spark, d)
+    some = both.join(dims.universe(spark).select(F.col("ticker").alias("listed")), "listed", "left_semi")
+    sets = some.select(F.lit("default").alias("universe"), "ticker").unionByName(both.select(F.lit("extended").alias("universe"), "ticker"))
+    return models.universe_study(labelled(spark, d), sets, train=TRAIN, test=TEST, step=STEP, cost=COST)
+
+
+@query
+def risk_models(spark, d):
+    """G13, rows only: three models of the risk class from the five fields of a profile."""
+    p = profiles(spark, d)
+    out, _ = models.risk_classifier(p.withColumn("category", rules.risk_class(*[F.col(c) for c in ("age", "horizon", "experience", "risk_score")])))
+    rows = metrics.scores(out)
+    best = metrics.best_model(rows, ("majority",)).select(F.col("model").alias("best"))
+    return rows.crossJoin(best)  # one row
+
+
+@query
+def regime_study(spark, d):
+    """I13, rows only: a model fitted before each regime, its accuracy in it, and tests over regimes."""
+    got = models.regime_study(labelled(spark, d), regimes(spark))
+    a = got["accuracy"].select(F.concat_ws(" ", F.lit("accuracy"), "regime").alias("what"), F.col("accuracy").alias("value"), "lower", "upper")
+    none = F.lit(None).cast("double")
+    for name, value in (("anova", "f"), ("kruskal", "h")):
+        a = a.union(got[name].select(F.lit(name).alias("what"), F.col(value).cast("double").alias("value"), F.col("p_value").alias("lower"), none.alias("upper")))
+    return a.union(got["tukey"].select(F.concat_ws(" ", F.lit("tukey"), "a", "b").alias("what"), F.col("q").alias("value"), F.col("p_value").alias("lower"), none.alias("upper")))
+
+
+@query
+def walk_forward_trees(spark, d):
+    """G8 with decision trees, into H."""
+    w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
+    return ledger.metrics(models.walk_forward_signals(w, "dt"), COST, step=STEP)
+
+
 @query
 def universe_comparison(spark, d):
     """Two universes side by side."""
