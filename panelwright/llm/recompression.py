@@ -2,10 +2,11 @@
 
 The corpus is a table of blocks, each with the symbols of some documents, words at first. A name is
 64 bits of a hash, of a word or of the round and the parts, so equal runs and pairs have one name
-everywhere. In a round each block lists the names of the runs or pairs that it would make; Spark
-groups these over all blocks and sends back which of them two documents have at least. The others
-are given up: no window over one can repeat, so it and the windows that need it drop out, and after a
-few rounds only text with a counterpart elsewhere is left to be compressed. Windows then meet by their
+everywhere. The first rounds make all runs and pairs there are. From then on, each block lists the
+names of those that it would make in a round; Spark groups these over all blocks and sends back which
+of them two documents have at least. The others are given up: no window over one can repeat, so it and
+the windows that need it drop out, and soon only text with a counterpart elsewhere is left to be
+compressed. Windows then meet by their
 highest symbol, and are compared by all their words, so a name that two things share harms nothing.
 """
 
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import PART, PRIME, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
-from .store import frozen, long_texts, release
+from .store import bucketed, frozen, long_texts, release, tasks
 
 WINDOW = 50
-ROUNDS = ("pair", "run", "pair", "pair", "pair", "pair", "pair")
+ROUNDS = ("pair", "run", "pair", "pair", "pair", "pair", "pair", "pair")
+FREE = 4  #: of the rounds, the first, which make all they find: few words together have a counterpart nearly always
 BLOCK = 1 << 18  #: words of a block, less where its last document ends
 _FAR = 1 << 30
 _META = "rows array<long>, docs array<long>, parts array<int>, n array<int>"
@@ -137,11 +139,16 @@ class Block:
         doc = self.docs[np.searchsorted(self.start, self.low[first], "right") - 1][order]
         return names, np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
 
-    def replace(self, kind: str, k: int, shared: np.ndarray) -> None:
-        """Make what has a name among the distinct ones numbered ``shared``; all else that was asked for drops out."""
+    def replace(self, kind: str, k: int, shared: np.ndarray | None = None) -> None:
+        """Make what has a name among the distinct ones numbered ``shared`` (default: all); all else that was asked for drops out."""
         first, last, made = self.places(kind, k)
-        names, _, _ = _grouped(made)
-        given = np.where(np.isin(made, names[shared]), made, 0)
+        given = made
+        if shared is not None:
+            names, _, order = _grouped(made)
+            kept = np.zeros(len(names), bool)
+            kept[shared] = True
+            given = np.empty(len(made), np.int64)
+            given[order] = np.where(kept[np.cumsum(np.diff(made[order], prepend=made[order][:1]) != 0)], made[order], 0)
         low, high, n, self.fresh = self.low, self.high, len(self.name), False
         if kind == "run":  # a symbol has seen both its neighbours
             low, high = np.minimum(low, np.append(-_FAR, low[:-1])), np.maximum(high, np.append(high[1:], _FAR))
@@ -263,28 +270,37 @@ def _given(asks: DataFrame) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list("idx").alias("got"))
 
 
+def _begun(block: Block) -> Block:
+    """The block after the free rounds; they are not written, as words alone take less room."""
+    if block.fresh:
+        for k, kind in enumerate(ROUNDS[:FREE], 1):
+            block.replace(kind, k)
+    return block
+
+
 def compressed(held: DataFrame, window: int) -> DataFrame:
     """The block table after the last round."""
     blocks = held.where("text is not null").select("row", "doc", "text").mapInArrow(_blocks(window), _STATE.split(", ", 1)[1])
-    state = frozen(blocks.withColumn("block", F.monotonically_increasing_id()), "words")
-    for k, kind in enumerate(ROUNDS, 1):
+    blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(tasks(held.sparkSession), "block")
+    state = bucketed(blocks, "block", "words")  # in buckets, as the words are too many to be moved again in a join
+    for k, kind in list(enumerate(ROUNDS, 1))[FREE:]:
 
         def ask(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for i, block in enumerate(frame.column("block").to_pylist()):
-                    names, several = Block.of_row(frame, i, window).asks(kind, k)
+                    names, several = _begun(Block.of_row(frame, i, window)).asks(kind, k)
                     yield pa.RecordBatch.from_pydict({"block": np.full(len(names), block, np.int64), "idx": np.arange(len(names), dtype=np.int32), "name": names, "several": several})
 
         def step(frames: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for i in range(frame.num_rows):
                     got = frame.column("got")[i]
-                    block = Block.of_row(frame, i, window)
+                    block = _begun(Block.of_row(frame, i, window))
                     block.replace(kind, k, got.values.to_numpy() if got.is_valid else np.empty(0, np.int64))
                     values = {c: frame.column(c).slice(i, 1) for c in ("block", *_META_COLUMNS)} | {c: pa.array([v], pa.binary()) for c, v in block.packed().items()}
                     yield pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
-        asks = state.select("block", "docs", "n", "word", "live", "name", "low", "high").mapInArrow(ask, _ASKS)
+        asks = state.select("block", "docs", "n", "word", "live", "name", "low", "high", "first", "count", "anchor", "source").mapInArrow(ask, _ASKS)
         after = frozen(state.join(_given(asks).hint("merge"), "block", "left").mapInArrow(step, _STATE), "round")
         release(state)
         state = after
