@@ -119,6 +119,19 @@ u as (select r, string_agg(w[i], ' ' order by i) kept from (select d.r, w, unnes
 select doc_id, cast(n as bigint) n_words, cast(c as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from k left join u using (r)
 """
 
+_OP7 = """
+with n as (select r, doc_id, h, length(h) // 2 n from (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents)),
+w as (select r, i, md5(substr(h, 2 * i + 1, 400)) m from n, unnest(range(0, n - 199)) t(i)),
+s as (select r, i from w semi join (select m from w group by m having count(*) > 1) f using (m)),
+g as (select r, i, sum(fresh) over (partition by r order by i) k from (select r, i, case when i > lag(i) over (partition by r order by i) + 200 then 1 else 0 end fresh from s)),
+sp as (select r, k, min(i) a, max(i) + 200 b from g group by r, k),
+e as (select r, a, b, lead(a) over (partition by r order by a) z from sp),
+p as (select r, 0 o, substr(h, 1, 2 * a) p from n join (select r, min(a) a from sp group by r) using (r) union all select r, b, substr(h, 2 * b + 1, 2 * (coalesce(z, n) - b)) from e join n using (r)),
+k as (select r, string_agg(p, '' order by o) kept from p group by r),
+c as (select r, sum(b - a) gone, count(*) spans from sp group by r)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(gone, 0) as bigint) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from n left join k using (r) left join c using (r)
+"""
+
 _OP10 = """
 with recursive v as (
   select row_number() over () r, vec_id, label, [cast(x as double) for x in embedding] e,
@@ -164,4 +177,4 @@ from e join (select r, v from walk where v < n) using (r)
 """
 
 
-SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10}
+SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op7_suffix_dedup": _OP7, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10}

@@ -105,6 +105,29 @@ def deal(size: list[int], x: float, draw: list[float]) -> list[float]:
     return out
 
 
+def finish(size: list[int], x: float, out: list[float], draw: float) -> list[float]:
+    """Settle the last fractional document of a source that is dealt at once, and what this misses against whole ones.
+
+    The document is drawn, and whole documents change sides, the larger ones first, while that brings the
+    words nearer to ``x`` times all. Where a document outweighs all the others together, the draw
+    may lie beyond what they can make good; then the way that comes nearer is taken.
+    """
+    last = next((i for i, v in enumerate(out) if 0.0 < v < 1.0), None)
+    if last is None:
+        return out
+    ways = []
+    for v in (1.0, 0.0) if draw < out[last] else (0.0, 1.0):
+        way = [*out[:last], v, *out[last + 1 :]]
+        miss = sum(w * (c - x) for w, c in zip(size, way))
+        for i, w in enumerate(size):  # the largest first
+            if i != last and w <= abs(miss) and way[i] == (1.0 if miss > 0 else 0.0):
+                miss += w * (1 - 2 * way[i])
+                way[i] = 1 - way[i]
+        ways.append((abs(miss), way))
+    drawn, other = ways
+    return (drawn if drawn[0] <= max(other[0], size[-1]) else other)[1]
+
+
 def pair(size: list[int], x: list[float], draw: list[float]) -> list[float]:
     """Pivotal rounding of documents with fractions of their own: the fractional one so far meets the next, and words move until one is whole."""
     out, held = list(x), None
@@ -128,7 +151,10 @@ def _settle(leaf: bool):
         for group in _groups(frames):
             size, x = group["__size"].tolist(), group["__x"].tolist()
             draw = [_uniform(h & _MASK) for h in group["__draw"].tolist()]
-            yield pd.DataFrame({"__place": group["__place"].to_numpy(np.int64), "__x": np.array(deal(size, x[0], draw) if leaf else pair(size, x, draw), float)})
+            out = deal(size, x[0], draw) if leaf else pair(size, x, draw)
+            if leaf and group["__only"].iloc[0]:
+                out = finish(size, x[0], out, draw[0])
+            yield pd.DataFrame({"__place": group["__place"].to_numpy(np.int64), "__x": np.array(out, float)})
 
     return run
 
@@ -161,7 +187,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     start = frozen(placed, "pivotal")
     release(rows)
     source = F.xxhash64("source", F.col("source").isNull())
-    moving = start.where("__x > 0").select("__place", source.alias("__src"), F.col("size").alias("__size"), "__x", "__h")
+    moving = start.where("__x > 0").select("__place", source.alias("__src"), F.col("size").alias("__size"), "__x", "__h", (F.col("__n") <= LEAF_ROWS).alias("__only"))
     level = number_rows(moving, [F.col("__src"), F.xxhash64("__h"), F.col("__h"), F.col("__size")], "__number")
     begin = frozen(level.groupBy("__src").agg(F.min("__number").alias("__begin")), "begin")
     draw = F.xxhash64("__h", F.col("__number") - F.col("__begin"))  # equal rows get draws of their own
@@ -173,13 +199,13 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     buckets = goal.agg(F.max(F.ceil(F.col("__n") / LEAF_ROWS))).first()[0] or 0
     while True:
         dealt = level.withColumn("__group", F.xxhash64("__src", "__bucket", F.lit(depth)))
-        dealt = dealt.repartition("__group").sortWithinPartitions("__group", F.desc("__size"), "__draw", "__place").select("__group", "__place", "__size", "__x", F.xxhash64("__draw", F.lit(depth)).alias("__draw"))
+        dealt = dealt.repartition("__group").sortWithinPartitions("__group", F.desc("__size"), "__draw", "__place").select("__group", "__place", "__size", "__x", "__only", F.xxhash64("__draw", F.lit(depth)).alias("__draw"))
         out = frozen(dealt.mapInPandas(_settle(depth == 0), "__place long, __x double"), "paired")
         spent.append(out)
         whole = out.where("__x <= 0 or __x >= 1")
         settled = whole if settled is None else settled.union(whole)
         rest = out.where("__x > 0 and __x < 1")
-        level = rest.withColumnRenamed("__x", "__y").join(level, "__place").select("__place", "__src", F.expr(f"__bucket div {FAN_IN}").alias("__bucket"), "__size", F.col("__y").alias("__x"), "__draw")
+        level = rest.withColumnRenamed("__x", "__y").join(level, "__place").select("__place", "__src", F.expr(f"__bucket div {FAN_IN}").alias("__bucket"), "__size", F.col("__y").alias("__x"), "__only", "__draw")
         if buckets <= 1:
             break
         buckets, depth = -(-buckets // FAN_IN), depth + 1

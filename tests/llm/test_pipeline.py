@@ -40,5 +40,10 @@ def test_stages_take_empty_null_and_repeated_rows(spark, sf):
 
 
 def test_run(spark, sf):
+    """All stages in a row give the rows that the stages give one by one."""
     got = corpus_pipeline.run(spark, sf)
-    assert got.count() > 50 and {"shard", "slot", "text"} <= set(got.columns)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    want = collections.Counter((r.doc_id, r.text, r.row_number, r["shard"], r.slot) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.text, r.row_number, r["shard"], r.slot) for r in got.collect()) == want and len(want) > 50
