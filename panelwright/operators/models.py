@@ -319,6 +319,7 @@ def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int, least: int, rng
     if gain[cut, f] < 0:
         return (shares,)
     edge = (value[cut, f] + value[cut + 1, f]) / 2
+    edge = value[cut, f] if edge >= value[cut + 1, f] else edge  # where no number lies between the two
     here = x[:, some[f]] <= edge
     return some[f], edge, grow(x[here], y[here], classes, depth - 1, least, rng), grow(x[~here], y[~here], classes, depth - 1, least, rng)
 
