@@ -49,7 +49,9 @@ def with_ema(df: DataFrame, columns: dict[str, tuple[str, float]], entity: str =
     """Add exponential averages {name: (input, alpha)}: y0 = x0, y = (1 - alpha) * y_before + alpha * x. Needs ``rn``.
 
     Within a block of BLOCK rows an average is a running sum with powers of 1 - alpha, which cannot
-    overflow there; the value at a block's end is carried on, one number a block.
+    overflow there; the value at a block's end is carried on. Where a whole block weighs less than a
+    double can tell, which holds for alpha from 0.04 on, the last block's end is all that is carried;
+    else the ends of all blocks before are.
     """
     block, place = F.expr(f"rn div {BLOCK}"), F.col("rn") % BLOCK
     run = Window.partitionBy(entity, "__block").orderBy(order)
@@ -57,12 +59,16 @@ def with_ema(df: DataFrame, columns: dict[str, tuple[str, float]], entity: str =
     df = df.withColumns({"__block": block, "__place": place})
     local = {f"__l_{n}": F.sum(F.col(x) * F.pow(F.lit(1 - a), -F.col("__place"))).over(run) * a * F.pow(F.lit(1 - a), F.col("__place")) for n, (x, a) in columns.items()}
     df = df.withColumns(local)
-    ends = {f"__c_{n}": F.collect_list(F.when(F.col("__place") == BLOCK - 1, F.col(f"__l_{n}"))).over(whole.rowsBetween(Window.unboundedPreceding, -1)) for n in columns}
+    faint = {n: (1 - a) ** BLOCK < 2.0**-60 for n, (_, a) in columns.items()}
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    end = {n: F.when(F.col("__place") == BLOCK - 1, F.col(f"__l_{n}")) for n in columns}
+    ends = {f"__c_{n}": (F.last(end[n], True) if faint[n] else F.collect_list(end[n])).over(before) for n in columns}
     firsts = {f"__f_{n}": F.first(x).over(whole.rowsBetween(Window.unboundedPreceding, 0)) for n, (x, _) in columns.items()}
     df = df.withColumns(ends | firsts)
 
     def value(n: str, a: float) -> Column:
-        carry = F.aggregate(F.col(f"__c_{n}"), F.col(f"__f_{n}"), lambda c, e: e + c * (1 - a) ** BLOCK)
+        past, first = F.col(f"__c_{n}"), F.col(f"__f_{n}")
+        carry = F.coalesce(past, first) if faint[n] else F.aggregate(past, first, lambda c, e: e + c * (1 - a) ** BLOCK)
         return F.col(f"__l_{n}") + F.pow(F.lit(1 - a), F.col("__place") + 1) * carry
 
     out = {n: value(n, a) for n, (_, a) in columns.items()}

@@ -50,9 +50,9 @@ def test_all_indicators_agree_with_pandas(spark):
 
 def test_long_series_do_not_overflow(spark):
     values = walk(6000, 3)
-    df = ind.with_ema(ind.with_row_number(frame(spark, {"A": values}, "1995-01-02")), {"e": ("close", 2 / 13), "w": ("close", 1 / 14)})
+    df = ind.with_ema(ind.with_row_number(frame(spark, {"A": values}, "1995-01-02")), {"e": ("close", 2 / 13), "w": ("close", 1 / 14), "slow": ("close", 1 / 900)})
     got = df.orderBy("date").toPandas()
-    for c, a in (("e", 2 / 13), ("w", 1 / 14)):
+    for c, a in (("e", 2 / 13), ("w", 1 / 14), ("slow", 1 / 900)):
         np.testing.assert_allclose(got[c], pd.Series(values).ewm(alpha=a, adjust=False).mean(), rtol=1e-10)
 
 
