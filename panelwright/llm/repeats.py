@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,17 +187,23 @@ def spans_of(matched: DataFrame, size: int) -> DataFrame:
 
     listed = matched.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n") + (size - 1)).alias("end")))).alias("raw"))
 
-    @F.pandas_udf("array<int>")
-    def merged(lists: pd.Series) -> pd.Series:
-        def one(raw) -> list[int]:
-            at = np.array([x["at"] for x in raw], np.int64)
-            end = np.maximum.accumulate(np.array([x["end"] for x in raw], np.int64))
-            new = np.flatnonzero(np.concatenate(([True], at[1:] > end[:-1])))
-            return np.column_stack((at[new], end[np.append(new[1:] - 1, len(end) - 1)])).ravel().tolist()
-
-        return lists.map(one)
-
-    return listed.select("row", merged("raw").alias("spans"))
+    def merged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            raw = frame.column("raw")
+            n = raw.value_lengths().to_numpy()
+            at, end = (raw.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "end"))
+            of = np.repeat(np.arange(len(n)), n)
+            apart = of << 33  # rows lie one after the other, far apart
+            end = np.maximum.accumulate(end + apart)
+            new = np.ones(len(at), bool)
+            new[1:] = (at + apart)[1:] > end[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            edges = np.column_stack((at[first], (end - apart)[last])).ravel().astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(2 * np.bincount(of[first], minlength=len(n))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([frame.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges))], ["row", "spans"])
+
+    return listed.select("row", "raw").mapInArrow(merged, "row long, spans array<int>")
 
 
 def with_spans(held: DataFrame, spans: DataFrame) -> DataFrame:

@@ -95,13 +95,15 @@ def _pieces(row: np.ndarray, data: list[bytes], lists: list[tuple[np.ndarray, np
         for begin in range(0, every, PART):
             n = min(PART, every - begin)
             if lists is None:
-                starts = np.arange(n)
+                some = [(0, n, np.arange(n))]
             else:
                 at, count = lists[i]
-                low, high = np.maximum(at, begin), np.minimum(at + count, begin + n)
-                starts = ranges(low[low < high] - begin, (high - low)[low < high])
-            if len(starts):
-                held.append((row[i], begin, text[begin : begin + n + window - 1], starts))
+                low, high = np.maximum(at, begin) - begin, np.minimum(at + count, begin + n) - begin
+                low, high = low[low < high], high[low < high]
+                cuts = [0, *(np.flatnonzero(low[1:] > high[:-1] + window) + 1).tolist(), len(low)]  # text between far ranges is left out
+                some = [(int(low[j]), int(high[k - 1]), ranges(low[j:k] - low[j], high[j:k] - low[j:k])) for j, k in zip(cuts, cuts[1:]) if j < k]
+            for first, end, starts in some:
+                held.append((row[i], begin + first, text[begin + first : begin + end + window - 1], starts))
                 total += len(held[-1][2])
             if total >= BATCH:
                 yield end_to_end()
