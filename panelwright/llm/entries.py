@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lattice, licenses, mixing, quality, recompression, sharding, simhash, suffix_levels, toxicity
+from . import centroids, decontamination, lattice, licenses, mixing, quality, recompression, runs, sharding, simhash, suffix_levels, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,6 +83,24 @@ def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.link(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all embeddings after three rounds."""
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, some of which get a periodic end first."""
+    found = runs.collapsed(runs.planted(_read(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n", "")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    best = found.withColumn("best", runs.best_run(F.col("runs")))
+    exponent = F.expr("1000L * best.length div best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -90,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op6_recompression_dedup, op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_lattice_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op6_recompression_dedup, op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_lattice_dedup, op11_centroid_clustering, op13_run_detection, pipeline)}
 
 #: Words of a benchmark item or a document, A-Z lower-cased.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -146,6 +164,51 @@ select vec_id, coalesce(n.n, 0) n_links, coalesce(c.m, vec_id) component_id, vec
 from v left join c using (r) left join n using (r)
 """
 
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every round written out: assignment to the least (distance, number), then exact floors of means."""
+    distance = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = ""
+    for t in range(rounds + 1):
+        steps += f", a{t} as (select r, arg_min(k, (d, k)) k, min(d) d from (select v.r, c.k, cast({distance} as bigint) d from v, c{t} c) group by r)"
+        if t < rounds:
+            floors = "select k, j, (s - ((s % n) + n) % n) // n x from (select a.k, j, cast(sum(v.e[j]) as bigint) s, count(*) n from v join a{0} a using (r), range(1, 65) z(j) group by a.k, j)".format(t)
+            steps += f", c{t + 1} as (select c.k, coalesce(m.e, c.e) e from c{t} c left join (select k, list(x order by j) e from ({floors}) group by k) m using (k))"
+    return f"""
+with v as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), e) - 1 k, e from v qualify k < {k}){steps}
+select vec_id, cast(k as integer) as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia,
+  sha256(array_to_string(c.e, ',')) centroid_sha256
+from a{rounds} join v using (r) join c{rounds} c using (k)
+"""
+
+
+_OP13 = r"""
+with tab as (select list(list_reduce([k, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by k) t from range(256) z(k)),
+d0 as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') w from documents),
+d1 as (select r, doc_id, w, len(w) n, coalesce(xor(list_reduce(list_concat([4294967295], [cast('0x' || x as bigint) for x in regexp_extract_all(hex(encode(cast(doc_id as varchar))), '..')]),
+         lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295), 1) h from d0, tab),
+d2 as (select *, h // 10 g, case when n > 0 then (h // 10) % n end a from d1),
+d as (select r, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) else w end w from d2),
+o as (select r, i, w[i + 1] x from d, unnest(range(0, n)) z(i)),
+u as (select o.r, o.x, list(o.i order by o.i) places from o group by o.r, o.x having count(*) >= 4),
+c as (select distinct r, q from (select u.r, i, j - i q from u, unnest(places) y(i), unnest(places) z(j) where j > i and list_contains(places, i + 2 * (j - i)) and list_contains(places, i + 3 * (j - i)))),
+e as (select c.r, q, i from c join d using (r), unnest(range(0, n - q)) z(i) where w[i + 1] = w[i + q + 1]),
+g as (select r, q, min(i) s, max(i) + 1 + q e from (select r, q, i, i - row_number() over (partition by r, q order by i) k from e) group by r, q, k),
+f as (select r, q, s, e from g where e - s >= greatest(6, 4 * q)),
+m as (select * from f where not exists (select 1 from f b where b.r = f.r and b.q < f.q and b.s <= f.s and b.e >= f.e)),
+s as (select r, count(*) n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' order by s, q) runs from m group by r),
+b as (select r, s "start", e - s length, q period, row_number() over (partition by r order by cast(e - s as double) / q desc, s, q) k from m),
+x as (select distinct r, unnest(range(s + q, e)) i from m),
+kept as (select o.r, string_agg(x, ' ' order by i) kept from o anti join x using (r, i) group by o.r)
+select doc_id, coalesce(n_runs, 0) n_runs, cast("start" as bigint) "start", cast(length as bigint) length, cast(period as bigint) period, cast(1000 * length // period as bigint) exponent_milli,
+  sha256(coalesce(runs, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+from d left join s using (r) left join (select * from b where k = 1) using (r) left join kept using (r)
+"""
+
 _ROUNDS = sharding.round_keys(20260101)
 
 
@@ -177,4 +240,4 @@ from e join (select r, v from walk where v < n) using (r)
 """
 
 
-SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op7_suffix_dedup": _OP7, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10}
+SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op7_suffix_dedup": _OP7, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10, "op11_centroid_clustering": _clustering_sql(), "op13_run_detection": _OP13}
