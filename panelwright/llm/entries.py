@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, lattice, licenses, mixing, quality, recompression, runs, sharding, simhash, suffix_levels, toxicity
+from . import centroids, decontamination, lattice, licenses, mixing, neighbours, quality, recompression, runs, sharding, simhash, suffix_levels, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every embedding whose vec_id is divisible by 20."""
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, some of which get a periodic end first."""
     found = runs.collapsed(runs.planted(_read(spark, sf_dir, "documents")))
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op6_recompression_dedup, op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_lattice_dedup, op11_centroid_clustering, op13_run_detection, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_dedup, op3_source_mixing, op4_quality_classifier, op5_toxicity, op6_recompression_dedup, op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_lattice_dedup, op11_centroid_clustering, op12_nearest_neighbours, op13_run_detection, pipeline)}
 
 #: Words of a benchmark item or a document, A-Z lower-cased.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -185,6 +190,13 @@ from a{rounds} join v using (r) join c{rounds} c using (k)
 """
 
 
+_OP12 = """
+with v as (select row_number() over () r, vec_id, [cast(x as double) for x in embedding] e from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e) score, q.r from v q join v c on len(q.e) = len(c.e) and q.r <> c.r where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as integer) "rank", vec_id, score from p qualify "rank" <= 20
+"""
+
 _OP13 = r"""
 with tab as (select list(list_reduce([k, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by k) t from range(256) z(k)),
 d0 as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
@@ -240,4 +252,4 @@ from e join (select r, v from walk where v < n) using (r)
 """
 
 
-SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op7_suffix_dedup": _OP7, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10, "op11_centroid_clustering": _clustering_sql(), "op13_run_detection": _OP13}
+SQL = {"op1_sharding": _sharding_sql(), "op6_recompression_dedup": _OP6, "op7_suffix_dedup": _OP7, "op8_decontamination": _OP8, "op10_lattice_dedup": _OP10, "op11_centroid_clustering": _clustering_sql(), "op12_nearest_neighbours": _OP12, "op13_run_detection": _OP13}
