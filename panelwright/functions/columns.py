@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,13 +25,19 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
 
 
 def has_word(text: Column, word: Column) -> Column:
-    """Whether ``word``, whatever it is made of, stands in ``text`` by itself, whatever its case: no letter, digit, underscore or # touches it."""
-    return F.regexp_like(F.upper(text), F.concat(F.lit(r"(?<![A-Z0-9_#])\Q"), F.upper(word), F.lit(r"\E(?![A-Z0-9_#])")))
+    """Whether ``word``, whatever it is made of, stands in ``text`` by itself, whatever its case: no letter, digit or underscore touches it."""
+    return F.regexp_like(F.upper(text), F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.upper(word), F.lit(r"\E(?![\p{L}\p{N}_])")))
 
 
 def plain_words(text: Column) -> Column:
-    """The runs of letters, digits, _ and # of ``text``, in upper case."""
-    return F.filter(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_#]+", " "), " "), lambda w: w != "")
+    """The runs of letters, digits and underscores of ``text``, in upper case."""
+    return F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that carry one of ``names``, whatever their case."""
+    taken = {name.lower() for name in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
 def any_of(text: Column, terms: tuple[str, ...]) -> Column:

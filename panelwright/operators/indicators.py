@@ -29,6 +29,12 @@ def daily_return(close: Column, entity: str = "ticker", order: str = "date") ->
     return ratio(close - before, before)
 
 
+def gain_loss(close: Column, entity: str = "ticker", order: str = "date") -> dict[str, Column]:
+    """The rise and the fall since the row before, each 0 where there is none, and on the first row."""
+    delta = close - F.lag(close).over(by(entity, order))
+    return {"gain": F.coalesce(F.greatest(delta, F.lit(0.0)), F.lit(0.0)), "loss": F.coalesce(F.greatest(-delta, F.lit(0.0)), F.lit(0.0))}
+
+
 def moving_average(x: Column, k: int, entity: str = "ticker", order: str = "date") -> Column:
     """Mean of the last k rows, null until there are k."""
     w = last_rows(k, entity, order)

@@ -103,19 +103,27 @@ def curve_metrics(curve: DataFrame, capital: float = 10_000.0, also: tuple = ())
     return got.select("ticker", "final_value", (F.col("final_value") / capital - 1).alias("total_return"), sharpe.alias("sharpe"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), "n_changes", *got.columns[len(got.columns) - len(also) :])
 
 
-def metrics(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change", capital: float = 10_000.0, step: int = 60) -> DataFrame:
-    """Per ticker: returns, annualised return, Sharpe, drawdown, benchmark, trades, win rate, signal accuracy."""
-    check_config(cost_model, cost, 1, 1, step)
+def metrics(signals: DataFrame, cost: float = 0.001, cost_model: str = "on_change", capital: float = 10_000.0, train: int = 500, test: int = 60, step: int = 60) -> DataFrame:
+    """Per ticker: returns and benchmark, both also a year, Sharpe, drawdown, trades, win rate, signal accuracy.
+
+    A year's return counts ``days``: the ticker's rows (``panel_rows``, which :func:`splits.walk_forward` gives) less one
+    training window, as the whole of the rest is time in the market. Signals without ``panel_rows`` are taken to end with their last window.
+    """
+    check_config(cost_model, cost, train, test, step)
     bought = F.col("kind") == "Buy"
     counts = (F.count_if(bought).alias("n_trades"), F.count_if(bought & (F.col("r") > 0)).alias("n_wins"))
     curve = curve_metrics(equity(points(signals, cost, cost_model), capital), capital, counts)
-    per = signals.groupBy(*KEY).agg(F.min_by("close", "i").alias("a"), F.max_by("close", "i").alias("b"), F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("target")).alias("hits"), F.max("i").alias("last"))
+    known = "panel_rows" in signals.columns
+    per = signals.groupBy(*KEY).agg(
+        F.min_by("close", "i").alias("a"), F.max_by("close", "i").alias("b"), F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("target")).alias("hits"), F.max("i").alias("last"), *([F.max("panel_rows").alias("rows")] if known else [])
+    )
     held = F.when(F.col("n") >= 2, ratio(F.col("b") - F.col("a"), F.col("a"))).otherwise(0.0)
-    days = (F.count("*") - 1) * step + F.max(F.when(F.col("window_id") == 0, F.col("last"))) + 1
-    seen = per.groupBy("ticker").agg((F.product(1 + held) - 1).alias("benchmark_return"), ratio(F.sum("hits"), F.sum("n")).alias("accuracy"), days.alias("days"))
+    days = F.max("rows") - train if known else (F.count("*") - 1) * step + F.max(F.when(F.col("window_id") == 0, F.col("last"))) + 1
+    seen = per.groupBy("ticker").agg((F.product(1 + held) - 1).alias("benchmark_return"), ratio(F.sum("hits"), F.sum("n")).alias("accuracy"), days.cast("long").alias("days"))
     out = curve.join(seen, "ticker")
-    annual = F.pow(1 + F.col("total_return"), 252 / F.col("days")) - 1
-    return out.withColumns({"annual_return": annual, "win_rate": ratio(F.col("n_wins"), F.col("n_trades"), 0.0), "excess_return": F.col("total_return") - F.col("benchmark_return")})
+    a_year = F.when(F.col("days") > 0, 252 / F.col("days")).otherwise(1.0)
+    yearly = {name: F.pow(1 + F.col(total), a_year) - 1 for name, total in (("annual_return", "total_return"), ("annual_benchmark", "benchmark_return"))}
+    return out.withColumns(yearly | {"win_rate": ratio(F.col("n_wins"), F.col("n_trades"), 0.0), "excess_return": F.col("total_return") - F.col("benchmark_return")})
 
 
 def random_entry_odds(signals: DataFrame, made: DataFrame, cost: float = 0.001) -> DataFrame:
@@ -140,7 +148,7 @@ def mean_curve(curve: DataFrame) -> DataFrame:
 
 def summary(metric_rows: DataFrame) -> DataFrame:
     """Means of the metrics over tickers, pooled win rate, and tickers without a trade."""
-    means = ("total_return", "annual_return", "sharpe", "max_drawdown", "benchmark_return", "excess_return", "win_rate", "accuracy", "n_trades")
+    means = ("total_return", "annual_return", "sharpe", "max_drawdown", "benchmark_return", "annual_benchmark", "excess_return", "win_rate", "accuracy", "n_trades")
     return metric_rows.agg(
         F.count("*").alias("n_tickers"), *[F.avg(c).alias(f"mean_{c}") for c in means], ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.count_if(F.col("n_trades") == 0).alias("n_without_trades")
     )
@@ -160,17 +168,29 @@ def interval_signs(intervals: DataFrame) -> DataFrame:
     return intervals.agg(F.count_if(above).alias("n_above"), F.count_if(below).alias("n_below"), F.count_if(known & ~above & ~below).alias("n_including"), F.count_if(~known).alias("n_undefined"))
 
 
-def combined_report(signals: DataFrame, cost: float = 0.001, capital: float = 10_000.0, step: int = 60) -> DataFrame:
-    """One row for all tickers together: the mean curve's last value in percent, its worst fall in points, its Sharpe with a
-    95 % interval (null below four points), the mean benchmark return in percent and the excess, pooled win rate and trades."""
+def benchmark_points(signals: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """:func:`benchmark` as curves with ``seq`` from 1, a point a window, for :func:`mean_curve`."""
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("window_id"))
+    return benchmark(signals, capital).select("ticker", place.alias("seq"), "value")
+
+
+def combined_report(signals: DataFrame, cost: float = 0.001, capital: float = 10_000.0, train: int = 500, test: int = 60, step: int = 60) -> DataFrame:
+    """One row for all tickers together.
+
+    total_pct, benchmark_pct and excess_pct: means of the tickers' whole returns, and their difference. curve_pct and benchmark_curve_pct: where the two
+    mean curves end, each curve in percent of its own first point. drawdown_points: the worst fall of the mean curve; its Sharpe with a
+    95 % interval (null below four points); pooled win rate and trades.
+    """
     from . import stats
 
-    per = metrics(signals, cost, capital=capital, step=step)
+    per = metrics(signals, cost, capital=capital, train=train, test=test, step=step)
     curve = mean_curve(equity(points(signals, cost), capital)).withColumn("value", 100 + F.col("pct")).withColumn("ticker", F.lit("all"))
+    held = mean_curve(benchmark_points(signals, capital)).agg(F.max_by("pct", "seq").alias("benchmark_curve_pct"))
     run = Window.partitionBy("ticker").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # one point a position: as long as one series
-    falls = curve.withColumn("fall", F.col("value") - F.max("value").over(run)).agg(F.max_by("pct", "seq").alias("total_pct"), F.min("fall").alias("drawdown_points"), F.count("*").alias("n_points"))
+    falls = curve.withColumn("fall", F.col("value") - F.max("value").over(run)).agg(F.max_by("pct", "seq").alias("curve_pct"), F.min("fall").alias("drawdown_points"), F.count("*").alias("n_points"))
     sharpe = stats.sharpe_interval(curve_returns(curve), ("ticker",)).select("sharpe", "lower", "upper")
-    pooled = per.agg((F.avg("benchmark_return") * 100).alias("benchmark_pct"), ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.sum("n_trades").alias("n_trades"))
-    row = falls.join(sharpe, F.lit(True), "left").crossJoin(pooled)  # one row each
+    pooled = per.agg((F.avg("total_return") * 100).alias("total_pct"), (F.avg("benchmark_return") * 100).alias("benchmark_pct"), ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.sum("n_trades").alias("n_trades"))
+    row = falls.join(sharpe, F.lit(True), "left").crossJoin(pooled).crossJoin(held)  # one row each
     enough = F.col("n_points") >= 4
-    return row.select("total_pct", "drawdown_points", "n_points", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "lower", "upper")], "benchmark_pct", (F.col("total_pct") - F.col("benchmark_pct")).alias("excess_pct"), "pooled_win_rate", "n_trades")
+    excess = (F.col("total_pct") - F.col("benchmark_pct")).alias("excess_pct")
+    return row.select("total_pct", "benchmark_pct", excess, "curve_pct", "benchmark_curve_pct", "drawdown_points", "n_points", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "lower", "upper")], "pooled_win_rate", "n_trades")

@@ -174,7 +174,7 @@ def threshold_study(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.0
         predictions, _ = train_and_compare(rows, (kind,), options={kind: options or {}})
         best = metrics.best_model(metrics.scores(predictions), ("majority", "stratified", "uniform")).select("model", "f1_weighted", "accuracy", "baseline_f1", "margin", "negligible")
         signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
-        backtest = ledger.summary(ledger.metrics(signals, cost, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
+        backtest = ledger.summary(ledger.metrics(signals, cost, train=train, test=test, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
         row = shares.crossJoin(best).crossJoin(backtest).select(F.lit(float(t)).alias("threshold"), "*")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
@@ -188,7 +188,7 @@ def universe_study(panel: DataFrame, universes: DataFrame, kinds: tuple[str, ...
         rows = panel.join(universes.where(F.col("universe") == name).select("ticker"), "ticker", "left_semi")
         predictions, _ = train_and_compare(rows, kinds, options=options)
         signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
-        backtest = ledger.summary(ledger.metrics(signals, cost, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
+        backtest = ledger.summary(ledger.metrics(signals, cost, train=train, test=test, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
         row = metrics.scores(predictions).select(F.lit(name).alias("universe"), "model", "n_test", "accuracy", "f1_weighted").crossJoin(backtest)  # one row
         out = row if out is None else out.unionByName(row)
     return out
@@ -371,7 +371,7 @@ def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable
         train, test = frame[frame["side"] == "train"], frame[frame["side"] == "test"]
         y = train["target"].map({k: i for i, k in enumerate(LABELS)}).to_numpy()
         x, z = train[columns].to_numpy(float), test[columns].to_numpy(float)
-        out = test[["ticker", "window_id", "i", "date", "close", "target"]].copy()
+        out = test[["ticker", "window_id", "i", "date", "close", "target", "panel_rows"]].copy()
         if len(np.unique(y)) < 2:
             out["pred"] = None
         else:
@@ -384,8 +384,8 @@ def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable
         return out
 
     kinds = {c: t for c, t in windows.dtypes}
-    schema = f"ticker {kinds['ticker']}, window_id int, i int, date {kinds['date']}, close double, target string, pred string"
-    got = windows.select("ticker", "window_id", "side", "i", "date", "close", "target", *[c for c in columns if c not in ("close",)]).groupBy("ticker", "window_id").applyInPandas(run, schema)
+    schema = f"ticker {kinds['ticker']}, window_id int, i int, date {kinds['date']}, close double, target string, panel_rows long, pred string"
+    got = windows.select("ticker", "window_id", "side", "i", "date", "close", "target", "panel_rows", *[c for c in columns if c not in ("close",)]).groupBy("ticker", "window_id").applyInPandas(run, schema)
     from pyspark.sql import Window
 
     failed = F.count_if(F.col("pred").isNull()).over(Window.partitionBy("ticker"))

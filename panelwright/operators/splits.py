@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import without
+
 #: Ranges of a hash in which a class is ranked: what is broadcast has at most so many rows a class.
 BUCKETS = 1 << 12
 
@@ -77,7 +79,7 @@ def stratified_split(panel: DataFrame, train: float = 0.8, seed: int = 42, targe
 
 
 def walk_forward(panel: DataFrame, train: int = 500, test: int = 60, step: int = 60, purge_rows: int = 0) -> DataFrame:
-    """A row for each window that a panel row belongs to: ``window_id``, ``side`` and ``i``, its place on that side.
+    """A row for each window that a panel row belongs to: ``window_id``, ``side`` and ``i``, its place on that side; ``panel_rows``: rows of the ticker.
 
     Window w of a ticker starts at row w * step and exists while train + test rows fit. The windows of
     a row follow from its number, so there is no join. ``purge_rows`` drops the last rows before a test side.
@@ -93,7 +95,7 @@ def walk_forward(panel: DataFrame, train: int = 500, test: int = 60, step: int =
     rows = rows.withColumn("side", F.when(into >= train, "test").otherwise("train")).withColumn("i", F.when(into >= train, into - train).otherwise(into).cast("int"))
     if purge_rows:
         rows = rows.where((F.col("side") == "test") | (F.col("i") < train - purge_rows))
-    return rows.drop("__p", "__n", "__first", "__last")
+    return without(rows, "panel_rows").withColumnRenamed("__n", "panel_rows").drop("__p", "__first", "__last")
 
 
 def regime_split(panel: DataFrame, regimes: DataFrame, embargo_days: int = 60, min_train: int = 1000, min_test: int = 50) -> DataFrame:

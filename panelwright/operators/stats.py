@@ -153,8 +153,8 @@ def one_sample_t(rows: DataFrame, by: tuple[str, ...], value: str, mu: float = 0
 
 
 def paired_t(a: DataFrame, b: DataFrame, key: tuple[str, ...], value: str, by: tuple[str, ...]) -> DataFrame:
-    """t of the differences of two tables on their common keys."""
-    both = a.select(*key, F.col(value).alias("__a")).join(b.select(*key, F.col(value).alias("__b")), list(key))
+    """t of the differences of two tables on their common keys; ``by`` are columns of the first."""
+    both = a.select(*dict.fromkeys((*by, *key)), F.col(value).alias("__a")).join(b.select(*key, F.col(value).alias("__b")), list(key))
     return one_sample_t(both.withColumn("difference", F.col("__a") - F.col("__b")), by, "difference")
 
 

@@ -19,22 +19,19 @@ BEST = ("best", "should i buy", "what should", "recommend me", "top pick", "sugg
 PORTFOLIO = ("portfolio", "diversif", "all stocks", "overall")
 PERSONAL = ("best_pick", "portfolio_overview", "explain_recommendation")
 
-PARTS = 4  #: plain words that a ticker with punctuation, such as BRK-B, is made of at most
-
 
 def _meets(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
-    """``rows`` joined with the ``terms(word, ..)`` that stand in ``column`` by themselves.
+    """``rows`` joined with the ``terms(word, ..)`` that stand in ``column`` by themselves, each row once a term.
 
-    Both sides are cut into plain words; runs of one to PARTS of them meet by equality, so that terms
-    may be many, and a term is then looked for as it is written, punctuation included.
+    Both sides are cut into plain words. A term has one key, the longest of its words (the first of equal ones), which every text that holds
+    it must hold; texts give their distinct words, and Spark broadcasts the terms or sorts both, by size. Only where
+    a term is more than its key is it then looked for as it is written, punctuation included. Terms may have any number of words.
     """
-    words = plain_words(F.col(column))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(PARTS), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    runs = F.when(F.size(words) > 0, F.array_distinct(runs))
-    keyed = terms.withColumn("__key", F.array_join(plain_words(F.col("word")), " "))
-    too_long = F.raise_error(F.concat(F.lit(f"more than {PARTS} words: "), F.col("word"))).cast("string")
-    keyed = keyed.withColumn("__key", F.when(F.size(plain_words(F.col("word"))) > PARTS, too_long).otherwise(F.col("__key")))
-    return rows.withColumn("__key", F.explode(runs)).join(keyed, "__key").where(has_word(F.col(column), F.col("word"))).drop("__key")
+    words = plain_words(F.col("word"))
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    keyed = terms.withColumn("__key", longest).withColumn("__plain", F.upper("word") == F.col("__key")).where("__key is not null")
+    met = rows.withColumn("__key", F.explode(F.array_distinct(plain_words(F.col(column))))).join(keyed, "__key")
+    return met.where(F.col("__plain") | has_word(F.col(column), F.col("word"))).drop("__key", "__plain")
 
 
 def aliases(stocks: DataFrame) -> DataFrame:
@@ -45,11 +42,18 @@ def aliases(stocks: DataFrame) -> DataFrame:
     return own.union(named.where((F.length("word") > 3) & ~F.col("word").isin(*COMMON_NAME_WORDS))).distinct()
 
 
+def _named(messages: DataFrame, stocks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``messages`` with ``tickers``: one exchange by id gathers the few hits of a message."""
+    hits = _meets(messages.select(id_col, text_col), text_col, aliases(stocks))
+    sets = hits.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("kind", "position", "ticker"))).alias("__hits"))
+    own = F.transform(F.filter("__hits", lambda h: h["kind"] == 0), lambda h: h["ticker"])
+    listed = sets.withColumn("__own", own).select(id_col, F.transform(F.filter("__hits", lambda h: (h["kind"] == 0) | ~F.array_contains(F.col("__own"), h["ticker"])), lambda h: h["ticker"]).alias("tickers"))
+    return messages.join(listed, id_col, "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
+
+
 def mentions(messages: DataFrame, stocks: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     """``(id, tickers)`` for all messages: tickers named as whole words in position order, then those named by a telling word."""
-    hits = _meets(messages.select(id_col, text_col), text_col, aliases(stocks)).groupBy(id_col, "ticker", "position").agg(F.min("kind").alias("kind"))
-    listed = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("kind", "position", "ticker"))).alias("h")).select(id_col, F.col("h.ticker").alias("tickers"))
-    return messages.select(id_col).join(listed, id_col, "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
+    return _named(messages.select(id_col, text_col), stocks, id_col, text_col).select(id_col, "tickers")
 
 
 def intent(text: Column, has_ticker: Column) -> Column:
@@ -71,7 +75,7 @@ def intent(text: Column, has_ticker: Column) -> Column:
 
 def classified(messages: DataFrame, stocks: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     """``messages`` with tickers and intent."""
-    return messages.join(mentions(messages, stocks, id_col, text_col), id_col).withColumn("intent", intent(F.col(text_col), F.size("tickers") > 0))
+    return _named(messages, stocks, id_col, text_col).withColumn("intent", intent(F.col(text_col), F.size("tickers") > 0))
 
 
 def gated(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:

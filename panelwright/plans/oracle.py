@@ -34,7 +34,7 @@ pred as (select ticker, date, target y_true, model, case model when 'rsi' then c
 
 SIG = f"""{IND},
 lp as (select *, row_number() over (partition by ticker order by date) - 1 p, count(*) over (partition by ticker) n from lab),
-sig as (select ticker, cast(w as integer) window_id, cast(p - w * 60 - 500 as integer) i, date, "close", case when rsi < 45 then 'Buy' when rsi > 60 then 'Avoid' else 'Hold' end pred, target
+sig as (select ticker, cast(w as integer) window_id, cast(p - w * 60 - 500 as integer) i, date, "close", case when rsi < 45 then 'Buy' when rsi > 60 then 'Avoid' else 'Hold' end pred, target, n panel_rows
   from lp, unnest(range(0, (n - 560) // 60 + 1)) t(w) where n >= 560 and p >= w * 60 + 500 and p < w * 60 + 560)"""
 
 LEDGER = f"""{SIG},
@@ -54,9 +54,9 @@ CURVE = """cv as (select ticker, seq, value, value / lag(value) over (partition
 cm as (select ticker, arg_max(value, seq) final_value, count(c) n_changes, case when count(c) > 1 and stddev_samp(c) > 0 then avg(c) / stddev_samp(c) * sqrt(252) else 0 end sharpe, min(d) * 100 max_drawdown from cv group by 1),
 bm as (select ticker, arg_max(value, window_id) / 10000 - 1 benchmark_return from bench group by 1),
 tw as (select ticker, count(*) n_trades, count(*) filter (net_return > 0) n_wins from trades group by 1),
-sn as (select ticker, avg(case when pred = target then 1.0 else 0.0 end) accuracy, (count(distinct window_id) - 1) * 60 + max(i) filter (window_id = 0) + 1 as days from sig group by 1),
+sn as (select ticker, avg(case when pred = target then 1.0 else 0.0 end) accuracy, max(panel_rows) - 500 as days from sig group by 1),
 met as (select cm.ticker, final_value, final_value / 10000 - 1 total_return, sharpe, max_drawdown, n_changes, benchmark_return, accuracy, cast(days as bigint) as days, coalesce(n_trades, 0) n_trades, coalesce(n_wins, 0) n_wins,
-  power(final_value / 10000, 252 / cast(days as double)) - 1 annual_return, coalesce(n_wins / nullif(cast(n_trades as double), 0), 0) win_rate, final_value / 10000 - 1 - benchmark_return excess_return from cm join bm using (ticker) join sn using (ticker) left join tw using (ticker))"""
+  power(final_value / 10000, 252 / cast(days as double)) - 1 annual_return, power(1 + benchmark_return, 252 / cast(days as double)) - 1 annual_benchmark, coalesce(n_wins / nullif(cast(n_trades as double), 0), 0) win_rate, final_value / 10000 - 1 - benchmark_return excess_return from cm join bm using (ticker) join sn using (ticker) left join tw using (ticker))"""
 
 STOCKS = """stocks as (select distinct p_brand ticker, cast(regexp_extract(p_brand, '[0-9]+') as integer) position, 'Sector ' || cast(cast(regexp_extract(p_brand, '[0-9]+') as integer) % 5 as varchar) sector from part)"""
 
@@ -93,6 +93,7 @@ ranked as (select *, row_number() over (partition by investor_id order by case r
 
 MSG = """msg0 as (select cast(conv_id * 1000 + turn as bigint) message_id, text from conversations where role = 'user'),
 msg as (select message_id, case when message_id % 3 = 0 then ['Why is it risky? ', 'Compare with the rest: ', 'Should I buy? ', 'Tell me about ', 'How is my portfolio? '][message_id % 5 + 1] || 'brand#' || cast(message_id % 25 + 1 as varchar) || ', ' || text else text end text from msg0)"""
+_ALONE = r"contains(upper(text), word) and regexp_matches(upper(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(word) || '($|[^\p{L}\p{N}_])')"
 _NAMES = "['Amber', 'Basalt', 'Cobalt', 'Dolomite', 'Energy'][position % 5 + 1]"
 
 
@@ -101,9 +102,8 @@ def _any(terms: tuple[str, ...]) -> str:
 
 
 INTENT = f"""{MSG}, {STOCKS},
-words as (select distinct message_id, unnest(regexp_split_to_array(regexp_replace(upper(text), '[^A-Z0-9_#]+', ' ', 'g'), ' ')) word from msg),
 alias as (select upper(ticker) word, ticker, position, 0 kind from stocks union select upper({_NAMES}), ticker, position, 1 from stocks where {_NAMES} <> 'Energy' union select 'MAKER', ticker, position, 1 from stocks),
-hit as (select message_id, ticker, position, min(kind) kind from words join alias using (word) group by 1, 2, 3),
+hit as (select message_id, ticker, position, min(kind) kind from msg, alias where {_ALONE} group by 1, 2, 3),
 tick as (select message_id, string_agg(ticker, ',' order by kind, position) tickers from hit group by 1),
 intent as (select message_id, coalesce(tickers, '') tickers, case
   when {_any(('compare', ' vs ', 'versus', 'difference between', 'which is better'))} then 'compare'
@@ -170,9 +170,9 @@ def _quoted(x: str) -> str:
 _LISTED = "listed(ticker, name, position) as (values " + ", ".join(f"({_quoted(t)}, {_quoted(n)}, {i})" for i, (t, n, _) in enumerate(dims.EXTENDED, 1)) + ")"
 _COMMON = ", ".join(map(_quoted, text.COMMON_NAME_WORDS))
 _LISTED_MSG = f"""{_LISTED}, msg0 as (select cast(conv_id * 1000 + turn as bigint) message_id, text from conversations where role = 'user'),
-msg as (select message_id, case when message_id % 2 = 0 then ['Is it risky, ', 'Compare with ', 'Why is it suitable? ', 'Tell me about ', ''][message_id % 5 + 1] || lower(ticker) || '? ' || text else text end text from msg0 join listed on position = message_id % 100 + 1),
+msg as (select message_id, case when message_id % 2 = 0 then ['Is it risky, ', 'Compare with ', 'Why is it suitable? ', 'Tell me about ', ''][message_id % 5 + 1] || case when message_id % 6 = 0 then '#' else '' end || lower(ticker) || '? ' || text else text end text from msg0 join listed on position = message_id % 100 + 1),
 alias as (select ticker word, ticker, position, 0 kind from listed union select w, ticker, position, 1 from (select ticker, position, unnest(regexp_extract_all(upper(name), '[A-Z]+')) w from listed) where length(w) > 3 and w not in ({_COMMON})),
-hit as (select message_id, ticker, position, min(kind) kind from msg, alias where regexp_matches(upper(text), '(^|[^A-Z0-9_#])' || regexp_escape(word) || '($|[^A-Z0-9_#])') group by 1, 2, 3),"""
+hit as (select message_id, ticker, position, min(kind) kind from msg, alias where {_ALONE} group by 1, 2, 3),"""
 LISTED = _LISTED_MSG + INTENT[INTENT.index("tick as (") - 1 :]
 
 SQL = {
@@ -246,19 +246,21 @@ select 'missing' kind, risk || '/' || signal "where" from g anti join m using (r
     "equity_curve": f"with {LEDGER} select ticker, window_id, i, cast(seq as integer) seq, round(value, 4) as value from eq",
     "benchmark_curve": f"with {LEDGER} select ticker, window_id, round(value, 4) as value from bench",
     "window_results": f"with {LEDGER}, w as (select ticker, window_id, min(date) start, max(date) \"end\" from sig group by 1, 2), p as (select ticker, window_id, sum(r) * 100 rp, count(*) filter (kind = 'Buy') n_trades, count(*) filter (kind = 'Buy' and r > 0) n_wins from pts group by 1, 2) select ticker, window_id, start, \"end\", round(coalesce(rp, 0), 6) return_pct, coalesce(n_trades, 0) n_trades, coalesce(n_wins, 0) n_wins from w left join p using (ticker, window_id)",
-    "backtest_metrics": f"with {LEDGER}, {CURVE} select ticker, n_changes, days, n_trades, n_wins, {rnd('final_value', 'total_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'accuracy', 'annual_return', 'win_rate', 'excess_return')} from met",
-    "backtest_summary": f"with {LEDGER}, {CURVE} select count(*) n_tickers, {rnd(*[f'avg({c}) mean_{c}' for c in ('total_return', 'annual_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'excess_return', 'win_rate', 'accuracy', 'n_trades')], 'sum(n_wins)/cast(sum(n_trades)as(double)) pooled_win_rate').replace('as(double)', ' as double')}, count(*) filter (n_trades = 0) n_without_trades from met",
+    "backtest_metrics": f"with {LEDGER}, {CURVE} select ticker, n_changes, days, n_trades, n_wins, {rnd('final_value', 'total_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'accuracy', 'annual_return', 'annual_benchmark', 'win_rate', 'excess_return')} from met",
+    "backtest_summary": f"with {LEDGER}, {CURVE} select count(*) n_tickers, {rnd(*[f'avg({c}) mean_{c}' for c in ('total_return', 'annual_return', 'sharpe', 'max_drawdown', 'benchmark_return', 'annual_benchmark', 'excess_return', 'win_rate', 'accuracy', 'n_trades')], 'sum(n_wins)/cast(sum(n_trades)as(double)) pooled_win_rate').replace('as(double)', ' as double')}, count(*) filter (n_trades = 0) n_without_trades from met",
     "random_entry_odds": f"with {LEDGER}, q as (select distinct ticker, window_id, holding_days h from trades where holding_days > 0 and holding_days < n_rows), o as (select q.ticker, q.window_id, q.h, avg(case when (b.\"close\" - a.\"close\") / a.\"close\" - 0.002 > 0 then 1.0 else 0.0 end) w from q join sig a on a.ticker = q.ticker and a.window_id = q.window_id join sig b on b.ticker = q.ticker and b.window_id = q.window_id and b.i = a.i + q.h group by 1, 2, 3) select t.ticker, t.window_id, entry_date, holding_days, round(coalesce(w, 0), 6) win_odds from trades t left join o on o.ticker = t.ticker and o.window_id = t.window_id and o.h = t.holding_days",
     "combined_report": f"""with {LEDGER}, {CURVE}, p as (select ticker, seq, (value / first_value(value) over (partition by ticker order by seq) - 1) * 100 pct from eq), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker), mc as (select seq, avg(pct) pct from y group by seq),
 f as (select seq, pct, pct - max(pct) over (order by seq) fall, (100 + pct) / lag(100 + pct) over (order by seq) - 1 c from mc),
-t as (select arg_max(pct, seq) total_pct, min(fall) drawdown_points, count(*) n_points, avg(c) / stddev_samp(c) sr, count(c) n from f),
-m as (select avg(benchmark_return) * 100 benchmark_pct, sum(n_wins) / sum(n_trades) pooled_win_rate, cast(sum(n_trades) as bigint) n_trades from met)
-select round(total_pct, 4) total_pct, round(drawdown_points, 4) drawdown_points, n_points, round(sr * sqrt(252), 4) sharpe, round((sr - 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) lower,
-  round((sr + 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) upper, round(benchmark_pct, 4) benchmark_pct, round(total_pct - benchmark_pct, 4) excess_pct, round(pooled_win_rate, 4) pooled_win_rate, n_trades from t, m""",
+bc as (select ticker, row_number() over (partition by ticker order by window_id) seq, (value / first_value(value) over (partition by ticker order by window_id) - 1) * 100 pct from bench), bx as (select ticker, arg_max(pct, seq) last from bc group by 1), bl as (select avg(last) benchmark_curve_pct from bx),
+t as (select arg_max(pct, seq) curve_pct, min(fall) drawdown_points, count(*) n_points, avg(c) / stddev_samp(c) sr, count(c) n from f),
+m as (select avg(total_return) * 100 total_pct, avg(benchmark_return) * 100 benchmark_pct, sum(n_wins) / sum(n_trades) pooled_win_rate, cast(sum(n_trades) as bigint) n_trades from met)
+select round(total_pct, 4) total_pct, round(curve_pct, 4) curve_pct, round(benchmark_curve_pct, 4) benchmark_curve_pct, round(drawdown_points, 4) drawdown_points, n_points, round(sr * sqrt(252), 4) sharpe, round((sr - 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) lower,
+  round((sr + 1.959963984540054 * sqrt((1 + sr * sr / 2) / n)) * sqrt(252), 4) upper, round(benchmark_pct, 4) benchmark_pct, round(total_pct - benchmark_pct, 4) excess_pct, round(pooled_win_rate, 4) pooled_win_rate, n_trades from t, m, bl""",
     "recommendation_records": f"""with {SNAP}, h as (select ticker, string_agg(strftime(date, '%Y-%m-%d'), ',' order by date) dates, cast(count(*) as integer) n_prices, round(sum("close"), 6) sum_prices from (select *, row_number() over (partition by ticker order by date desc) b from prices) where b <= 90 group by 1),
 r as (select *, 'Balanced' risk from snap join h using (ticker)), x as (select *, {rating('risk')} rating from r)
 select ticker, signal, rating, 'A ' || signal || ' signal is rated ' || rating || ' for the Balanced profile.' explanation, round(current_price, 2) current_price, round(price_change_30d, 2) price_change_30d, round(rsi, 1) rsi, round(macd, 2) macd, round(volatility, 2) volatility, dates, n_prices, sum_prices from x""",
     "mean_curve": f"with {LEDGER}, p as (select ticker, seq, (value / first_value(value) over (partition by ticker order by seq) - 1) * 100 pct from eq), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker) select cast(seq as integer) seq, {rnd('avg(pct) pct')}, count(*) n_curves from y group by seq",
+    "benchmark_mean_curve": f"with {LEDGER}, p as (select ticker, row_number() over (partition by ticker order by window_id) seq, (value / first_value(value) over (partition by ticker order by window_id) - 1) * 100 pct from bench), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker) select cast(seq as integer) seq, {rnd('avg(pct) pct')}, count(*) n_curves from y group by seq",
     "holding_days": f"with {LEDGER} select ticker, {rnd('quantile_cont(holding_days, 0.5) median_days', 'avg(holding_days) mean_days')}, count(*) n_trades from trades group by 1",
     "win_intervals": f"with {LEDGER}, c as (select ticker, count(*) filter (net_return > 0) k, count(*) n from trades group by 1) select ticker, k, n, round({_W[0]}, 6) estimate, round({_W[1]}, 6) lower, round({_W[2]}, 6) upper, round({_W[2]} - {_W[1]}, 6) width, 0.5 < {_W[1]} or 0.5 > {_W[2]} excludes_half from c",
     "chance_matched": f"with {LEDGER}, q as (select distinct ticker, window_id, holding_days h from trades where holding_days > 0 and holding_days < n_rows), o as (select q.ticker, q.window_id, q.h, avg(case when (b.\"close\" - a.\"close\") / a.\"close\" - 0.002 > 0 then 1.0 else 0.0 end) w from q join sig a on a.ticker = q.ticker and a.window_id = q.window_id join sig b on b.ticker = q.ticker and b.window_id = q.window_id and b.i = a.i + q.h group by 1, 2, 3), t as (select t.ticker, net_return, coalesce(w, 0) p from trades t left join o on o.ticker = t.ticker and o.window_id = t.window_id and o.h = t.holding_days) select ticker, cast(count(*) filter (net_return > 0) as bigint) k, count(*) n, round(sum(p), 6) expected, round(case when sum(p * (1 - p)) > 0 then (count(*) filter (net_return > 0) - sum(p)) / sqrt(sum(p * (1 - p))) end, 6) z from t group by 1",

@@ -54,7 +54,7 @@ def rule(rsi: str = "rsi"):
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """The test sides of all walk-forward windows, with a signal by RSI bands."""
     rows = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP).where("side = 'test'")
-    return rows.select("ticker", "window_id", "i", "date", "close", rule().alias("pred"), "target")
+    return rows.select("ticker", "window_id", "i", "date", "close", rule().alias("pred"), "target", "panel_rows")
 
 
 def stocks(spark: SparkSession, d: str) -> DataFrame:
@@ -216,8 +216,7 @@ def moving_averages(spark, d):
 @query
 def gains_losses(spark, d):
     """C6."""
-    delta = F.col("close") - F.lag("close").over(indicators.by())
-    return rounded(panel(spark, d).select("ticker", "date", F.coalesce(F.greatest(delta, F.lit(0.0)), F.lit(0.0)).alias("gain"), F.coalesce(F.greatest(-delta, F.lit(0.0)), F.lit(0.0)).alias("loss")))
+    return rounded(panel(spark, d).select("ticker", "date", *[c.alias(name) for name, c in indicators.gain_loss(F.col("close")).items()]))
 
 
 @query
@@ -569,6 +568,12 @@ def mean_curve(spark, d):
     return rounded(ledger.mean_curve(ledger.equity(ledger.points(signals(spark, d), COST))))
 
 
+@query
+def benchmark_mean_curve(spark, d):
+    """The curves of buy and hold, averaged."""
+    return rounded(ledger.mean_curve(ledger.benchmark_points(signals(spark, d))))
+
+
 @query
 def holding_days(spark, d):
     """E16."""
@@ -652,9 +657,8 @@ def mean_return_tests(spark, d):
 def paired_return_tests(spark, d):
     """Each stock against Brand#1 on common dates."""
     r = panel(spark, d).select("ticker", "date", indicators.daily_return(F.col("close")).alias("r"))
-    one = r.where("ticker = 'Brand#1'").select("date", F.col("r").alias("r1"))
-    both = r.where("ticker <> 'Brand#1'").join(one, "date").withColumn("difference", F.col("r") - F.col("r1"))
-    return rounded(stats.one_sample_t(both, ("ticker",), "difference").select("ticker", "n", "mean", "t"))
+    one, rest = r.where("ticker = 'Brand#1'").select("date", "r"), r.where("ticker <> 'Brand#1'")
+    return rounded(stats.paired_t(rest, one, ("date",), "r", ("ticker",)).select("ticker", "n", "mean", "t"))
 
 
 @query
@@ -726,11 +730,12 @@ def message_intents(spark, d):
 
 
 def listed_messages(spark: SparkSession, d: str) -> DataFrame:
-    """User turns, every second one with a listed ticker and a question put before it."""
+    """User turns, every second one with a listed ticker, some as a hash tag, and a question put before it."""
     rows = read(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("message_id"), "text")
     asked = rows.withColumn("position", (F.col("message_id") % 100 + 1).cast("int")).join(dims.extended(spark).select("ticker", "position"), "position")
     ask = F.element_at(F.array(*[F.lit(x) for x in ("Is it risky, ", "Compare with ", "Why is it suitable? ", "Tell me about ", "")]), (F.col("message_id") % 5 + 1).cast("int"))
-    return asked.select("message_id", F.when(F.col("message_id") % 2 == 0, F.concat(ask, F.lower("ticker"), F.lit("? "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    tag = F.when(F.col("message_id") % 6 == 0, "#").otherwise("")
+    return asked.select("message_id", F.when(F.col("message_id") % 2 == 0, F.concat(ask, tag, F.lower("ticker"), F.lit("? "), F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 @query
@@ -839,7 +844,7 @@ def regime_study(spark, d):
 def walk_forward_trees(spark, d):
     """G8 with decision trees, into H."""
     w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
-    return ledger.metrics(models.walk_forward_signals(w, "dt"), COST, step=STEP)
+    return ledger.metrics(models.walk_forward_signals(w, "dt"), COST, train=TRAIN, test=TEST, step=STEP)
 
 
 @query
@@ -854,7 +859,7 @@ def universe_comparison(spark, d):
 def walk_forward_models(spark, d):
     """G8 into H: a model for every stock and window, then the ledger."""
     w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
-    return ledger.metrics(models.walk_forward_signals(w), COST, step=STEP)
+    return ledger.metrics(models.walk_forward_signals(w), COST, train=TRAIN, test=TEST, step=STEP)
 
 
 @query
