@@ -223,7 +223,7 @@ def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         lists = frozen(_both_ways(edges, turn), "lists")
         limit = F.when(F.size("sc") >= KEEP, F.array_min("sc")).otherwise(F.lit(float("-inf")).cast("float"))
         known = units.join(edges.select("node", limit.alias("limit")), "node")
-        members = lists.select("block", F.explode("all").alias("node")).distinct().join(known, "node").select("block", "node", "limit", "unit")
+        members = lists.select("block", F.explode("all").alias("node")).distinct().join(known, "node").select(*[F.col(c).alias(c) for c in ("block", "node", "limit", "unit")])  # not the columns that the lists have
         offers = lists.select("block", "all", "new").groupBy("block").cogroup(members.groupBy("block")).applyInArrow(_introduced, _EDGES)
         met = edges.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
         better = _merge(met.union(offers), "edges")
