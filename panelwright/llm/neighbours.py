@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import ranges
-from .store import frozen, release, tasks
+from .store import frozen, release, tasks, trim
 
 BLOCK = 512
 KEEP = 64  #: neighbours of a node in the graph
@@ -29,6 +29,7 @@ OFFER = 4  #: what a node is offered at most by one list of neighbours in a roun
 FROM_BLOCK = 16  #: ... and by all lists of a block; better ones are met again in the next round
 SETTLED = 0.1  #: share of the graph's edges that are new in a round that ends the descent
 ROUNDS = 12
+LISTS = 16  #: of neighbours whose pairs are looked at together
 ASKED = 32  #: queries of a block that are answered together
 _EDGES = "node long, block long, nb array<long>, sc array<float>, fresh array<boolean>"
 _LISTS = {"node": pa.int64(), "block": pa.int64(), "nb": pa.list_(pa.int64()), "sc": pa.list_(pa.float32()), "fresh": pa.list_(pa.bool_())}
@@ -43,6 +44,13 @@ def _rows(column: pa.Array, width: int, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
 
+def _floats(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """n byte strings of equal length as rows of floats, not copied."""
+    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + n + 1]
+    return np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(n, -1)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
 
@@ -99,7 +107,7 @@ def _within_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def block(part: pa.Table) -> pa.RecordBatch:
         node = part.column("node").to_numpy()
-        x = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float32).reshape(len(node), -1)
+        x = _floats(part.column("unit"), len(node))
         near = x @ x.T
         np.fill_diagonal(near, -np.inf)
         k = min(KEEP, len(node) - 1)
@@ -147,21 +155,22 @@ def _merged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = done.slice(done.num_rows - 1)
     if held is not None:
         yield held
+    trim()
 
 
 def _introduced(lists: pa.Table, members: pa.Table) -> pa.Table:
     """All pairs of the nodes in one list that have not met in it before: of those, what betters a node's own list."""
     order = np.argsort(members.column("node").to_numpy())
     node, limit = members.column("node").to_numpy()[order], members.column("limit").to_numpy()[order]
-    x = np.frombuffer(b"".join(members.column("unit").to_pylist()), np.float32).reshape(len(node), -1)[order]
+    x = _floats(members.column("unit"), len(node))[order]
     held = lists.column("all").combine_chunks()
     counts = held.value_lengths().to_numpy()
     place = np.searchsorted(node, held.flatten().to_numpy())
     fresh = lists.column("new").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     begin = np.cumsum(counts) - counts
     us, ws, ss = [], [], []
-    for at in range(0, len(counts), 64):
-        n = counts[at : at + 64]
+    for at in range(0, len(counts), LISTS):
+        n = counts[at : at + LISTS]
         wide = int(n.max(initial=0))
         if wide < 2:
             continue
@@ -182,6 +191,7 @@ def _introduced(lists: pa.Table, members: pa.Table) -> pa.Table:
     u, w, s = (np.concatenate(v) if v else np.empty(0, kind) for v, kind in ((us, np.int64), (ws, np.int64), (ss, np.float32)))
     order, kept = _best(u, w, s, np.zeros(len(u), bool), FROM_BLOCK)
     to = node[np.unique(u)]
+    trim()
     return pa.Table.from_arrays([pa.array(to), pa.array(np.full(len(to), -1)), *[_lists(v, kept) for v in (node[w[order]], s[order], np.ones(len(order), bool))]], schema=pa.schema(_LISTS))
 
 
@@ -261,6 +271,7 @@ def _looked(keep: int):
             best = np.lexsort((known, first, -score))[:keep]
             out.append((own, known[best], score[best], first[best], seen[best]))
         columns = list(zip(*out))
+        trim()
         counts = np.array([len(v) for v in columns[1]])
         return pa.Table.from_arrays([pa.array(columns[0]), *[_lists(np.concatenate(v), counts) for v in columns[1:]]], ["node", "known", "score", "first", "seen"])
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import RLock
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
 _own_folder: list[str] = []
-_open: list[list[DataFrame]] = []
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())  # of the running query: threads have their own
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,17 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
+_changed: dict[tuple[int, str], list] = {}
+_lock = RLock()
+
+
 @contextmanager
 def _conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+    """A session option for a while. Queries of several threads may hold it at once: the first sets it, the last puts back what was there."""
+    key = (id(spark), name)
+    with _lock:
+        if key not in _changed:
+            _changed[key] = [0, spark.conf.get(name, None)]
+            spark.conf.set(name, value)
+        _changed[key][0] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        with _lock:
+            _changed[key][0] -= 1
+            if not _changed[key][0]:
+                before = _changed.pop(key)[1]
+                if before is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, before)
 
 
 def frozen(df: DataFrame, label: str) -> DataFrame:
@@ -83,8 +101,8 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def _noted(table: DataFrame) -> None:
-    if _open:
-        _open[-1].append(table)
+    if _open.get():
+        _open.get()[-1].append(table)
 
 
 @contextmanager
@@ -92,11 +110,11 @@ def scratch() -> Iterator[list[DataFrame]]:
     """All tables written inside go at the end, but those put into the list that this gives."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield kept
     finally:
-        _open.pop()
+        _open.reset(token)
         release(*(t for t in made if t.frozen_path not in {k.frozen_path for k in kept}))
         for table in kept:
             _noted(table)
@@ -127,6 +145,13 @@ def long_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system: an idle worker is kept, and would keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns that Spark can hash (maps are left out)."""
     names = [f"`{name}`" for name, kind in df.dtypes if not kind.startswith("map")]
