@@ -204,6 +204,15 @@ SQL = {
     "rebased_prices": f"with {PX} select ticker, date, {rnd('\"close\" / first_value(\"close\") over (partition by ticker order by date) * 100 rebased')} from prices",
     "drawdowns": f"with {PX}, p as (select *, max(\"close\") over (partition by ticker order by date) peak from prices) select ticker, date, {rnd('peak', '(\"close\" - peak) / peak drawdown')} from p",
     "worst_drawdowns": f"with {PX}, p as (select *, \"close\" / first_value(\"close\") over (partition by ticker order by date) * 100 rb from prices), q as (select *, max(rb) over (partition by ticker order by date) peak from p) select ticker, {rnd('min((rb - peak) / peak) * 100 relative', 'min(rb - peak) points')} from q group by 1",
+    "blocked_panel": f"with {IND} select ticker, date, target, {rnd4('ma_5', 'ma_20', 'ma_50', 'volatility', 'rsi', 'macd', 'fwd_return')} from lab",
+    "blocked_sequences": f"with {IND} select ticker, date, 20 n, {rnd('first_close', 'sum_return')} from (select *, row_number() over w k, first_value(close_price) over (partition by ticker order by date rows 19 preceding) first_close, sum(daily_return) over (partition by ticker order by date rows 19 preceding) sum_return from lab window w as (partition by ticker order by date)) where k >= 20",
+    "long_series": """with recursive l as (select row_number() over (order by event_id) - 1 rn, event_id pos, coalesce(cast(value as double), 0) x from events),
+q as (select rn, pos, x, case when rn >= 19 then avg(x) over (order by rn rows 19 preceding) end ma_20, power(0.999, rn % 50000) * sum(case when rn = 0 then 1.0 else 0.001 end * x * power(0.999, -(rn % 50000))) over (partition by rn // 50000 order by rn) loc from l),
+e as (select rn // 50000 b, arg_max(loc, rn) z, count(*) c from q group by 1),
+c(b, carry) as (select cast(0 as bigint), cast(0 as double) union all select e.b + 1, e.z + power(0.999, e.c) * c.carry from c join e on e.b = c.b),
+s as (select q.*, loc + power(0.999, rn % 50000 + 1) * carry slow from q join c on c.b = q.rn // 50000),
+y as (select a.rn, sum(b.x * case when b.rn = 0 then 1.0 else 0.6 end * power(0.4, a.rn - b.rn)) quick from l a join l b on b.rn between a.rn - 45 and a.rn group by 1)
+select pos, rn, round(ma_20, 4) ma_20, round(slow, 4) slow, round(quick, 4) quick, round(max(slow) over (order by rn), 4) peak, round(slow - max(slow) over (order by rn), 4) + 0.0 drawdown from s join y using (rn)""",
     "date_positions": f"with {PX} select date, cast(row_number() over (order by date) - 1 as integer) pos from (select distinct date from prices)",
     "matrix_monotone": f"""with {RATED},
 m as (select distinct risk, signal, case when risk = 'Growth' and signal = 'Hold' then 'Not Suitable' else rating end rating from ranked where not (risk = 'Balanced' and signal = 'Avoid')),
@@ -291,7 +300,7 @@ select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n
 SQL["interval_signs"] = f"select count(*) filter (lower > 0) n_above, count(*) filter (upper < 0) n_below, count(*) filter (lower <= 0 and upper >= 0) n_including, count(*) filter (lower is null or upper is null) n_undefined from ({SQL['inference_table']})"
 
 _DATES = {
-    "date": "price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
+    "date": "blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
     "first": "purged_split row_cut_split walk_forward trailing_validation",
     "last": "purged_split row_cut_split walk_forward regime_split",
     "start": "window_results",

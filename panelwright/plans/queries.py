@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
-from ..operators import indicators, ledger, metrics, models, rules, splits, stationarity, stats, text
+from ..operators import blocks, indicators, ledger, metrics, models, rules, splits, stationarity, stats, text
 from ..sources import dims, folders, prices, tables
 
 QUERIES = {}
@@ -286,6 +286,32 @@ def worst_drawdowns(spark, d):
     return rounded(a.join(b, "ticker"))
 
 
+@query
+def blocked_panel(spark, d):
+    """C2 to C13 in blocks of 256 rows with a halo, as one long series would be."""
+    return rounded(indicators.labelled(panel(spark, d), block=256).select("ticker", "date", "ma_5", "ma_20", "ma_50", "volatility", "rsi", "macd", "fwd_return", "target"), 4)
+
+
+@query
+def blocked_sequences(spark, d):
+    """C14 in blocks: of each 20-row window its size, first close and sum of returns."""
+    s = indicators.sequences(indicators.labelled(panel(spark, d), block=300), 20, block=200)
+    total = F.aggregate("window", F.lit(0.0), lambda a, w: a + w["daily_return"])
+    return rounded(s.select("ticker", "date", F.size("window").alias("n"), F.col("window")[0]["close_price"].alias("first_close"), total.alias("sum_return")))
+
+
+@query
+def long_series(spark, d):
+    """C3, C7, C20 on one series with a row an event, in blocks of 1,024 rows: an average of alpha 0.001 among others."""
+    line = read(spark, d, "events").select(F.lit("all").alias("ticker"), F.col("event_id").alias("pos"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("x"))
+    block = 1024
+    df = blocks.cut(line, 19, order="pos", rows=block)
+    df = blocks.own(df.withColumn("ma_20", indicators.moving_average(F.col("x"), 20, indicators.BLOCKED, "pos")))
+    df = indicators.with_ema(df, {"slow": ("x", 0.001), "quick": ("x", 0.6)}, order="pos", block=block)
+    df = indicators.drawdown(df, "slow", order="pos", points=True, block=block)
+    return rounded(df.select("pos", "rn", "ma_20", "slow", "quick", "peak", "drawdown"), 4)
+
+
 @query
 def date_positions(spark, d):
     """C22."""
