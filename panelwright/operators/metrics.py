@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.columns import ratio
 
 LABELS = ("Avoid", "Buy", "Hold")
@@ -88,7 +89,7 @@ def baselines(panel: DataFrame, seed: int = 42, key: tuple[str, ...] = ("ticker"
     """Predictions (model, keys, y_true, y_pred) of the three naive models on the test side of ``panel(side, target)``.
 
     majority: the most frequent training label (first in order on a tie); stratified: drawn by a
-    seeded hash of the key against the training shares; uniform: drawn evenly.
+    seeded number of the key (:mod:`..functions.draws`) against the training shares; uniform: drawn evenly.
     """
     train = panel.where("side = 'train'").groupBy(target).agg(F.count("*").alias("n")).collect()  # a row a label
     n = {r[target]: r["n"] for r in train}
@@ -96,14 +97,11 @@ def baselines(panel: DataFrame, seed: int = 42, key: tuple[str, ...] = ("ticker"
     if not total:
         raise ValueError("no training rows")
     major = max(labels, key=lambda x: n.get(x, 0))
-    u = [(F.xxhash64(F.lit(seed + i), *key).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) for i in range(2)]
+    u = [draws.uniform(draws.key_number(*key), seed, i) for i in range(2)]
 
     def drawn(v: Column, shares: list[float]) -> Column:
-        out, upto = F.lit(labels[-1]), 1.0
-        for name, share in reversed(list(zip(labels, shares))):
-            upto -= share
-            out = out if name == labels[-1] else F.when(v < upto + share, name).otherwise(out)
-        return out
+        edges = [sum(shares[: i + 1]) for i in range(len(labels) - 1)]
+        return F.coalesce(*[F.when(v < edge, name) for name, edge in zip(labels, edges)], F.lit(labels[-1]))
 
     test = panel.where("side = 'test'").select(*key, F.col(target).alias("y_true"))
     picks = {"majority": F.lit(major), "stratified": drawn(u[0], [n.get(x, 0) / total for x in labels]), "uniform": drawn(u[1], [1 / len(labels)] * len(labels))}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.columns import without
 
-#: Ranges of a hash in which a class is ranked: what is broadcast has at most so many rows a class.
+#: Ranges of a draw in which a class is ranked: what is broadcast has at most so many rows a class.
 BUCKETS = 1 << 12
 
 
@@ -63,13 +64,12 @@ def row_cut_split(panel: DataFrame, train: float = 0.8, embargo_days: int = 60)
 
 
 def stratified_split(panel: DataFrame, train: float = 0.8, seed: int = 42, target: str = "target", key: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
-    """``side`` at random with the same share of each class: rows ranked by a seeded hash of their key within the class.
+    """``side`` at random with the same share of each class: rows ranked by a seeded draw of their key (:mod:`..functions.draws`) within the class.
 
-    A class may hold any share of the rows, so it is ranked in BUCKETS ranges of the hash: the counts of
+    A class may hold any share of the rows, so it is ranked in BUCKETS ranges of the draw: the counts of
     the ranges before give the rank at which a range starts.
     """
-    h = F.xxhash64(F.lit(seed), *key)
-    rows = panel.withColumns({"__h": h, "__b": F.shiftright(h, 52)})
+    rows = panel.withColumn("__h", draws.draw(draws.key_number(*key), seed)).withColumn("__b", F.floor(F.col("__h") / (draws.SPAN // BUCKETS)))
     counts = rows.groupBy(target, "__b").agg(F.count("*").alias("__c"))
     run = Window.partitionBy(target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(target).alias("__t"), F.col("__b").alias("__at"), F.coalesce(F.sum("__c").over(run), F.lit(0)).alias("__from"), F.sum("__c").over(Window.partitionBy(target)).alias("__n"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import tails
+from ..functions import draws, tails
 from ..functions.columns import ratio
 
 
@@ -158,27 +161,64 @@ def paired_t(a: DataFrame, b: DataFrame, key: tuple[str, ...], value: str, by: t
     return one_sample_t(both.withColumn("difference", F.col("__a") - F.col("__b")), by, "difference")
 
 
-def bootstrap(rows: DataFrame, statistic: Column, key: tuple[str, ...], resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of any aggregate of ``rows``, each row with its own Poisson(1) weight in every resample.
+def bootstrap(rows: DataFrame, sums: dict[str, Column], statistic: Column, key: tuple[str, ...], resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """Percentile interval of a statistic of sums of ``rows``, each row with its own Poisson(1) weight in every resample: one row (estimate, lower, upper, resamples).
 
-    ``statistic`` is an aggregate over the repeated rows, for example ``F.avg("x")``. Draws are hashes
-    of seed, resample and key: the same in every run and partitioning. Rows are multiplied, not
-    gathered, and each resample is an ordinary group with map-side combining.
+    ``sums`` names columns to add up (nulls count as 0), and ``statistic`` is a formula of the sums, for example ``F.col("s") / F.col("n")`` of
+    ``{"s": F.col("x"), "n": F.lit(1)}``. A task adds each row's weights, as a vector over all resamples, to one array a sum, and sends on these arrays alone:
+    rows are never multiplied. Weights are draws from seed, resample and key (:mod:`..functions.draws`), the same in every run and partitioning.
+    Statistics that no sums give are for :func:`little_bootstrap`.
     """
-    u = F.xxhash64(F.lit(seed), "rep", *key).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    edges, p = [], math.exp(-1)
-    total = p
-    for k in range(1, 12):
-        edges.append(total)
-        p /= k
-        total += p
-    times = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__t", times)
-    drawn = drawn.where("__t > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__t"))))
-    per = drawn.groupBy("rep").agg(statistic.alias("value"))
+    names, edges = list(sums), np.array(draws.poisson_edges(), np.uint64)
+    held = rows.select(draws.key_number(*key).alias("__k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+
+    def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, reps = np.zeros((len(names), resamples)), np.arange(resamples, dtype=np.uint64)
+        for frame in frames:
+            start = draws.base(frame.column("__k").to_numpy(), seed)
+            x = np.vstack([frame.column(n).to_numpy() for n in names])
+            for at in range(0, len(start), 64):
+                u = draws.stirred(start[at : at + 64, None] + reps)
+                total += x[:, at : at + 64] @ np.searchsorted(edges, u.ravel(), "right").reshape(u.shape)
+        yield pa.RecordBatch.from_pydict({"rep": reps.astype(np.int64), **dict(zip(names, total))})
+
+    schema = ", ".join(["rep long", *[f"`{n}` double" for n in names]])
+    per = held.mapInArrow(added, schema).groupBy("rep").agg(*[F.sum(n).alias(n) for n in names]).select(statistic.alias("value"))
     lo = (1 - confidence) / 2
     ends = per.agg(F.percentile("value", F.lit(lo)).alias("lower"), F.percentile("value", F.lit(1 - lo)).alias("upper"), F.count("value").alias("resamples"))
-    return rows.agg(statistic.alias("estimate")).crossJoin(ends)
+    whole = held.agg(*[F.sum(n).alias(n) for n in names]).select(statistic.alias("estimate"))
+    return whole.crossJoin(ends)  # one row each
+
+
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    """The median of ``values``, each taken ``weights`` times."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    low, high = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")
+    return float(values[order[low]] + values[order[high]]) / 2
+
+
+def little_bootstrap(rows: DataFrame, value: str, statistic: Callable[[np.ndarray, np.ndarray], float], key: tuple[str, ...], resamples: int = 200, bag_rows: int = 10_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """The same interval for any ``statistic(values, weights)``, such as a median: a bag of little bootstraps.
+
+    Rows fall by a draw into bags of about ``bag_rows``; each bag, in a task of its own, is resampled to the size of the whole, and the ends of the bags' intervals are
+    averaged. Null and non-finite values are left out. ``estimate`` is the mean of the bags' own values.
+    """
+    x = F.col(value).cast("double")
+    fine = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).select(draws.key_number(*key).alias("__k"), x.alias("x"))
+    n = fine.count()
+    bags = max(1, -(-n // bag_rows))
+    lo = (1 - confidence) / 2
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["__k", "x"])
+        values, bag = frame["x"].to_numpy(), int(frame["bag"].iloc[0])
+        rng = np.random.default_rng([seed, bag])
+        got = [statistic(values, rng.multinomial(n, np.full(len(values), 1 / len(values)))) for _ in range(resamples)]
+        return pd.DataFrame([(statistic(values, np.ones(len(values), int)), *np.quantile(got, [lo, 1 - lo]))], columns=["estimate", "lower", "upper"])
+
+    per = fine.withColumn("bag", (draws.draw(F.col("__k"), seed, 1) % bags).cast("int")).groupBy("bag").applyInPandas(one, "estimate double, lower double, upper double")
+    return per.agg(*[F.avg(c).alias(c) for c in ("estimate", "lower", "upper")], F.lit(resamples).alias("resamples"), F.count("*").alias("bags"))
 
 
 def sample_size(p: Column, effect: Column, alpha: float = 0.05, power: float = 0.8) -> Column:

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from ..functions import draws
 from ..operators import text
 from ..sources import dims
 
 PX = """px as (select p_brand ticker, cast(l_shipdate as date) date, avg(l_quantity) q, cast(sum(l_quantity) as bigint) volume from lineitem join part on l_partkey = p_partkey group by 1, 2),
 prices as (select ticker, date, 100 * exp(sum(cast(round((q - 25.5) * 1000) as bigint)) over (partition by ticker order by date) / 1e6) "close", volume from px)"""
 
+def drawn(source: str, key: str, seed: int, counter: str, counters: str = "") -> str:
+    """``source`` with ``u``, the draw of its rows' key (a text expression) and counter, below 2**31: :mod:`..functions.draws` written out.
+
+    ``counters``: a table joined after the key has been stirred in.
+    """
+    low = draws.SPAN - 1
+
+    def stirred(v: str, name: str, sql: str, also: str = "") -> str:
+        sql = f"select *, (({v}) & {low}) * {draws.A} & {low} {name}1 from ({sql}){also}"
+        sql = f"select *, xor({name}1, {name}1 >> 15) * {draws.B} & {low} {name}2 from ({sql})"
+        return f"select *, xor({name}2, {name}2 >> 13) {name} from ({sql})"
+
+    sql = f"select *, cast('0x' || substr(md5({key}), 1, 13) as bigint) number from {source}"
+    sql = stirred("xor(du, number >> 31)", "dv", stirred(f"(number & {low}) + {seed}", "du", sql))
+    return stirred(f"dv + {counter}", "u", sql, counters)
+
+
 _Q = {"fast": 2 / 13, "slow": 2 / 27, "g": 1 / 14, "l": 1 / 14}
 
 
@@ -175,6 +193,9 @@ alias as (select ticker word, ticker, position, 0 kind from listed union select
 hit as (select message_id, ticker, position, min(kind) kind from msg, alias where {_ALONE} group by 1, 2, 3),"""
 LISTED = _LISTED_MSG + INTENT[INTENT.index("tick as (") - 1 :]
 
+_ROW = "ticker || '|' || strftime(date, '%Y-%m-%d')"
+_EDGES = " + ".join(f"cast(u >= {e} as int)" for e in draws.poisson_edges())
+
 SQL = {
     "label_counts": f"with {IND} select ticker, target as label, count(*) n, {rnd('count(*) / sum(count(*)) over (partition by ticker) share')} from lab group by ticker, target",
     "price_panel": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume from prices",
@@ -222,7 +243,7 @@ x as (select *, lag(lv) over (partition by signal order by rp) a, lag(lv) over (
 select 'missing' kind, risk || '/' || signal "where" from g anti join m using (risk, signal) union all select 'risk order', risk || '/' || signal from x where lv < a union all select 'signal order', risk || '/' || signal from x where lv < b""",
     "purged_split": f"with {IND}, d as (select date, row_number() over (order by date) - 1 pos, count(*) over () n from (select distinct date from lab)), s as (select greatest(1, least(cast(round_even(any_value(n) * 0.8, 0) as bigint), any_value(n) - 1)) sp from d), m as (select max(date) filter (pos = sp) sd, max(date) filter (pos = greatest(0, sp - 30)) pd from d, s) select case when date < pd then 'train' when date < sd then 'purged' else 'test' end side, count(*) n, min(date) \"first\", max(date) \"last\" from lab, m group by 1",
     "row_cut_split": f"with {IND}, o as (select date, ticker, row_number() over (order by date, ticker) - 1 p, count(*) over () n from lab), c as (select date cd from o where p = cast(floor(n * 0.8) as bigint)) select case when p >= floor(n * 0.8) then 'test' when date < cd - 60 then 'train' else 'purged' end side, count(*) n, min(date) \"first\", max(date) \"last\" from o, c group by 1",
-    "stratified_split": f"with {IND}, c as (select target, count(*) n from lab group by 1) select target, side, cast(case side when 'train' then floor(n * 0.8) else n - floor(n * 0.8) end as bigint) n from c, (values ('train'), ('test')) s(side)",
+    "stratified_split": f"with {IND}, h as ({drawn('lab', _ROW, 42, '0')}) select ticker, date, target, case when row_number() over (partition by target order by u, ticker, date) <= floor(count(*) over (partition by target) * 0.8) then 'train' else 'test' end side from h",
     "walk_forward": f"with {PX}, p as (select ticker, date, row_number() over (partition by ticker order by date) - 1 p, count(*) over (partition by ticker) n from prices) select ticker, cast(w as integer) window_id, case when p < w * 60 + 500 then 'train' else 'test' end side, count(*) n, min(date) \"first\", max(date) \"last\" from p, unnest(range(0, (n - 560) // 60 + 1)) t(w) where n >= 560 and p >= w * 60 and p < w * 60 + 560 group by all",
     "regime_split": f"with {IND}, g(regime, a, b) as (values ('first', date '1995-01-01', date '1996-12-31'), ('second', date '1997-01-01', date '1998-06-30'), ('third', date '1998-07-01', date '1999-12-31'), ('fourth', date '2000-01-01', date '2001-12-31')), x as (select regime, 'test' side, date from lab join g on date between a and b union all select regime, 'train', date from lab join g on date < a - 60), k as (select regime from x group by 1 having count(*) filter (side = 'train') >= 1000 and count(*) filter (side = 'test') >= 50) select regime, side, count(*) n, max(date) \"last\" from x semi join k using (regime) group by all",
     "trailing_validation": f"with {IND}, p as (select ticker, date, row_number() over (partition by ticker order by date) k, count(*) over (partition by ticker) n from lab) select ticker, case when k > n - greatest(1, least(floor(n * 0.15), n - 1)) then 'validation' else 'train' end side, count(*) n, min(date) \"first\" from p group by all",
@@ -270,6 +291,16 @@ r as (select *, 'Balanced' risk from snap join h using (ticker)), x as (select *
 select ticker, signal, rating, 'A ' || signal || ' signal is rated ' || rating || ' for the Balanced profile.' explanation, round(current_price, 2) current_price, round(price_change_30d, 2) price_change_30d, round(rsi, 1) rsi, round(macd, 2) macd, round(volatility, 2) volatility, dates, n_prices, sum_prices from x""",
     "mean_curve": f"with {LEDGER}, p as (select ticker, seq, (value / first_value(value) over (partition by ticker order by seq) - 1) * 100 pct from eq), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker) select cast(seq as integer) seq, {rnd('avg(pct) pct')}, count(*) n_curves from y group by seq",
     "benchmark_mean_curve": f"with {LEDGER}, p as (select ticker, row_number() over (partition by ticker order by window_id) seq, (value / first_value(value) over (partition by ticker order by window_id) - 1) * 100 pct from bench), g as (select seq from unnest(range(1, (select max(seq) from p) + 1)) t(seq)), x as (select ticker, arg_max(pct, seq) last from p group by 1), y as (select g.seq, coalesce(p.pct, x.last) pct from g cross join x left join p on p.seq = g.seq and p.ticker = x.ticker) select cast(seq as integer) seq, {rnd('avg(pct) pct')}, count(*) n_curves from y group by seq",
+    "bootstrap_mean": f"""with {IND}, h as ({drawn('(select ticker, date, fwd_return from lab)', _ROW, 42, 'rep', ', range(10000) z(rep)')}),
+v as (select rep, sum(({_EDGES}) * fwd_return) / sum({_EDGES}) as value from h group by rep)
+select (select round(avg(fwd_return), 6) from lab) estimate, round(quantile_cont(value, 0.025), 6) lower, round(quantile_cont(value, 0.975), 6) upper, count(*) resamples from v""",
+    "naive_baselines": f"""with {IND}, d as (select date, row_number() over (order by date) - 1 pos, count(*) over () n from (select distinct date from lab)), s as (select greatest(1, least(cast(round_even(any_value(n) * 0.8, 0) as bigint), any_value(n) - 1)) sp from d), m as (select max(date) filter (pos = sp) sd, max(date) filter (pos = greatest(0, sp - 30)) pd from d, s),
+t as (select count(*) filter (target = 'Avoid') / count(*) a, count(*) filter (target in ('Avoid', 'Buy')) / count(*) b, arg_max(target, k) major from (select target, count(*) over (partition by target) - case target when 'Avoid' then 0.1 when 'Buy' then 0.2 else 0.3 end k from lab, m where date < pd)),
+c as (select * from lab, m, (values (0), (1)) z(i) where date >= sd), h as ({drawn('c', _ROW, 42, 'i')}),
+pred as (select ticker, date, target y_true, 'majority' model, major y_pred from h, t where i = 0
+  union all select ticker, date, target, 'stratified', case when u / 2147483648.0 < a then 'Avoid' when u / 2147483648.0 < b then 'Buy' else 'Hold' end from h, t where i = 0
+  union all select ticker, date, target, 'uniform', case when u / 2147483648.0 < 1 / 3.0 then 'Avoid' when u / 2147483648.0 < 2 / 3.0 then 'Buy' else 'Hold' end from h where i = 1),
+{report('model')} select model, n_test, {rnd('accuracy', 'balanced_accuracy', 'precision_weighted', 'recall_weighted', 'f1_weighted', 'f1_macro')} from sc""",
     "holding_days": f"with {LEDGER} select ticker, {rnd('quantile_cont(holding_days, 0.5) median_days', 'avg(holding_days) mean_days')}, count(*) n_trades from trades group by 1",
     "win_intervals": f"with {LEDGER}, c as (select ticker, count(*) filter (net_return > 0) k, count(*) n from trades group by 1) select ticker, k, n, round({_W[0]}, 6) estimate, round({_W[1]}, 6) lower, round({_W[2]}, 6) upper, round({_W[2]} - {_W[1]}, 6) width, 0.5 < {_W[1]} or 0.5 > {_W[2]} excludes_half from c",
     "chance_matched": f"with {LEDGER}, q as (select distinct ticker, window_id, holding_days h from trades where holding_days > 0 and holding_days < n_rows), o as (select q.ticker, q.window_id, q.h, avg(case when (b.\"close\" - a.\"close\") / a.\"close\" - 0.002 > 0 then 1.0 else 0.0 end) w from q join sig a on a.ticker = q.ticker and a.window_id = q.window_id join sig b on b.ticker = q.ticker and b.window_id = q.window_id and b.i = a.i + q.h group by 1, 2, 3), t as (select t.ticker, net_return, coalesce(w, 0) p from trades t left join o on o.ticker = t.ticker and o.window_id = t.window_id and o.h = t.holding_days) select ticker, cast(count(*) filter (net_return > 0) as bigint) k, count(*) n, round(sum(p), 6) expected, round(case when sum(p * (1 - p)) > 0 then (count(*) filter (net_return > 0) - sum(p)) / sqrt(sum(p * (1 - p))) end, 6) z from t group by 1",
@@ -300,7 +331,7 @@ select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n
 SQL["interval_signs"] = f"select count(*) filter (lower > 0) n_above, count(*) filter (upper < 0) n_below, count(*) filter (lower <= 0 and upper >= 0) n_including, count(*) filter (lower is null or upper is null) n_undefined from ({SQL['inference_table']})"
 
 _DATES = {
-    "date": "blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
+    "date": "stratified_split blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
     "first": "purged_split row_cut_split walk_forward trailing_validation",
     "last": "purged_split row_cut_split walk_forward regime_split",
     "start": "window_results",

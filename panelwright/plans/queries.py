@@ -341,8 +341,8 @@ def row_cut_split(spark, d):
 
 @query
 def stratified_split(spark, d):
-    """Sizes of sides and classes."""
-    return splits.stratified_split(labelled(spark, d)).groupBy("target", "side").agg(F.count("*").alias("n"))
+    """The side of every row."""
+    return rounded(splits.stratified_split(labelled(spark, d)).select("ticker", "date", "target", "side"))
 
 
 @query
@@ -736,8 +736,15 @@ def p_values(spark, d):
 
 @query
 def bootstrap_mean(spark, d):
-    """I11, rows only: 10,000 resamples of the forward return."""
-    return stats.bootstrap(labelled(spark, d).select("ticker", "date", "fwd_return"), F.avg("fwd_return"), ("ticker", "date"), 10_000)
+    """10,000 resamples of the mean forward return."""
+    sums = {"s": F.col("fwd_return"), "n": F.lit(1)}
+    return rounded(stats.bootstrap(labelled(spark, d), sums, F.col("s") / F.col("n"), ("ticker", "date"), 10_000))
+
+
+@query
+def bootstrap_median(spark, d):
+    """I11, rows only: the median forward return, by a bag of little bootstraps."""
+    return stats.little_bootstrap(labelled(spark, d), "fwd_return", stats.weighted_median, ("ticker", "date"))
 
 
 @query
@@ -803,7 +810,7 @@ def guard_performance(spark, d):
 def naive_baselines(spark, d):
     """G6."""
     split, _ = splits.purged_split(labelled(spark, d))
-    return metrics.scores(metrics.baselines(split))
+    return rounded(metrics.scores(metrics.baselines(split)))
 
 
 @query
