@@ -32,6 +32,7 @@ ROUNDS = 12
 LISTS = 16  #: of neighbours whose pairs are looked at together
 ASKED = 32  #: queries of a block that are answered together
 _EDGES = "node long, block long, nb array<long>, sc array<float>, fresh array<boolean>"
+_OFFERS = f"{_EDGES}, who array<long>"
 _LISTS = {"node": pa.int64(), "block": pa.int64(), "nb": pa.list_(pa.int64()), "sc": pa.list_(pa.float32()), "fresh": pa.list_(pa.bool_())}
 
 
@@ -132,36 +133,50 @@ def _within_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _merged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of edges sorted by node -> one row a node with its KEEP best. Only the best so far of the last node are carried on."""
-
-    def pressed(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        node, begin, of = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
-        block = np.maximum.reduceat(table.column("block").to_numpy(), begin)
-        lists = table.column("nb").combine_chunks()
-        u = np.repeat(of.ravel(), lists.value_lengths().to_numpy())
-        w, s, fresh = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("nb", "sc", "fresh"))
-        order, _ = _best(u, w, s, ~fresh, KEEP)
-        counts = np.bincount(u[order], minlength=len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(block), *[_lists(x[order], counts) for x in (w, s, fresh)]], schema=pa.schema(_LISTS))
+    """Rows sorted by block, of nodes with their edges first, then of offers to several (``who``) -> one row a node with its KEEP best.
+
+    Only the best so far of the nodes of one block are carried on, however much they are offered.
+    """
+
+    def pressed(parts: list[pa.Table]) -> pa.Table:
+        node, block, us, ws, ss, olds = [], [], [], [], [], []
+        for part in parts:
+            part = part.combine_chunks()
+            lists, own = part.column("nb").combine_chunks(), part.column("node").to_numpy()
+            counts = lists.value_lengths().to_numpy()
+            u = np.repeat(own, counts)
+            if "who" in part.column_names:
+                u[u < 0] = part.column("who").combine_chunks().flatten().to_numpy()
+            node.append(own[own >= 0])
+            block.append(part.column("block").to_numpy()[own >= 0])
+            us.append(u)
+            for to, c in ((ws, "nb"), (ss, "sc"), (olds, "fresh")):
+                to.append(part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        node, at = np.unique(np.concatenate(node), return_index=True)
+        of = np.searchsorted(node, np.concatenate(us))
+        w, s, fresh = np.concatenate(ws), np.concatenate(ss), np.concatenate(olds)
+        order, _ = _best(of, w, s, ~fresh, KEEP)
+        counts = np.bincount(of[order], minlength=len(node))
+        return pa.Table.from_arrays([pa.array(node), pa.array(np.concatenate(block)[at]), *[_lists(x[order], counts) for x in (w, s, fresh)]], schema=pa.schema(_LISTS))
 
     held = None
     for frame in frames:
-        table = pa.Table.from_batches([frame.cast(pa.schema(_LISTS))] if held is None else [held, frame.cast(pa.schema(_LISTS))])
-        if table.num_rows:
-            done = pressed(table)
-            if done.num_rows > 1:
-                yield done.slice(0, done.num_rows - 1)
-            held = done.slice(done.num_rows - 1)
+        if not frame.num_rows:
+            continue
+        done = pressed(([] if held is None else [held]) + [pa.Table.from_batches([frame])])
+        last = done.column("block").to_numpy() == frame.column("block")[-1].as_py()
+        if not last.all():
+            yield from done.filter(pa.array(~last)).to_batches()
+        held = done.filter(pa.array(last))
     if held is not None:
-        yield held
+        yield from held.to_batches()
     trim()
 
 
 def _introduced(lists: pa.Table, members: pa.Table) -> pa.Table:
     """All pairs of the nodes in one list that have not met in it before: of those, what betters a node's own list."""
     order = np.argsort(members.column("node").to_numpy())
-    node, limit = members.column("node").to_numpy()[order], members.column("limit").to_numpy()[order]
+    node, limit, home = (members.column(c).to_numpy()[order] for c in ("node", "limit", "home"))
     x = _floats(members.column("unit"), len(node))[order]
     held = lists.column("all").combine_chunks()
     counts = held.value_lengths().to_numpy()
@@ -189,15 +204,21 @@ def _introduced(lists: pa.Table, members: pa.Table) -> pa.Table:
         ws.append(index[c, top[c, i, j]])
         ss.append(score[c, i, j])
     u, w, s = (np.concatenate(v) if v else np.empty(0, kind) for v, kind in ((us, np.int64), (ws, np.int64), (ss, np.float32)))
-    order, kept = _best(u, w, s, np.zeros(len(u), bool), FROM_BLOCK)
-    to = node[np.unique(u)]
+    order, _ = _best(u, w, s, np.zeros(len(u), bool), FROM_BLOCK)
+    order = order[np.argsort(home[u[order]], kind="stable")]  # a row for each block that nodes are offered something in
+    to, counts = np.unique(home[u[order]], return_counts=True)
     trim()
-    return pa.Table.from_arrays([pa.array(to), pa.array(np.full(len(to), -1)), *[_lists(v, kept) for v in (node[w[order]], s[order], np.ones(len(order), bool))]], schema=pa.schema(_LISTS))
+    lists = [_lists(v, counts) for v in (node[w[order]], s[order], np.ones(len(order), bool), node[u[order]])]
+    return pa.Table.from_arrays([pa.array(np.full(len(to), -1)), pa.array(to), *lists], schema=pa.schema({**_LISTS, "who": pa.list_(pa.int64())}))
 
 
 def _merge(rows: DataFrame, label: str) -> DataFrame:
     n = tasks(rows.sparkSession)
-    return frozen(rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_merged, _EDGES), label)
+    return frozen(rows.repartition(n, "block").sortWithinPartitions("block", F.desc("node")).mapInArrow(_merged, _EDGES), label)
+
+
+def _as_offers(edges: DataFrame) -> DataFrame:
+    return edges.select("node", "block", "nb", "sc", "fresh", F.array().cast("array<long>").alias("who"))
 
 
 def _both_ways(edges: DataFrame, turn: int) -> DataFrame:
@@ -227,16 +248,17 @@ def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     first, second = near("code0"), near("code1")
     units = frozen(first.select("node", "unit"), "units")
-    edges = _merge(first.drop("unit").union(second.drop("unit").withColumn("block", F.lit(-1).cast("long"))), "edges")
+    homes = second.drop("block", "unit").join(first.select("node", "block"), "node").select("block", F.array_repeat("node", F.size("nb")).alias("who"), "nb", "sc", "fresh")
+    edges = _merge(_as_offers(first.drop("unit")).union(homes.select(F.lit(-1).cast("long").alias("node"), "block", "nb", "sc", "fresh", "who")), "edges")
     release(coded, first, second)
     for turn in range(ROUNDS if cuts > 1 or count > BLOCK else 0):
         lists = frozen(_both_ways(edges, turn), "lists")
         limit = F.when(F.size("sc") >= KEEP, F.array_min("sc")).otherwise(F.lit(float("-inf")).cast("float"))
-        known = units.join(edges.select("node", limit.alias("limit")), "node")
-        members = lists.select("block", F.explode("all").alias("node")).distinct().join(known, "node").select(*[F.col(c).alias(c) for c in ("block", "node", "limit", "unit")])  # not the columns that the lists have
-        offers = lists.select("block", "all", "new").groupBy("block").cogroup(members.groupBy("block")).applyInArrow(_introduced, _EDGES)
+        known = units.join(edges.select("node", limit.alias("limit"), F.col("block").alias("home")), "node")
+        members = lists.select("block", F.explode("all").alias("node")).distinct().join(known, "node").select(*[F.col(c).alias(c) for c in ("block", "node", "limit", "home", "unit")])  # not the columns that the lists have
+        offers = lists.select("block", "all", "new").groupBy("block").cogroup(members.groupBy("block")).applyInArrow(_introduced, _OFFERS)
         met = edges.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
-        better = _merge(met.union(offers), "edges")
+        better = _merge(_as_offers(met).union(offers), "edges")
         release(edges, lists)
         edges = better
         new, all_ = edges.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("nb"))).first()
