@@ -54,9 +54,12 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 BATCH = 1 << 14  #: words whose windows are hashed at once
 
 
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Runs of characters other than ASCII white space, A-Z lower-cased."""
-    return text.encode().lower().split() if text else []
+    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased: marks of comments and line ends are no words."""
+    return text.encode().translate(_PLAIN).split() if text else []
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -87,6 +90,7 @@ class _Templates:
     def __init__(self, texts: list[tuple[str, str]]):
         self.exact: list[tuple[str, int, set[tuple[bytes, ...]]]] = []
         widths: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        probes: dict[int, set[int]] = {}
         for name, text in texts:
             words = words_of(text)
             if words:
@@ -94,6 +98,11 @@ class _Templates:
                 least = (s[None, :] * _ODD[:, None] + _ADD[:, None]).min(axis=1)
                 widths.setdefault((k, len(s)), []).append((len(self.exact), least))
                 self.exact.append((name, k, {tuple(words[i : i + k]) for i in range(len(s))}))
+                distinct = {int(h): sum(map(len, words[i : i + k])) for i, h in enumerate(s)}
+                telling = sorted(distinct, key=lambda h: (-distinct[h], h))  # long words are rare ones
+                probes.setdefault(k, set()).update(telling[: int(len(distinct) * (1 - CONTAINMENT) + 1e-9) + 1])
+        #: shingle length -> so many shingles of each template that a window with CONTAINMENT of it can't lack them all
+        self.probes = {k: np.array(sorted(of), np.uint64) for k, of in probes.items()}
         #: shingle length -> width -> for each band: sorted keys, and the templates that have them
         self.tables: dict[int, dict[int, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for (k, width), members in widths.items():
@@ -114,14 +123,32 @@ class _Templates:
             held.append((i, words))
             total += len(words)
             if total >= BATCH:
-                self._batch(held, found)
+                self._batch(self._likely(held), found)
                 held, total = [], 0
-        if held:
-            self._batch(held, found)
+        self._batch(self._likely(held), found)
         return [sorted(f, key=lambda x: (x[1], x[0])) for f in found]
 
+    def _likely(self, docs: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
+        """The texts that hold a probe of some template; no other can match, so most texts are never slid over."""
+        if not docs:
+            return docs
+        length = np.array([len(w) for _, w in docs])
+        ends = np.cumsum(length)
+        unit = word_hashes([w for _, words in docs for w in words])
+        live = np.zeros(len(docs), bool)
+        for k, probe in self.probes.items():
+            if len(unit) < k:
+                continue
+            s = _chained(unit, k)
+            at = np.flatnonzero(probe[np.minimum(np.searchsorted(probe, s), len(probe) - 1)] == s)
+            doc = np.searchsorted(ends, at, "right")
+            live[doc[at + k <= ends[doc]]] = True
+        return [docs[i] for i in np.flatnonzero(live).tolist()]
+
     def _batch(self, docs: list[tuple[int, list[bytes]]], found: list) -> None:
         """Texts end to end, each followed by padding that is never a minimum, so a window may run over its text's end."""
+        if not docs:
+            return
         length = np.array([len(w) for _, w in docs])
         start = np.cumsum(length + self.pad) - (length + self.pad)
         unit = np.zeros(int(start[-1] + length[-1] + self.pad), np.uint64)
@@ -183,7 +210,9 @@ _MATCHES = pa.list_(pa.struct([("template", pa.string()), ("word", pa.int32()),
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = TEMPLATE_WORDS) -> DataFrame:
     """One row for each row of ``docs``: its id and ``matches``, an array of (template, word, n_words, containment).
 
-    Windows as wide as a template start at every word; their MinHash over SHINGLE-word shingles is
+    Words are runs of letters and digits, so a notice is found behind the marks of a comment and over line ends. A text without
+    any of a template's probes, a fifth of its shingles and one more, cannot hold CONTAINMENT of it and is left; in the others
+    windows as wide as a template start at every word; their MinHash over SHINGLE-word shingles is
     cut into BANDS bands of ROWS. A window that holds CONTAINMENT of a template's shingles has a
     Jaccard similarity of at least 2/3 with it and shares a band with a probability of
     1 - (1 - (2/3)**2)**16 > 0.9999; containment is then counted exactly on the words.

@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import re
 
@@ -86,6 +87,37 @@ def test_a_full_license_with_changes_is_found(spark):
     assert [(r.doc_id, [m.word // 2 for m in r.matches if m.template == "MIT-full"]) for r in got] == [(rows[0][0], [250]), (None, [0]), (rows[2][0], [])]
 
 
+def test_licenses_in_comments_are_found(spark):
+    import textwrap
+
+    long = {n: t for n, t in licenses.TEMPLATES.items() if n in ("MIT-full", "ISC-full", "Apache-2.0-header", "BSD", "MIT-grant")}
+    rows = []
+    for name, text in long.items():
+        for width in (72, 78):
+            for mark in ("# ", " * ", "// ", "", ";; ", "-- "):
+                lines = [mark + line for line in textwrap.wrap(text, width)]
+                rows.append((f"{name}|{width}|{mark}", "\n".join(["x = 1", *lines, "def f(): return 2"])))
+    got = {r.doc_id: {m.template for m in r.matches} for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(got) == 60 and all(key.split("|")[0] in found for key, found in got.items())
+
+
+def test_probes_lose_nothing(spark):
+    """Any text that lacks all probes of a template lacks more than a fifth of its shingles."""
+    rng = np.random.default_rng(5)
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.words_of(text)
+        held = licenses._Templates([(name, text)])
+        ((k, probe),) = held.probes.items()
+        s = licenses.shingles(words)
+        left = ~np.isin(s, probe)
+        assert len(np.unique(s[left])) < licenses.CONTAINMENT * len(np.unique(s))
+        for _ in range(20):
+            some = [w for w in words if rng.random() > 0.1]
+            found = held._likely([(0, some)])
+            share = len(np.intersect1d(licenses.shingles(some), s)) / len(np.unique(s)) if len(some) >= k else 0
+            assert found or share < licenses.CONTAINMENT
+
+
 def test_each_kind_of_license_line_is_found(spark):
     """The bare notice has fewer words than a shingle; the five kinds are the license lines of the documents."""
     from panelwright.llm.entries import op9_license_scan
