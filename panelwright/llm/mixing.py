@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sharding import number_rows
-from .store import frozen, release, row_hash, without
+from .store import frozen, release, row_hash, tasks, without
 
 LEAF_ROWS = 4096  #: documents of one source that a leaf of the tree pairs
 FAN_IN = 64  #: leaves or nodes, with one residual each, that one inner node pairs
@@ -27,26 +27,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
     Sources by code point, null last, take ``weights`` in turn and share ``share`` times all sizes;
     a target stops at ``most`` times its source's size and the excess is shared again by weight
-    among the rest until none is above. Only totals reach the driver.
+    among the rest until none is above. Sources are sorted by the level that fills them, and the level follows from sums over those before each, in one pass
+    whatever the number of sources. Only totals reach the driver.
     """
     ranked = number_rows(sizes, [F.col("source").isNull(), F.col("source")], "__rank")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
     table = frozen(ranked.select("source", "source_size", w.alias("__w"), (F.col("source_size") * float(most)).alias("__cap")), "targets")
     release(ranked.written)
-    level, full = 0.0, F.lit(False)
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
-    while True:
-        row = table.agg(
-            F.coalesce(F.sum(F.when(~full, F.col("__w"))), F.lit(0.0)).alias("w"),
-            F.coalesce(F.sum(F.when(full, F.col("__cap"))), F.lit(0.0)).alias("held"),
-        ).first()
-        if row["w"] == 0:
-            break
-        level = (total - row["held"]) / row["w"]
-        above = full | (F.col("__w") * F.lit(level) > F.col("__cap"))
-        if table.where(above & ~full).isEmpty():
-            break
-        full = F.col("__w") * F.lit(level) > F.col("__cap")
+    # by cap a weight, those before a source are full and share what is left no more: the first source that the level does not fill has the level
+    order = F.col("__cap") / F.col("__w")
+    dealt = table.select("__w", "__cap", order.alias("__full_at")).repartitionByRange(tasks(sizes.sparkSession), "__full_at")
+    dealt = frozen(dealt.withColumn("__p", F.spark_partition_id()), "by-cap")
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = dealt.groupBy("__p").agg(F.sum("__w").alias("w"), F.sum("__cap").alias("c"))
+    parts = parts.select("__p", F.coalesce(F.sum("w").over(earlier), F.lit(0.0)).alias("w0"), F.coalesce(F.sum("c").over(earlier), F.lit(0.0)).alias("c0"), F.sum("w").over(Window.partitionBy()).alias("w_all"))
+    run = Window.partitionBy("__p").orderBy("__full_at").rowsBetween(Window.unboundedPreceding, -1)
+    held, spent = F.col("c0") + F.coalesce(F.sum("__cap").over(run), F.lit(0.0)), F.col("w0") + F.coalesce(F.sum("__w").over(run), F.lit(0.0))
+    levels = dealt.join(parts, "__p").select("__full_at", ((F.lit(total) - held) / (F.col("w_all") - spent)).alias("level"))
+    found = levels.where(F.col("level") <= F.col("__full_at")).agg(F.min_by("level", "__full_at")).first()[0]
+    release(dealt)
+    level = float("inf") if found is None else found  # every source is full
+    full = F.col("__w") * F.lit(level) > F.col("__cap")
     target = F.when(full, F.col("__cap")).otherwise(F.col("__w") * F.lit(level))
     out = table.select("source", "source_size", target.alias("target"))
     out.written = table
