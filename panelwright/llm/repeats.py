@@ -15,6 +15,7 @@ are taken for equal are about n**2 / 2**94, whatever they hold (0.1 % for 4e12 w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +100,12 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, size: int, units: Callable[[bytes], np.ndarray], elsewhere: bool) -> DataFrame:
+def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame | list[DataFrame], size: int, units: Callable[[bytes], np.ndarray], elsewhere: bool) -> DataFrame:
     """Starts of repeated windows: ``(row, at, n)``, n consecutive starts from ``at``.
 
     anchors: frozen rows (row, doc, key, s1, s2, at, n); s1, s2 are the segment's hash pair. shared: the
     keys worth a look, ``(key)``. parts: ``(row, part, data)``, data with the units of part number ``part``,
-    or ``(row, data)`` with all units of a row.
+    or ``(row, data)`` with all units of a row; several tables of different rows are each joined where they lie.
     elsewhere: a window counts if it starts at any other place too; else if it starts in a smaller doc.
     The result is a written table; anchors, shared, and all tables on the way to it are deleted when
     they have served.
@@ -124,7 +125,8 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, siz
     met = frozen(met.withColumns({"whole": whole, "asked": asked}).where("whole or asked").select(*who, "at", "n", "whole", "asked"), "met")
     release(flagged, distinct, variants, segments)
     need = frozen(met.where("asked").select(*who, "at", "n").withColumn("id", F.monotonically_increasing_id()), "need")
-    by = [c for c in ("row", "part") if c in parts.columns]
+    parts = parts if isinstance(parts, list) else [parts]
+    by = [c for c in ("row", "part") if c in parts[0].columns]
     place = F.expr(f"cast(at % {PART} as int)").alias("at") if "part" in by else F.col("at")
     lists = need.groupBy("row", *([F.expr(f"cast(at div {PART} as int)").alias("part")] if "part" in by else [])).agg(F.collect_list(F.struct("id", place, "n")).alias("need"), *([] if elsewhere else [F.first("doc").alias("doc")]))
 
@@ -158,7 +160,8 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, siz
         return pa.RecordBatch.from_pydict(out)
 
     schema = "h1 long, h2 int, place long" + ("" if elsewhere else ", doc long")
-    found = frozen(parts.join(lists.hint("merge"), by).mapInArrow(hashes, schema), "windows")
+    hashed_parts = [some.join(lists.hint("merge"), by).mapInArrow(hashes, schema) for some in parts]
+    found = frozen(reduce(DataFrame.union, hashed_parts), "windows")
     if elsewhere:
         repeated = frozen(found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeated")
         single = found.join(repeated.hint("merge"), ["h1", "h2"], "left_semi")
@@ -172,14 +175,14 @@ def windows_matched(anchors: DataFrame, shared: DataFrame, parts: DataFrame, siz
     return matched
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str, call: int = 0) -> DataFrame:
     """``(row, id, doc, text)``, written in buckets of row, so that no join by row moves a text again.
 
-    row tells rows apart whatever their ids; doc orders documents, a null id as the largest number.
+    row tells rows apart whatever their ids, also those of different calls (below 128); doc orders documents, a null id as the largest number.
     """
     ident = F.col(id_col).cast("long")
     rows = docs.select(ident.alias("id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("doc"), F.col(text_col).alias("text"))
-    return bucketed(rows.withColumn("row", F.monotonically_increasing_id()).repartition(tasks(docs.sparkSession), "row"), "row", "numbered")
+    return bucketed(rows.withColumn("row", F.monotonically_increasing_id() + F.lit(call << 56)).repartition(tasks(docs.sparkSession), "row"), "row", "numbered")
 
 
 def spans_of(matched: DataFrame, size: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import MOST, PART, RangeHash, cut, mixed, numbered, ranges, spans_of, windows_matched, with_spans
-from .store import bucketed, frozen, long_texts, release
+from .store import bucketed, frozen, long_texts, release, tasks
 
 WINDOW = 200
 SPREAD = 144  #: of this many neighbouring suffixes one is indexed at least
@@ -160,13 +161,17 @@ class LevelFamily:
     sorted files that moves no row between executors. Neighbours that agree to the full depth (a common
     prefix of ``window - spread + 1`` bytes: HEAD of them as they are, all of them by fingerprint) are the
     long matches. Two levels of one size merge into one of twice the size before the next batch comes,
-    so a suffix is rewritten once for each doubling of the index. Levels stay until :meth:`close`; later
-    batches may be added at any time before.
+    so a suffix is rewritten once for each doubling of the index. Levels stay until :meth:`close`.
+
+    A family that the caller keeps also keeps, of each call of :func:`repeated_spans`, the texts and the places of their suffixes, so that
+    a later batch can be compared with the earlier texts that it meets, and the windows that have been found so far.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
+        self.calls: list[tuple[DataFrame, DataFrame]] = []  #: numbered texts and their suffixes
+        self.matched: DataFrame | None = None
 
     def add(self, suffixes: DataFrame) -> None:
         """Index ``suffixes(suffix)``, one row a place."""
@@ -183,16 +188,14 @@ class LevelFamily:
         self.found.append(frozen(met, "met"))
         self.levels.append((1, batch))
 
-    def matches(self) -> DataFrame:
-        """``(suffix)`` of all suffixes met more than once."""
-        found = self.found[0]
-        for more in self.found[1:]:
-            found = found.union(more)
-        return found.distinct()
+    def matches(self, last: int | None = None) -> DataFrame:
+        """``(suffix)`` of all suffixes met more than once, or only of those that the ``last`` batches met."""
+        found = self.found[-last:] if last else self.found
+        return reduce(DataFrame.union, found).distinct()
 
     def close(self) -> None:
-        release(*(level for _, level in self.levels), *self.found)
-        self.levels, self.found = [], []
+        release(*(level for _, level in self.levels), *self.found, *(t for call in self.calls for t in call), self.matched)
+        self.levels, self.found, self.calls, self.matched = [], [], [], None
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spread: int = SPREAD, batches: int = BATCHES, family: LevelFamily | None = None) -> DataFrame:
@@ -207,29 +210,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     content, so a match of ``window`` bytes always holds one together with ``window - spread + 1``
     bytes after it, to which depth suffixes are sorted. Windows of suffixes that meet are looked at again, by
     denser suffixes, and at last compared by all their bytes. ``family`` (default: one of this call, closed at
-    its end) holds the index; one given stays open.
+    its end) holds the index; one given stays open, and later calls with it return the rows of all calls so far, spans found in any of them
+    included, as one call with all the rows would. What a later call works on is its own rows, and the places of older rows that they meet; close the
+    family when the last result has been read.
     """
     if not 0 < spread <= min(window - HEAD, MOST):
         raise ValueError(f"spread must lie {HEAD} below window at least, and be {MOST} at most")
     fine = min(FINE, spread)
-    held = numbered(docs, id_col, text_col)
-    texts = held.where(F.octet_length("text") >= window).select("row", "text")
-    suffixes = frozen(texts.mapInArrow(_suffixes(window, spread, batches), SUFFIXES), "suffixes")
     index = family or LevelFamily()
+    held = numbered(docs, id_col, text_col, len(index.calls))
+    suffixes = _long(held, window).mapInArrow(_suffixes(window, spread, batches), SUFFIXES)
+    suffixes = frozen(suffixes, "suffixes") if family is None else bucketed(suffixes.repartition(tasks(docs.sparkSession), "suffix"), "suffix", "suffixes")
     for b in range(batches):
         index.add(suffixes.where(F.col("batch") == b).select("suffix"))
-    shared = frozen(index.matches(), "shared")
+    shared = frozen(index.matches(batches), "shared")
+    calls = [*index.calls, (held, suffixes)]
     if family is None:
         index.close()
-    met = frozen(suffixes.join(shared.hint("merge"), "suffix", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("met")), "met")
-    release(suffixes, shared)
-    anchors = frozen(texts.join(met.hint("merge"), "row").mapInArrow(_anchors(window, fine), ANCHORS), "anchors")
-    release(met)
-    several = frozen(anchors.groupBy("key").count().where("count > 1").select("key"), "shared")
-    matched = windows_matched(anchors, several, texts.withColumnRenamed("text", "data"), window, units, elsewhere=True)
+    anchors, mets = [], []
+    for texts, places in calls:
+        mets.append(frozen(places.join(shared.hint("merge"), "suffix", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("met")), "met"))
+        anchors.append(_long(texts, window).join(mets[-1].hint("merge"), "row").mapInArrow(_anchors(window, fine), ANCHORS))
+    every = frozen(reduce(DataFrame.union, anchors), "anchors")
+    release(*mets, shared, suffixes if family is None else None)
+    several = frozen(every.groupBy("key").count().where("count > 1").select("key"), "shared")
+    matched = windows_matched(every, several, [_long(texts, window).withColumnRenamed("text", "data") for texts, _ in calls], window, units, elsewhere=True)
+    if family is not None:
+        family.calls = calls
+        before, family.matched = family.matched, matched if family.matched is None else frozen(family.matched.union(matched), "matched")
+        release(before, None if family.matched is matched else matched)
+        matched = family.matched
     spans = frozen(spans_of(matched, window), "spans")
-    release(matched)
-    return with_spans(held, spans)
+    release(None if family is not None else matched)
+    return reduce(DataFrame.union, [with_spans(texts, spans) for texts, _ in calls])
+
+
+def _long(held: DataFrame, window: int) -> DataFrame:
+    return held.where(F.octet_length("text") >= window).select("row", "text")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

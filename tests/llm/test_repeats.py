@@ -164,6 +164,21 @@ def test_an_open_family_meets_later_batches(spark):
     family.close()
 
 
+def test_calls_with_one_family_are_as_one_call(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    a, b, c = word(700), word(300), word(250)
+    calls = [[(1, a + word(80)), (2, word(400)), (None, None)], [(3, word(50) + a), (4, b + word(30) + b)], [(5, c), (6, word(90) + b), (7, a[100:500]), (8, "é" * 150 + c)]]
+    schema = "doc_id bigint, text string"
+    spans = lambda df: sorted((str(r.doc_id), r.text, r.spans) for r in df.collect())
+    family = suffix_levels.LevelFamily()
+    for k in range(3):
+        got = suffix_levels.repeated_spans(spark.createDataFrame(calls[k], schema), batches=1 + k, family=family)
+        so_far = [row for call in calls[: k + 1] for row in call]
+        assert spans(got) == spans(suffix_levels.repeated_spans(spark.createDataFrame(so_far, schema)))
+    family.close()
+
+
 def test_query_merges_levels(spark, sf, monkeypatch):
     from panelwright.llm.entries import op7_suffix_dedup
 
