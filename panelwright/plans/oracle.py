@@ -200,6 +200,9 @@ SQL = {
     "label_counts": f"with {IND} select ticker, target as label, count(*) n, {rnd('count(*) / sum(count(*)) over (partition by ticker) share')} from lab group by ticker, target",
     "price_panel": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume from prices",
     "price_scan": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume from prices where date >= date '1996-01-01' and date < date '1997-01-01' and ticker in ('Brand#1', 'Brand#2', 'Brand#13')",
+    "stored_periods": f"""with {PX}, p as (select *, cast(regexp_extract(ticker, '[0-9]+') as integer) k from prices where date >= date '1996-06-01' and date < date '1997-10-01')
+select ticker, date, round(case when date < date '1997-01-01' then case when k = 5 then 3 else 1 end when k in (4, 7) and date < date '1997-07-01' then 2 else 1 end * "close", 6) "close", volume
+from p where date < date '1997-01-01' or k % 2 = 0 or (k = 7 and date < date '1997-07-01')""",
     "price_normalised": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume, round(case when day(date) % 7 <> 0 then \"close\" * 0.5 end, 6) adj_close, round(case when day(date) % 7 <> 0 then \"close\" * 0.5 else \"close\" end, 6) close_price from prices",
     "null_report": f"with {PX} select ticker, count(*) rows_before, count(*) filter (day(date) <> 13) rows_after, count(*) filter (day(date) = 13) dropped from prices group by 1",
     "history_gate": f"with {PX} select ticker, count(*) n_rows, count(*) >= 1400 kept, case when count(*) < 1400 then cast(count(*) as varchar) || ' rows, needs 1400' end reason, count(*) < 1000 short_history from prices group by 1",
@@ -331,7 +334,7 @@ select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n
 SQL["interval_signs"] = f"select count(*) filter (lower > 0) n_above, count(*) filter (upper < 0) n_below, count(*) filter (lower <= 0 and upper >= 0) n_including, count(*) filter (lower is null or upper is null) n_undefined from ({SQL['inference_table']})"
 
 _DATES = {
-    "date": "stratified_split blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
+    "date": "stored_periods stratified_split blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
     "first": "purged_split row_cut_split walk_forward trailing_validation",
     "last": "purged_split row_cut_split walk_forward regime_split",
     "start": "window_results",

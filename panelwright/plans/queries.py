@@ -142,13 +142,34 @@ def price_panel(spark, d):
 
 @query
 def price_scan(spark, d):
-    """A1, A3: the panel stored by ticker, then a half-open date range and a ticker list of it, read by the filters."""
+    """A1, A3: the panel stored by ticker and period, then a half-open date range and a ticker list of it, read by the filters."""
     path = folders.scratch(spark, "prices")
-    prices.write(panel(spark, d), path)
-    got = prices.scan(spark, path, dt.date(1996, 1, 1), dt.date(1997, 1, 1), ["Brand#1", "Brand#2", "Brand#13"])
+    prices.write(bars(spark, d), path, dt.date(1990, 1, 1), dt.date(2010, 1, 1))
+    got = prices.read(spark, path, dt.date(1996, 1, 1), dt.date(1997, 1, 1), ["Brand#1", "Brand#2", "Brand#13"])
     return rounded(got.select("ticker", "date", "close", "volume"))
 
 
+def bars(spark: SparkSession, d: str) -> DataFrame:
+    """The panel with all columns of a snapshot; those that it lacks are null."""
+    p = panel(spark, d)
+    return p.select(*[F.col(f.name) if f.name in p.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in prices.SCHEMA])
+
+
+@query
+def stored_periods(spark, d):
+    """A2, A3: 1996 stored, then 1997 for some tickers, 1996 again (kept), the first half of 1997 of two tickers at twice the price, 1996 of one ticker refreshed; all read as one."""
+    path, all_bars = folders.scratch(spark, "prices"), bars(spark, d)
+    some = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
+    dear = lambda k: all_bars.withColumn("close", F.col("close") * k)
+    first, second, third = dt.date(1996, 1, 1), dt.date(1997, 1, 1), dt.date(1998, 1, 1)
+    prices.write(all_bars, path, first, second)
+    prices.write(all_bars.where(some % 2 == 0), path, second, third)
+    prices.write(dear(5), path, first, second)
+    prices.write(dear(2).where(some.isin(4, 7)), path, second, dt.date(1997, 7, 1))
+    prices.write(dear(3).where(some == 5), path, first, second, refresh=True)
+    return rounded(prices.read(spark, path, dt.date(1996, 6, 1), dt.date(1997, 10, 1)).select("ticker", "date", "close", "volume"))
+
+
 @query
 def price_normalised(spark, d):
     """A4: the adjusted close where there is one."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.functions import tails
+from panelwright.functions import draws, tails
 from panelwright.operators import metrics, stats
 
 
@@ -98,9 +98,54 @@ def test_chance_matched_golden(spark):
 
 def test_bootstrap_covers_the_mean_and_repeats(spark):
     df = spark.range(200).select("id", (F.col("id") % 10).cast("double").alias("x"))
-    a = stats.bootstrap(df, F.avg("x"), ("id",), 300).first()
-    assert a.lower < 4.5 < a.upper and 0.5 < a.upper - a.lower < 1.2 and a.resamples == 300
-    assert stats.bootstrap(df.repartition(7), F.avg("x"), ("id",), 300).first() == a
+    mean = ({"s": F.col("x"), "n": F.lit(1)}, F.col("s") / F.col("n"))
+    a = stats.bootstrap(df, *mean, ("id",), 300).first()
+    assert a.estimate == 4.5 and a.lower < 4.5 < a.upper and 0.5 < a.upper - a.lower < 1.2 and a.resamples == 300
+    assert stats.bootstrap(df.repartition(7), *mean, ("id",), 300).first() == pytest.approx(a)
+
+
+def test_bootstrap_against_written_out_draws(spark):
+    df = spark.createDataFrame([(f"k{i}", float(i * i % 17)) for i in range(60)], "k string, x double")
+    got = stats.bootstrap(df, {"s": F.col("x"), "q": F.col("x") * F.col("x"), "n": F.lit(1)}, F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))), ("k",), 50, seed=9).first()
+    import hashlib
+
+    def stir(v):
+        a = v % 2**31 * draws.A % 2**31
+        b = (a ^ (a >> 15)) * draws.B % 2**31
+        return b ^ (b >> 13)
+
+    values = []
+    for rep in range(50):
+        w, x = [], []
+        for i in range(60):
+            number = int(hashlib.md5(f"k{i}".encode()).hexdigest()[:13], 16)
+            u = stir(stir(stir(number % 2**31 + 9) ^ (number >> 31)) + rep)
+            w.append(sum(u >= e for e in draws.poisson_edges()))
+            x.append(float(i * i % 17))
+        w, x = np.array(w), np.array(x)
+        values.append(np.sqrt((w @ x**2) / w.sum() - (w @ x / w.sum()) ** 2))
+    assert (got.lower, got.upper) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
+    first = df.select(draws.draw(draws.key_number("k"), 9, 3).alias("u")).first().u
+    number = int(hashlib.md5(b"k0").hexdigest()[:13], 16)
+    assert first == stir(stir(stir(number % 2**31 + 9) ^ (number >> 31)) + 3)
+
+
+def test_draws_are_even_and_apart():
+    u = draws.stirred(draws.base(np.arange(20_000) * 977 + 5, 42)[:, None] + np.arange(40, dtype=np.uint64)).astype(float) / draws.SPAN
+    assert abs(u.mean() - 0.5) < 0.002 and abs(u.var() - 1 / 12) < 0.001 and np.abs(np.corrcoef(u.T) - np.eye(40)).max() < 0.04
+    w = np.searchsorted(np.array(draws.poisson_edges()) / draws.SPAN, u.ravel(), "right")
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+
+
+def test_little_bootstrap_of_a_median(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 1, 4000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None), (-2, float("nan"))], "id long, x double")
+    got = stats.little_bootstrap(df, "x", stats.weighted_median, ("id",), 200, 1000).first()
+    half = 1.96 * 1.2533 / np.sqrt(4000)
+    assert got.bags == 4 and got.lower < got.estimate < got.upper and abs((got.upper - got.lower) / (2 * half) - 1) < 0.3 and abs(got.estimate - 3) < 3 * half
+    assert stats.little_bootstrap(df.repartition(5), "x", stats.weighted_median, ("id",), 200, 1000).first() == pytest.approx(got)
+    assert stats.weighted_median(np.array([3.0, 1.0, 2.0]), np.array([1, 1, 2])) == 2.0 and stats.weighted_median(np.array([1.0, 4.0]), np.array([1, 1])) == 2.5
 
 
 def test_reliability(spark):
