@@ -146,10 +146,10 @@ def mean_curve(curve: DataFrame) -> DataFrame:
     return rows.union(padded).groupBy("seq").agg(F.avg("pct").alias("pct"), F.count("*").alias("n_curves"))
 
 
-def summary(metric_rows: DataFrame) -> DataFrame:
+def summary(metric_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means of the metrics over tickers, pooled win rate, and tickers without a trade."""
     means = ("total_return", "annual_return", "sharpe", "max_drawdown", "benchmark_return", "annual_benchmark", "excess_return", "win_rate", "accuracy", "n_trades")
-    return metric_rows.agg(
+    return metric_rows.groupBy(*by).agg(
         F.count("*").alias("n_tickers"), *[F.avg(c).alias(f"mean_{c}") for c in means], ratio(F.sum("n_wins"), F.sum("n_trades"), 0.0).alias("pooled_win_rate"), F.count_if(F.col("n_trades") == 0).alias("n_without_trades")
     )
 

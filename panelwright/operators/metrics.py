@@ -60,13 +60,13 @@ def comparison(score_rows: DataFrame, digits: int = 4) -> DataFrame:
     return score_rows.withColumns({c: F.bround(c, digits) for c in named}).orderBy(F.desc("f1_weighted"), F.desc("accuracy"), "model")
 
 
-def best_model(score_rows: DataFrame, baselines: tuple[str, ...], negligible: float = 0.05) -> DataFrame:
-    """The model of the highest weighted F1 (then accuracy, then name) that is no baseline, its margin over the best baseline, and whether that is negligible."""
+def best_model(score_rows: DataFrame, baselines: tuple[str, ...], negligible: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each group of ``by``, the model of the highest weighted F1 (then accuracy, then name) that is no baseline, its margin over the best baseline, and whether that is negligible."""
     is_base = F.col("model").isin(*baselines)
     order = F.struct("f1_weighted", "accuracy")
-    best = score_rows.where(~is_base).agg(F.max_by("model", order).alias("model"), F.max_by("f1_weighted", order).alias("f1_weighted"), F.max_by("accuracy", order).alias("accuracy"))
-    base = score_rows.where(is_base).agg(F.max("f1_weighted").alias("baseline_f1"))
-    out = best.crossJoin(base).withColumn("margin", F.col("f1_weighted") - F.col("baseline_f1"))
+    best = score_rows.where(~is_base).groupBy(*by).agg(F.max_by("model", order).alias("model"), F.max_by("f1_weighted", order).alias("f1_weighted"), F.max_by("accuracy", order).alias("accuracy"))
+    base = score_rows.where(is_base).groupBy(*by).agg(F.max("f1_weighted").alias("baseline_f1"))
+    out = (best.join(base, list(by), "left") if by else best.crossJoin(base)).withColumn("margin", F.col("f1_weighted") - F.col("baseline_f1"))
     return out.withColumn("negligible", F.col("margin") < negligible)
 
 
@@ -85,28 +85,28 @@ def comparable(predictions: DataFrame, restricted: DataFrame, key: str = "row_id
     return predictions.join(restricted.select(key).distinct(), key, "left_semi")
 
 
-def baselines(panel: DataFrame, seed: int = 42, key: tuple[str, ...] = ("ticker", "date"), target: str = "target", labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Predictions (model, keys, y_true, y_pred) of the three naive models on the test side of ``panel(side, target)``.
+def baselines(panel: DataFrame, seed: int = 42, key: tuple[str, ...] = ("ticker", "date"), target: str = "target", labels: tuple[str, ...] = LABELS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions (by, model, keys, y_true, y_pred) of the three naive models on the test side of ``panel(side, target)``, within each group of ``by``.
 
     majority: the most frequent training label (first in order on a tie); stratified: drawn by a
-    seeded number of the key (:mod:`..functions.draws`) against the training shares; uniform: drawn evenly.
+    seeded number of the key (:mod:`..functions.draws`) against the training shares; uniform: drawn evenly. Without ``by`` there must be training rows; groups without any are left out.
     """
-    train = panel.where("side = 'train'").groupBy(target).agg(F.count("*").alias("n")).collect()  # a row a label
-    n = {r[target]: r["n"] for r in train}
-    total = sum(n.values())
-    if not total:
+    counts = panel.where("side = 'train'").groupBy(*by).agg(F.count_if(F.col(target).isin(*labels)).alias("__all"), *[F.count_if(F.col(target) == x).alias(f"__n{i}") for i, x in enumerate(labels)]).where("__all > 0")
+    if not by and counts.isEmpty():
         raise ValueError("no training rows")
-    major = max(labels, key=lambda x: n.get(x, 0))
+    major = F.array_max(F.array(*[F.struct(F.col(f"__n{i}").alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(labels)]))["x"]
     u = [draws.uniform(draws.key_number(*key), seed, i) for i in range(2)]
 
-    def drawn(v: Column, shares: list[float]) -> Column:
-        edges = [sum(shares[: i + 1]) for i in range(len(labels) - 1)]
+    def drawn(v: Column, edges: list) -> Column:
         return F.coalesce(*[F.when(v < edge, name) for name, edge in zip(labels, edges)], F.lit(labels[-1]))
 
-    test = panel.where("side = 'test'").select(*key, F.col(target).alias("y_true"))
-    picks = {"majority": F.lit(major), "stratified": drawn(u[0], [n.get(x, 0) / total for x in labels]), "uniform": drawn(u[1], [1 / len(labels)] * len(labels))}
+    upto = [sum((F.col(f"__n{j}") for j in range(i + 1)), F.lit(0)) / F.col("__all") for i in range(len(labels) - 1)]
+    even = [F.lit((i + 1) / len(labels)) for i in range(len(labels) - 1)]
+    test = panel.where("side = 'test'").select(*by, *key, F.col(target).alias("y_true"), u[0].alias("__u0"), u[1].alias("__u1"))
+    test = test.join(counts, list(by)) if by else test.crossJoin(counts)  # one row
+    picks = {"majority": major, "stratified": drawn(F.col("__u0"), upto), "uniform": drawn(F.col("__u1"), even)}
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("y_pred")) for m, p in picks.items()])).alias("m")
-    return test.select(*key, "y_true", rows).select("m.model", *key, "y_true", "m.y_pred")
+    return test.select(*by, *key, "y_true", rows).select(*by, "m.model", *key, "y_true", "m.y_pred")
 
 
 def profile(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ledger, metrics, splits, stats
@@ -148,8 +149,6 @@ def leakage_diagnostic(panel: DataFrame, kind: str = "rf", embargo_days: int = 6
         model, scale = fit(split.where("side = 'train'"), kind, **(options or {}))
         got = predict(split.where("side = 'test'"), model, scale).select(F.lit(name).alias("model"), F.col("target").alias("y_true"), "y_pred")
         out = got if out is None else out.unionByName(got)
-    from pyspark.sql import Window
-
     rows = metrics.scores(out)
     gap = F.max(F.when(F.col("model") == "random", F.col("f1_weighted"))).over(Window.partitionBy()) - F.col("f1_weighted")  # three rows
     return rows.withColumn("gap", gap).withColumn("severe", F.col("gap") > SEVERE_GAP)
@@ -165,47 +164,160 @@ def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.0
     return rows.withColumn("target", label(F.col("fwd_return"), F.col("threshold")))
 
 
-def threshold_study(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.075, 0.10, 0.15), kind: str = "lr", train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, options: dict | None = None) -> DataFrame:
-    """A row a label threshold: class shares, a model against the best naive baseline, and the backtest of per-window models."""
-    out = None
-    for t in thresholds:
-        rows = panel.withColumn("target", label(F.col("fwd_return"), F.lit(float(t))))
-        shares = rows.agg(*[F.avg((F.col("target") == x).cast("double")).alias(f"share_{x.lower()}") for x in LABELS])
-        predictions, _ = train_and_compare(rows, (kind,), options={kind: options or {}})
-        best = metrics.best_model(metrics.scores(predictions), ("majority", "stratified", "uniform")).select("model", "f1_weighted", "accuracy", "baseline_f1", "margin", "negligible")
-        signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
-        backtest = ledger.summary(ledger.metrics(signals, cost, train=train, test=test, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
-        row = shares.crossJoin(best).crossJoin(backtest).select(F.lit(float(t)).alias("threshold"), "*")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+def fit_many(train: DataFrame, by: str, columns: Iterable[str] = FEATURES, c: float = 1.0, steps: int = 40) -> dict:
+    """A scaler and a multinomial logistic regression for every value of ``by`` of ``train(by, target, features..)``, all fitted together.
 
+    A Newton step is one aggregation: a task adds up the gradient and the Hessian of every group, Spark adds up the tasks', and the driver solves
+    a small system a group. Groups that have settled drop out; a step that would raise a group's loss is halved. ``by`` has a few values;
+    their rows may be any number. Returns {value: (classes, mean, sd, weights)}; a group of one class has no model. The optimum is that of :func:`softmax_regression`.
+    """
+    columns = list(columns)
+    d = len(columns) + 1
+    codes = {label: i for i, label in enumerate(LABELS)}
+    rows = train.where(F.col("target").isin(*LABELS)).select(F.col(by).alias("g"), code(F.col("target")).cast("int").alias("y"), F.array(*[F.col(x).cast("double") for x in columns]).alias("x")).persist()
+    k = len(codes)
+
+    def batches(frames: Iterator[pa.RecordBatch], names: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for frame in frames:
+            x = frame.column("x").flatten().to_numpy(zero_copy_only=False).reshape(frame.num_rows, -1)
+            y, g = frame.column("y").to_numpy(), np.array(frame.column("g").to_pylist(), object)
+            for j, name in enumerate(names):
+                mine = g == name
+                if mine.any():
+                    yield j, x[mine], y[mine]
+
+    def summed(names: list, width: int, add: Callable) -> np.ndarray:
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(names), width))
+            for j, x, y in batches(frames, names):
+                total[j] += add(j, x, y)
+            yield pa.RecordBatch.from_pydict({"i": np.arange(total.size), "v": total.ravel()})
+
+        out = np.zeros(len(names) * width)
+        for i, v in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v")).collect():  # a few numbers a group
+            out[i] = v
+        return out.reshape(len(names), width)
 
-def universe_study(panel: DataFrame, universes: DataFrame, kinds: tuple[str, ...] = ("lr",), train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, options: dict[str, dict] | None = None) -> DataFrame:
-    """A row a universe and model of ``universes(universe, ticker)``: the models fitted on that universe alone, against its baselines, with its backtest."""
-    names = sorted(r[0] for r in universes.select("universe").distinct().collect())  # a few universes
-    out = None
-    for name in names:
-        rows = panel.join(universes.where(F.col("universe") == name).select("ticker"), "ticker", "left_semi")
-        predictions, _ = train_and_compare(rows, kinds, options=options)
-        signals = walk_forward_signals(splits.walk_forward(rows, train, test, step))
-        backtest = ledger.summary(ledger.metrics(signals, cost, train=train, test=test, step=step)).select("n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
-        row = metrics.scores(predictions).select(F.lit(name).alias("universe"), "model", "n_test", "accuracy", "f1_weighted").crossJoin(backtest)  # one row
-        out = row if out is None else out.unionByName(row)
-    return out
+    try:
+        names = sorted(r[0] for r in rows.select("g").distinct().collect())
+        middle = np.array(rows.agg(*[F.avg(F.col("x")[j]) for j in range(d - 1)]).first(), float) if names else None
+        first = summed(names, 2 * (d - 1) + 1 + k, lambda j, x, y: np.concatenate(((x - middle).sum(axis=0), ((x - middle) ** 2).sum(axis=0), [len(x)], np.bincount(y, minlength=k))))
+        model, live = {}, []
+        for name, s in zip(names, first):
+            n, kinds = s[2 * d - 2], np.flatnonzero(s[2 * d - 1 :])
+            mean, sd = s[: d - 1] / n, np.sqrt(np.maximum(s[d - 1 : 2 * d - 2] / n - (s[: d - 1] / n) ** 2, 0))
+            sd[sd < 1e-12 * (1 + np.abs(mean + middle))] = 1
+            if len(kinds) > 1:
+                model[name] = [kinds, mean + middle, sd, np.zeros((len(kinds), d))]
+                live.append(name)
+        ridge = np.diag(np.append(np.full(d - 1, 1.0 / c), 1e-9))
+
+        def at(points: dict) -> dict:
+            """Loss, gradient and Hessian of the groups at these weights."""
+            some = list(points)
+
+            def add(j: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                kinds, mean, sd, _ = model[some[j]]
+                a = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
+                s = a @ points[some[j]].T
+                s -= s.max(axis=1, keepdims=True)
+                q = np.exp(s)
+                q /= q.sum(axis=1, keepdims=True)
+                place = np.searchsorted(kinds, y)
+                loss = -np.log(np.maximum(q[np.arange(len(y)), place], 1e-300)).sum()
+                m = len(kinds)
+                hess = np.zeros((m, d, m, d))
+                for u in range(m):
+                    for v in range(m):
+                        hess[u, :, v] = (a * (q[:, u] * ((u == v) - q[:, v]))[:, None]).T @ a
+                out = np.zeros(1 + k * d + (k * d) ** 2)
+                grad = ((q - np.eye(m)[place]).T @ a).ravel()
+                out[0], out[1 : 1 + m * d], out[1 + k * d : 1 + k * d + (m * d) ** 2] = loss, grad, hess.reshape(-1)
+                return out
+
+            got = {}
+            for name, s in zip(some, summed(some, 1 + k * d + (k * d) ** 2, add)):
+                w, m = points[name], len(model[name][0])
+                grad = s[1 : 1 + m * d].reshape(m, d) + w @ ridge
+                got[name] = (s[0] + 0.5 * np.einsum("kd,de,ke->", w, ridge, w), grad, s[1 + k * d : 1 + k * d + (m * d) ** 2].reshape(m * d, m * d) + np.kron(np.eye(m), ridge))
+            return got
+
+        state = at({name: model[name][3] for name in live}) if live else {}
+        pace = dict.fromkeys(live, 1.0)
+        for _ in range(steps):
+            if not live:
+                break
+            points = {}
+            for name in live:
+                _, grad, hess = state[name]
+                points[name] = model[name][3] - pace[name] * np.linalg.solve(hess + 1e-8 * np.eye(len(hess)), grad.ravel()).reshape(grad.shape)
+            after, left = at(points), []
+            for name in live:
+                gain = state[name][0] - after[name][0]
+                if gain >= 0:
+                    model[name][3], state[name], pace[name] = points[name], after[name], 1.0
+                    if gain >= 1e-10 * max(1.0, abs(after[name][0])):
+                        left.append(name)
+                else:
+                    pace[name] /= 2
+                    if pace[name] > 1e-6:
+                        left.append(name)
+            live = left
+    finally:
+        rows.unpersist()
+    return {name: tuple(m) for name, m in model.items()}
 
 
-def regime_study(panel: DataFrame, regimes: DataFrame, kind: str = "lr", options: dict | None = None, **limits: int) -> dict[str, DataFrame]:
-    """A model for each regime, fitted on what lies before it: ``correct`` (regime, correct: 0 or 1 a test row), ``accuracy`` with
+def predict_many(test: DataFrame, fitted: dict, by: str, columns: Iterable[str] = FEATURES) -> DataFrame:
+    """``test`` with ``y_pred`` under its group's model of :func:`fit_many`; rows of groups without a model are left out. All expressions are Spark's own."""
+    columns = list(columns)
+    scores = None
+    for name, (kinds, mean, sd, w) in fitted.items():
+        inner = w[:, :-1] / sd
+        fixed = w[:, -1] - inner @ mean
+        each = [sum((F.col(x) * float(v) for x, v in zip(columns, row)), F.lit(float(b))) for row, b in zip(inner, fixed)]
+        pairs = F.array(*[F.struct(s.alias("s"), F.lit(-int(k)).alias("k"), F.lit(LABELS[k]).alias("label")) for k, s in zip(kinds, each)])
+        mine = F.when(F.col(by) == F.lit(name), F.array_max(pairs)["label"])
+        scores = mine if scores is None else F.coalesce(scores, mine)
+    return test.withColumn("y_pred", F.lit(None).cast("string") if scores is None else scores).where(F.col("y_pred").isNotNull())
+
+
+def _studied(rows: DataFrame, by: str, train: int, test: int, step: int, cost: float, columns: Iterable[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """For ``rows(by, ticker, date, target, features..)``: scores of one regression and three baselines a group, and the groups' backtests. No loop over groups."""
+    ready = splits.purged_split_by(rows, by).persist()
+    try:
+        fitted = fit_many(ready.where("side = 'train'"), by, columns)
+    finally:
+        ready.unpersist()
+    got = predict_many(ready.where("side = 'test'"), fitted, by, columns).select(by, F.lit("lr").alias("model"), "ticker", "date", F.col("target").alias("y_true"), "y_pred")
+    scored = metrics.scores(metrics.baselines(ready, by=(by,)).unionByName(got), (by, "model"))
+    text = F.col(by).cast("string")
+    signals = sliding_signals(rows.withColumn("ticker", F.concat_ws("\u0001", text, "ticker")), train, test, step)
+    per = ledger.metrics(signals, cost, train=train, test=test, step=step).withColumn(by, F.substring_index("ticker", "\u0001", 1).cast(dict(rows.dtypes)[by]))
+    return scored, ledger.summary(per, (by,)).select(by, "n_tickers", "mean_total_return", "mean_sharpe", "mean_excess_return", "pooled_win_rate")
+
+
+def threshold_study(panel: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.075, 0.10, 0.15), train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, columns: Iterable[str] = FEATURES) -> DataFrame:
+    """A row a label threshold: class shares, a regression against the best naive baseline, and the backtest of per-window models. All thresholds are fitted together (:func:`fit_many`)."""
+    rows = threshold_sweep(panel, thresholds)
+    shares = rows.groupBy("threshold").agg(*[F.avg((F.col("target") == x).cast("double")).alias(f"share_{x.lower()}") for x in LABELS])
+    scored, backtest = _studied(rows, "threshold", train, test, step, cost, columns)
+    best = metrics.best_model(scored, ("majority", "stratified", "uniform"), by=("threshold",))
+    return shares.join(best, "threshold").join(backtest, "threshold")
+
+
+def universe_study(panel: DataFrame, universes: DataFrame, train: int = 500, test: int = 60, step: int = 60, cost: float = 0.001, columns: Iterable[str] = FEATURES) -> DataFrame:
+    """A row a universe and model of ``universes(universe, ticker)``: a regression fitted on that universe alone, against its baselines, with its backtest."""
+    scored, backtest = _studied(panel.join(universes.select("universe", "ticker").distinct(), "ticker"), "universe", train, test, step, cost, columns)
+    return scored.select("universe", "model", "n_test", "accuracy", "f1_weighted").join(backtest, "universe")
+
+
+def regime_study(panel: DataFrame, regimes: DataFrame, columns: Iterable[str] = FEATURES, **limits: int) -> dict[str, DataFrame]:
+    """A model for each regime, fitted on what lies before it, all together: ``correct`` (regime, correct: 0 or 1 a test row), ``accuracy`` with
     intervals, and ``anova``, ``kruskal`` and ``tukey`` of the correct rows over regimes."""
     sides = splits.regime_split(panel, regimes, **limits)
-    out = None
-    for name in sorted(r[0] for r in sides.select("regime").distinct().collect()):  # a handful of regimes
-        mine = sides.where(F.col("regime") == name)
-        model, scale = fit(mine.where("side = 'train'"), kind, **(options or {}))
-        got = predict(mine.where("side = 'test'"), model, scale).select("regime", (F.col("y_pred") == F.col("target")).cast("double").alias("correct"))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = sides.select("regime", F.lit(None).cast("double").alias("correct"))
+    fitted = fit_many(sides.where("side = 'train'"), "regime", columns)
+    out = predict_many(sides.where("side = 'test'"), fitted, "regime", columns).select("regime", (F.col("y_pred") == F.col("target")).cast("double").alias("correct"))
     per = out.groupBy("regime").agg(F.sum("correct").cast("long").alias("k"), F.count("*").alias("n"))
     ci = stats.wilson(F.col("k"), F.col("n"))
     accuracy = per.withColumns({"accuracy": ci["estimate"], "lower": ci["lower"], "upper": ci["upper"]})
@@ -299,10 +411,10 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.
     return w
 
 
-def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int, least: int, rng: np.random.Generator | None = None) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None, least: int, rng: np.random.Generator | None = None) -> tuple:
     """A decision tree by Gini impurity: a leaf is its class shares, an inner node (feature, threshold, left, right).
 
-    ``least``: rows of a node that may still be split. With ``rng`` a node looks at sqrt(features) features drawn anew.
+    ``depth``: None for any. ``least``: rows of a node that may still be split. With ``rng`` a node looks at sqrt(features) features drawn anew.
     """
     shares = np.bincount(y, minlength=classes) / len(y)
     if depth == 0 or len(y) < least or shares.max() == 1:
@@ -321,7 +433,8 @@ def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int, least: int, rng
     edge = (value[cut, f] + value[cut + 1, f]) / 2
     edge = value[cut, f] if edge >= value[cut + 1, f] else edge  # where no number lies between the two
     here = x[:, some[f]] <= edge
-    return some[f], edge, grow(x[here], y[here], classes, depth - 1, least, rng), grow(x[~here], y[~here], classes, depth - 1, least, rng)
+    below = None if depth is None else depth - 1
+    return some[f], edge, grow(x[here], y[here], classes, below, least, rng), grow(x[~here], y[~here], classes, below, least, rng)
 
 
 def leaf_shares(tree: tuple, z: np.ndarray, classes: int) -> np.ndarray:
@@ -332,8 +445,8 @@ def leaf_shares(tree: tuple, z: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def window_model(kind: str, seed: int = 42, trees: int = 100) -> Callable:
-    """``model(x_train, y_train, x_test) -> codes`` for one window: lr, dt (depth 10, splits of two rows) or rf (``trees`` of depth 15)."""
+def window_model(kind: str, seed: int = 42, trees: int = 100, depth: int | None = None) -> Callable:
+    """``model(x_train, y_train, x_test) -> codes`` for one window: lr, dt or rf (of ``trees``). Trees grow until their leaves are pure, or to ``depth``."""
 
     def run(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         kinds, y = np.unique(y, return_inverse=True)
@@ -341,11 +454,11 @@ def window_model(kind: str, seed: int = 42, trees: int = 100) -> Callable:
             w = softmax_regression(x, y, len(kinds))
             votes = np.hstack([z, np.ones((len(z), 1))]) @ w.T
         elif kind == "dt":
-            votes = leaf_shares(grow(x, y, len(kinds), 10, 2), z, len(kinds))
+            votes = leaf_shares(grow(x, y, len(kinds), depth, 2), z, len(kinds))
         else:
             rng = np.random.default_rng(seed)
             drawn = (rng.integers(0, len(y), len(y)) for _ in range(trees))
-            votes = sum(leaf_shares(grow(x[i], y[i], len(kinds), 15, 2, rng), z, len(kinds)) for i in drawn)
+            votes = sum(leaf_shares(grow(x[i], y[i], len(kinds), depth, 2, rng), z, len(kinds)) for i in drawn)
         return kinds[votes.argmax(axis=1)]
 
     if kind not in KINDS:
@@ -356,6 +469,60 @@ def window_model(kind: str, seed: int = 42, trees: int = 100) -> Callable:
 KINDS = ("lr", "dt", "rf")
 
 
+def _window_codes(x: np.ndarray, y: np.ndarray, z: np.ndarray, predict_codes: Callable) -> list[str] | None:
+    """Signals of a test side under a scaler and a model fitted on the training side; None if that has one class only."""
+    if len(np.unique(y)) < 2:
+        return None
+    sd = x.std(axis=0)
+    sd[sd == 0] = 1
+    mean = x.mean(axis=0)
+    return [LABELS[int(k)] for k in np.asarray(predict_codes((x - mean) / sd, y, (z - mean) / sd))]
+
+
+def _without_failures(signals: DataFrame) -> DataFrame:
+    """A ticker with any window that could not be fitted is left out whole."""
+    failed = F.count_if(F.col("pred").isNull()).over(Window.partitionBy("ticker"))
+    return signals.withColumn("__f", failed).where("__f = 0").drop("__f")
+
+
+def sliding_signals(panel: DataFrame, train: int = 500, test: int = 60, step: int = 60, kind: str = "lr", columns: Iterable[str] = FEATURES, model: Callable | None = None, trees: int = 100, copies: float = 1.4) -> DataFrame:
+    """:func:`walk_forward_signals` of all windows of a panel, whose rows are shuffled about once, not once a window.
+
+    A ticker's windows are cut into blocks, so long that rows which two blocks need make up ``copies`` at most; a task gets the rows of a
+    block and slides over its windows. A block holds about (train + test) * copies / (copies - 1) rows, however long the series is.
+    """
+    columns = list(columns)
+    predict_codes = model or window_model(kind, trees=trees)
+    span = train + test
+    windows = max(1, -(-(span - step) // int(step * (copies - 1)) if step * (copies - 1) >= 1 else span))
+    stride = windows * step  # rows from one block to the next
+
+    n = F.count("*").over(Window.partitionBy("ticker"))
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
+    rows = panel.select("ticker", "date", "close", "target", *[c for c in columns if c != "close"]).withColumns({"__p": place, "panel_rows": n}).where(F.col("panel_rows") >= span)
+    last_block = F.expr(f"((panel_rows - {span}) div {step}) div {windows}")
+    first = F.greatest(F.lit(0), F.ceil((F.col("__p") - (stride - step + span) + 1) / stride))
+    rows = rows.withColumn("__block", F.explode(F.sequence(F.least(first.cast("long"), last_block), F.least(F.expr(f"__p div {stride}"), last_block))))
+    rows = rows.where(F.col("__p") < F.col("__block") * stride + (stride - step + span))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__p")
+        p, total, block = frame["__p"].to_numpy(), int(frame["panel_rows"].iloc[0]), int(frame["__block"].iloc[0])
+        y = frame["target"].map({k: i for i, k in enumerate(LABELS)}).to_numpy()
+        x, out = frame[columns].to_numpy(float), []
+        for w in range(block * windows, min((block + 1) * windows, (total - span) // step + 1)):
+            at = w * step - int(p[0])
+            cut, end = at + train, at + span
+            codes = _window_codes(x[at:cut], y[at:cut], x[cut:end], predict_codes)
+            got = frame.iloc[cut:end][["ticker", "date", "close", "target", "panel_rows"]].copy()
+            out.append(got.assign(window_id=w, i=np.arange(test), pred=codes))
+        return pd.concat(out)[["ticker", "window_id", "i", "date", "close", "target", "panel_rows", "pred"]]
+
+    kinds = dict(rows.dtypes)
+    schema = f"ticker {kinds['ticker']}, window_id int, i int, date {kinds['date']}, close double, target string, panel_rows long, pred string"
+    return _without_failures(rows.groupBy("ticker", "__block").applyInPandas(run, schema))
+
+
 def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, model: Callable | None = None, trees: int = 100) -> DataFrame:
     """A fresh scaler and classifier for every (ticker, window), trained on that window alone: signals for the ledger.
 
@@ -370,25 +537,11 @@ def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable
         frame = frame.sort_values(["side", "i"])
         train, test = frame[frame["side"] == "train"], frame[frame["side"] == "test"]
         y = train["target"].map({k: i for i, k in enumerate(LABELS)}).to_numpy()
-        x, z = train[columns].to_numpy(float), test[columns].to_numpy(float)
         out = test[["ticker", "window_id", "i", "date", "close", "target", "panel_rows"]].copy()
-        if len(np.unique(y)) < 2:
-            out["pred"] = None
-        else:
-            sd = x.std(axis=0)
-            sd[sd == 0] = 1
-            mean = x.mean(axis=0)
-            x, z = (x - mean) / sd, (z - mean) / sd
-            codes = np.asarray(predict_codes(x, y, z))
-            out["pred"] = [LABELS[int(k)] for k in codes]
+        out["pred"] = _window_codes(train[columns].to_numpy(float), y, test[columns].to_numpy(float), predict_codes)
         return out
 
     kinds = {c: t for c, t in windows.dtypes}
     schema = f"ticker {kinds['ticker']}, window_id int, i int, date {kinds['date']}, close double, target string, panel_rows long, pred string"
     got = windows.select("ticker", "window_id", "side", "i", "date", "close", "target", "panel_rows", *[c for c in columns if c not in ("close",)]).groupBy("ticker", "window_id").applyInPandas(run, schema)
-    from pyspark.sql import Window
-
-    failed = F.count_if(F.col("pred").isNull()).over(Window.partitionBy("ticker"))
-    return got.withColumn("__f", failed).where("__f = 0").drop("__f")
-
-
+    return _without_failures(got)

@@ -45,6 +45,20 @@ def purged_split(panel: DataFrame, test_size: float = 0.2, horizon: int = 30) ->
     return out, meta
 
 
+def purged_split_by(panel: DataFrame, by: str, test_size: float = 0.2, horizon: int = 30) -> DataFrame:
+    """:func:`purged_split` of every group of ``by``, by the dates of that group. The sides are worked out on the groups' dates, without the driver; a group of which
+    no training date is left has test and purged rows only."""
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must lie between 0 and 1")
+    if horizon < 0:
+        raise ValueError("horizon must not be negative")
+    w = Window.partitionBy("__g")
+    dates = panel.select(F.col(by).alias("__g"), F.col("date").alias("__d")).distinct().withColumns({"__pos": F.row_number().over(w.orderBy("__d")) - 1, "__n": F.count("*").over(w)})
+    split = F.greatest(F.lit(1), F.least(F.bround(F.col("__n") * (1 - test_size)).cast("int"), (F.col("__n") - 1).cast("int")))
+    side = F.when(F.col("__pos") >= split, "test").when(F.col("__pos") < split - horizon, "train").otherwise("purged")
+    return panel.join(dates.select("__g", "__d", side.alias("side")), (F.col(by) == F.col("__g")) & (F.col("date") == F.col("__d"))).drop("__g", "__d")
+
+
 def row_cut_split(panel: DataFrame, train: float = 0.8, embargo_days: int = 60) -> DataFrame:
     """``side`` by position in (date, ticker) order: train up to the cut less a calendar embargo, test from the cut on.
 

@@ -897,8 +897,13 @@ def regime_study(spark, d):
 @query
 def walk_forward_trees(spark, d):
     """G8 with decision trees, into H."""
-    w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
-    return ledger.metrics(models.walk_forward_signals(w, "dt"), COST, train=TRAIN, test=TEST, step=STEP)
+    return ledger.metrics(models.sliding_signals(labelled(spark, d), TRAIN, TEST, STEP, "dt"), COST, train=TRAIN, test=TEST, step=STEP)
+
+
+@query
+def walk_forward_forests(spark, d):
+    """G8 with a forest of 100 trees for every stock and window, into H."""
+    return ledger.metrics(models.sliding_signals(labelled(spark, d), TRAIN, TEST, STEP, "rf"), COST, train=TRAIN, test=TEST, step=STEP)
 
 
 @query
@@ -912,8 +917,7 @@ def universe_comparison(spark, d):
 @query
 def walk_forward_models(spark, d):
     """G8 into H: a model for every stock and window, then the ledger."""
-    w = splits.walk_forward(labelled(spark, d), TRAIN, TEST, STEP)
-    return ledger.metrics(models.walk_forward_signals(w), COST, train=TRAIN, test=TEST, step=STEP)
+    return ledger.metrics(models.sliding_signals(labelled(spark, d), TRAIN, TEST, STEP), COST, train=TRAIN, test=TEST, step=STEP)
 
 
 @query

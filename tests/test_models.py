@@ -87,6 +87,58 @@ def test_a_tree_fits_its_rows_and_splits_where_impurity_falls_most():
     assert len(stump) == 1 and stump[0].tolist() == [0.2, 0.6, 0.2]  # nothing to split on
 
 
+def test_sliding_windows_are_the_copied_windows(spark):
+    rng = np.random.default_rng(6)
+    day = dt.date(2020, 1, 1)
+    rows = [(t, day + dt.timedelta(days=i), 100.0 + i, float(rng.normal()), float(rng.normal()), str(rng.choice(models.LABELS))) for t, n in (("A", 230), ("B", 61), ("C", 49), ("D", 50)) for i in range(n)]
+    p = spark.createDataFrame(rows, "ticker string, date date, close double, x double, z double, target string")
+    for train, test, step, copies in ((40, 10, 10, 1.4), (40, 10, 7, 2.0), (40, 10, 25, 1.1), (40, 10, 60, 1.4)):
+        for kind in ("lr", "dt"):
+            a = models.walk_forward_signals(splits.walk_forward(p, train, test, step), kind, ["x", "z"])
+            b = models.sliding_signals(p, train, test, step, kind, ["x", "z"], copies=copies)
+            assert a.count() and a.select(sorted(a.columns)).exceptAll(b.select(sorted(a.columns))).isEmpty() and a.count() == b.count()
+
+
+def test_trees_of_windows_are_unbounded():
+    x = np.arange(64.0)[:, None]
+    y = np.arange(64) % 2
+    assert (models.window_model("dt")(x, y, x) == y).all() and not (models.window_model("dt", depth=2)(x, y, x) == y).all()
+
+
+def test_many_groups_fit_as_each_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g, shift in (("a", 0.0), ("b", 1.5), ("c", -1.0)):
+        x = rng.normal(shift, 3, (150, 2)) * [1, 1000]
+        s = x @ np.array([[1, 0.001], [-0.5, 0.002], [0.2, 0]]).T + rng.gumbel(size=(150, 3))
+        rows += [(g, float(u), float(v), models.LABELS[int(k)]) for (u, v), k in zip(x, s.argmax(axis=1) if g != "c" else s[:, :2].argmax(axis=1))]
+    rows += [("single", 1.0, 2.0, "Buy"), ("single", 2.0, 2.0, "Buy")]
+    df = spark.createDataFrame(rows, "g string, x double, z double, target string")
+    fitted = models.fit_many(df.repartition(3), "g", ["x", "z"])
+    assert sorted(fitted) == ["a", "b", "c"] and fitted["c"][0].tolist() == [0, 1]
+    for g, (kinds, mean, sd, w) in fitted.items():
+        x = np.array([r[1:3] for r in rows if r[0] == g])
+        y = np.searchsorted(kinds, [models.LABELS.index(r[3]) for r in rows if r[0] == g])
+        np.testing.assert_allclose(mean, x.mean(axis=0), rtol=1e-9)
+        np.testing.assert_allclose(sd, x.std(axis=0), rtol=1e-9)
+        want = models.softmax_regression((x - mean) / sd, y, len(kinds))
+        np.testing.assert_allclose(w[:, :-1], want[:, :-1], atol=1e-4)
+        got = [r.y_pred for r in models.predict_many(df.where(F.col("g") == g).orderBy("x"), fitted, "g", ["x", "z"]).collect()]
+        order = np.argsort(x[:, 0])
+        votes = np.hstack([(x - mean) / sd, np.ones((len(x), 1))]) @ w.T
+        assert got == [models.LABELS[kinds[k]] for k in votes[order].argmax(axis=1)]
+    assert models.fit_many(df.where("false"), "g", ["x", "z"]) == {} and models.predict_many(df, {}, "g", ["x", "z"]).count() == 0
+
+
+def test_groups_are_split_by_their_own_dates(spark):
+    day = dt.date(2020, 1, 1)
+    df = spark.createDataFrame([(g, day + dt.timedelta(days=i * k)) for g, n, k in (("a", 50, 1), ("b", 33, 3)) for i in range(n)], "g string, date date")
+    both = splits.purged_split_by(df, "g", 0.2, 5)
+    for g in ("a", "b"):
+        alone, _ = splits.purged_split(df.where(F.col("g") == g), 0.2, 5)
+        assert both.where(F.col("g") == g).exceptAll(alone).isEmpty() and alone.count() == both.where(F.col("g") == g).count()
+
+
 def test_risk_classifier(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.integers(18, 80)), float(rng.integers(0, 99)), int(rng.integers(1, 30)), int(rng.integers(0, 30)), int(rng.integers(1, 11))) for i in range(600)]
@@ -187,15 +239,14 @@ def test_queries_use_the_whole_options(spark, sf, monkeypatch):
         monkeypatch.setattr(module, name, call)
 
     one = spark.range(1)
-    spy(splits, "walk_forward", one)
-    spy(models, "walk_forward_signals", one)
+    spy(models, "sliding_signals", one)
     spy(ledger, "metrics", one)
     spy(models, "train_and_compare", (spark.createDataFrame([("m", "Buy", "Buy")], "model string, y_true string, y_pred string"), {}))
     spy(stats, "bootstrap", one)
     queries.walk_forward_models(spark, sf)
     queries.trained_models(spark, sf)
     queries.bootstrap_mean(spark, sf)
-    assert seen["walk_forward"][0][0] == (queries.TRAIN, queries.TEST, queries.STEP) and seen["metrics"][0][1] == {"step": queries.STEP}
+    assert seen["sliding_signals"][0][0] == (queries.TRAIN, queries.TEST, queries.STEP) and seen["metrics"][0][1] == {"train": queries.TRAIN, "test": queries.TEST, "step": queries.STEP}
     assert seen["train_and_compare"] == [((), {})]
     assert seen["bootstrap"][0][0][-1] == 10_000
     forest = models.estimator("rf", 10)
