@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .repeats import ranges
 from .store import frozen, release, tasks, trim
 
-BLOCK = 512
+BLOCK = 256
 KEEP = 64  #: neighbours of a node in the graph
 BACK = 48  #: nodes that name a node, of which as many are drawn anew in each round
 OFFER = 4  #: what a node is offered at most by one list of neighbours in a round ...
@@ -45,11 +45,11 @@ def _rows(column: pa.Array, width: int, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
 
-def _floats(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    """n byte strings of equal length as rows of floats, not copied."""
+def _halves(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """n byte strings of equal length as rows of half-precision floats, not copied."""
     held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + n + 1]
-    return np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(n, -1)
+    return np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float16).reshape(n, -1)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -70,9 +70,9 @@ def _norms(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lifted(x: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Rows over the greatest length, with the component that makes all of length one."""
+    """Rows over the greatest length, with the component that makes all of length one. Half precision does for the graph; answers are scored anew."""
     y = x / top[:, None]
-    return np.hstack([y, np.sqrt(np.maximum(1 - (y**2).sum(axis=1), 0))[:, None]]).astype(np.float32)
+    return np.hstack([y, np.sqrt(np.maximum(1 - (y**2).sum(axis=1), 0))[:, None]]).astype(np.float16)
 
 
 def _ordered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _ordered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.flatnonzero(dims == dim)
             y = _lifted(_rows(frame.column("vec").take(pa.array(mine)), dim, np.float64), top[mine])
             planes = np.random.default_rng(dim).standard_normal((dim + 1, 40)).astype(np.float32)
-            bits = y @ planes > 0
+            bits = y.astype(np.float32) @ planes > 0
             code = [bits[:, k : k + 20] @ (1 << np.arange(20)[::-1]) for k in (0, 20)]
             units = pa.array([row.tobytes() for row in y], pa.binary())
             yield pa.RecordBatch.from_pydict({"node": frame.column("node").take(pa.array(mine)), "dim": pa.array(dims[mine]), "code0": code[0], "code1": code[1], "unit": units})
@@ -108,7 +108,7 @@ def _within_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def block(part: pa.Table) -> pa.RecordBatch:
         node = part.column("node").to_numpy()
-        x = _floats(part.column("unit"), len(node))
+        x = _halves(part.column("unit"), len(node)).astype(np.float32)
         near = x @ x.T
         np.fill_diagonal(near, -np.inf)
         k = min(KEEP, len(node) - 1)
@@ -177,7 +177,7 @@ def _introduced(lists: pa.Table, members: pa.Table) -> pa.Table:
     """All pairs of the nodes in one list that have not met in it before: of those, what betters a node's own list."""
     order = np.argsort(members.column("node").to_numpy())
     node, limit, home = (members.column(c).to_numpy()[order] for c in ("node", "limit", "home"))
-    x = _floats(members.column("unit"), len(node))[order]
+    x = _halves(members.column("unit"), len(node))[order].astype(np.float32)
     held = lists.column("all").combine_chunks()
     counts = held.value_lengths().to_numpy()
     place = np.searchsorted(node, held.flatten().to_numpy())
@@ -251,7 +251,7 @@ def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     homes = second.drop("block", "unit").join(first.select("node", "block"), "node").select("block", F.array_repeat("node", F.size("nb")).alias("who"), "nb", "sc", "fresh")
     edges = _merge(_as_offers(first.drop("unit")).union(homes.select(F.lit(-1).cast("long").alias("node"), "block", "nb", "sc", "fresh", "who")), "edges")
     release(coded, first, second)
-    for turn in range(ROUNDS if cuts > 1 or count > BLOCK else 0):
+    for turn in range(ROUNDS if count > BLOCK else 0):
         lists = frozen(_both_ways(edges, turn), "lists")
         limit = F.when(F.size("sc") >= KEEP, F.array_min("sc")).otherwise(F.lit(float("-inf")).cast("float"))
         known = units.join(edges.select("node", limit.alias("limit"), F.col("block").alias("home")), "node")
