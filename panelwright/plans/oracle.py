@@ -194,6 +194,17 @@ hit as (select message_id, ticker, position, min(kind) kind from msg, alias wher
 LISTED = _LISTED_MSG + INTENT[INTENT.index("tick as (") - 1 :]
 
 _ROW = "ticker || '|' || strftime(date, '%Y-%m-%d')"
+_BASES = f"""{IND}, d as (select date, row_number() over (order by date) - 1 pos, count(*) over () n from (select distinct date from lab)), s as (select greatest(1, least(cast(round_even(any_value(n) * 0.8, 0) as bigint), any_value(n) - 1)) sp from d), m as (select max(date) filter (pos = sp) sd, max(date) filter (pos = greatest(0, sp - 30)) pd from d, s),
+t as (select count(*) filter (target = 'Avoid') / count(*) a, count(*) filter (target in ('Avoid', 'Buy')) / count(*) b, arg_max(target, k) major from (select target, count(*) over (partition by target) - case target when 'Avoid' then 0.1 when 'Buy' then 0.2 else 0.3 end k from lab, m where date < pd)),
+c as (select * from lab, m, (values (0), (1)) z(i) where date >= sd)"""
+
+
+def _bases(h: str) -> str:
+    u = "u / 2147483648.0"
+    return f"""select ticker, date, target y_true, 'stratified' model, case when {u} < a then 'Avoid' when {u} < b then 'Buy' else 'Hold' end y_pred from {h}, t where i = 0
+  union all select ticker, date, target, 'uniform', case when {u} < 1 / 3.0 then 'Avoid' when {u} < 2 / 3.0 then 'Buy' else 'Hold' end from {h} where i = 1"""
+
+
 _EDGES = " + ".join(f"cast(u >= {e} as int)" for e in draws.poisson_edges())
 
 SQL = {
@@ -203,6 +214,9 @@ SQL = {
     "stored_periods": f"""with {PX}, p as (select *, cast(regexp_extract(ticker, '[0-9]+') as integer) k from prices where date >= date '1996-06-01' and date < date '1997-10-01')
 select ticker, date, round(case when date < date '1997-01-01' then case when k = 5 then 3 else 1 end when k in (4, 7) and date < date '1997-07-01' then 2 else 1 end * "close", 6) "close", volume
 from p where date < date '1997-01-01' or k % 2 = 0 or (k = 7 and date < date '1997-07-01')""",
+    "required_columns": f"with {PX} select ticker, date, cast(null as double) open, cast(null as double) high, cast(null as double) low, {rnd('\"close\" \"close\"')}, volume from prices",
+    "result_sink": f"with {IND} select ticker, target as label, count(*) n, {rnd('count(*) / sum(count(*)) over (partition by ticker) share')} from lab group by ticker, target",
+    "profile_table": "select cast(c_custkey as bigint) investor_id, cast(18 + c_custkey % 70 as integer) age, cast(c_acctbal as double) income, cast(1 + c_custkey % 30 as integer) horizon, cast(c_custkey % 31 as integer) experience, cast(1 + c_custkey % 10 as integer) risk_score from customer",
     "price_normalised": f"with {PX} select ticker, date, {rnd('\"close\" \"close\"')}, volume, round(case when day(date) % 7 <> 0 then \"close\" * 0.5 end, 6) adj_close, round(case when day(date) % 7 <> 0 then \"close\" * 0.5 else \"close\" end, 6) close_price from prices",
     "null_report": f"with {PX} select ticker, count(*) rows_before, count(*) filter (day(date) <> 13) rows_after, count(*) filter (day(date) = 13) dropped from prices group by 1",
     "history_gate": f"with {PX} select ticker, count(*) n_rows, count(*) >= 1400 kept, case when count(*) < 1400 then cast(count(*) as varchar) || ' rows, needs 1400' end reason, count(*) < 1000 short_history from prices group by 1",
@@ -265,6 +279,7 @@ select 'missing' kind, risk || '/' || signal "where" from g anti join m using (r
     "band_sensitivity": f"with {RESP} " + " union all ".join(f"select {s} shift, cast(count(*) filter ({band('total', s)} <> {band('total')}) as bigint) changed, count(*) n, round(count(*) filter ({band('total', s)} <> {band('total')}) / cast(count(*) as double), 6) share from tot" for s in (-2, -1, 1, 2)),
     "suitability": f"select cast(c_custkey as bigint) investor_id, {rating('r', 's')} rating, substr(case when r = '' then 'Missing Risk_Category' when s = '' then 'Missing Stock_Signal' when r = 'growth' then 'Invalid Risk_Category: must be one of' when s = 'Sell' then 'Invalid Stock_Signal: must be one of' end, 1, 24) error from (select c_custkey, ['Balanced', '', 'Growth', 'growth', 'Conservative', 'Aggressive'][c_custkey % 6 + 1] r, ['Buy', 'Hold', 'Avoid', '', 'Sell'][c_custkey % 5 + 1] s from customer)",
     "recommendations": f"with {RATED} select investor_id, ticker, rating, cast(rank as integer) rank, signal, {rnd('volatility')} from ranked",
+    "recommendation_json": f"""with {SNAP} select ticker, '{{"ticker":"' || ticker || '","signal":"' || signal || '","suitability":{{"rating":"' || {rating("'Balanced'")} || '"}}}}' record from snap""",
     "best_picks": f"with {RATED} select investor_id, ticker, signal from rated where rating = 'Suitable' qualify row_number() over (partition by investor_id order by case when signal = 'Buy' then 0 else 1 end, volatility, position) = 1",
     "best_compared": f"with {RATED} select investor_id, arg_min(ticker, volatility) best from rated where ticker in ('Brand#1', 'Brand#7', 'Brand#12') and rating = 'Suitable' group by 1",
     "overview": f"with {RATED} select investor_id, count(*) filter (signal = 'Buy') n_buy, count(*) filter (signal = 'Hold') n_hold, count(*) filter (signal = 'Avoid') n_avoid, coalesce(string_agg(ticker, ',' order by position) filter (rating = 'Suitable'), '') suitable, coalesce(string_agg(ticker, ',' order by position) filter (rating = 'Use Caution'), '') caution, {rnd('avg(volatility) mean_volatility')}, case when count(*) filter (signal = 'Buy') > count(*) filter (signal = 'Avoid') then 'Bullish' when count(*) filter (signal = 'Buy') < count(*) filter (signal = 'Avoid') then 'Bearish' else 'Mixed' end sentiment from rated group by 1",
@@ -297,13 +312,13 @@ select ticker, signal, rating, 'A ' || signal || ' signal is rated ' || rating |
     "bootstrap_mean": f"""with {IND}, h as ({drawn('(select ticker, date, fwd_return from lab)', _ROW, 42, 'rep', ', range(10000) z(rep)')}),
 v as (select rep, sum(({_EDGES}) * fwd_return) / sum({_EDGES}) as value from h group by rep)
 select (select round(avg(fwd_return), 6) from lab) estimate, round(quantile_cont(value, 0.025), 6) lower, round(quantile_cont(value, 0.975), 6) upper, count(*) resamples from v""",
-    "naive_baselines": f"""with {IND}, d as (select date, row_number() over (order by date) - 1 pos, count(*) over () n from (select distinct date from lab)), s as (select greatest(1, least(cast(round_even(any_value(n) * 0.8, 0) as bigint), any_value(n) - 1)) sp from d), m as (select max(date) filter (pos = sp) sd, max(date) filter (pos = greatest(0, sp - 30)) pd from d, s),
-t as (select count(*) filter (target = 'Avoid') / count(*) a, count(*) filter (target in ('Avoid', 'Buy')) / count(*) b, arg_max(target, k) major from (select target, count(*) over (partition by target) - case target when 'Avoid' then 0.1 when 'Buy' then 0.2 else 0.3 end k from lab, m where date < pd)),
-c as (select * from lab, m, (values (0), (1)) z(i) where date >= sd), h as ({drawn('c', _ROW, 42, 'i')}),
-pred as (select ticker, date, target y_true, 'majority' model, major y_pred from h, t where i = 0
-  union all select ticker, date, target, 'stratified', case when u / 2147483648.0 < a then 'Avoid' when u / 2147483648.0 < b then 'Buy' else 'Hold' end from h, t where i = 0
-  union all select ticker, date, target, 'uniform', case when u / 2147483648.0 < 1 / 3.0 then 'Avoid' when u / 2147483648.0 < 2 / 3.0 then 'Buy' else 'Hold' end from h where i = 1),
+    "naive_baselines": f"""with {_BASES}, h as ({drawn('c', _ROW, 42, 'i')}),
+pred as (select ticker, date, target y_true, 'majority' model, major y_pred from h, t where i = 0 union all {_bases('h')}),
 {report('model')} select model, n_test, {rnd('accuracy', 'balanced_accuracy', 'precision_weighted', 'recall_weighted', 'f1_weighted', 'f1_macro')} from sc""",
+    "seed_stability": f"""with {_BASES}, {', '.join(f"h{k} as ({drawn('c', _ROW, k, 'i')})" for k in range(1, 6))},
+pred as ({' union all '.join(f"select *, {k} seed from ({_bases(f'h{k}')})" for k in range(1, 6))}),
+{report('model, seed')} select model, {rnd('avg(accuracy) accuracy_mean', 'min(accuracy) accuracy_min', 'max(accuracy) accuracy_max', 'avg(f1_macro) f1_macro_mean', 'min(f1_macro) f1_macro_min', 'max(f1_macro) f1_macro_max')} from sc group by 1""",
+    "model_round_trip": f"with {_BASES} select count(*) n_test, true same from lab, m where date >= sd",
     "holding_days": f"with {LEDGER} select ticker, {rnd('quantile_cont(holding_days, 0.5) median_days', 'avg(holding_days) mean_days')}, count(*) n_trades from trades group by 1",
     "win_intervals": f"with {LEDGER}, c as (select ticker, count(*) filter (net_return > 0) k, count(*) n from trades group by 1) select ticker, k, n, round({_W[0]}, 6) estimate, round({_W[1]}, 6) lower, round({_W[2]}, 6) upper, round({_W[2]} - {_W[1]}, 6) width, 0.5 < {_W[1]} or 0.5 > {_W[2]} excludes_half from c",
     "chance_matched": f"with {LEDGER}, q as (select distinct ticker, window_id, holding_days h from trades where holding_days > 0 and holding_days < n_rows), o as (select q.ticker, q.window_id, q.h, avg(case when (b.\"close\" - a.\"close\") / a.\"close\" - 0.002 > 0 then 1.0 else 0.0 end) w from q join sig a on a.ticker = q.ticker and a.window_id = q.window_id join sig b on b.ticker = q.ticker and b.window_id = q.window_id and b.i = a.i + q.h group by 1, 2, 3), t as (select t.ticker, net_return, coalesce(w, 0) p from trades t left join o on o.ticker = t.ticker and o.window_id = t.window_id and o.h = t.holding_days) select ticker, cast(count(*) filter (net_return > 0) as bigint) k, count(*) n, round(sum(p), 6) expected, round(case when sum(p * (1 - p)) > 0 then (count(*) filter (net_return > 0) - sum(p)) / sqrt(sum(p * (1 - p))) end, 6) z from t group by 1",
@@ -334,7 +349,7 @@ select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n
 SQL["interval_signs"] = f"select count(*) filter (lower > 0) n_above, count(*) filter (upper < 0) n_below, count(*) filter (lower <= 0 and upper >= 0) n_including, count(*) filter (lower is null or upper is null) n_undefined from ({SQL['inference_table']})"
 
 _DATES = {
-    "date": "stored_periods stratified_split blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
+    "date": "required_columns stored_periods stratified_split blocked_panel blocked_sequences price_panel price_scan price_normalised sanitised daily_returns moving_averages gains_losses ema rsi_macd features labelled_panel sequence_windows latest_features rebased_prices drawdowns date_positions ledger_points ledger_points_per_day",
     "first": "purged_split row_cut_split walk_forward trailing_validation",
     "last": "purged_split row_cut_split walk_forward regime_split",
     "start": "window_results",

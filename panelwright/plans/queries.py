@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..sources import dims, folders, prices, tables
 QUERIES = {}
 TRAIN, TEST, STEP = 500, 60, 60
 COST = 0.001
+SEEDS = (1, 2, 3, 4, 5)
 
 
 def query(f):
@@ -170,6 +172,28 @@ def stored_periods(spark, d):
     return rounded(prices.read(spark, path, dt.date(1996, 6, 1), dt.date(1997, 10, 1)).select("ticker", "date", "close", "volume"))
 
 
+@query
+def required_columns(spark, d):
+    """A5: a snapshot's bars, projected to the columns that every price table must have."""
+    return rounded(prices.require(bars(spark, d)))
+
+
+@query
+def result_sink(spark, d):
+    """Labels per stock, written as CSV and read back."""
+    path, rows = folders.scratch(spark, "result"), rounded(metrics.class_balance(labelled(spark, d), ("ticker",)))
+    tables.write_result(rows, path, "csv")
+    return spark.read.schema(rows.schema).option("header", "true").csv(path)
+
+
+@query
+def profile_table(spark, d):
+    """Profiles written as CSV and read back."""
+    path = folders.scratch(spark, "profiles")
+    tables.write_profiles(profiles(spark, d), path)
+    return tables.read_profiles(spark, path)
+
+
 @query
 def price_normalised(spark, d):
     """A4: the adjusted close where there is one."""
@@ -442,6 +466,15 @@ def score_stability(spark, d):
     return rounded(metrics.seed_stability(metrics.scores(predictions(spark, d), ("model", "ticker")).select("model", "accuracy", "f1_macro")))
 
 
+@query
+def seed_stability(spark, d):
+    """The drawn baselines over five seeds."""
+    split, _ = splits.purged_split(labelled(spark, d))
+    runs = [metrics.baselines(split, seed).withColumn("seed", F.lit(seed)).where("model <> 'majority'") for seed in SEEDS]
+    rows = metrics.scores(functools.reduce(DataFrame.unionByName, runs), ("model", "seed"))
+    return rounded(metrics.seed_stability(rows))
+
+
 @query
 def comparable_scores(spark, d):
     """Only rows that a 20-row window ends at."""
@@ -499,6 +532,13 @@ def recommendation_records(spark, d):
     return rows.select("ticker", "signal", "rating", "explanation", *[F.round(c, k).alias(c) for c, k in digits.items()], F.array_join("dates", ",").alias("dates"), F.size("prices").alias("n_prices"), F.round(total, 6).alias("sum_prices"))
 
 
+@query
+def recommendation_json(spark, d):
+    """L json: each stock's record for a balanced investor as one JSON text."""
+    r = facts(spark, d)
+    return r.select("ticker", F.to_json(F.struct("ticker", "signal", F.struct("rating").alias("suitability"))).alias("record"))
+
+
 @query
 def best_picks(spark, d):
     """F8."""
@@ -841,6 +881,17 @@ def trained_models(spark, d):
     return metrics.comparison(metrics.scores(out))
 
 
+@query
+def model_round_trip(spark, d):
+    """A model fitted, saved and loaded again: test rows, and whether both predict the same for all."""
+    split, _ = splits.purged_split(labelled(spark, d))
+    path, test = folders.scratch(spark, "model"), split.where("side = 'test'")
+    model, scale = models.fit(split.where("side = 'train'"), "lr")
+    models.save(model, scale, spark, path)
+    before, after = (models.predict(test, *m).select("ticker", "date", "y_pred") for m in ((model, scale), models.load(spark, path)))
+    return test.agg(F.count("*").alias("n_test")).withColumn("same", F.lit(models.same_predictions(before, after)))
+
+
 @query
 def leakage_diagnostic(spark, d):
     """G9."""
