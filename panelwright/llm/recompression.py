@@ -7,7 +7,7 @@ names of those that it would make in a round; Spark groups these over all blocks
 of them two documents have at least. The others are given up: no window over one can repeat, so it and
 the windows that need it drop out, and soon only text with a counterpart elsewhere is left to be
 compressed. Windows then meet by their
-highest symbol, and are compared by all their words, so a name that two things share harms nothing.
+highest symbol, and are compared by 93 bits of two polynomials of all their words (:mod:`.repeats`), so a name that two things share harms nothing.
 """
 
 from __future__ import annotations
