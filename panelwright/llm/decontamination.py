@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -12,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .recompression import word_hashes
 from .store import frozen, long_texts, without
 
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20  #: a benchmark whose index may take more is joined, not broadcast
 WORD_BYTES = 220  #: what a word takes in the index at most, its own bytes left aside: number, window, hash, item, each in driver and worker
+PIECE = 1 << 14  #: windows of a text that are hashed at once for the join
+FILTER_BITS = 26  #: of the hashes by which windows without a counterpart are left out before the join: 8 MB
+_STEPS = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,23 +132,69 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out.withColumnRenamed("__id", id_col)
 
 
+def _chained(unit: np.ndarray, size: int, step: int) -> np.ndarray:
+    """64 bits of each ``size`` units in a row."""
+    n = len(unit) - size + 1
+    total = np.full(n, np.uint64(size * step % (1 << 64)))
+    for i in range(size):
+        total = (total ^ unit[i : i + n]) * np.uint64(step)
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def _pieces(keys: list[int], texts: list[str | None], sizes: list[int] | None, window: int) -> Iterator[dict[str, np.ndarray]]:
+    """Windows of texts, PIECE of them at a time at most: key, first word, size, and two hashes of the words."""
+    for k, text in zip(keys, texts):
+        words = words_of(text)
+        for at in range(0, len(words), PIECE):
+            unit = word_hashes(words[at : at + PIECE + window - 1])
+            for size in sizes if sizes is not None else [min(window, len(words))]:
+                n = min(PIECE, len(unit) - size + 1)
+                if n > 0:
+                    h1, h2 = (_chained(unit[: n + size - 1], size, step) for step in _STEPS)
+                    yield {"k": np.full(n, k), "at": np.arange(at, at + n), "size": np.full(n, size), "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
+
+
+def _filter(of_items: DataFrame) -> np.ndarray:
+    """One bit for each of 2**FILTER_BITS remainders that a window of the benchmark has: FILTER_BITS / 8 bytes, whatever the benchmark's size."""
+    place = f"pmod(h1, {1 << FILTER_BITS})"
+    words = of_items.groupBy(F.expr(f"{place} div 32").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} % 32 as int)))").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out
+
+
 def _joined(source: DataFrame, items: DataFrame, window: int, kind: str) -> DataFrame:
-    """The same result for a benchmark too large to broadcast: windows of both sides meet by their words' digest."""
+    """The same result for a benchmark too large to broadcast: windows of both sides meet by 128 bits of their words.
+
+    Windows are hashed PIECE at a time, and of the documents only those travel that pass a filter of bounded size. A window of
+    many items is one row with their list, so many documents that hold it do not multiply them.
+    """
 
-    def windows(frames: Iterator[pd.DataFrame], sizes: list[int] | None, text: str, key: str) -> Iterator[pd.DataFrame]:
+    def of_benchmark(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            rows = []
-            for k, words in zip(frame[key], map(words_of, frame[text])):
-                for size in sizes if sizes is not None else ([min(window, len(words))] if words else []):
-                    rows += [(k, at, size, hashlib.sha256(b" ".join(words[at : at + size])).digest()) for at in range(len(words) - size + 1)]
-            yield pd.DataFrame(rows, columns=["k", "at", "size", "w"]).astype({"k": "int64", "at": "int64", "size": "int64"})
-
-    schema = "k long, at long, size long, w binary"
-    of_items = frozen(items.mapInPandas(lambda f: windows(f, None, "text", "item_id"), schema).select("w", "size", F.col("k").alias("item")).distinct(), "windows")
+            for piece in _pieces(frame.column("item_id").to_pylist(), frame.column("text").to_pylist(), None, window):
+                yield pa.RecordBatch.from_pydict(piece)
+
+    schema = "k long, at long, size long, h1 long, h2 long"
+    of_items = long_texts(items).select("item_id", "text").mapInArrow(of_benchmark, schema).groupBy("h1", "h2", "size").agg(F.sort_array(F.collect_set("k")).alias("items"))
+    of_items = frozen(of_items, "windows")
     sizes = sorted(r[0] for r in of_items.select("size").distinct().collect())  # up to `window` of them
+    held = source.sparkSession.sparkContext.broadcast(_filter(of_items))
     rows = frozen(source.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    of_docs = long_texts(rows.select("__row", "__text")).mapInPandas(lambda f: windows(f, sizes, "__text", "__row"), schema)
-    hits = of_docs.join(of_items, ["w", "size"]).groupBy("k").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("at", "size")).alias("at"))
+
+    def of_documents(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for piece in _pieces(frame.column("__row").to_pylist(), frame.column("__text").to_pylist(), sizes, window):
+                place = piece["h1"].view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                live = (held.value[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+                if live.any():
+                    yield pa.RecordBatch.from_pydict({c: v[live] for c, v in piece.items()})
+
+    of_docs = long_texts(rows.select("__row", "__text")).mapInArrow(of_documents, schema)
+    met = of_docs.join(of_items, ["h1", "h2", "size"])
+    hits = met.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("at", "size")).alias("at"))
 
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:

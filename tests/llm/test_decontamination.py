@@ -149,3 +149,21 @@ def test_license_scan_agrees_with_plain_containment(spark, sf):
                     want.add(n)
                     break
         assert got[r.doc_id] == want
+
+
+def test_pieces_of_a_long_text_are_its_windows():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 50, 3 * dc.PIECE + 17)]
+    text = " ".join(words)
+    seen, most = {}, 0
+    for piece in dc._pieces([5], [text], [3, 10], 10):
+        most = max(most, len(piece["at"]))
+        for at, size, h1, h2 in zip(*(piece[c].tolist() for c in ("at", "size", "h1", "h2"))):
+            assert (at, size) not in seen
+            seen[at, size] = (h1, h2)
+    assert most <= dc.PIECE and sorted(seen) == sorted((i, n) for n in (3, 10) for i in range(len(words) - n + 1))
+    by_words = {}
+    for (at, size), h in seen.items():
+        assert by_words.setdefault(tuple(words[at : at + size]), h) == h
+    assert len(set(by_words.values())) == len(by_words)
+    assert list(dc._pieces([1, 2], [None, ""], None, 10)) == [] and [p["size"].tolist() for p in dc._pieces([1], ["a b"], None, 10)] == [[2]]
