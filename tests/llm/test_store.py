@@ -58,3 +58,26 @@ def test_operators_leave_only_what_their_results_read(spark, sf, tmp_path, monke
         assert QUERIES[name](spark, sf).count() > 0
         left = sorted(x.name for x in folder.iterdir())
         assert len(left) <= most, (name, left)
+
+
+def test_queries_of_two_threads_keep_their_own_tables(spark):
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    from panelwright.llm import store
+
+    barrier, name = threading.Barrier(2, timeout=120), store._CLEANUP
+    before = spark.conf.get(name, None)
+
+    def query(k):
+        with store.scratch() as kept:
+            table = store.frozen(spark.range(k, k + 5), "mine")
+            barrier.wait()  # both have written
+            if k == 0:
+                kept.append(table)
+        barrier.wait()  # the other's tables are gone
+        return table.count() if k == 0 else None
+
+    with ThreadPoolExecutor(2) as both:
+        assert list(both.map(query, (0, 100))) == [5, None]
+    assert spark.conf.get(name, None) == before and not store._changed
