@@ -44,12 +44,9 @@ def numbered(df: DataFrame, entity: str = "ticker", order: str = "date", rows: i
     return joined.withColumn("rn", (F.col("__from") + place - 1).cast("long")).drop("__e", "__a", "__at", "__from")
 
 
-def cut(df: DataFrame, before: int, after: int = 0, entity: str = "ticker", order: str = "date", rows: int = ROWS) -> DataFrame:
-    """``df`` in blocks of ``rows`` rows: ``rn``, ``n_rows``, ``__block``, and ``__own``, false for the copies of the
-    ``before`` rows before a block and the ``after`` rows after it. Windows over (entity, __block) may look that far; :func:`own` then drops the copies."""
-    if max(before, after) > rows:
-        raise ValueError("a block must be as long as the windows look")
-    df = numbered(without(df, "__block", "__own"), entity, order, rows)
+def halo(df: DataFrame, before: Column | int, after: Column | int = 0, rows: int = ROWS) -> DataFrame:
+    """Numbered rows (``rn``, ``n_rows``) in blocks of ``rows`` rows: ``__block``, and ``__own``, false for the copies of the ``before``
+    rows before a block and the ``after`` rows after it, at most ``rows`` each."""
     mine = F.expr(f"rn div {rows}")
     ahead = F.when((F.col("rn") >= (mine + 1) * rows - before) & ((mine + 1) * rows < F.col("n_rows")), mine + 1)
     behind = F.when((F.col("rn") < mine * rows + after) & (mine > 0), mine - 1)
@@ -57,6 +54,13 @@ def cut(df: DataFrame, before: int, after: int = 0, entity: str = "ticker", orde
     return df.withColumn("__block", F.explode(at)).withColumn("__own", F.col("__block") == F.expr(f"rn div {rows}"))
 
 
+def cut(df: DataFrame, before: int, after: int = 0, entity: str = "ticker", order: str = "date", rows: int = ROWS) -> DataFrame:
+    """``df`` numbered and in blocks, as :func:`halo` gives them. Windows over (entity, __block) may look that far; :func:`own` then drops the copies."""
+    if max(before, after) > rows:
+        raise ValueError("a block must be as long as the windows look")
+    return halo(numbered(without(df, "__block", "__own"), entity, order, rows), before, after, rows)
+
+
 def own(df: DataFrame) -> DataFrame:
     return df.where("__own").drop("__own")
 

@@ -340,6 +340,16 @@ select cohort, n, n_bad, array_to_string(list_filter([case when n_bad > 0 then n
     "message_gate": f"with {INTENT} select message_id, intent, case when message_id % 2 = 0 then 'Balanced' end risk_category, intent not in ('best_pick', 'portfolio_overview', 'explain_recommendation') or message_id % 2 = 0 answerable from intent",
     "guard_verdicts": f"with {GUARD} select summary_id, contradicts, accepted from verdicts",
     "guard_performance": f"with {GUARD}, c as (select count(*) filter (contradicts and not accepted) tp, count(*) filter (not contradicts and not accepted) fp, count(*) filter (not contradicts and accepted) tn, count(*) filter (contradicts and accepted) fn from verdicts) select tp, fp, tn, fn, 1.0 \"precision\", 1.0 recall, 1.0 accuracy, 0.0 false_accept_rate, 0.0 false_reject_rate, 1.0 f1, round({_G[1]}, 6) recall_lower, round({_G[2]}, 6) recall_upper from c",
+    "kpss_tests": f"""with {IND}, cells as (select ticker, 'close_price' feature, date, close_price x from feat union all select ticker, 'daily_return', date, daily_return from feat union all select ticker, 'rsi', date, rsi from feat),
+num as (select *, row_number() over (partition by ticker, feature order by date) - 1 t, count(*) over v n, avg(x) over v mean, min(x) over v lo, max(x) over v hi from cells where x is not null and isfinite(x) window v as (partition by ticker, feature)),
+e as materialized (select ticker, feature, t, n, x - mean e, sum(x - mean) over (partition by ticker, feature order by t) s from num where n >= 20 and hi > lo),
+near as (select a.ticker, a.feature, i, any_value(a.n) n, sum(a.e * b.e) g from (select *, unnest(range(0, cast(ceil(power(n, 2 / 9)) as bigint) + 1)) i from e) a join e b on b.ticker = a.ticker and b.feature = a.feature and b.t = a.t - i group by 1, 2, 3),
+m as (select ticker, feature, n, sum(case when i > 0 then i * g * 2 / n end) s1, sum(case when i > 0 then g * 2 / n else g / n end) s0 from near group by 1, 2, 3),
+l as (select ticker, feature, case when s0 = 0 then 0 else least(n - 1, cast(floor(1.1447 * power(power(s1 / s0, 2), 1 / 3) * power(n, 1 / 3)) as bigint)) end lags from m),
+lr as (select a.ticker, a.feature, sum(case when i = 0 then 1 else 2 * (1 - i / (lags + 1)) end * a.e * b.e) v from (select *, unnest(range(0, lags + 1)) i from e join l using (ticker, feature)) a join e b on b.ticker = a.ticker and b.feature = a.feature and b.t = a.t - i group by 1, 2),
+k as (select ticker, feature, cast(n as integer) n_obs, cast(any_value(lags) as integer) kpss_lags, sum(s * s) / n / any_value(v) kpss from e join l using (ticker, feature) join lr using (ticker, feature) group by ticker, feature, n),
+p as (select *, case when kpss <= 0.347 then 0.1 when kpss <= 0.463 then 0.1 - (kpss - 0.347) / 0.116 * 0.05 when kpss <= 0.574 then 0.05 - (kpss - 0.463) / 0.111 * 0.025 when kpss <= 0.739 then 0.025 - (kpss - 0.574) / 0.165 * 0.015 else 0.01 end::double kpss_p from k)
+select ticker, feature, n_obs, {rnd('kpss', 'kpss_p')}, kpss_lags, kpss_p > 0.05 kpss_stationary from p""",
     "threshold_sweep": f"with {IND}, x as (select th threshold, case when fwd_return > th then 'Buy' when fwd_return >= 0 then 'Hold' else 'Avoid' end label from lab, (values (0.05::double), (0.075::double), (0.1::double), (0.15::double)) t(th)) select threshold, label, count(*) n, round(count(*) / sum(count(*)) over (partition by threshold), 6) share from x group by threshold, label",
     "universe_comparison": f"with {PRED.replace('pred as', 'pred0 as')}, {STOCKS}, pred as (select 'all' universe, pred0.* from pred0 union all select 'five', pred0.* from pred0 join stocks using (ticker) where position <= 5), {report('universe, model')} select universe, model, n_test, {rnd('accuracy', 'f1_weighted')} from sc",
     "regime_accuracy": f"with {PRED}, g(regime, a, b) as (values ('first', date '1995-01-01', date '1996-12-31'), ('second', date '1997-01-01', date '1998-06-30'), ('third', date '1998-07-01', date '1999-12-31'), ('fourth', date '2000-01-01', date '2001-12-31')), c as (select model, regime, count(*) filter (y_true = y_pred) k, count(*) n from pred join g on date between a and b group by 1, 2) select model, regime, k, n, round({_W[0]}, 6) accuracy, round({_W[1]}, 6) lower, round({_W[2]}, 6) upper from c",

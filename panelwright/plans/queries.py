@@ -814,6 +814,12 @@ def stationarity_panel(spark, d):
     return stationarity.panel(indicators.features(panel(spark, d)), ("close_price", "daily_return", "rsi"))
 
 
+@query
+def kpss_tests(spark, d):
+    """KPSS of whole series, none thinned."""
+    return rounded(stationarity.kpss_panel(indicators.features(panel(spark, d)), ("close_price", "daily_return", "rsi"), most=None))
+
+
 # ---- J: texts
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import indicators, ledger, metrics, models, rules, splits, stationarity
+from panelwright.operators import indicators, ledger, metrics, models, rules, splits
 
 COLS = ("x", "y")
 
@@ -159,12 +159,6 @@ def test_leakage_gap(spark):
         assert r.gap == pytest.approx(got["random"].f1_weighted - r.f1_weighted) and r.severe == (r.gap > 0.15)
 
 
-def test_adf_p_values_at_published_critical_values():
-    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
-        assert stationarity.adf_p(t) == pytest.approx(p, abs=0.002)
-    assert stationarity.adf_p(-20) == 0 and stationarity.adf_p(3) == 1
-
-
 def test_weights_and_thresholds(spark):
     df = spark.createDataFrame([("Buy", 0.2), ("Hold", 0.06), ("Hold", 0.04), ("Avoid", -0.1)], "target string, fwd_return double")
     assert {r.target: r.weight for r in models.class_weights(df).collect()} == {"Buy": pytest.approx(4 / 3), "Hold": pytest.approx(2 / 3), "Avoid": pytest.approx(4 / 3)}
@@ -172,15 +166,6 @@ def test_weights_and_thresholds(spark):
     assert got[(got.threshold == 0.05) & (got.target == "Buy")]["count"].iloc[0] == 2
 
 
-def test_stationarity(spark):
-    rng = np.random.default_rng(3)
-    noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
-    rows = [("A", i, float(a), float(b), 1.0) for i, (a, b) in enumerate(zip(noise, walk))] + [("B", i, float(i), None, 1.0) for i in range(10)]
-    got = stationarity.panel(spark.createDataFrame(rows, "ticker string, t int, noise double, walk double, flat double"), ("noise", "walk", "flat"), order="t")
-    by = {(r.ticker, r.feature): r.verdict for r in got.collect()}
-    assert by == {("A", "noise"): "stationary", ("A", "walk"): "non-stationary"}
-
-
 def test_sequence_model_runs(spark):
     rng = np.random.default_rng(4)
     day = dt.date(2020, 1, 1)
