@@ -14,6 +14,13 @@ SIGNALS = ("Avoid", "Buy", "Hold")
 SIGNAL_ORDER = ("Avoid", "Hold", "Buy")
 RATING_ORDER = ("Not Suitable", "Use Caution", "Suitable")
 BANDS = ((5, 8, "Conservative"), (9, 11, "Moderately Conservative"), (12, 14, "Balanced"), (15, 17, "Growth"), (18, 20, "Aggressive"))
+CATEGORY_TEXTS = {
+    "Conservative": "Keeping the capital comes first; swings of the market are unwelcome. Fits bonds, steady dividend payers and money market funds.",
+    "Moderately Conservative": "Stability comes first, small swings are accepted for modest growth. Fits balanced funds, dividend stocks and sound bonds.",
+    "Balanced": "Medium risk for medium returns, over a medium span of years. Fits broad index funds and a mix of stocks and bonds.",
+    "Growth": "Growth comes first; large swings and long drawdowns can be borne. Fits growth stocks, sector funds and small companies.",
+    "Aggressive": "The highest returns are sought, whatever the swings, over many years. Fits fast growing technology stocks and emerging markets.",
+}
 RATINGS = {
     "Conservative": {"Buy": "Use Caution", "Hold": "Not Suitable", "Avoid": "Not Suitable"},
     "Moderately Conservative": {"Buy": "Use Caution", "Hold": "Not Suitable", "Avoid": "Not Suitable"},
@@ -80,6 +87,14 @@ def questionnaire(responses: DataFrame, items: int = 5) -> DataFrame:
     return got.withColumn("category", F.when(F.col("complete"), score_category(F.col("total"))))
 
 
+def category_text(category: Column) -> Column:
+    """What a questionnaire category means, for its investor; null for null and for names that are no category."""
+    out = F.lit(None).cast("string")
+    for name, text in CATEGORY_TEXTS.items():
+        out = F.when(category == name, text).otherwise(out)
+    return out
+
+
 def response_errors(wide: DataFrame, items: tuple[str, ...]) -> DataFrame:
     """``errors`` for a respondent's row of item scores: each must be an integer from 1 to 4."""
     checks = [(F.col(i).isNull(), F.lit(f"{i} is missing")) for i in items] + [(F.col(i).isNotNull() & ~(F.col(i).between(1, 4) & (F.col(i) == F.floor(i))), F.format_string(f"{i} must be an integer from 1 to 4, got %s", F.col(i).cast("string"))) for i in items]

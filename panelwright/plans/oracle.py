@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import draws
-from ..operators import text
+from ..operators import rules, text
 from ..sources import dims
 
 PX = """px as (select p_brand ticker, cast(l_shipdate as date) date, avg(l_quantity) q, cast(sum(l_quantity) as bigint) volume from lineitem join part on l_partkey = p_partkey group by 1, 2),
@@ -275,6 +275,8 @@ select 'missing' kind, risk || '/' || signal "where" from g anti join m using (r
     "score_stability": f"with {PRED}, {report('model, ticker')} select model, {rnd('avg(accuracy) accuracy_mean', 'min(accuracy) accuracy_min', 'max(accuracy) accuracy_max', 'avg(f1_macro) f1_macro_mean', 'min(f1_macro) f1_macro_min', 'max(f1_macro) f1_macro_max')} from sc group by 1",
     "comparable_scores": f"with {PRED}, k as (select ticker, date, row_number() over (partition by ticker order by date) k from lab) select model, count(*) n_test, {rnd('avg(case when y_true = y_pred then 1.0 else 0.0 end) accuracy')} from pred join k using (ticker, date) where k >= 20 group by 1",
     "risk_classes": "select cast(c_custkey as bigint) investor_id, ['Aggressive', 'Moderate', 'Conservative'][least(2, case when 1 + c_custkey % 10 <= 3 then 2 when 1 + c_custkey % 10 <= 6 then 1 else 0 end + cast(18 + c_custkey % 70 > 60 as int) + cast(1 + c_custkey % 30 < 3 as int) + cast(c_custkey % 31 < 2 as int)) + 1] risk_class from customer",
+    "questionnaire_report": f"""with {RESP}, r as (select * from resp where respondent_id % 17 <> 0 or item_id <> 'q3'), c as (select respondent_id, cast(sum(score) as integer) total, case when count(*) = 5 then {band('sum(score)')} end category, string_agg(item_id || '=' || score, ',' order by item_id) breakdown from r group by 1)
+select c.*, description from c left join (values {', '.join(f"('{name}', '{text}')" for name, text in rules.CATEGORY_TEXTS.items())}) t(name, description) on category = name""",
     "questionnaire": f"with {RESP}, r as (select * from resp where respondent_id % 17 <> 0 or item_id <> 'q3') select respondent_id, cast(sum(score) as integer) total, count(*) = 5 complete, case when count(*) = 5 then {band('sum(score)')} end category, max(score) filter (item_id = 'q1') q1 from r group by 1",
     "band_sensitivity": f"with {RESP} " + " union all ".join(f"select {s} shift, cast(count(*) filter ({band('total', s)} <> {band('total')}) as bigint) changed, count(*) n, round(count(*) filter ({band('total', s)} <> {band('total')}) / cast(count(*) as double), 6) share from tot" for s in (-2, -1, 1, 2)),
     "suitability": f"select cast(c_custkey as bigint) investor_id, {rating('r', 's')} rating, substr(case when r = '' then 'Missing Risk_Category' when s = '' then 'Missing Stock_Signal' when r = 'growth' then 'Invalid Risk_Category: must be one of' when s = 'Sell' then 'Invalid Stock_Signal: must be one of' end, 1, 24) error from (select c_custkey, ['Balanced', '', 'Growth', 'growth', 'Conservative', 'Aggressive'][c_custkey % 6 + 1] r, ['Buy', 'Hold', 'Avoid', '', 'Sell'][c_custkey % 5 + 1] s from customer)",

@@ -499,6 +499,14 @@ def questionnaire(spark, d):
     return q.select("respondent_id", "total", "complete", "category", F.col("breakdown")["q1"].alias("q1"))
 
 
+@query
+def questionnaire_report(spark, d):
+    """what a respondent is told: the category, its text, and every answer by item."""
+    q = rules.questionnaire(responses(spark, d).where("respondent_id % 17 <> 0 or item_id <> 'q3'"))
+    parts = F.array_join(F.transform(F.array_sort(F.map_keys("breakdown")), lambda k: F.concat(k, F.lit("="), F.col("breakdown")[k].cast("string"))), ",")
+    return q.select("respondent_id", "total", "category", rules.category_text(F.col("category")).alias("description"), parts.alias("breakdown"))
+
+
 @query
 def band_sensitivity(spark, d):
     """F11."""

@@ -56,6 +56,8 @@ def test_questionnaire(spark):
     got = {r.respondent_id: r for r in rules.questionnaire(spark.createDataFrame(rows, "respondent_id bigint, item_id string, score int")).collect()}
     assert (got[1].total, got[1].category, got[1].complete) == (20, "Aggressive", True) and got[1].breakdown["q3"] == 4
     assert (got[2].category, got[2].complete) == (None, False)
+    told = spark.createDataFrame([(name,) for _, _, name in rules.BANDS] + [(None,), ("Moderate",)], "c string").select("c", rules.category_text(F.col("c")).alias("t")).collect()
+    assert [r.t for r in told] == [rules.CATEGORY_TEXTS.get(r.c) for r in told] and len({r.t for r in told}) == 6
 
 
 STOCKS = "ticker string, signal string, volatility double, rsi double, macd double, price_change_30d double, position int"
