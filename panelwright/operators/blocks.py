@@ -17,6 +17,15 @@ ROWS = 1 << 16
 RUN = 256  #: maps that are composed one after the other in a row; longer series of maps are composed by levels
 
 
+TASKS = 64  #: that :func:`spread` deals rows to, at least
+
+
+def spread(df: DataFrame, *keys: str, tasks: int = TASKS) -> DataFrame:
+    """``df`` dealt by ``keys`` to ``tasks`` partitions, or as many as a shuffle of the session has. Spark sizes partitions by their bytes, and makes one of a few MB
+    whatever is then done with its rows; these stay apart, and grouping by ``keys`` needs no further exchange."""
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _number(df: DataFrame, order: str) -> Column:
     """``order`` as a double that never falls where it rises."""
     kind = dict(df.dtypes)[order]

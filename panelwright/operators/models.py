@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ledger, metrics, splits, stats
+from . import blocks, ledger, metrics, splits, stats
 from .indicators import FEATURES, label, sequences
 
 LABELS = metrics.LABELS  # in order of their integer codes: Avoid 0, Buy 1, Hold 2
@@ -445,6 +445,59 @@ def leaf_shares(tree: tuple, z: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
+def forest_votes(x: np.ndarray, y: np.ndarray, z: np.ndarray, classes: int, weights: np.ndarray, width: int, depth: int | None, least: int, rng: np.random.Generator) -> np.ndarray:
+    """Class shares of ``z`` added up over a forest: a tree for each row of ``weights`` (how often it drew each training row), each grown as :func:`grow` does.
+
+    All trees grow together, level by level: a level sorts the rows of all its nodes once for each of the ``width`` features that a node draws.
+    """
+    codes = [np.unique(c, return_inverse=True) for c in x.T]
+    values, rank = [v for v, _ in codes], np.stack([r for _, r in codes], axis=1)
+    tree, row = np.nonzero(weights)
+    w, node, n_nodes = weights[tree, row].astype(float), tree, len(weights)
+    z_row, z_node = np.tile(np.arange(len(z)), n_nodes), np.repeat(np.arange(n_nodes), len(z))
+    votes, level = np.zeros((len(z), classes)), 0
+    while True:
+        counts = np.bincount(node * classes + y[row], weights=w, minlength=n_nodes * classes).reshape(-1, classes)
+        total = counts.sum(axis=1)
+        open_ = (total >= least) & (counts.max(axis=1) < total) & (depth is None or level < depth)
+        drawn = rng.random((n_nodes, x.shape[1])).argsort(axis=1)[:, :width]
+        best, feature, at, after = np.full(n_nodes, -1.0), np.zeros(n_nodes, int), np.zeros(n_nodes, int), np.zeros(n_nodes, int)
+        live = open_[node]
+        node, row, w = node[live], row[live], w[live]
+        for f in drawn.T if len(node) else ():
+            order = np.argsort(node * len(x) + rank[row, f[node]])
+            here, r = node[order], rank[row[order], f[node[order]]]
+            start = np.flatnonzero(np.diff(here, prepend=-1))
+            some = here[start]
+            left = np.zeros((len(here), classes))
+            left[np.arange(len(here)), y[row[order]]] = w[order]
+            left = left.cumsum(axis=0)
+            left -= np.repeat(left[start] - np.eye(classes)[y[row[order[start]]]] * w[order[start], None], np.diff(start, append=len(here)), axis=0)
+            right, n = counts[here] - left, left.sum(axis=1)
+            gain = (left**2).sum(axis=1) / n + (right**2).sum(axis=1) / np.maximum(total[here] - n, 1)
+            gain[:-1][(here[1:] != here[:-1]) | (r[1:] == r[:-1])] = -1
+            gain[-1] = -1
+            top = np.maximum.reduceat(gain, start)
+            better = top > best[some]
+            first = np.minimum.reduceat(np.where(gain == np.repeat(top, np.diff(start, append=len(here))), np.arange(len(here)), len(here)), start)[better]
+            some = some[better]
+            best[some], feature[some], at[some], after[some] = top[better], f[some], r[first], r[first + 1]
+        ends = best < 0
+        done = ends[z_node]
+        np.add.at(votes, z_row[done], (counts / total[:, None])[z_node[done]])
+        if ends.all():
+            return votes
+        low, high = (np.array([values[f][k] for f, k in zip(feature, side)]) for side in (at, after))
+        edge = (low + high) / 2
+        edge = np.where(edge >= high, low, edge)  # where no number lies between the two
+        child = 2 * (np.cumsum(~ends) - 1)
+        live, z_row, z_node = ~ends[node], z_row[~done], z_node[~done]
+        node, row, w = node[live], row[live], w[live]
+        node = child[node] + (rank[row, feature[node]] > at[node])
+        z_node = child[z_node] + (z[z_row, feature[z_node]] > edge[z_node])
+        n_nodes, level = 2 * int((~ends).sum()), level + 1
+
+
 def window_model(kind: str, seed: int = 42, trees: int = 100, depth: int | None = None) -> Callable:
     """``model(x_train, y_train, x_test) -> codes`` for one window: lr, dt or rf (of ``trees``). Trees grow until their leaves are pure, or to ``depth``."""
 
@@ -457,8 +510,8 @@ def window_model(kind: str, seed: int = 42, trees: int = 100, depth: int | None
             votes = leaf_shares(grow(x, y, len(kinds), depth, 2), z, len(kinds))
         else:
             rng = np.random.default_rng(seed)
-            drawn = (rng.integers(0, len(y), len(y)) for _ in range(trees))
-            votes = sum(leaf_shares(grow(x[i], y[i], len(kinds), depth, 2, rng), z, len(kinds)) for i in drawn)
+            drawn = np.stack([np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)) for _ in range(trees)])
+            votes = forest_votes(x, y, z, len(kinds), drawn, max(1, int(x.shape[1] ** 0.5)), depth, 2, rng)
         return kinds[votes.argmax(axis=1)]
 
     if kind not in KINDS:
@@ -520,7 +573,7 @@ def sliding_signals(panel: DataFrame, train: int = 500, test: int = 60, step: in
 
     kinds = dict(rows.dtypes)
     schema = f"ticker {kinds['ticker']}, window_id int, i int, date {kinds['date']}, close double, target string, panel_rows long, pred string"
-    return _without_failures(rows.groupBy("ticker", "__block").applyInPandas(run, schema))
+    return _without_failures(blocks.spread(rows, "ticker", "__block").groupBy("ticker", "__block").applyInPandas(run, schema))
 
 
 def walk_forward_signals(windows: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, model: Callable | None = None, trees: int = 100) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import indicators, ledger, metrics, models, rules, splits
+from panelwright.operators import blocks, indicators, ledger, metrics, models, rules, splits
 
 COLS = ("x", "y")
 
@@ -236,3 +236,18 @@ def test_queries_use_the_whole_options(spark, sf, monkeypatch):
     assert seen["bootstrap"][0][0][-1] == 10_000
     forest = models.estimator("rf", 10)
     assert (forest.getOrDefault("numTrees"), forest.getOrDefault("maxDepth")) == (100, 15)
+
+
+def test_a_forest_grown_together_is_its_trees_one_by_one():
+    rng = np.random.default_rng(3)
+    x, y, z = rng.normal(size=(120, 1)).round(1), rng.integers(0, 3, 120), rng.normal(size=(40, 1))
+    weights = np.stack([np.bincount(rng.integers(0, 120, 120), minlength=120) for _ in range(5)])
+    for depth in (None, 0, 3):
+        alone = sum(models.leaf_shares(models.grow(np.repeat(x, w, axis=0), np.repeat(y, w), 3, depth, 2), z, 3) for w in weights)
+        assert np.allclose(models.forest_votes(x, y, z, 3, weights, 1, depth, 2, rng), alone)
+
+
+def test_windows_of_a_small_panel_are_fitted_in_many_tasks(spark):
+    rows = spark.range(2000).select((F.col("id") % 20).cast("string").alias("ticker"), F.lit(0).alias("block"))
+    got = blocks.spread(rows, "ticker", "block").groupBy("ticker", "block").applyInPandas(lambda f: f.head(1), "ticker string, block int")
+    assert got.groupBy(F.spark_partition_id()).count().count() > 8
