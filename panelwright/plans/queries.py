@@ -81,9 +81,10 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    """Five answers a customer, driven by a shared trait and a hash."""
+    """Five answers a customer, driven by a shared trait and a hash. Customers are spread first: a small file is one task, and what is grouped by respondent then stays in its partition."""
     item = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")
-    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("respondent_id"), item)
+    people = blocks.spread(read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("respondent_id")), "respondent_id")
+    rows = people.select("respondent_id", item)
     h = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("respondent_id").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 6), 16, 10).cast("bigint")
     score = F.greatest(F.lit(1), F.least(F.lit(4), F.col("respondent_id") % 4 + h % 3)).cast("int")
     return rows.select("respondent_id", F.concat(F.lit("q"), F.col("j").cast("string")).alias("item_id"), score.alias("score"))
@@ -93,7 +94,8 @@ ITEMS = ("q0", "q1", "q2", "q3", "q4")
 
 
 def wide_responses(spark: SparkSession, d: str) -> DataFrame:
-    return responses(spark, d).groupBy("respondent_id").pivot("item_id", list(ITEMS)).agg(F.first("score"))
+    """A row a respondent, a column an item: plain maxima of the one answer there is, which are added up as rows come, where a pivot first groups by respondent and item."""
+    return responses(spark, d).groupBy("respondent_id").agg(*[F.max(F.when(F.col("item_id") == q, F.col("score"))).alias(q) for q in ITEMS])
 
 
 def investors(spark: SparkSession, d: str) -> DataFrame:

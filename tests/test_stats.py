@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import draws, tails
 from panelwright.operators import metrics, stats
+from panelwright.plans import queries
 
 
 @pytest.mark.parametrize(
@@ -190,3 +191,12 @@ def test_best_model_and_baselines(spark):
 def test_sample_size(spark):
     n = spark.range(1).select(stats.sample_size(F.lit(0.6), F.lit(0.1))).first()[0]
     assert n == math.ceil((1.959964 + 0.841621) ** 2 * 0.24 / 0.01)
+
+
+def test_answers_are_spread_and_grouped_where_they_are(spark, sf):
+    wide = queries.wide_responses(spark, sf)
+    assert queries.responses(spark, sf).rdd.getNumPartitions() >= 64
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "pivotfirst" not in plan.lower()
+    long = queries.responses(spark, sf).groupBy("respondent_id").pivot("item_id", list(queries.ITEMS)).agg(F.first("score"))
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, long.collect()))
