@@ -148,6 +148,14 @@ def best_pick(rated: DataFrame, by: str = "investor_id") -> DataFrame:
     return rated.where("rating = 'Suitable'").withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
+def best_picks(investors: DataFrame, stocks: DataFrame, matrix: DataFrame) -> DataFrame:
+    """:func:`best_pick` of :func:`recommendations`, for investors (investor_id, risk_category): stocks are rated and picked once per
+    category, so that an investor meets one row and not every stock."""
+    kinds = recommend(investors.select("risk_category").distinct().crossJoin(stocks), matrix)
+    picks = best_pick(kinds, "risk_category").withColumnRenamed("risk_category", "__kind")
+    return investors.join(F.broadcast(picks), F.col("risk_category") == F.col("__kind")).drop("__kind")
+
+
 def compare(stocks: DataFrame, tickers: list[str]) -> DataFrame:
     """Two or three stocks: one row with the better momentum, the lower volatility, and the stronger outlook (the only Buy)."""
     if not 2 <= len(tickers) <= 3:

@@ -96,3 +96,12 @@ def test_bands_and_verdicts(spark):
 def test_response_errors(spark):
     df = spark.createDataFrame([(1, 4), (0, 5), (None, 2)], "a int, b int")
     assert [len(r.errors) for r in rules.response_errors(df, ("a", "b")).collect()] == [0, 2, 1]
+
+
+def test_picks_by_category_are_picks_by_investor(spark):
+    people = spark.createDataFrame([(1, "Balanced"), (2, "Growth"), (3, "Conservative"), (4, None), (5, "Wild"), (6, "Growth")], "investor_id long, risk_category string")
+    stocks = spark.createDataFrame([("A", "Hold", 1.0, 1), ("B", "Buy", 3.0, 2), ("C", "Buy", 3.0, 3), ("D", "Avoid", 0.1, 4)], "ticker string, signal string, volatility double, position int")
+    m = rules.suitability_matrix(spark)
+    plain = {(r.investor_id, r.ticker) for r in rules.best_pick(rules.recommendations(people, stocks, m)).collect()}
+    got = [(r.investor_id, r.ticker) for r in rules.best_picks(people, stocks, m).collect()]
+    assert set(got) == plain == {(1, "B"), (2, "B"), (6, "B")} and len(got) == 3
