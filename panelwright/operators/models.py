@@ -13,9 +13,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from . import blocks, ledger, metrics, splits, stats
 from .indicators import FEATURES, label, sequences
 
+#: Rows of a task of a fit, while there are at most MANY_TASKS of them: each sends sums of every node of a forest, so there are not more than help. Larger tables have tasks of BIG_TASK_ROWS.
+TASK_ROWS, MANY_TASKS, BIG_TASK_ROWS = 1 << 12, 24, 1 << 17
+
 LABELS = metrics.LABELS  # in order of their integer codes: Avoid 0, Buy 1, Hold 2
 
 
@@ -49,7 +53,8 @@ def estimator(kind: str, n_train: int, seed: int = 42, **options):
     if kind == "dt":
         return DecisionTreeClassifier(seed=seed, maxDepth=options.pop("maxDepth", 10), minInstancesPerNode=options.pop("minInstancesPerNode", 2), **common, **options)
     if kind == "rf":
-        return RandomForestClassifier(seed=seed, numTrees=options.pop("numTrees", 100), maxDepth=options.pop("maxDepth", 15), **common, **options)
+        tuned = {"cacheNodeIds": True, "maxMemoryInMB": 512} | options  # rows know their nodes, and no step sends the forest to every task
+        return RandomForestClassifier(seed=seed, numTrees=tuned.pop("numTrees", 100), maxDepth=tuned.pop("maxDepth", 15), **common, **tuned)
     raise ValueError(f"unknown model type {kind!r}: one of lr, dt, rf")
 
 
@@ -62,7 +67,8 @@ def fit(train: DataFrame, kind: str = "lr", columns: Iterable[str] = FEATURES, l
         n = ready.count()
         if not n:
             raise ValueError("no training rows")
-        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), estimator(kind, n, **options)]).fit(ready)
+        dealt = ready.repartition(max(min(-(-n // TASK_ROWS), MANY_TASKS), -(-n // BIG_TASK_ROWS)), *columns)
+        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), estimator(kind, n, **options)]).fit(dealt)
     finally:
         ready.unpersist()
     return model, scale
@@ -104,7 +110,7 @@ def same_predictions(a: DataFrame, b: DataFrame) -> bool:
 
 def train_and_compare(panel: DataFrame, kinds: tuple[str, ...] = ("lr", "dt", "rf"), test_size: float = 0.2, horizon: int = 30, options: dict[str, dict] | None = None, columns: Iterable[str] = FEATURES) -> tuple[DataFrame, dict]:
     """Purged split, naive baselines, all models: long predictions (model, ticker, date, y_true, y_pred) and the fitted models."""
-    split, _ = splits.purged_split(panel, test_size, horizon)
+    split, _ = splits.purged_split(folders.kept(panel, "panel"), test_size, horizon)
     test = split.where("side = 'test'")
     ready, fitted = split.persist(), {}
     try:

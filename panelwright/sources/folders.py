@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-panel-"))
         folder = _own[0]
     return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once and read back, for a table that several fits and predictions read: what it is made from is not scanned again for each."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

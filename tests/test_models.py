@@ -251,3 +251,16 @@ def test_windows_of_a_small_panel_are_fitted_in_many_tasks(spark):
     rows = spark.range(2000).select((F.col("id") % 20).cast("string").alias("ticker"), F.lit(0).alias("block"))
     got = blocks.spread(rows, "ticker", "block").groupBy("ticker", "block").applyInPandas(lambda f: f.head(1), "ticker string, block int")
     assert got.groupBy(F.spark_partition_id()).count().count() > 8
+
+
+def test_models_that_are_compared_share_one_reading_of_the_panel(spark):
+    rows, read = data(spark), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(frame.num_rows)
+            yield frame
+
+    n = rows.count()
+    out, _ = models.train_and_compare(rows.mapInArrow(counted, rows.schema), ("lr", "dt"), columns=COLS)
+    assert out.select("model").distinct().count() == 5 and read.value == n
