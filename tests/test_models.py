@@ -264,3 +264,15 @@ def test_models_that_are_compared_share_one_reading_of_the_panel(spark):
     n = rows.count()
     out, _ = models.train_and_compare(rows.mapInArrow(counted, rows.schema), ("lr", "dt"), columns=COLS)
     assert out.select("model").distinct().count() == 5 and read.value == n
+
+
+def test_splits_that_are_compared_share_one_reading_of_the_panel(spark):
+    rows, read = data(spark), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(frame.num_rows)
+            yield frame
+
+    models.leakage_diagnostic(rows.mapInArrow(counted, rows.schema), "dt", 5, {"columns": COLS}).collect()
+    assert read.value == rows.count()
